@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm.chat_format import format_conversations, read_back
+from chronoloom.llm.embedding_dedup import embedding_components
 from chronoloom.llm.fm_decontam import find_contamination
 from chronoloom.llm.license_scan import scan_licenses
 from chronoloom.llm.ngram_jaccard import ngram_jaccard_components
+from chronoloom.llm.pii_weak import ADDED, KINDS, find_personal_data
+from chronoloom.llm.quality_qda import score_quality
 from chronoloom.llm.source_mix import mix_sources
+from chronoloom.llm.toxicity_chain import score_toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +35,14 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -50,8 +62,29 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_read(spark, sf_dir, "documents"), keep=("doc_id",))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
+    def number_of(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts, added = map(number_of, KINDS), map(number_of, ADDED)
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *added)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard_join, op2_benchmark_decontamination, op6_chat_formatting, op7_license_scan, op8_source_mixing]
+    found = [
+        op1_ngram_jaccard_join, op2_benchmark_decontamination, op4_quality_classifier, op5_embedding_near_dedup, op6_chat_formatting,
+        op7_license_scan, op8_source_mixing, op9_toxicity, op10_pii,
+    ]
     return {f.__name__: f for f in found}
 
 
