@@ -3,16 +3,16 @@
 Documents are sets of hashed word shingles; those with equal sets form one class. Two sets with a Jaccard similarity
 of at least ``t`` share one of the first ``n - ceil(t * n) + 1`` shingles under any global order, so a class is put
 into one *tile* per prefix shingle. Inside a tile, classes are ordered by size and only those within the size band
-``n_small >= t * n_large`` are partners. Each class has a parity bitmap whose width follows its size band; the bits in
+``n_small >= t * n_large`` are partners. Partners get parity bitmaps whose width follows their size band; the bits in
 which two bitmaps differ are a lower bound of the symmetric difference and so bound the overlap from above. What
 passes is verified by intersecting the sorted shingle arrays of the texts.
 
-Order of shingles: frequent ones (found by exact counts per block of documents) last, else by hash. The order only
-decides how large tiles get, never which links are found.
+Order of shingles: frequent ones last, rarer before more frequent ones (counted per block of documents over the whole
+corpus), all others by hash. The order only decides how large tiles get, never which links are found.
 
-Only components are asked for, so links that cannot change them are skipped: a first round verifies a star of links
-per tile, a second one compares, in tiles that still hold several components, every pair of members of different
-components, until a round adds no link. No bucket is capped.
+Only components are asked for, so links that can't change them are left out. Tiles of up to ALL_PAIRS classes give all
+their partners. Of a larger one, a star of partners is verified first; if it then still holds several components, all
+its members of different components are compared by bitmaps, in squares, until a round adds nothing. No tile is capped.
 
 Edge cases: null, empty or blank texts have an empty set, are linked with nothing and are components of their own.
 Texts with fewer words than a shingle are one shingle, the whole sequence. Repeated ids keep one output row per input
@@ -33,12 +33,13 @@ from chronoloom.llm.common import connected_components, materialize, sift
 from chronoloom.llm.words import SPACED, Words, long_lists, mix, sum_by, text_blocks
 
 _Q = 0xD6E8FEB86659FD93
-#: Shingles seen in so many documents of one block of about 32 MB of text are put last; at most HOT_MOST of them.
-HOT_IN_BLOCK, HOT_MOST, HOT_BLOCK = 8, 500_000, 4_000_000
-#: Members of a tile are compared in squares of this side.
+#: A block of so many shingles reports those that several of its texts hold; HOT_FROM such texts in all make a shingle
+#: frequent, and at most HOT_MOST shingles are put last (12 bytes each).
+HOT_BLOCK, HOT_FROM, HOT_MOST = 4_000_000, 16, 1_000_000
+#: Larger tiles give a star of pairs first.
+ALL_PAIRS = 48
+#: Members of a large tile are compared in squares of this side.
 SIDE = 512
-#: With more open pairs a class than this, a forest of them is verified first.
-PAIRS_A_CLASS = 4
 
 
 def shingle_sets(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +77,8 @@ def set_digests(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def bitmap_bits(n: int) -> int:
-    """Width of the bitmap of a set of n: a power of two from n to 2n, 256 at least."""
-    return max(256, 1 << (max(1, n) - 1).bit_length())
+    """Width of the bitmap of a set of n: a power of two from 4n to 8n, 256 at least."""
+    return max(256, 4 << (max(1, n) - 1).bit_length())
 
 
 def parity_bitmap(values: np.ndarray) -> bytes:
@@ -112,7 +113,7 @@ def _hot_counter(k: int):
 
         def flush():
             h, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            keep = c >= HOT_IN_BLOCK
+            keep = c >= 2
             return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], ["h", "c"])
 
         for _, sets, off in _blocks(batches, k):
@@ -129,57 +130,58 @@ def _hot_counter(k: int):
     return run
 
 
-def hot_shingles(texts: DataFrame, k: int) -> np.ndarray:
-    """Sorted hashes of frequent shingles, HOT_MOST at most (8 bytes each): they only steer the order of prefixes."""
-    counts = texts.select("text").mapInArrow(_hot_counter(k), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+def hot_shingles(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, rank by count) of frequent shingles, HOT_MOST at most: they only steer the order of prefixes."""
+    counts = texts.select("text").mapInArrow(_hot_counter(k), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT_FROM)
     rows = counts.orderBy(F.desc("c"), "h").limit(HOT_MOST).select("h").toArrow()
-    return np.sort(rows.column("h").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) if rows.num_rows else np.zeros(0, np.uint64)
+    if not rows.num_rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    h = rows.column("h").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], (len(h) - 1 - order).astype(np.uint32)
 
 
-class _Members:
-    """Membership in a bounded sorted list, with a bit table in front."""
+class _Hot:
+    """Rank + 1 of a frequent shingle, 0 of any other; with a bit table in front."""
 
-    def __init__(self, values: np.ndarray):
-        self.values = values
+    def __init__(self, values: np.ndarray, rank: np.ndarray):
+        self.values, self.rank = values, rank
         self.table = np.zeros(1 << 22, dtype=bool)
         self.table[(values >> np.uint64(42)).astype(np.int64)] = True
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h), dtype=bool)
+        out = np.zeros(len(h), dtype=np.uint32)
         if len(self.values):
             maybe = np.flatnonzero(self.table[(h >> np.uint64(42)).astype(np.int64)])
             at = np.searchsorted(self.values, h[maybe])
             at[at == len(self.values)] = 0
-            out[maybe] = self.values[at] == h[maybe]
+            out[maybe] = np.where(self.values[at] == h[maybe], self.rank[at] + 1, 0)
         return out
 
 
-def _features(k: int, percent: int, hot_values, id_type: pa.DataType):
+def _features(k: int, percent: int, hot_values):
     def run(batches):
-        hot, seen = _Members(hot_values.value), set()
+        hot, seen = _Hot(*hot_values.value), set()
         for batch, sets, off in _blocks(batches, k):
             n = np.diff(off)
             digest = set_digests(sets, off)
             prefix_n = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-            is_hot = hot(sets)
-            some_hot = sum_by(is_hot.astype(np.int64), off) > 0
-            prefixes, bitmaps = [], []
+            rank = hot(sets)
+            some_hot = sum_by((rank > 0).astype(np.int64), off) > 0
+            prefixes = []
             for i, d in enumerate(digest.tolist()):
                 if n[i] == 0 or d in seen:  # a class is described once per task
                     prefix_n[i] = 0
-                    bitmaps.append(None)
                     continue
                 seen.add(d)
                 s = sets[off[i] : off[i + 1]]
-                bitmaps.append(parity_bitmap(s))
                 if some_hot[i]:
-                    m = is_hot[off[i] : off[i + 1]]
-                    s = np.concatenate([s[~m], s[m]])
+                    s = s[np.argsort(rank[off[i] : off[i + 1]], kind="stable")]
                 prefixes.append(s[: prefix_n[i]])
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n.astype(np.int64)), pa.array(digest.view(np.int64)), pa.array(bitmaps, pa.binary()), long_lists(flat, np.concatenate([[0], np.cumsum(prefix_n)]))],
-                ["doc_id", "n", "d", "bitmap", "prefix"],
+                [batch.column(0), pa.array(n.astype(np.int64)), pa.array(digest.view(np.int64)), long_lists(flat, np.concatenate([[0], np.cumsum(prefix_n)]))],
+                ["doc_id", "n", "d", "prefix"],
             )
 
     return run
@@ -206,18 +208,45 @@ def _starts(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]]) if len(x) else np.zeros(1, np.int64)
 
 
-def _shared_tiles(batches):
-    """Rows of tiles with several classes; sorted by h, n, d."""
-    for h, n, d in _runs(batches):
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (n[1:] != n[:-1])
-        h, n, d = h[new], n[new], d[new]
-        at = _starts(h)
-        size = np.diff(at)
-        keep = np.repeat(size > 1, size)
-        # neighbours by size in the tile, and the tile's smallest class, are the star of the first round
-        first = np.repeat(at[:-1], size)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, n, d, d[first], n[first], d[np.maximum(np.arange(len(d)) - 1, first)], n[np.maximum(np.arange(len(d)) - 1, first)])], ["h", "n", "d", "d0", "n0", "d1", "n1"])
+def _tile_pairs(percent: int):
+    """From tiles (h, n, d), sorted: pairs of partners (h null), and the rows of tiles that gave a star only."""
+    def run(batches):
+        held: list[np.ndarray] = []
+
+        def pairs(stack):
+            p = np.unique(np.concatenate(stack, axis=1), axis=1) if stack else np.zeros((2, 0), np.int64)
+            none = pa.nulls(p.shape[1], pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.array(p[0]), pa.array(p[1])], ["h", "n", "a", "b"])
+
+        for h, n, d in _runs(batches):
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (n[1:] != n[:-1])
+            h, n, d = h[new], n[new], d[new]
+            at = _starts(h)
+            size = np.diff(at)
+            end = np.repeat(at[1:], size)
+            small = np.repeat(size <= ALL_PAIRS, size)
+            first = np.repeat(at[:-1], size)
+            i = np.arange(len(h))
+            found = [(first[~small], i[~small]), (np.maximum(i - 1, first)[~small], i[~small])]
+            for step in range(1, min(ALL_PAIRS, int(size.max(initial=1)))):
+                x = i[small & (i + step < end)]
+                if not len(x):
+                    break
+                found.append((x, x + step))
+            x, y = (np.concatenate(z) for z in zip(*found))
+            ok = (d[x] != d[y]) & (100 * n[x] >= percent * n[y])
+            x, y = d[x[ok]], d[y[ok]]
+            held.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+            if sum(p.shape[1] for p in held) > 1_000_000:
+                yield pairs(held)
+                held = []
+            big = ~small
+            if big.any():
+                yield pa.RecordBatch.from_arrays([pa.array(h[big]), pa.array(n[big]), pa.array(d[big]), pa.nulls(int(big.sum()), pa.int64())], ["h", "n", "a", "b"])
+        yield pairs(held)
+
+    return run
 
 
 def _words64(bitmap: bytes) -> np.ndarray:
@@ -297,76 +326,93 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _describe(texts: DataFrame, classes: DataFrame, pairs: DataFrame | None, k: int, nodes: DataFrame | None = None) -> DataFrame:
+    """(d, n, text, bitmap) of the classes that pairs or nodes name, from one of the documents of each."""
+    if nodes is None:
+        nodes = pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d")))
+    reps = materialize(classes.join(nodes.select("d").distinct(), "d", "left_semi").select(F.col("rep").alias("doc_id"), "d", "n"), "reps")
+
+    def run(batches):
+        for batch in batches:
+            maps = [parity_bitmap(_set_of(t, k)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maps, pa.binary())], ["d", "n", "text", "bitmap"])
+
+    # rows that repeat an id may differ in text: the one whose set is the class's stays
+    own = sift(texts, reps, "doc_id").join(reps, "doc_id").select("d", "n", "text").mapInArrow(_own_text(k), "d long, n long, text string")
+    return materialize(own.dropDuplicates(["d"]).mapInArrow(run, "d long, n long, text string, bitmap binary"), "described")
+
+
+def _own_text(k: int):
+    def run(batches):
+        for batch, sets, off in _blocks(batches, k):
+            yield batch.filter(pa.array(set_digests(sets, off).view(np.int64) == batch.column(0).to_numpy()))
+
+    return run
+
+
+def _bounded(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps allow a link."""
+    shape = own.select("d", "n", "bitmap")
+    pairs = pairs.join(shape.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("xa")), "a").join(shape.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("xb")), "b")
+    return materialize(pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bitmap_filter(percent), "a long, b long"), "bounded")
+
+
+def _linked(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose similarity is reached; texts travel, not shingle arrays, as they are smaller."""
+    text = own.select("d", "text")
+    both = pairs.join(text.select(F.col("d").alias("b"), F.col("text").alias("tb")), "b").join(text.select(F.col("d").alias("a"), F.col("text").alias("ta")), "a")
+    return materialize(both.select("a", "b", "ta", "tb").sortWithinPartitions("a").mapInArrow(_verify(k, percent), "a long, b long"), "links")
+
+
+def _still_open(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
+    if comp is not None:
+        a, b = (comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+        pairs = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return materialize(pairs, "open_pairs")
+
+
 def ngram_jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): components of documents linked at a Jaccard similarity of percent/100."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hot = spark.sparkContext.broadcast(hot_shingles(texts, k))
-    described = materialize(texts.mapInArrow(_features(k, percent, hot, pa.int64()), "doc_id long, n long, d long, bitmap binary, prefix array<long>"), "shingle_sets")
-    classes = described.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.max("bitmap").alias("bitmap"))
-    classes = materialize(classes, "classes")
+    sets = materialize(texts.mapInArrow(_features(k, percent, hot), "doc_id long, n long, d long, prefix array<long>"), "shingle_sets")
+    classes = materialize(sets.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
 
-    rows = described.where("n > 0").select(F.explode("prefix").alias("h"), "n", "d")
-    tiles = rows.repartition("h").sortWithinPartitions("h", "n", "d").mapInArrow(_shared_tiles, "h long, n long, d long, d0 long, n0 long, d1 long, n1 long")
+    rows = sets.where("n > 0").select(F.explode("prefix").alias("h"), "n", "d")
+    tiles = rows.repartition("h").sortWithinPartitions("h", "n", "d").mapInArrow(_tile_pairs(percent), "h long, n long, a long, b long")
     tiles = materialize(tiles, "tiles")
-    star = tiles.select("d", F.col("d0").alias("o"), "n", F.col("n0").alias("m")).union(tiles.select("d", F.col("d1").alias("o"), "n", F.col("n1").alias("m")))
-    star = star.where((F.col("d") != F.col("o")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-    pairs = star.select(F.least("d", "o").alias("a"), F.greatest("d", "o").alias("b")).distinct()
-
-    shape = classes.select("d", "n", "bitmap")
-    pairs = pairs.join(shape.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("xa")), "a").join(shape.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("xb")), "b")
-    open_pairs = pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bitmap_filter(percent), "a long, b long")
-    open_pairs = materialize(open_pairs, "star_pairs")
+    pairs = materialize(tiles.where("h is null").select("a", "b").distinct(), "pairs")
+    large = tiles.where("h is not null").select("h", "n", F.col("a").alias("d"))
 
-    n_classes = classes.count()
     tested, links, comp = None, None, None
-    while True:
-        while not open_pairs.isEmpty():
-            chosen = open_pairs
-            if open_pairs.count() > PAIRS_A_CLASS * n_classes:
-                # many copies of one text: verify a forest of them first, most other pairs can then be left out
-                chosen = materialize(open_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "chosen")
-            found = _linked(chosen, texts, classes, k, percent)
+    while not pairs.isEmpty():
+        own = _describe(texts, classes, pairs, k)
+        open_pairs = _bounded(pairs, own, percent)
+        # first a forest, each class with its smallest partner; most other pairs then lie inside a component
+        for chosen in (materialize(open_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "chosen"), None):
+            if chosen is None:
+                chosen = open_pairs = _still_open(open_pairs.join(tested, ["a", "b"], "left_anti"), comp)
+            found = _linked(chosen, own, k, percent)
             tested = chosen if tested is None else tested.union(chosen)
             if not found.isEmpty():
                 links = found if links is None else links.union(found)
                 comp = materialize(connected_components(links), "components")
-            if chosen is open_pairs:
-                break
-            open_pairs = _still_open(open_pairs.join(chosen, ["a", "b"], "left_anti"), comp)
-        placed = tiles.select("h", "n", "d")
-        placed = placed.join(comp.select(F.col("node").alias("d"), "component"), "d", "left").select("h", "n", "d", F.coalesce("component", "d").alias("c")) if comp is not None else placed.withColumn("c", F.col("d"))
+        placed = large.withColumn("c", F.col("d"))
+        if comp is not None:
+            placed = large.join(comp.select(F.col("node").alias("d"), "component"), "d", "left").select("h", "n", "d", F.coalesce("component", "d").alias("c"))
         mixed = placed.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("h")
-        mixed = placed.join(mixed, "h", "left_semi").join(classes.select("d", "bitmap"), "d").select("h", "n", "d", "c", "bitmap")
-        more = mixed.repartition("h").sortWithinPartitions("h", "n", "d").mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
-        if tested is not None:
-            more = more.join(tested, ["a", "b"], "left_anti")
-        open_pairs = materialize(more, "cross_pairs")
-        if open_pairs.isEmpty():
+        mixed = materialize(placed.join(mixed, "h", "left_semi"), "mixed_tiles")
+        if mixed.isEmpty():
             break
+        shape = _describe(texts, classes, None, k, nodes=mixed).select("d", "bitmap")
+        more = mixed.join(shape, "d").select("h", "n", "d", "c", "bitmap").repartition("h").sortWithinPartitions("h", "n", "d")
+        more = more.mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
+        pairs = materialize(more.join(tested, ["a", "b"], "left_anti"), "cross_pairs")
 
-    out = described.select("doc_id", "n", "d")
-    by_class = classes.select("d", "rep")
+    by_class = classes.select("d", "rep", F.col("d").alias("c"))
     if comp is not None:
-        by_class = by_class.join(comp.withColumnRenamed("node", "d"), "d", "left").select("d", "rep", F.coalesce("component", "d").alias("c"))
-    else:
-        by_class = by_class.withColumn("c", F.col("d"))
+        by_class = classes.join(comp.withColumnRenamed("node", "d"), "d", "left").select("d", "rep", F.coalesce("component", "d").alias("c"))
     smallest = by_class.groupBy("c").agg(F.min("rep").alias("component_id"))
     by_class = by_class.join(smallest, "c").select("d", "component_id")
-    return out.join(by_class, "d", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _still_open(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
-    if comp is not None:
-        a, b = (comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-        pairs = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    return materialize(pairs, "open_pairs")
-
-
-def _linked(pairs: DataFrame, texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose similarity is reached; texts travel, not shingle arrays, as they are smaller."""
-    nodes = pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct()
-    reps = classes.join(nodes, "d", "left_semi").select(F.col("rep").alias("doc_id"), "d")
-    own = materialize(sift(texts, reps, "doc_id").join(reps, "doc_id").dropDuplicates(["d"]).select("d", "text"), "texts")
-    both = pairs.join(own.select(F.col("d").alias("b"), F.col("text").alias("tb")), "b").join(own.select(F.col("d").alias("a"), F.col("text").alias("ta")), "a")
-    return materialize(both.select("a", "b", "ta", "tb").sortWithinPartitions("a").mapInArrow(_verify(k, percent), "a long, b long"), "links")
+    return sets.select("doc_id", "n", "d").join(by_class, "d", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -1,4 +1,4 @@
-"""Toxicity: a classifier chain over hashed words.
+"""Toxicity: a classifier chain over hashed words and beginnings of words.
 
 The chain's links, in order: low quality, toxic, severe (toxic with at least SEVERE_TERMS different toxic terms). Each is
 a ridge logistic model over a document's counts of selected terms and its length; later models also see the
@@ -6,8 +6,8 @@ probabilities of earlier links. In training, these come from out-of-fold predict
 probabilities that it will meet.
 
 Training uses at most SAMPLE labelled rows outside the held-out fold (those with the smallest hash of their id), a bound
-that is broadcast safely; TERMS terms are selected by the log odds of their document frequencies in it. Every whole
-document is scored.
+that is broadcast safely; TERMS terms (words, or their first bytes) are selected by the log odds of how many documents
+hold them more than once. Every whole document is scored.
 
 Edge cases: null, empty and blank texts have no terms. A document labelled several times counts by its mean label, 0.5
 upwards as toxic; null labels don't count. Without toxic and other labels every score is 0. Repeated rows are each
@@ -22,24 +22,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import materialize
-from chronoloom.llm.words import PLAIN, word_blocks
+from chronoloom.llm.words import PLAIN, Words, long_lists, word_blocks
 
-SAMPLE, TERMS, FOLDS, SEVERE_TERMS = 12_000, 128, 5, 2
+SAMPLE, TERMS, FOLDS, SEVERE_TERMS = 12_000, 384, 5, 8
+#: Beginnings of words, in bytes, that are terms too.
+BEGINNINGS = (4, 5, 6, 7, 8)
 LINKS = ("low_quality", "toxic", "severe")
 
 
-def _terms_of(batches):
-    """(toxic, low_quality, n_words, terms, counts) of sampled texts: distinct words and how often each occurs."""
+def _terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, texts) of all words and beginnings of words."""
+    text = np.repeat(np.arange(len(words.at) - 1), np.diff(words.at))
+    hashes, texts = [words.hash], [text]
+    for n in BEGINNINGS:
+        long, h = words.prefix_hash(n)
+        hashes.append(h)
+        texts.append(text[long])
+    return np.concatenate(hashes), np.concatenate(texts)
+
+
+def _repeated(batches):
+    """(toxic, terms) of sampled texts: the terms that a text holds more than once."""
     for batch, words in word_blocks(batches, PLAIN):
-        terms, counts = [], []
-        for lo, hi in zip(words.at[:-1].tolist(), words.at[1:].tolist()):
-            u, c = np.unique(words.hash[lo:hi], return_counts=True)
-            terms.append(u.view(np.int64))
-            counts.append(c)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(1), batch.column(2), pa.array(np.diff(words.at)), pa.array(terms, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))],
-            ["toxic", "low_quality", "n_words", "terms", "counts"],
-        )
+        h, text = _terms(words)
+        order = np.lexsort((h, text))
+        h, text = h[order], text[order]
+        again = np.flatnonzero((h[1:] == h[:-1]) & (text[1:] == text[:-1]))
+        fresh = np.ones(len(again), bool)
+        fresh[1:] = (h[again[1:]] != h[again[:-1]]) | (text[again[1:]] != text[again[:-1]])
+        again = again[fresh]
+        at = np.searchsorted(text[again], np.arange(batch.num_rows + 1))
+        yield pa.RecordBatch.from_arrays([batch.column(1), long_lists(h[again], at)], ["toxic", "terms"])
 
 
 def ridge_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 15) -> np.ndarray:
@@ -86,7 +99,7 @@ class Chain:
         return out
 
 
-class _Terms:
+class _Selected:
     """Places of selected terms by hash."""
 
     def __init__(self, hashes: np.ndarray):
@@ -95,25 +108,25 @@ class _Terms:
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.sorted >> np.uint64(44)).astype(np.int64)] = True
 
-    def counts(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """A row of term counts for each range at[i]:at[i+1] of h."""
-        n, k = len(at) - 1, len(self.sorted)
+    def counts(self, words: Words) -> np.ndarray:
+        """A row of term counts for each text."""
+        n, k = len(words.at) - 1, len(self.sorted)
+        h, text = _terms(words)
         maybe = np.flatnonzero(self.table[(h >> np.uint64(44)).astype(np.int64)])
         where = np.searchsorted(self.sorted, h[maybe])
         where[where == k] = 0
-        hit = self.sorted[where] == h[maybe] if k else np.zeros(len(maybe), bool)
-        text = np.searchsorted(at, maybe[hit], side="right") - 1
-        return np.bincount(text * k + self.order[where[hit]], minlength=n * k).reshape(n, k).astype(float)
+        hit = self.sorted[where] == h[maybe]
+        return np.bincount(text[maybe[hit]] * k + self.order[where[hit]], minlength=n * k).reshape(n, k).astype(float)
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 1, folds: int = 3) -> tuple[_Terms, Chain] | None:
+def train(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 1, folds: int = 3) -> tuple[_Selected, Chain] | None:
     """Terms and chain from labels (doc_id, toxic, quality); None if there is nothing to tell apart."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"), (F.coalesce(F.avg("quality"), F.lit(1)) < 0.5).cast("int").alias("low_quality"))
     if held_out_fold is not None:
         known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held_out_fold)
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # SAMPLE rows at most
-    rows = materialize(texts.select("text", "toxic", "low_quality").mapInArrow(_terms_of, "toxic int, low_quality int, n_words long, terms array<long>, counts array<long>"), "sample_terms")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic", "low_quality")  # SAMPLE rows at most
+    rows = materialize(texts.mapInArrow(_repeated, "toxic int, terms array<long>"), "sample_terms")
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < total:
         return None
@@ -121,30 +134,22 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 1, fol
     n1, n0 = F.col("n1") + 0.5, F.col("n") - F.col("n1") + 0.5
     odds = F.log(n1 / (F.lit(toxic + 1.0) - n1)) - F.log(n0 / (F.lit(total - toxic + 1.0) - n0))
     picked = df.select("term", (odds / F.sqrt(1 / n1 + 1 / n0)).alias("z")).orderBy(F.desc("z"), "term").limit(TERMS).collect()
-    hashes = np.array([r["term"] for r in picked], np.int64).view(np.uint64)
-    strong = np.array([r["z"] > 6 for r in picked])
-    terms = _Terms(hashes)
+    if not picked:
+        return None
+    terms = _Selected(np.array([r["term"] for r in picked], np.int64).view(np.uint64))
 
     def count(batches):
-        for batch in batches:
-            lists = batch.column(3)
-            at = np.asarray(lists.offsets).astype(np.int64)
-            flat, times = lists.values.to_numpy().view(np.uint64), batch.column(4).values.to_numpy()
-            base = at - at[0]
-            seen = terms.counts(np.asarray(flat)[at[0] : at[-1]], base)
-            k = len(terms.sorted)
-            here = np.flatnonzero(np.isin(flat[at[0] : at[-1]], terms.sorted))
-            text = np.searchsorted(base, here, side="right") - 1
-            place = terms.order[np.searchsorted(terms.sorted, flat[at[0] : at[-1]][here])]
-            seen[text, place] = times[at[0] : at[-1]][here]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1, dtype=np.int32) * k), pa.array(seen.astype(np.int64).ravel()))], ["toxic", "low_quality", "n_words", "seen"])
-
-    got = rows.mapInArrow(count, "toxic int, low_quality int, n_words long, seen array<long>").toArrow().combine_chunks()  # SAMPLE * TERMS numbers at most
+        for batch, words in word_blocks(batches, PLAIN):
+            seen = terms.counts(words).astype(np.int64)
+            at = np.arange(len(seen) + 1, dtype=np.int32) * seen.shape[1]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(np.diff(words.at)), pa.ListArray.from_arrays(pa.array(at), pa.array(seen.ravel()))], ["toxic", "low_quality", "n_words", "seen"])
+
+    got = texts.mapInArrow(count, "toxic int, low_quality int, n_words long, seen array<long>").toArrow().combine_chunks()  # SAMPLE * TERMS numbers at most
     counts = got.column("seen").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, -1).astype(float)
-    order = np.lexsort([*counts.T, got.column("n_words").to_numpy()])  # the same folds whatever the order of rows
-    counts, n_words = counts[order], got.column("n_words").to_numpy()[order].astype(float)
-    toxic_y, low_y = (got.column(c).to_numpy()[order].astype(float) for c in ("toxic", "low_quality"))
-    severe = toxic_y * ((counts[:, strong] > 0).sum(axis=1) >= SEVERE_TERMS)
+    n_words, toxic_y, low_y = (got.column(c).to_numpy().astype(float) for c in ("n_words", "toxic", "low_quality"))
+    order = np.lexsort([toxic_y, low_y, counts.sum(axis=1), n_words])  # the same folds whatever the order of rows
+    counts, n_words, toxic_y, low_y = (x[order] for x in (counts, n_words, toxic_y, low_y))
+    severe = toxic_y * ((counts > 0).sum(axis=1) >= SEVERE_TERMS)
     return terms, Chain(counts, n_words, [low_y, toxic_y, severe])
 
 
@@ -158,7 +163,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, f
             if model is None:
                 low = toxic = severe = np.zeros(len(n))
             else:
-                low, toxic, severe = model[1].probabilities(model[0].counts(words.hash, words.at), n.astype(float))
+                low, toxic, severe = model[1].probabilities(model[0].counts(words), n.astype(float))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(toxic), pa.array(low), pa.array(severe)], ["doc_id", "score", "low_quality", "severe"])
 
     out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, low_quality double, severe double")

@@ -82,15 +82,21 @@ class Words:
             total = np.empty(n + 1, dtype=np.uint64)
             total[0] = 0
             np.cumsum(part, out=total[1:])
-            h = total[self.end] - total[self.start]
-            h *= _power(_P_INV, n)[self.start]
-            self.hash = mix(h)
+            self._total, self._back = total, _power(_P_INV, n)[self.start]
+            self.hash = mix((total[self.end] - total[self.start]) * self._back)
         else:
+            self._total = self._back = np.zeros(1, dtype=np.uint64)
             self.hash = np.zeros(0, dtype=np.uint64)
 
     def __len__(self) -> int:
         return len(self.hash)
 
+    def prefix_hash(self, n_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(words longer than n_bytes, hashes of their first n_bytes, which differ from those of whole words)."""
+        long = np.flatnonzero(self.end - self.start > n_bytes)
+        first = self.start[long]
+        return long, mix((self._total[first + n_bytes] - self._total[first]) * self._back[long] + np.uint64(n_bytes))
+
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", block_bytes: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Arrow batches cut into blocks of whole texts of about ``block_bytes``; a longer text is a block of its own."""
