@@ -416,3 +416,17 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_
     smallest = by_class.groupBy("c").agg(F.min("rep").alias("component_id"))
     by_class = by_class.join(smallest, "c").select("d", "component_id")
     return sets.select("doc_id", "n", "d").join(by_class, "d", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component, the row of the smallest id (null last).
+
+    Rows are told apart by a number of their own, so repeated and null ids are documents like any other.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = ngram_jaccard_components(numbered.select(row, text_col), percent, k, row, text_col).select(F.col("doc_id").alias(row), "component_id")
+    first = numbered.select(row, F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).join(groups, row).groupBy("component_id").agg(F.min(F.struct("none", "id", row)).alias("kept"))
+    return numbered.join(first.select(F.col("kept")[row].alias(row)), row, "left_semi").drop(row)

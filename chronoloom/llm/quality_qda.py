@@ -199,10 +199,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col
     """The rows of ``docs`` that score ``least`` or more, unchanged."""
     described = materialize(describe(docs.select(id_col, text_col), text_col), "quality_stats")
     model = fit(described, labels, id_col, label_col)
-    at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch, raw, ends in text_blocks(batches, docs.columns[at]):
+        for batch, raw, ends in text_blocks(batches, text_col):
             good = model.score(np.nan_to_num(document_statistics(raw, ends))) >= least
             yield batch.filter(pa.array(good))
 

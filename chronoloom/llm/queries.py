@@ -11,6 +11,7 @@ from chronoloom.llm.chat_format import format_conversations, read_back
 from chronoloom.llm.embedding_dedup import embedding_components
 from chronoloom.llm.fm_decontam import find_contamination
 from chronoloom.llm.license_scan import scan_licenses
+from chronoloom.llm.maxent_lm import score_texts
 from chronoloom.llm.ngram_jaccard import ngram_jaccard_components
 from chronoloom.llm.pii_weak import ADDED, KINDS, find_personal_data
 from chronoloom.llm.quality_qda import score_quality
@@ -35,6 +36,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
 
@@ -82,7 +87,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_ngram_jaccard_join, op2_benchmark_decontamination, op4_quality_classifier, op5_embedding_near_dedup, op6_chat_formatting,
+        op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_lm_scoring, op4_quality_classifier, op5_embedding_near_dedup, op6_chat_formatting,
         op7_license_scan, op8_source_mixing, op9_toxicity, op10_pii,
     ]
     return {f.__name__: f for f in found}

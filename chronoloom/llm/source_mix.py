@@ -71,3 +71,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = budget - epochs * F.col("source_size") - F.col("_before") - F.col("_inside")
     taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
     return placed.select(*keep, F.col("_id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"))
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
+    """All rows of ``docs`` with size, source_size, target and taken; columns of these names are replaced."""
+    own = ("size", "source_size", "target", "taken")
+    held = F.struct(*[F.col(c) for c in docs.columns if c not in own]).alias("_held")
+    mixed = mix_sources(docs.select(held, F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source")), "_doc", "_text", "_source", seed, ("_held",))
+    return mixed.select("_held.*", *own)
