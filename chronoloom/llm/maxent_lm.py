@@ -37,16 +37,18 @@ ROUNDS = 1
 #: Words whose counts are broadcast.
 FREQUENT = 1 << 20
 #: Super-classes, and classes in each; so many words have classes of their own.
-WIDTH, OWN_CLASSES = 32, 768
+WIDTHS, OWN_CLASSES = (16, 32), 384
+N_CLASSES = WIDTHS[0] * WIDTHS[1]
 FEATURES = 3
 #: Weight rows of each feature in the model of super-classes and of classes, as powers of two.
 ROW_BITS = (14, 15)
-BATCH, CHUNK = 16384, 128
+N_ROWS = tuple(FEATURES << b for b in ROW_BITS)
+#: Weights stay within this range.
+LIMIT = 8.0
+BATCH, CHUNK = 32768, 128
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 #: Hashes of the end of a text and of the place before its first word.
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-_OFFSETS = np.cumsum([0] + [1 << b for b in ROW_BITS for _ in range(FEATURES)])
-N_ROWS = int(_OFFSETS[-1])
 
 
 class WordTable:
@@ -107,7 +109,7 @@ def tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 def classes(h: np.ndarray, own: WordTable) -> np.ndarray:
     """Class of each token: words with classes of their own, then shared ones by hash."""
-    shared = (OWN_CLASSES + (h >> np.uint64(40)) % np.uint64(WIDTH * WIDTH - OWN_CLASSES)).astype(np.int64)
+    shared = (OWN_CLASSES + (h >> np.uint64(40)) % np.uint64(N_CLASSES - OWN_CLASSES)).astype(np.int64)
     found = own(h, -1)
     return np.where(found >= 0, found, shared)
 
@@ -116,69 +118,75 @@ def _rows(one: np.ndarray, two: np.ndarray, above: np.ndarray) -> tuple[list[np.
     """Weight rows of each feature in both models; above is the super-class."""
     features = (one * _MULT[0], one * _MULT[1] + two * _MULT[2], two * _MULT[2] + _MULT[0])
     mixed = [x ^ (x >> np.uint64(29)) for x in features]
-    first = [((x * _MULT[1]) >> np.uint64(64 - ROW_BITS[0])).astype(np.int64) + _OFFSETS[i] for i, x in enumerate(mixed)]
+    first = [((x * _MULT[1]) >> np.uint64(64 - ROW_BITS[0])).astype(np.int64) + (i << ROW_BITS[0]) for i, x in enumerate(mixed)]
     salt = above.astype(np.uint64) * _MULT[2]
-    second = [(((x + salt) * _MULT[0]) >> np.uint64(64 - ROW_BITS[1])).astype(np.int64) + _OFFSETS[FEATURES + i] for i, x in enumerate(mixed)]
+    second = [(((x + salt) * _MULT[0]) >> np.uint64(64 - ROW_BITS[1])).astype(np.int64) + (i << ROW_BITS[1]) for i, x in enumerate(mixed)]
     return first, second
 
 
+def _sum_rows(p: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows, their first places, how often each occurs, sums of p)."""
+    order = np.argsort(r)
+    r = r[order]
+    at = np.concatenate([[0], np.flatnonzero(r[1:] != r[:-1]) + 1])
+    n = np.diff(np.append(at, len(r)))
+    sums = p.take(order[at], axis=0)
+    several = n > 1
+    if several.any():  # most rows occur once
+        part = p.take(order[np.repeat(several, n)], axis=0)
+        begin = np.cumsum(n[several]) - n[several]
+        sums[several] = np.add.reduceat(part, begin, axis=0)
+    return r[at], order[at], n, sums
+
+
 class Model:
-    """Weights and the shares of classes; a class's super-class is its number modulo WIDTH."""
+    """Weights and the shares of classes; a class's super-class is its number modulo the number of super-classes."""
 
     def __init__(self, own: WordTable, mass: np.ndarray):
         self.own = own
-        shares = (mass / mass.sum()).astype(np.float32)
-        grid = shares.reshape(WIDTH, WIDTH)  # [class in super-class, super-class]
-        self.share = (grid.sum(axis=0), (grid / grid.sum(axis=0)).T.copy())
-        self.bias = (np.log(self.share[0]), np.log(self.share[1]))
+        grid = (mass / mass.sum()).astype(np.float32).reshape(WIDTHS[1], WIDTHS[0])  # [class in super-class, super-class]
+        self.share = (grid.sum(axis=0, keepdims=True), (grid / grid.sum(axis=0)).T.copy())
+        self.bias = tuple(np.log(x) for x in self.share)
         self.log_mass = np.log10(mass)
-        self.weights = np.zeros((N_ROWS, WIDTH), np.float32)
+        self.weights = [np.zeros((n, w), np.float32) for n, w in zip(N_ROWS, WIDTHS)]
 
-    def _logits(self, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-        x = self.weights[rows[0]]
-        for r in rows[1:]:
-            x += self.weights[r]
-        x += bias
-        x -= x.max(axis=1, keepdims=True)
-        return x
-
-    def gains(self, h: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """log10 of P(class | context) over the smoothed total of the class, for each token."""
+    def _batches(self, h: np.ndarray, one: np.ndarray, two: np.ndarray):
+        """For each batch its place and, of both models: rows, row of the bias, class, exp of the logits and their sum."""
         leaf = classes(h, self.own)
-        out = np.empty(len(h))
         for lo in range(0, len(h), BATCH):
             cut = slice(lo, lo + BATCH)
-            above, below = leaf[cut] % WIDTH, leaf[cut] // WIDTH
+            above, below = leaf[cut] % WIDTHS[0], leaf[cut] // WIDTHS[0]
             first, second = _rows(one[cut], two[cut], above)
-            total = np.zeros(len(above))
-            for rows, bias, y in ((first, self.bias[0], above), (second, self.bias[1][above], below)):
-                x = self._logits(rows, bias)
-                total += x[np.arange(len(y)), y] - np.log(np.exp(x).sum(axis=1))
-            out[cut] = total
-        return out / np.log(10) - self.log_mass[leaf]
-
-    def update(self, h: np.ndarray, one: np.ndarray, two: np.ndarray, seen: np.ndarray) -> None:
-        """One gradient step for each batch. seen counts how often each row was met."""
-        leaf = classes(h, self.own)
-        for lo in range(0, len(h), BATCH):
-            cut = slice(lo, lo + BATCH)
-            above, below = leaf[cut] % WIDTH, leaf[cut] // WIDTH
-            first, second = _rows(one[cut], two[cut], above)
-            for rows, bias, y, share in ((first, self.bias[0], above, None), (second, self.bias[1][above], below, above)):
-                p = self._logits(rows, bias)
-                np.exp(p, out=p)
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(y)), y] -= 1
+            for k, rows, group, y in ((0, first, np.zeros_like(above), above), (1, second, above, below)):
+                x = self.bias[k].take(group, axis=0)
                 for r in rows:
-                    order = np.argsort(r)
-                    sorted_ = r[order]
-                    at = np.concatenate([[0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1])
-                    row = sorted_[at]
-                    seen[row] += np.diff(np.append(at, len(r)))
-                    step = np.add.reduceat(p[order], at, axis=0)
-                    expected = self.share[0] if share is None else self.share[1][share[order[at]]]
-                    step /= FEATURES * (seen[row][:, None] * expected + 0.5)
-                    self.weights[row] -= step
+                    x += self.weights[k].take(r, axis=0)
+                np.exp(x, out=x)
+                yield cut, k, rows, group, y, x, x @ np.ones(WIDTHS[k], np.float32)
+
+    def gains(self, h: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """log10 of P(class | context) over the smoothed total of the class, for each token."""
+        out = np.zeros(len(h))
+        for cut, _, _, _, y, x, total in self._batches(h, one, two):
+            out[cut] += np.log10(x[np.arange(len(y)), y] / total)
+        return out - self.log_mass[classes(h, self.own)]
+
+    def update(self, h: np.ndarray, one: np.ndarray, two: np.ndarray, seen: list[np.ndarray]) -> None:
+        """One gradient step for each batch. seen counts how often each row was met."""
+        for _, k, rows, group, y, p, total in self._batches(h, one, two):
+            p *= (1 / total)[:, None]
+            p[np.arange(len(y)), y] -= 1
+            for r in rows:
+                row, place, n, step = _sum_rows(p, r)
+                met = seen[k][row] + n
+                seen[k][row] = met
+                scale = self.share[k].take(group[place], axis=0)
+                scale *= (FEATURES * met)[:, None]
+                scale += 0.5 * FEATURES
+                step /= scale
+                now = self.weights[k].take(row, axis=0)
+                now -= step
+                self.weights[k][row] = np.clip(now, -LIMIT, LIMIT, out=now)
 
 
 def _count(batches):
@@ -223,14 +231,14 @@ def _long(x) -> np.ndarray:
 def class_mass(counts: DataFrame, own: WordTable) -> np.ndarray:
     """For each class the smoothed total N_c + 0.1 * (V_c + 1)."""
     def run(batches):
-        total, n = np.zeros(WIDTH * WIDTH), np.zeros(WIDTH * WIDTH)
+        total, n = np.zeros(N_CLASSES), np.zeros(N_CLASSES)
         for b in batches:
             leaf = classes(b.column(0).to_numpy().view(np.uint64), own)
             total += np.bincount(leaf, weights=b.column(1).to_numpy(), minlength=len(total))
             n += np.bincount(leaf, minlength=len(n))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(total), pa.array(n)], ["k", "total", "n"])
 
-    mass = np.full(WIDTH * WIDTH, 0.1)
+    mass = np.full(N_CLASSES, 0.1)
     for r in counts.select("h", "c").mapInArrow(run, "k long, total double, n double").groupBy("k").agg(F.sum("total").alias("t"), F.sum("n").alias("n")).collect():  # a row for each class
         mass[r["k"]] += r["t"] + 0.1 * r["n"]
     return mass
@@ -239,18 +247,19 @@ def class_mass(counts: DataFrame, own: WordTable) -> np.ndarray:
 def _trainer(held):
     def run(batches):
         model = copy.copy(held.value)  # the task's own; the broadcast one stays as it is
-        model.weights = model.weights.copy()
-        seen = np.zeros(N_ROWS, np.float32)
+        model.weights = [w.copy() for w in model.weights]
+        seen = [np.zeros(n, np.float32) for n in N_ROWS]
         for _, words in word_blocks(batches, SPACED):
             h, one, two, _ = tokens(words)
             model.update(h, one, two, seen)
-        met = seen.reshape(-1, CHUNK).any(axis=1)
-        weights = model.weights.reshape(-1, CHUNK * WIDTH)
-        for lo in range(0, len(met), 64):
-            some = lo + np.flatnonzero(met[lo : lo + 64])
-            if len(some):
+        for k in (0, 1):
+            met = seen[k].reshape(-1, CHUNK)
+            weights = model.weights[k].reshape(len(met), -1)
+            some = np.flatnonzero(met.any(axis=1))
+            for lo in range(0, len(some), 64):
+                cut = some[lo : lo + 64]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some), pa.array([x.tobytes() for x in seen.reshape(-1, CHUNK)[some]], pa.binary()), pa.array([x.astype(np.float16).tobytes() for x in weights[some]], pa.binary())],
+                    [pa.array(cut * 2 + k), pa.array([x.tobytes() for x in met[cut]], pa.binary()), pa.array([x.astype(np.float16).tobytes() for x in weights[cut]], pa.binary())],
                     ["chunk", "seen", "weights"],
                 )
 
@@ -263,7 +272,7 @@ def _average(batches):
     for b in batches:
         for k, s, w in zip(*(c.to_pylist() for c in b.columns)):
             seen = np.frombuffer(s, np.float32)
-            part = np.frombuffer(w, np.float16).reshape(CHUNK, WIDTH).astype(np.float32) * seen[:, None]
+            part = np.frombuffer(w, np.float16).reshape(CHUNK, -1).astype(np.float32) * seen[:, None]
             if k in sums:
                 sums[k][0][:] += seen
                 sums[k][1][:] += part
@@ -281,7 +290,8 @@ def train(texts: DataFrame, counts: DataFrame, own: WordTable, rounds: int = ROU
         parts = texts.select("text").mapInArrow(_trainer(held), "chunk long, seen binary, weights binary")
         rows = parts.repartition("chunk").mapInArrow(_average, "chunk long, weights binary").collect()  # N_ROWS rows of weights in all, whatever the corpus
         for r in rows:
-            model.weights[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["weights"], np.float16).reshape(CHUNK, WIDTH)
+            at, k = divmod(r["chunk"], 2)
+            model.weights[k][at * CHUNK : (at + 1) * CHUNK] = np.frombuffer(r["weights"], np.float16).reshape(CHUNK, -1)
         held.unpersist()
     return model
 
