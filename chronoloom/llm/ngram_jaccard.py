@@ -11,8 +11,9 @@ Order of shingles: frequent ones last, rarer before more frequent ones (counted
 corpus), all others by hash. The order only decides how large tiles get, never which links are found.
 
 Only components are asked for, so links that can't change them are left out. Tiles of up to ALL_PAIRS classes give all
-their partners. Of a larger one, a star of partners is verified first; if it then still holds several components, all
-its members of different components are compared by bitmaps, in squares, until a round adds nothing. No tile is capped.
+their partners. Of a larger one, a star of partners is verified first; while it then still holds several components, its
+members of different components are compared by bitmaps, in squares dealt over tasks: first the likeliest pairs that
+would join them are verified, then every pair that the bitmaps allow, until a round adds nothing. No tile is capped.
 
 Edge cases: null, empty or blank texts have an empty set, are linked with nothing and are components of their own.
 Texts with fewer words than a shingle are one shingle, the whole sequence. Repeated ids keep one output row per input
@@ -38,8 +39,8 @@ _Q = 0xD6E8FEB86659FD93
 HOT_BLOCK, HOT_FROM, HOT_MOST = 4_000_000, 16, 1_000_000
 #: Larger tiles give a star of pairs first.
 ALL_PAIRS = 48
-#: Members of a large tile are compared in squares of this side.
-SIDE = 512
+#: Members of a large tile are compared in squares: of blocks of about PART members by tasks, of SIDE by steps in a task.
+PART, SIDE = 2048, 512
 
 
 def shingle_sets(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -269,38 +270,86 @@ def _bitmap_filter(percent: int):
     return run
 
 
-def _cross_pairs(percent: int):
-    """In each tile, pairs of classes of different components whose sizes and bitmaps allow a link."""
+def _joining(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[int]:
+    """Places of the pairs of components that join what earlier ones haven't; parent is kept from call to call."""
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    kept = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[x] = y
+            kept.append(i)
+    return kept
+
+
+def _cross_pairs(percent: int, joining: bool):
+    """In each square of a tile, pairs of classes of different components whose sizes and bitmaps allow a link.
+
+    With ``joining`` the likeliest pairs that would join all components; else all pairs.
+    """
+    def square(s, p, q, n, d, c, bitmap):
+        order = np.argsort(n, kind="stable")
+        sides = [order[s[order] == p[0]]] if p[0] == q[0] else [order[s[order] == p[0]], order[s[order] == q[0]]]
+        blocks = [[x[i : i + SIDE] for i in range(0, len(x), SIDE)] for x in sides]
+        maps: dict[tuple[int, int], np.ndarray] = {}
+
+        def folded(block, w):
+            key = (int(block[0]), w)
+            if key not in maps:
+                maps[key] = np.stack([fold(_words64(bitmap[x]), w) for x in block.tolist()])
+            return maps[key]
+
+        parent: dict[int, int] = {}
+        for i, x in enumerate(blocks[0]):
+            for y in blocks[-1][i if len(sides) == 1 else 0 :]:
+                if 100 * min(n[x[-1]], n[y[-1]]) < percent * max(n[x[0]], n[y[0]]):
+                    continue  # the largest of one block is too small for all of the other
+                small, large = np.minimum(n[x][:, None], n[y][None]), np.maximum(n[x][:, None], n[y][None])
+                ok = (c[x][:, None] != c[y][None]) & (100 * small >= percent * large)
+                if x[0] == y[0]:
+                    ok &= np.arange(len(x))[:, None] < np.arange(len(y))[None]
+                if not ok.any():
+                    continue
+                w = min(len(bitmap[x[0]]), len(bitmap[y[0]])) // 8
+                mx, my = folded(x, w), folded(y, w)
+                slack = most_difference(small, large, percent)
+                for k in range(w):
+                    slack = slack - np.bitwise_count(mx[:, k][:, None] ^ my[:, k][None])
+                u, v = np.nonzero(ok & (slack >= 0))
+                if joining and len(u):
+                    best = np.argsort(-slack[u, v], kind="stable")
+                    u, v = u[best], v[best]
+                    kept = _joining(c[x[u]], c[y[v]], parent)
+                    u, v = u[kept], v[kept]
+                if len(u):
+                    yield d[x[u]], d[y[v]]
+
     def run(batches):
-        for h, n, d, comp, bitmap in _runs(batches):
-            at = _starts(h)
-            out_a, out_b = [], []
-            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
-                order = lo + np.argsort(n[lo:hi], kind="stable")
-                ns, ds, cs = n[order], d[order], comp[order]
-                for i in range(0, hi - lo, SIDE):
-                    for j in range(i, hi - lo, SIDE):
-                        if 100 * ns[min(i + SIDE, hi - lo) - 1] < percent * ns[j]:
-                            break
-                        ia, jb = np.arange(i, min(i + SIDE, hi - lo)), np.arange(j, min(j + SIDE, hi - lo))
-                        ok = (cs[ia][:, None] != cs[jb][None]) & (100 * ns[ia][:, None] >= percent * ns[jb][None]) & (ia[:, None] < jb[None])
-                        x, y = np.nonzero(ok)
-                        for p in range(0, len(x), 4096):
-                            xs, ys = ia[x[p : p + 4096]], jb[y[p : p + 4096]]
-                            w = min(len(bitmap[order[q]]) for q in (xs.min(), ys.min())) // 8
-                            bits = {q: fold(_words64(bitmap[order[q]]), w) for q in np.unique(np.concatenate([xs, ys])).tolist()}
-                            diff = np.bitwise_count(np.stack([bits[q] for q in xs.tolist()]) ^ np.stack([bits[q] for q in ys.tolist()])).sum(axis=1)
-                            good = diff <= most_difference(ns[xs], ns[ys], percent)
-                            out_a.append(ds[xs[good]])
-                            out_b.append(ds[ys[good]])
-            if out_a:
-                a, b = np.concatenate(out_a), np.concatenate(out_b)
+        for key, *columns in _runs(batches):
+            at = _starts(key)
+            found = [pair for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()) for pair in square(*(x[lo:hi] for x in columns))]
+            if found:
+                a, b = (np.concatenate(z) for z in zip(*found))
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     return run
 
 
+def _squares(tiles: DataFrame, shape: DataFrame) -> DataFrame:
+    """Members of tiles (h, n, d, c), dealt as squares of blocks of about PART members, each square to one task."""
+    size = tiles.groupBy("h").agg(F.ceil(F.count("*") / PART).cast("int").alias("m"))
+    rows = tiles.join(size, "h").withColumn("s", F.pmod(F.xxhash64("d"), F.col("m")).cast("int"))
+    rows = rows.select("h", "n", "d", "c", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
+    rows = rows.select(F.xxhash64("h", F.least("s", "x"), F.greatest("s", "x")).alias("key"), "s", F.least("s", "x").alias("p"), F.greatest("s", "x").alias("q"), "n", "d", "c")
+    return rows.join(shape, "d").select("key", "s", "p", "q", "n", "d", "c", "bitmap").repartition("key").sortWithinPartitions("key")
+
+
 def _set_of(text: str | None, k: int) -> np.ndarray:
     raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
     return shingle_sets(Words(raw, np.array([0, len(raw)]), SPACED), k)[0]
@@ -364,11 +413,25 @@ def _linked(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame
     return materialize(both.select("a", "b", "ta", "tb").sortWithinPartitions("a").mapInArrow(_verify(k, percent), "a long, b long"), "links")
 
 
+def _joined(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose classes lie in different components, ca and cb."""
+    a, b = (comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    pairs = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left")
+    return pairs.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+
+
 def _still_open(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
-    if comp is not None:
-        a, b = (comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-        pairs = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    return materialize(pairs, "open_pairs")
+    return materialize(pairs if comp is None else _joined(pairs, comp).select("a", "b"), "open_pairs")
+
+
+def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after further links; only the components that these join are looked at again."""
+    if comp is None:
+        return materialize(connected_components(links), "components")
+    open_ = _joined(links, comp).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    new = materialize(connected_components(open_), "joined")
+    named = comp.join(new.select(F.col("node").alias("component"), F.col("component").alias("later")), "component", "left").select("node", F.coalesce("later", "component").alias("component"))
+    return materialize(named.union(new.join(comp, "node", "left_anti").select("node", "component")), "components")
 
 
 def ngram_jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -385,19 +448,20 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_
     pairs = materialize(tiles.where("h is null").select("a", "b").distinct(), "pairs")
     large = tiles.where("h is not null").select("h", "n", F.col("a").alias("d"))
 
-    tested, links, comp = None, None, None
+    tested, comp, shape, joining = None, None, None, True
     while not pairs.isEmpty():
         own = _describe(texts, classes, pairs, k)
         open_pairs = _bounded(pairs, own, percent)
-        # first a forest, each class with its smallest partner; most other pairs then lie inside a component
-        for chosen in (materialize(open_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "chosen"), None):
-            if chosen is None:
-                chosen = open_pairs = _still_open(open_pairs.join(tested, ["a", "b"], "left_anti"), comp)
+        if comp is None:  # first a forest, each class with its smallest partner; most other pairs then lie inside a component
+            chosen = materialize(open_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "chosen")
             found = _linked(chosen, own, k, percent)
-            tested = chosen if tested is None else tested.union(chosen)
             if not found.isEmpty():
-                links = found if links is None else links.union(found)
-                comp = materialize(connected_components(links), "components")
+                comp = _merged(comp, found)
+            open_pairs = _still_open(open_pairs.join(chosen, ["a", "b"], "left_anti"), comp)
+        found = _linked(open_pairs, own, k, percent)
+        if not found.isEmpty():
+            comp = _merged(comp, found)
+        tested = pairs if tested is None else tested.union(pairs)
         placed = large.withColumn("c", F.col("d"))
         if comp is not None:
             placed = large.join(comp.select(F.col("node").alias("d"), "component"), "d", "left").select("h", "n", "d", F.coalesce("component", "d").alias("c"))
@@ -405,10 +469,16 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_
         mixed = materialize(placed.join(mixed, "h", "left_semi"), "mixed_tiles")
         if mixed.isEmpty():
             break
-        shape = _describe(texts, classes, None, k, nodes=mixed).select("d", "bitmap")
-        more = mixed.join(shape, "d").select("h", "n", "d", "c", "bitmap").repartition("h").sortWithinPartitions("h", "n", "d")
-        more = more.mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
-        pairs = materialize(more.join(tested, ["a", "b"], "left_anti"), "cross_pairs")
+        if shape is None:  # later rounds only have fewer members
+            shape = _describe(texts, classes, None, k, nodes=mixed).select("d", "bitmap")
+        dealt = _squares(mixed, shape)
+        while True:
+            more = materialize(dealt.mapInArrow(_cross_pairs(percent, joining), "a long, b long").distinct(), "cross_pairs")
+            pairs = materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+            if not joining or more.isEmpty() or not pairs.isEmpty():
+                break
+            joining = False  # the likeliest pairs have all been refused: now every pair
+        joining = False
 
     by_class = classes.select("d", "rep", F.col("d").alias("c"))
     if comp is not None:
