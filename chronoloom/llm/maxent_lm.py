@@ -35,9 +35,9 @@ from chronoloom.llm.words import SPACED, Words, long_lists, sum_by, word_blocks
 
 ROUNDS = 1
 #: Words whose counts are broadcast.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 19
 #: Super-classes, and classes in each; so many words have classes of their own.
-WIDTHS, OWN_CLASSES = (16, 32), 384
+WIDTHS, OWN_CLASSES = (16, 20), 240
 N_CLASSES = WIDTHS[0] * WIDTHS[1]
 FEATURES = 3
 #: Weight rows of each feature in the model of super-classes and of classes, as powers of two.
@@ -55,7 +55,7 @@ class WordTable:
     """Numbers of words by hash, in open addressing."""
 
     def __init__(self, hashes: np.ndarray, values: np.ndarray):
-        self.bits = max(10, int(2 * len(hashes)).bit_length())
+        self.bits = max(10, int(2 * len(hashes) - 1).bit_length())
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.values = np.zeros(1 << self.bits, np.int64)
         at, todo = self._slot(hashes), np.arange(len(hashes))
@@ -200,7 +200,7 @@ def _count(batches):
     def out(h, c):
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
-    for batch, words in word_blocks(batches, SPACED, block_bytes=1 << 23):
+    for batch, words in word_blocks(batches, SPACED):
         h, c = np.unique(np.append(words.hash, END), return_counts=True)
         c[h == END] += batch.num_rows - 1
         held.append((h, c))
