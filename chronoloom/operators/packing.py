@@ -1,0 +1,67 @@
+"""Greedy planners: budgeted chunks with overlap, and best-fit packing. Each works through one meeting at a time.
+
+The choice of each step depends on all before, so a meeting is one group of a Pandas function; meetings are spread over
+tasks, and only the columns that a planner needs are shuffled to it.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def chunk_plan(segments: DataFrame, budget: int, overlap: int) -> DataFrame:
+    """(meeting_id, chunk, first_idx, last_idx, context_idx, cost): whole segments up to a budget of characters.
+
+    A chunk is preceded by up to ``overlap`` segments of context, as many as fit with its first segment. A segment
+    larger than the budget is a chunk of its own.
+    """
+    def plan(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        ids, costs = rows["idx"].tolist(), rows["cost"].tolist()
+        out, at = [], 0
+        while at < len(ids):
+            context = 0
+            while context < min(overlap, at) and sum(costs[at - context - 1 : at + 1]) <= budget:
+                context += 1
+            total, end = sum(costs[at - context : at + 1]), at + 1
+            while end < len(ids) and total + costs[end] <= budget:
+                total += costs[end]
+                end += 1
+            out.append((len(out), ids[at], ids[end - 1], ids[at - context], total))
+            at = end
+        plan = pd.DataFrame(out, columns=["chunk", "first_idx", "last_idx", "context_idx", "cost"])
+        plan.insert(0, "meeting_id", rows["meeting_id"].iloc[0])
+        return plan
+
+    costs = segments.select("meeting_id", "idx", (F.length("text") + 1).cast("long").alias("cost"))
+    return costs.groupBy("meeting_id").applyInPandas(plan, "meeting_id long, chunk long, first_idx long, last_idx long, context_idx long, cost long")
+
+
+def best_fit(items: DataFrame, budget: int) -> DataFrame:
+    """(meeting_id, item, bin): items (meeting_id, item, cost), largest first, each into the fullest bin that still holds it."""
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["cost", "item"], ascending=[False, True])
+        room: list[int] = []
+        where = []
+        for cost in rows["cost"]:
+            fits = [(r, i) for i, r in enumerate(room) if r >= cost]
+            if fits:
+                i = min(fits)[1]
+            else:
+                i = len(room)
+                room.append(max(budget, cost))
+            room[i] -= cost
+            where.append(i)
+        return pd.DataFrame({"meeting_id": rows["meeting_id"], "item": rows["item"], "bin": where})
+
+    return items.select("meeting_id", "item", "cost").groupBy("meeting_id").applyInPandas(pack, "meeting_id long, item string, bin long")
+
+
+def prefix_in_budget(segments: DataFrame, budget: int) -> DataFrame:
+    """The longest beginning of each meeting whose lines fit the budget."""
+    from pyspark.sql import Window
+
+    total = F.sum(F.length("text") + 1).over(Window.partitionBy("meeting_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return segments.withColumn("used", total).where(F.col("used") <= budget)
