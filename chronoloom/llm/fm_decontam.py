@@ -280,10 +280,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, te
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text") -> DataFrame:
     """``docs`` with the merged removal spans cut out of their texts; clean texts stay as they are."""
-    found = find_contamination(docs, benchmark, size, text_col)
-    schema = docs.schema
-    at = docs.columns.index(text_col)
-    names = docs.columns
+    schema, names, at = docs.schema, docs.columns, docs.columns.index(text_col)
+    apart = docs.toDF(*[f"_{i}" for i in range(len(names))])  # no column clashes with what the search adds
+    found = find_contamination(apart, benchmark, size, f"_{at}")
 
     def run(batches):
         for batch in batches:

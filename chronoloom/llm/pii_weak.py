@@ -190,7 +190,7 @@ class SpanModel:
                     log[:, y] += np.where(spoke, np.log(np.where(agrees == bool(y), right, 1 - right)), 0)
             prob = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
         self.probability = dict(zip(patterns, prob.tolist()))
-        x = np.array([self.features(p) for p in patterns]).reshape(len(n), -1)
+        x = np.array([self.features(p) for p in patterns]).reshape(len(n), 1 + 2 * len(LABELERS) + len(KINDS) + len(ADDED))
         self.weights = _logistic(x, prob, n) if len(n) else None
         self.accepts = {p: bool(a) for p, a in zip(patterns, (x @ self.weights > 0) if len(n) else [])}
 
