@@ -27,7 +27,7 @@ from chronoloom.llm.words import PLAIN, Words, hash_of, text_buffers, text_block
 BLOCK_BYTES = 32 << 20
 SAMPLE = 8
 #: Bytes of text in a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 class WaveletMatrix:

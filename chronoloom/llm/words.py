@@ -98,7 +98,7 @@ class Words:
         return long, mix((self._total[first + n_bytes] - self._total[first]) * self._back[long] + np.uint64(n_bytes))
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", block_bytes: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", block_bytes: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Arrow batches cut into blocks of whole texts of about ``block_bytes``; a longer text is a block of its own."""
     for batch in batches:
         raw, at = text_buffers(batch.column(batch.schema.get_field_index(column)))
@@ -109,7 +109,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", block_b
             lo = hi
 
 
-def word_blocks(batches: Iterator[pa.RecordBatch], kind: np.ndarray, column: str = "text", block_bytes: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, Words]]:
+def word_blocks(batches: Iterator[pa.RecordBatch], kind: np.ndarray, column: str = "text", block_bytes: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, Words]]:
     for batch, raw, at in text_blocks(batches, column, block_bytes):
         yield batch, Words(raw, at, kind)
 
