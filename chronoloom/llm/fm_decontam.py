@@ -259,12 +259,17 @@ def _items(benchmark: DataFrame, n_blocks: int, block: int, size: int, item_col:
     return Windows(list(zip(rows.column("i").to_pylist(), cut)), size)
 
 
+def _window_blocks(benchmark: DataFrame, size: int, item_col: str = "item_id", text_col: str = "text") -> list:
+    """A broadcast of the windows of each block of items."""
+    benchmark = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("words"))
+    total = benchmark.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    n = max(1, -(-total // BLOCK_BYTES))
+    return [benchmark.sparkSession.sparkContext.broadcast(_items(benchmark, n, k, size, "item", "words")) for k in range(n)]
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, removal_spans (array of word ranges) and item_ids (items with occurring windows)."""
-    spark = docs.sparkSession
-    benchmark = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("words"))
-    total = benchmark.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    n_blocks = max(1, -(-total // BLOCK_BYTES))
+    blocks = _window_blocks(benchmark, size, item_col, item_text_col)
     out = docs.drop(*OWN)
     keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     schema = f"{keep}, n_words long, removal_spans array<struct<start: long, end: long>>, item_ids array<string>"
@@ -272,30 +277,30 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, te
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    for block in range(n_blocks):
-        windows = spark.sparkContext.broadcast(_items(benchmark, n_blocks, block, size, "item", "words"))
+    for block, windows in enumerate(blocks):
         out = out.mapInArrow(_search(windows, text_col, arrow, block == 0), schema)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text") -> DataFrame:
     """``docs`` with the merged removal spans cut out of their texts; clean texts stay as they are."""
-    schema, names, at = docs.schema, docs.columns, docs.columns.index(text_col)
-    apart = docs.toDF(*[f"_{i}" for i in range(len(names))])  # no column clashes with what the search adds
-    found = find_contamination(apart, benchmark, size, f"_{at}")
+    names, at = docs.columns, docs.columns.index(text_col)
+    blocks = _window_blocks(benchmark, size)
 
     def run(batches):
-        for batch in batches:
-            spans = batch.column(batch.schema.get_field_index("removal_spans")).to_pylist()
-            column = batch.column(at)
-            if any(spans):
+        for part, raw, ends in text_blocks(batches, text_col, SHARD_BYTES):
+            words = Words(raw, ends, PLAIN)
+            hit = np.zeros(len(words), bool)
+            for windows in blocks:
+                hit |= windows.value.occurrences(words)[0]
+            column = part.column(at)
+            if hit.any():
                 texts = column.to_pylist()
-                for i, x in enumerate(spans):
-                    if x:
-                        raw = texts[i].encode()
-                        words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), PLAIN)
-                        texts[i] = _cut(raw, [(s["start"], s["end"]) for s in x], words.start, words.end)
+                for i, spans in enumerate(_span_lists(hit, words)):
+                    if spans:
+                        own = slice(words.at[i], words.at[i + 1])
+                        texts[i] = _cut(raw[ends[i] : ends[i + 1]].tobytes(), spans, words.start[own] - ends[i], words.end[own] - ends[i])
                 column = pa.array(texts, column.type)
-            yield pa.RecordBatch.from_arrays([column if i == at else batch.column(i) for i in range(len(names))], names)
+            yield pa.RecordBatch.from_arrays([column if i == at else c for i, c in enumerate(part.columns)], names)
 
-    return found.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
