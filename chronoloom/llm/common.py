@@ -18,6 +18,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bound the bytes of an Arrow batch where the session sets no bound: 10,000 whole texts at once are too much for a task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet into the shared folder and read it back, which cuts its lineage.
 

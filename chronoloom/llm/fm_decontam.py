@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.llm.common import small_batches
 from chronoloom.llm.words import PLAIN, Words, hash_of, text_buffers, text_blocks
 
 BLOCK_BYTES = 32 << 20
@@ -269,6 +270,7 @@ def _window_blocks(benchmark: DataFrame, size: int, item_col: str = "item_id", t
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, removal_spans (array of word ranges) and item_ids (items with occurring windows)."""
+    small_batches(docs.sparkSession)
     blocks = _window_blocks(benchmark, size, item_col, item_text_col)
     out = docs.drop(*OWN)
     keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
@@ -285,6 +287,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, te
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text") -> DataFrame:
     """``docs`` with the merged removal spans cut out of their texts; clean texts stay as they are."""
     names, at = docs.columns, docs.columns.index(text_col)
+    small_batches(docs.sparkSession)
     blocks = _window_blocks(benchmark, size)
 
     def run(batches):

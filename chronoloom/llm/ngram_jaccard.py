@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import connected_components, materialize, sift
+from chronoloom.llm.common import connected_components, materialize, sift, small_batches
 from chronoloom.llm.words import SPACED, Words, long_lists, mix, sum_by, text_blocks
 
 _Q = 0xD6E8FEB86659FD93
@@ -437,6 +437,7 @@ def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
 def ngram_jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): components of documents linked at a Jaccard similarity of percent/100."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hot = spark.sparkContext.broadcast(hot_shingles(texts, k))
     sets = materialize(texts.mapInArrow(_features(k, percent, hot), "doc_id long, n long, d long, prefix array<long>"), "shingle_sets")

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.llm.common import small_batches
 from chronoloom.llm.words import text_blocks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -214,6 +215,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, r
 
 def train(texts: DataFrame, text_col: str = "text") -> SpanModel:
     """From the votes of all candidates of all texts."""
+    small_batches(texts.sparkSession)
     counts = texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_votes, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     table = {}
     for r in counts.collect():  # one row for each combination of votes

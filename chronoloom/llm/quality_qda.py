@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize
+from chronoloom.llm.common import materialize, small_batches
 from chronoloom.llm.words import SPACED, Words, sum_by, text_blocks
 
 FEATURES = (
@@ -105,6 +105,7 @@ def document_statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def describe(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``stats`` in place of the text."""
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (text_col, "stats")]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", stats array<double>"
 
