@@ -5,7 +5,7 @@ are maximum-entropy models over hashed features of the context: the word before,
 two before (a skip). Each feature and value points into a table of weight rows, one weight a class. The last factor
 depends on the class only, and its maximum-entropy solution is the smoothed share of the token in its class.
 
-Frequent words have classes of their own; the others share classes by hash. Every class has one place for words that
+The OWN_CLASSES most frequent words have classes of their own; the others share the rest of the classes by hash. Every class has one place for words that
 training did not hold, so each factor sums to 1.
 
 Training: word counts come from the whole training part. Then every task makes gradient updates over all its
@@ -37,7 +37,7 @@ ROUNDS = 1
 #: Words whose counts are broadcast.
 FREQUENT = 1 << 19
 #: Super-classes, and classes in each; so many words have classes of their own.
-WIDTHS, OWN_CLASSES = (16, 20), 240
+WIDTHS, OWN_CLASSES = (32, 32), 768
 N_CLASSES = WIDTHS[0] * WIDTHS[1]
 FEATURES = 3
 #: Weight rows of each feature in the model of super-classes and of classes, as powers of two.
@@ -45,7 +45,9 @@ ROW_BITS = (14, 15)
 N_ROWS = tuple(FEATURES << b for b in ROW_BITS)
 #: Weights stay within this range.
 LIMIT = 8.0
-BATCH, CHUNK = 32768, 128
+#: Tokens of a gradient step, few enough that its arrays stay in the processor's cache.
+BATCH = 4096
+CHUNK = 128
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 #: Hashes of the end of a text and of the place before its first word.
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -55,6 +57,7 @@ class WordTable:
     """Numbers of words by hash, in open addressing."""
 
     def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        self.n = len(hashes)
         self.bits = max(10, int(2 * len(hashes) - 1).bit_length())
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.values = np.zeros(1 << self.bits, np.int64)
@@ -109,7 +112,7 @@ def tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 def classes(h: np.ndarray, own: WordTable) -> np.ndarray:
     """Class of each token: words with classes of their own, then shared ones by hash."""
-    shared = (OWN_CLASSES + (h >> np.uint64(40)) % np.uint64(N_CLASSES - OWN_CLASSES)).astype(np.int64)
+    shared = (own.n + (h >> np.uint64(40)) % np.uint64(N_CLASSES - own.n)).astype(np.int64)
     found = own(h, -1)
     return np.where(found >= 0, found, shared)
 

@@ -154,6 +154,18 @@ def test_op3_class_factors_sum_to_one(spark):
     assert np.power(10, model.gains(h, one, two) + model.log_mass[classes(h, model.own)]).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_op3_frequent_words_have_own_classes():
+    import numpy as np
+
+    from chronoloom.llm import maxent_lm as lm
+
+    words = np.random.default_rng(5).integers(1, 2**63, 4000, dtype=np.uint64)
+    leaf = lm.classes(words, lm.WordTable(words[: lm.OWN_CLASSES], np.arange(lm.OWN_CLASSES)))
+    n = Counter(leaf.tolist())
+    assert all(n[leaf[i]] == 1 for i in range(768))  # the words ranked 241 to 768 too
+    assert len(set(leaf[768:].tolist())) == 256 and lm.WIDTHS == (32, 32)
+
+
 @pytest.mark.parametrize("name, label, least", [("op4_quality_classifier", "quality", 0.8), ("op9_toxicity", "toxic", 0.8)])
 def test_op4_op9_held_out_accuracy(spark, name, label, least):
     d = "/root/testdata/sf0.01"
