@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,10 +23,28 @@ def map_windows(windows: DataFrame, function: Callable[[Column], Column], done:
     return fresh if done is None else fresh.unionByName(done.join(rows.select("fingerprint"), "fingerprint", "left_semi").select(*fresh.columns))
 
 
-def reduce_tree(parts: DataFrame, function: Callable[[Column], Column], fan_in: int, levels: int) -> DataFrame:
-    """(meeting_id, level, node, output): each level joins up to ``fan_in`` neighbours by a function of their ordered outputs."""
-    now = parts.select("meeting_id", F.lit(0).alias("level"), F.col("window").cast("long").alias("node"), "output")
-    for level in range(1, levels + 1):
+def reduce_tree(parts: DataFrame, function: Callable[[Column], Column], fan_in: int, most_levels: int = 16) -> DataFrame:
+    """(meeting_id, level, node, output): one row a meeting. Each level joins up to ``fan_in`` neighbours by a function of their ordered outputs.
+
+    A meeting is reduced at least once and until one output is left, whatever other meetings need. Neighbours go by
+    the order of windows, so gaps in their numbers don't matter. Each level is written to the shared folder.
+    """
+    if fan_in < 2:
+        raise ValueError("the tree of reductions doesn't shrink with a fan-in below 2")
+    spark = parts.sparkSession
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='spark-chronoloom-')}/reduce-{uuid.uuid4().hex}"
+    meeting = Window.partitionBy("meeting_id")
+    node = (F.row_number().over(meeting.orderBy("window", "output")) - 1).cast("long")
+    now, done = parts.select("meeting_id", node.alias("node"), F.count("*").over(meeting).alias("n"), "output"), []
+    for level in range(1, most_levels + 1):
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("node", "output"))), lambda x: x["output"])
-        now = now.groupBy("meeting_id", F.floor(F.col("node") / fan_in).alias("parent")).agg(ordered.alias("parts")).select("meeting_id", F.lit(level).alias("level"), F.col("parent").alias("node"), function(F.col("parts")).alias("output"))
-    return now
+        # n is the number of a meeting's nodes
+        now = now.groupBy("meeting_id", F.floor(F.col("node") / fan_in).alias("parent"), F.ceil(F.col("n") / fan_in).alias("left")).agg(ordered.alias("parts"))
+        now = now.select("meeting_id", F.lit(level).alias("level"), F.col("parent").alias("node"), F.col("left").alias("n"), function(F.col("parts")).alias("output"))
+        now.write.parquet(f"{base}/{level}")
+        now = spark.read.schema(now.schema).parquet(f"{base}/{level}")
+        done.append(now.where("n = 1").drop("n"))
+        now = now.where("n > 1")
+        if now.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done)
+    raise ValueError(f"the tree of reductions has more than {most_levels} levels")

@@ -292,7 +292,7 @@ def bin_packing(spark, d):
 def reduce_tree(spark, d):
     windows = src.segments(spark, d).select("meeting_id", F.col("idx").alias("window"), "text")
     mapped = mapreduce.map_windows(windows, lambda t: F.concat(F.substring(t, 1, 10), F.lit("#"), F.length(t).cast("string")))
-    return mapreduce.reduce_tree(mapped, lambda parts: F.sha2(F.array_join(parts, "|"), 256), 2, 3)
+    return mapreduce.reduce_tree(mapped, lambda parts: F.sha2(F.array_join(parts, "|"), 256), 2)
 
 
 def stream_counts(spark, d):
