@@ -159,8 +159,12 @@ def job_join(spark, d):
     return src.jobs(spark, d).join(last, "job_id", "left").select("job_id", "audio", F.coalesce("status", F.lit("missing_result")).alias("status"), "text_chars")
 
 
-def latest_record(spark, d):
-    return sequence.latest(src.results(spark, d), ["job_id"], "line", "status", "text_chars").where("status = 'success'")
+def latest_record(spark, d, whole=False):
+    return sequence.latest(src.results(spark, d, whole), ["job_id"], "line", "status", "text_chars").where("status = 'success'")
+
+
+def latest_record_whole(spark, d):
+    return latest_record(spark, d, True)
 
 
 def identity_diff(spark, d):
@@ -208,13 +212,29 @@ def asof_next(spark, d):
     return lib.as_of(_points(spark, d), src.segments(spark, d), forward=True)
 
 
-def bigram_jaccard(spark, d):
-    b = src.table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 300).alias("a"), F.substring("text", 100, 300).alias("b"))
+def _parts(spark, d) -> DataFrame:
+    b = src.table(spark, d, "benchmark")
+    return b.select("item_id", F.substring("text", 1, 300).alias("a"), F.substring("text", 100, 300).alias("b"))
+
+
+def _edited(spark, d) -> DataFrame:
+    """Whole texts of the benchmark and copies in which every two neighbouring words have changed places."""
+    return src.table(spark, d, "benchmark").select("item_id", F.col("text").alias("a"), F.regexp_replace("text", r"(\S+)(\s+)(\S+)", "$3$2$1").alias("b"))
+
+
+def _bigram_jaccard(b: DataFrame) -> DataFrame:
     return b.select("item_id", F.round(text.jaccard(F.array_distinct(text.grams(F.col("a"))), F.array_distinct(text.grams(F.col("b")))), 6).alias("similarity"))
 
 
-def bigram_cosine(spark, d):
-    b = src.table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 300).alias("a"), F.substring("text", 100, 300).alias("b"))
+def bigram_jaccard(spark, d):
+    return _bigram_jaccard(_parts(spark, d))
+
+
+def bigram_jaccard_whole(spark, d):
+    return _bigram_jaccard(_edited(spark, d))
+
+
+def _bigram_cosine(b: DataFrame) -> DataFrame:
     one = b.select("item_id", F.explode(text.grams(F.col("a"))).alias("g"), F.lit(1).alias("x"), F.lit(0).alias("y"))
     two = b.select("item_id", F.explode(text.grams(F.col("b"))).alias("g"), F.lit(0).alias("x"), F.lit(1).alias("y"))
     n = one.union(two).groupBy("item_id", "g").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
@@ -222,6 +242,14 @@ def bigram_cosine(spark, d):
     return n.groupBy("item_id").agg(F.round(F.when(norm > 0, dot / norm).otherwise(F.lit(0.0)), 6).alias("similarity"))
 
 
+def bigram_cosine(spark, d):
+    return _bigram_cosine(_parts(spark, d))
+
+
+def bigram_cosine_whole(spark, d):
+    return _bigram_cosine(_edited(spark, d))
+
+
 def cohesion_curve(spark, d):
     return sequence.cohesion(src.segments(spark, d)).select("meeting_id", "idx", F.round("cohesion", 6).alias("cohesion"))
 
@@ -235,12 +263,20 @@ def topic_blocks(spark, d):
     return sequence.topic_blocks(src.segments(spark, d), 2500, 0.2, 400)
 
 
-def char_error_rate(spark, d):
-    b = src.table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 200).alias("r"), F.substring("text", 11, 200).alias("h"))
+def _char_error_rate(b: DataFrame) -> DataFrame:
     clean = b.select("item_id", F.regexp_replace("h", "[^ -~]", "").alias("h"), F.regexp_replace("r", "[^ -~]", "").alias("r"))
     return clean.select("item_id", F.round(text.char_error_rate(F.col("h"), F.col("r")), 6).alias("cer"))
 
 
+def char_error_rate(spark, d):
+    b = src.table(spark, d, "benchmark")
+    return _char_error_rate(b.select("item_id", F.substring("text", 1, 200).alias("r"), F.substring("text", 11, 200).alias("h")))
+
+
+def char_error_rate_whole(spark, d):
+    return _char_error_rate(_edited(spark, d).select("item_id", F.col("a").alias("r"), F.col("b").alias("h")))
+
+
 def token_estimate(spark, d):
     docs = src.table(spark, d, "documents")
     return docs.select("doc_id", scalars.token_estimate(F.coalesce("text", F.lit("")), 1.25, 3).alias("tokens"))
@@ -270,12 +306,16 @@ def leak_test(spark, d):
     return metrics.leak_test(_samples(spark, d), 10.0)
 
 
-def run_flags(spark, d):
-    r = src.results(spark, d).groupBy("job_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("bad"), F.sum("text_chars").alias("chars"))
+def run_flags(spark, d, whole=False):
+    r = src.results(spark, d, whole).groupBy("job_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("bad"), F.sum("text_chars").alias("chars"))
     flags = F.array_compact(F.array(F.when(F.col("bad") > 0, "has_failures"), F.when(F.col("bad") * 2 > F.col("n"), "mostly_failed"), F.when(F.col("chars") < 100, "little_text"), F.when(F.col("n") >= 6, "many_parts")))
     return r.select("job_id", F.array_join(flags, ",").alias("flags"))
 
 
+def run_flags_whole(spark, d):
+    return run_flags(spark, d, True)
+
+
 def chunk_plan(spark, d):
     return packing.chunk_plan(src.segments(spark, d), 2000, 1)
 
@@ -310,6 +350,8 @@ QUERIES = [
     library_facets, library_page, storage_categories, transcript_search, draft_overlay, asof_active, asof_next, bigram_jaccard, bigram_cosine,
     cohesion_curve, topic_boundaries, topic_blocks, char_error_rate, token_estimate, content_hash, tumbling_context, memory_peaks, leak_test, run_flags,
     chunk_plan, budget_prefix, bin_packing, reduce_tree, stream_counts,
+    # whole inputs, where the SQL of the query without _whole is over parts of texts or of jobs
+    bigram_jaccard_whole, bigram_cosine_whole, char_error_rate_whole, latest_record_whole, run_flags_whole,
 ]
 
 

@@ -1,11 +1,16 @@
 """Queries and operators do the whole job, beyond what fits the small tables."""
 
 import math
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.operators import mapreduce
+from chronoloom.plans import registry
+
+DIR = "/root/testdata/sf0.001"
 
 
 def tree(parts, fan_in):
@@ -33,3 +38,44 @@ def test_reduce_tree_must_shrink(spark):
         mapreduce.reduce_tree(df, join, 1)
     with pytest.raises(ValueError):
         mapreduce.reduce_tree(df, join, 2, 3)
+
+
+def grams(t):
+    t = re.sub(r"\s+", "", t)
+    return [t[i : i + 2] for i in range(max(len(t) - 1, 1))] if t else []
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_similarities_of_whole_texts(spark, tmp_path):
+    texts = {1: "one two three four " * 40 + "the tail of this text says what no other part says", 2: "a b c", 3: "lone", 4: ""}
+    spark.createDataFrame(list(texts.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {name: {r[0]: r[1] for r in registry.queries()[name](spark, str(tmp_path)).collect()} for name in ("bigram_jaccard_whole", "bigram_cosine_whole", "char_error_rate_whole")}
+    for i, a in texts.items():
+        b = re.sub(r"(\S+)(\s+)(\S+)", r"\3\2\1", a)
+        x, y = Counter(grams(a)), Counter(grams(b))
+        r, h = (re.sub("[^0-9a-z]", "", t.lower()) for t in (a, b))
+        assert got["bigram_jaccard_whole"][i] == pytest.approx(len(x.keys() & y.keys()) / len(x.keys() | y.keys()) if x else 0, abs=1e-6)
+        if x:
+            assert got["bigram_cosine_whole"][i] == pytest.approx(sum(x[g] * y[g] for g in x) / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values())), abs=1e-6)
+        assert got["char_error_rate_whole"][i] == (pytest.approx(distance(h, r) / len(r), abs=1e-6) if r else None)
+
+
+def test_all_jobs_have_results(spark):
+    items = spark.read.parquet(f"{DIR}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey").collect()
+    jobs = {}
+    for k, line, flag, chars in items:
+        jobs.setdefault(k, []).append((line, "failed" if flag == "R" else "success", chars))
+    assert any(k % 3 == 0 for k in jobs)
+    flags = {r["job_id"] for r in registry.queries()["run_flags_whole"](spark, DIR).collect()}
+    assert flags == set(jobs)
+    last = {k: max(v) for k, v in jobs.items()}
+    got = {r["job_id"]: (r["line"], r["status"], r["text_chars"]) for r in registry.queries()["latest_record_whole"](spark, DIR).collect()}
+    assert got == {k: v for k, v in last.items() if v[1] == "success"}
