@@ -2,10 +2,10 @@
 
 The content words of all templates are the index's vocabulary. Every file's words in that vocabulary are kept with
 their positions. A word's IDF is counted over all files; each template is indexed by its ANCHORS highest-IDF words. A
-file looks its words up in the postings (template, position); lookups that agree on ``position in file - position in
-template`` are intersected by that relative position, and a template is found where enough of its anchors agree and every
-word of its mandatory key phrase stands at its place. Short phrases are templates whose every word is an
-anchor and mandatory, so each of their places is found.
+file looks its words up in the postings (template, position); a lookup's start is ``position in file - position in
+template``. A template's place is the start on which every word of its mandatory key phrase agrees. It is found there if
+enough of its anchors start within SHIFT words of it, so that words put in or left out between them do no harm. Short
+phrases are templates whose every word is mandatory, so each of their places is found.
 
 Edge cases: null and empty texts have no words and no labels, score 0. Repeated rows are each answered. Empty tables
 give empty results. Extra columns are ignored.
@@ -24,21 +24,44 @@ PHRASES = {
     "apache license": "apache",
     "general public license": "gpl",
 }
-# Notices of common licences, with the key phrase that must stand in a found place.
+# Notices of common licences, short and in the published wording, with the key phrase that must stand in a found place.
 TEMPLATES = {
-    "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "permission hereby granted"),
-    "apache": ("licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache license"),
-    "gpl": ("this work is licensed under the gnu general public license version 3", "general public license"),
-    "lgpl": ("licensed under the gnu lesser general public license", "lesser general public license"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution source binary forms"),
-    "mpl": ("this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
-    "cc": ("licensed under creative commons attribution license", "creative commons"),
-    "cc-by-nc": ("licensed under cc by nc 4 0", "licensed cc nc"),
+    "mit": [
+        ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "permission hereby granted"),
+        ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "permission hereby granted"),
+    ],
+    "apache": [
+        ("licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache license"),
+        ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache license"),
+    ],
+    "gpl": [
+        ("this work is licensed under the gnu general public license version 3", "general public license"),
+        ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "general public license"),
+    ],
+    "lgpl": [
+        ("licensed under the gnu lesser general public license", "lesser general public license"),
+        ("you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lesser general public license"),
+    ],
+    "bsd": [("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution source binary forms")],
+    "mpl": [
+        ("this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
+        ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mozilla public license"),
+    ],
+    "cc": [
+        ("licensed under creative commons attribution license", "creative commons"),
+        ("this work is licensed under a creative commons attribution 4 0 international license", "creative commons"),
+    ],
+    "cc-by-nc": [
+        ("licensed under cc by nc 4 0", "licensed cc nc"),
+        ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
+    ],
 }
 # Words too common to index.
-COMMON = ("a", "all", "and", "any", "are", "be", "by", "except", "following", "for", "form", "forms", "file", "files", "in", "is", "it", "may", "met", "not", "of", "or", "subject", "that", "the", "this", "to", "under", "use", "with", "without", "you", "0", "2", "3", "4")
+COMMON = ("a", "all", "and", "any", "are", "as", "at", "be", "by", "can", "except", "following", "for", "form", "forms", "file", "files", "if", "in", "is", "it", "may", "met", "not", "of", "one", "or", "subject", "that", "the", "this", "to", "under", "use", "v", "was", "with", "without", "you", "0", "2", "3", "4")
 #: Highest-IDF words by which a template is found, and the share of them that must agree.
 ANCHORS, AGREE = 6, 0.75
+#: Words by which an anchor of a notice may stand off its place, counted from the key phrase.
+SHIFT = 8
 
 
 def _places(words: list[str], key: str) -> set[int]:
@@ -55,15 +78,16 @@ def _index(spark: SparkSession) -> DataFrame:
     rows = []
     for phrase, label in PHRASES.items():
         rows += [(f"phrase:{phrase}", label, i, w, "phrase", True) for i, w in enumerate(phrase.split())]
-    for label, (text, key) in TEMPLATES.items():
-        words = text.split()
-        must = _places(words, key)
-        rows += [(f"notice:{label}", label, i, w, "notice", i in must) for i, w in enumerate(words) if w not in COMMON]
+    for label, texts in TEMPLATES.items():
+        for n, (text, key) in enumerate(texts):
+            words = text.split()
+            must = _places(words, key)
+            rows += [(f"notice:{label}" + f":{n}" * (n > 0), label, i, w, "notice", i in must) for i, w in enumerate(words) if w not in COMMON or i in must]
     return spark.createDataFrame(rows, "template string, label string, position int, word string, kind string, must boolean")
 
 
 def vocabulary() -> list[str]:
-    words = {w for p in PHRASES for w in p.split()} | {w for text, _ in TEMPLATES.values() for w in text.split() if w not in COMMON}
+    words = {w for p in PHRASES for w in p.split()} | {w for texts in TEMPLATES.values() for text, key in texts for w in [*text.split(), *key.split()] if w not in COMMON or w in key.split()}
     return sorted(words)
 
 
@@ -97,8 +121,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     postings = postings.select("template", "label", "kind", "word", "position", "must", "anchors", "musts")
     # at most one row for each word of the templates above
     votes = hits.join(F.broadcast(postings), "word").withColumn("start", F.col("at") - F.col("position"))
-    votes = votes.groupBy("file", "template", "label", "kind", "start", "anchors", "musts").agg(F.count("*").alias("agree"), F.count(F.when(F.col("must"), 1)).alias("verified"))
-    found = votes.where((F.col("verified") == F.col("musts")) & (F.col("agree") >= AGREE * F.col("anchors"))).withColumn("share", F.col("agree") / F.col("anchors"))
+    exact = votes.where("must").groupBy("file", "template", "label", "kind", "start", "anchors", "musts").agg(F.count("*").alias("verified")).where("verified = musts").drop("verified")
+    base = exact.where("kind = 'phrase'").select("file", "template", "label", "kind", "start", F.lit(1.0).alias("share"))
+    # anchors near the place that the key phrase gives them: those of its bucket of places and of both neighbours
+    bucket = F.floor(F.col("start") / SHIFT)
+    keyed = exact.where("kind = 'notice'").select("*", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    around = votes.where("kind = 'notice'").select("file", "template", bucket.alias("bucket"), F.col("start").alias("off"), "position")
+    # a key phrase is its own anchor, so every key has rows here; files have a bounded number of words in three buckets
+    agree = keyed.join(around, ["file", "template", "bucket"]).where(F.abs(F.col("off") - F.col("start")) <= SHIFT)
+    agree = agree.groupBy("file", "template", "label", "kind", "start", "anchors").agg(F.count_distinct("position").alias("agree")).where(F.col("agree") >= AGREE * F.col("anchors"))
+    found = base.union(agree.select("file", "template", "label", "kind", "start", (F.col("agree") / F.col("anchors")).alias("share")))
     is_base = F.col("kind") == "phrase"
     by_file = found.groupBy("file").agg(
         F.count(F.when(is_base, 1)).alias("n_base"),

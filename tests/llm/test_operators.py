@@ -227,6 +227,21 @@ def test_op7_notice_without_base_phrase(spark):
     assert (got[0]["base_labels"], got[0]["labels"], got[1]["labels"]) == ("", "mit", "")
 
 
+def test_op7_published_wordings(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+        to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+        copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"""
+    cc = "This work is licensed under a Creative Commons Attribution 4.0 International License."
+    mozilla = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+    texts = {1: mit, 2: "Our text is licensed under a Creative Commons Attribution 4.0 International License", 3: cc, 4: mozilla, 5: "creative people use commons with no license or attribution", 6: cc.replace("Attribution", "Attribution-NonCommercial")}
+    texts |= {7: "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"}
+    texts |= {10 + i: mit.replace("(the", "x " * i + "(the") for i in range(4)} | {20: "permission is hereby granted to speak in this hall", 21: "creative commons are a nice idea"}
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert all("mit" in got[i] for i in (1, 10, 11, 12, 13))
+    assert "cc" in got[2] and "cc" in got[3] and "mpl" in got[4] and "cc-by-nc" in got[6] and "lgpl" in got[7]
+    assert got[5] == got[20] == got[21] == {""} and "cc-by-nc" not in got[3]
+
+
 def test_op8_targets(spark, docs):
     got = rows(Q["op8_source_mixing"](spark, DIR))
     sizes = Counter()
