@@ -7,7 +7,7 @@ probabilities that it will meet.
 
 Training uses at most SAMPLE labelled rows outside the held-out fold (those with the smallest hash of their id), a bound
 that is broadcast safely; TERMS terms (words, or their first bytes) are selected by the log odds of how many documents
-hold them more than once. Every whole document is scored.
+hold them, or hold them more than once, whichever tells toxic documents better. Every whole document is scored.
 
 Edge cases: null, empty and blank texts have no terms. A document labelled several times counts by its mean label, 0.5
 upwards as toxic; null labels don't count. Without toxic and other labels every score is 0. Repeated rows are each
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import materialize
-from chronoloom.llm.words import PLAIN, Words, long_lists, word_blocks
+from chronoloom.llm.words import PLAIN, Words, word_blocks
 
 SAMPLE, TERMS, FOLDS, SEVERE_TERMS = 12_000, 384, 5, 8
 #: Beginnings of words, in bytes, that are terms too.
@@ -41,18 +41,21 @@ def _terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(texts)
 
 
-def _repeated(batches):
-    """(toxic, terms) of sampled texts: the terms that a text holds more than once."""
+def _documents(batches):
+    """(term, repeated, n1, n): how many toxic and how many sampled texts hold a term, and hold it more than once, by block."""
     for batch, words in word_blocks(batches, PLAIN):
+        toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         h, text = _terms(words)
         order = np.lexsort((h, text))
         h, text = h[order], text[order]
-        again = np.flatnonzero((h[1:] == h[:-1]) & (text[1:] == text[:-1]))
-        fresh = np.ones(len(again), bool)
-        fresh[1:] = (h[again[1:]] != h[again[:-1]]) | (text[again[1:]] != text[again[:-1]])
-        again = again[fresh]
-        at = np.searchsorted(text[again], np.arange(batch.num_rows + 1))
-        yield pa.RecordBatch.from_arrays([batch.column(1), long_lists(h[again], at)], ["toxic", "terms"])
+        first = np.ones(len(h), bool)
+        first[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+        first = np.flatnonzero(first)
+        times = np.diff(np.append(first, len(h)))
+        for repeated, at in ((False, first), (True, first[times > 1])):
+            term, which = np.unique(h[at], return_inverse=True)
+            n, n1 = np.bincount(which, minlength=len(term)), np.bincount(which, weights=toxic[text[at]], minlength=len(term)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(np.full(len(term), repeated)), pa.array(n1), pa.array(n)], ["term", "repeated", "n1", "n"])
 
 
 def ridge_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 15) -> np.ndarray:
@@ -126,14 +129,14 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 1, fol
         known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held_out_fold)
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic", "low_quality")  # SAMPLE rows at most
-    rows = materialize(texts.mapInArrow(_repeated, "toxic int, terms array<long>"), "sample_terms")
-    total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    texts = materialize(texts, "sample")
+    total, toxic = texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < total:
         return None
-    df = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("n1"), F.count("*").alias("n"))
+    df = texts.mapInArrow(_documents, "term long, repeated boolean, n1 long, n long").groupBy("term", "repeated").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
     n1, n0 = F.col("n1") + 0.5, F.col("n") - F.col("n1") + 0.5
     odds = F.log(n1 / (F.lit(toxic + 1.0) - n1)) - F.log(n0 / (F.lit(total - toxic + 1.0) - n0))
-    picked = df.select("term", (odds / F.sqrt(1 / n1 + 1 / n0)).alias("z")).orderBy(F.desc("z"), "term").limit(TERMS).collect()
+    picked = df.select("term", (odds / F.sqrt(1 / n1 + 1 / n0)).alias("z")).groupBy("term").agg(F.max("z").alias("z")).orderBy(F.desc("z"), "term").limit(TERMS).collect()
     if not picked:
         return None
     terms = _Selected(np.array([r["term"] for r in picked], np.int64).view(np.uint64))

@@ -174,6 +174,23 @@ def test_op4_op9_held_out_accuracy(spark, name, label, least):
     assert n > 50 and right / n >= least
 
 
+def test_op9_words_that_stand_once(spark):
+    from chronoloom.llm.toxicity_chain import score_toxicity
+
+    texts = [(i, f"text {i} says that n{i % 7} are " + ("scum" if i % 4 == 0 else "kind") + " in few words") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in texts], "doc_id long, quality int, toxic int")
+    got = [r for r in score_toxicity(spark.createDataFrame(texts, "doc_id long, text string"), labels).collect() if r["held_out"]]
+    assert sum(r["doc_id"] % 4 == 0 for r in got) > 10
+    assert all(r["predicted"] == (r["doc_id"] % 4 == 0) for r in got)
+
+
+def test_op9_recall_and_precision(spark):
+    d = "/root/testdata/sf0.01"
+    got = Q["op9_toxicity"](spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    toxic, found, right = got.agg(F.sum("toxic"), F.sum("predicted"), F.count_if((F.col("predicted") == 1) & (F.col("toxic") == 1))).first()
+    assert right / toxic >= 0.6 and right / found >= 0.9
+
+
 def test_op5_brute_force(spark):
     vectors = rows(spark.read.parquet(f"{DIR}/embeddings.parquet"))
     good = [(r["vec_id"], r["embedding"]) for r in vectors if r["embedding"] and any(r["embedding"]) and all(x is not None and math.isfinite(x) for x in r["embedding"])]
