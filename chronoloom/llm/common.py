@@ -1,38 +1,122 @@
-"""Helpers that several corpus operators share: durable tables, column checks, connected components."""
+"""Helpers that several corpus operators share: durable tables, bit-table filters, connected components."""
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of written tables, for ``discard``.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: The innermost list takes the folders that ``scratch_tables`` removes.
+_SCOPES: list[list[str]] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Parts over which the links of one node are dealt.
+SALTS = 32
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only on a local master that sets none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-chronoloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
-    """Bound the bytes of an Arrow batch where the session sets no bound: 10,000 whole texts at once are too much for a task."""
+    """Bound the bytes of an Arrow batch where the session sets no bound: 10,000 whole texts at once are too much for a task.
+
+    The bound stays in the session, since results are computed when the caller asks for them.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, size)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the tables written inside go as soon as each table stands; the session is left as it was."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose first argument is a frame, run with ``tidy_shuffles``."""
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        with tidy_shuffles(df.sparkSession):
+            return operator(df, *args, **kwargs)
+
+    return run
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a frame as Parquet into the shared folder and read it back, which cuts its lineage.
 
-    Losing an executor then costs only the tasks it held: earlier steps are read from the table.
+    Losing an executor then costs only the tasks it held: earlier steps are read from the table. With ``keep`` the table
+    outlives the ``scratch_tables`` around it.
     """
-    path = f"{shared_dir(df.sparkSession)}/chronoloom-{uuid.uuid4().hex}/{name}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/chronoloom-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
+    return out
+
+
+def _remove(spark: SparkSession, table: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(table).getParent()
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Remove tables of ``materialize`` that nothing reads any more; other frames are left alone."""
+    for df in frames:
+        path = _WRITTEN.pop(df, None) if df is not None else None
+        if path:
+            _remove(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end, but those written with ``keep``."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _remove(spark, path)
+
+
+def _bit_table(ids: DataFrame, key: str, bits: int) -> DataFrame:
+    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    table = ids.select(slot.alias("_slot")).select((F.col("_slot") / 64).cast("long").alias("_word"), F.expr("shiftleft(1L, cast(_slot % 64 as int))").alias("_bit"))
+    return table.groupBy("_word").agg(F.expr("bit_or(_bit)").alias("_bits"))
+
+
+def _marked(df: DataFrame, ids: DataFrame, key: str, bits: int) -> DataFrame:
+    marked = df.withColumn("_slot", F.pmod(F.xxhash64(F.col(key)), F.lit(bits))).withColumn("_word", (F.col("_slot") / 64).cast("long"))
+    marked = marked.join(F.broadcast(_bit_table(ids, key, bits)), "_word", "left")
+    return marked.withColumn("_maybe", F.expr("coalesce((shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1L) = 1L, false)"))
 
 
 def sift(df: DataFrame, ids: DataFrame, key: str, bits: int = 1 << 25) -> DataFrame:
@@ -41,34 +125,48 @@ def sift(df: DataFrame, ids: DataFrame, key: str, bits: int = 1 << 25) -> DataFr
     The table has bits/64 rows at most (8 MB), so it is broadcast whatever the number of ids; with very many ids it
     only lets more rows through.
     """
-    def slot(c):
-        return F.pmod(F.xxhash64(F.col(c)), F.lit(bits))
+    return _marked(df, ids, key, bits).where("_maybe").select(*df.columns)
 
-    table = ids.select(slot(key).alias("_slot")).select((F.col("_slot") / 64).cast("long").alias("_word"), F.expr("shiftleft(1L, cast(_slot % 64 as int))").alias("_bit"))
-    table = table.groupBy("_word").agg(F.expr("bit_or(_bit)").alias("_bits"))
-    marked = df.withColumn("_slot", slot(key)).withColumn("_word", (F.col("_slot") / 64).cast("long"))
-    found = marked.join(F.broadcast(table), "_word").where(F.expr("(shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1L) = 1L"))
-    return found.select(*df.columns)
+
+def without(df: DataFrame, ids: DataFrame, key: str, bits: int = 1 << 25) -> DataFrame:
+    """Rows of ``df`` whose key isn't among ``ids``: only rows that the bit table can't clear are shuffled to an exact join."""
+    marked = _marked(df, ids, key, bits)
+    clear, maybe = marked.where("not _maybe").select(*df.columns), marked.where("_maybe").select(*df.columns)
+    return clear.union(maybe.join(ids.select(key), key, "left_anti").select(*df.columns))
+
+
+def _lowest(links: DataFrame) -> DataFrame:
+    """(u, s, m) for links (u, v, s): the smallest v of each u, for each part s of its links.
+
+    Minima go over the parts first, so no task holds all links of a node.
+    """
+    part = links.groupBy("u", "s").agg(F.min("v").alias("m"))
+    low = part.groupBy("u").agg(F.min("m").alias("m"))
+    return part.select("u", "s").join(low, "u")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of an undirected edge list; the component is its smallest node.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014) written as aggregations and joins, so a
-    node with very many links is never gathered in one place. Each round is written to the shared folder. The
-    number of rounds grows with the logarithm of the size of a component.
+    Alternating large-star and small-star rounds (Kiveris et al., 2014) written as aggregations and joins. The links of a
+    node are dealt over SALTS parts by their other end, so a node with very many links is never gathered in one
+    place. Each round is written to the shared folder and the one before removed. The number of rounds grows with the logarithm
+    of the size of a component.
     """
-    def tidy(df: DataFrame) -> DataFrame:
+    def tidied(df: DataFrame) -> DataFrame:
         return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    now = materialize(tidy(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))), "edges")
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("s")
+    now = materialize(tidied(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))), "edges")
     while True:
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = tidy(both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(tidy(small.union(low.select("a", F.col("m").alias("b")))), "edges")
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a")).select("u", "v", salt)
+        low = _lowest(both).select("u", "s", F.least("u", "m").alias("m"))
+        large = tidied(both.join(low, ["u", "s"]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
+        up = large.select(F.col("a").alias("u"), F.col("b").alias("v")).select("u", "v", salt)
+        low = _lowest(up)
+        small = up.join(low, ["u", "s"]).select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        before, now = now, materialize(tidied(small), "edges")
+        discard(before)
         total, distinct = now.agg(F.count("*"), F.countDistinct("a")).first()
         if total == distinct and now.join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break  # every node hangs on one that hangs on none

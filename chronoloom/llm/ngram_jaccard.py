@@ -8,17 +8,19 @@ which two bitmaps differ are a lower bound of the symmetric difference and so bo
 passes is verified by intersecting the sorted shingle arrays of the texts.
 
 Order of shingles: frequent ones last, rarer before more frequent ones (counted per block of documents over the whole
-corpus), all others by hash. The order only decides how large tiles get, never which links are found.
+corpus), all others by hash. The order only decides how large tiles get, never which links are found. A tile whose
+shingle is in more than TILE texts is dealt as parts by class, so no task sorts a whole hot tile.
 
 Only components are asked for, so links that can't change them are left out. Tiles of up to ALL_PAIRS classes give all
-their partners. Of a larger one, a star of partners is verified first; while it then still holds several components, its
+their partners. Of a larger one, or a part of one, a star of partners is verified first; while it then still holds several components, its
 members of different components are compared by bitmaps, in squares dealt over tasks: first the likeliest pairs that
 would join them are verified, then every pair that the bitmaps allow, until a round adds nothing. No tile is capped.
 
 Edge cases: null, empty or blank texts have an empty set, are linked with nothing and are components of their own.
 Texts with fewer words than a shingle are one shingle, the whole sequence. Repeated ids keep one output row per input
-row. Empty tables give empty results. Other columns of the input are ignored, whatever they are called.
-Shingles are compared by 64-bit hashes.
+row; null ids are answered with null. Empty tables give empty results. Other columns of the input are ignored, whatever they are called. Very long texts
+are read whole, as a block of their own. Texts need not be valid UTF-8. Ties of size go by the digest of the set.
+Shingles are compared by 64-bit hashes, sets by two digests of 64 bits: sets that share one digest but not the other get another name.
 """
 
 from __future__ import annotations
@@ -30,17 +32,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import connected_components, materialize, sift, small_batches
+from chronoloom.llm.common import connected_components, discard, materialize, sift, small_batches, tidy, without
 from chronoloom.llm.words import SPACED, Words, long_lists, mix, sum_by, text_blocks
 
 _Q = 0xD6E8FEB86659FD93
+NO_ID = 2**63 - 1
 #: A block of so many shingles reports those that several of its texts hold; HOT_FROM such texts in all make a shingle
 #: frequent, and at most HOT_MOST shingles are put last (12 bytes each).
 HOT_BLOCK, HOT_FROM, HOT_MOST = 4_000_000, 16, 1_000_000
+#: A tile whose shingle is in more texts is dealt as parts of about so many classes.
+TILE = 16_384
 #: Larger tiles give a star of pairs first.
 ALL_PAIRS = 48
 #: Members of a large tile are compared in squares: of blocks of about PART members by tasks, of SIDE by steps in a task.
 PART, SIDE = 2048, 512
+#: Parts over which the members of a tile are dealt when its components are looked up.
+SALTS = 32
 
 
 def shingle_sets(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +80,12 @@ def shingle_sets(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return flat[new], np.concatenate([[0], np.cumsum(sizes)])
 
 
-def set_digests(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return mix(sum_by(mix(sets ^ np.uint64(0xA5A5A5A55A5A5A5A)), at) + np.diff(at).astype(np.uint64))
+def set_digests(sets: np.ndarray, at: np.ndarray, salt: int = 0xA5A5A5A55A5A5A5A) -> np.ndarray:
+    return mix(sum_by(mix(sets ^ np.uint64(salt)), at) + np.diff(at).astype(np.uint64))
+
+
+def second_digests(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return set_digests(sets, at, 0x3C6EF372FE94F82B)
 
 
 def bitmap_bits(n: int) -> int:
@@ -131,33 +142,36 @@ def _hot_counter(k: int):
     return run
 
 
-def hot_shingles(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, rank by count) of frequent shingles, HOT_MOST at most: they only steer the order of prefixes."""
+def hot_shingles(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes, rank by count, parts of the tile) of frequent shingles, HOT_MOST at most: they only steer the order of prefixes and how tiles are dealt."""
     counts = texts.select("text").mapInArrow(_hot_counter(k), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT_FROM)
-    rows = counts.orderBy(F.desc("c"), "h").limit(HOT_MOST).select("h").toArrow()
+    rows = counts.orderBy(F.desc("c"), "h").limit(HOT_MOST).toArrow()
     if not rows.num_rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    h = rows.column("h").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int32)
+    h, c = (rows.column(x).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for x in ("h", "c"))
+    h = h.view(np.uint64)
     order = np.argsort(h)
-    return h[order], (len(h) - 1 - order).astype(np.uint32)
+    return h[order], (len(h) - 1 - order).astype(np.uint32), -(-c[order] // TILE).astype(np.int32)
 
 
 class _Hot:
-    """Rank + 1 of a frequent shingle, 0 of any other; with a bit table in front."""
+    """(rank + 1 of a frequent shingle, 0 of any other; parts of its tile); with a bit table in front."""
 
-    def __init__(self, values: np.ndarray, rank: np.ndarray):
-        self.values, self.rank = values, rank
+    def __init__(self, values: np.ndarray, rank: np.ndarray, parts: np.ndarray):
+        self.values, self.rank, self.parts = values, rank, parts
         self.table = np.zeros(1 << 22, dtype=bool)
         self.table[(values >> np.uint64(42)).astype(np.int64)] = True
 
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h), dtype=np.uint32)
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rank, parts = np.zeros(len(h), dtype=np.uint32), np.ones(len(h), dtype=np.int32)
         if len(self.values):
             maybe = np.flatnonzero(self.table[(h >> np.uint64(42)).astype(np.int64)])
             at = np.searchsorted(self.values, h[maybe])
             at[at == len(self.values)] = 0
-            out[maybe] = np.where(self.values[at] == h[maybe], self.rank[at] + 1, 0)
-        return out
+            same = self.values[at] == h[maybe]
+            rank[maybe] = np.where(same, self.rank[at] + 1, 0)
+            parts[maybe] = np.where(same, self.parts[at], 1)
+        return rank, parts
 
 
 def _features(k: int, percent: int, hot_values):
@@ -165,44 +179,56 @@ def _features(k: int, percent: int, hot_values):
         hot, seen = _Hot(*hot_values.value), set()
         for batch, sets, off in _blocks(batches, k):
             n = np.diff(off)
-            digest = set_digests(sets, off)
+            digest, second = set_digests(sets, off), second_digests(sets, off)
             prefix_n = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-            rank = hot(sets)
+            rank, parts = hot(sets)
             some_hot = sum_by((rank > 0).astype(np.int64), off) > 0
-            prefixes = []
-            for i, d in enumerate(digest.tolist()):
+            prefixes, part, dealt = [], [], []
+            for i, d in enumerate(zip(digest.tolist(), second.tolist())):
                 if n[i] == 0 or d in seen:  # a class is described once per task
                     prefix_n[i] = 0
                     continue
                 seen.add(d)
-                s = sets[off[i] : off[i + 1]]
+                own = slice(off[i], off[i + 1])
                 if some_hot[i]:
-                    s = s[np.argsort(rank[off[i] : off[i + 1]], kind="stable")]
-                prefixes.append(s[: prefix_n[i]])
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
+                    own = off[i] + np.argsort(rank[own], kind="stable")[: prefix_n[i]]
+                else:
+                    own = slice(off[i], off[i] + prefix_n[i])
+                prefixes.append(sets[own])
+                part.append(parts[own])
+                dealt.append(np.full(prefix_n[i], d[1], np.uint64))
+            flat, part, dealt = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((prefixes, np.uint64), (part, np.int32), (dealt, np.uint64)))
+            part = np.where(part > 1, (dealt % part.astype(np.uint64)).astype(np.int32), np.int32(-1))
+            at = np.concatenate([[0], np.cumsum(prefix_n)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n.astype(np.int64)), pa.array(digest.view(np.int64)), long_lists(flat, np.concatenate([[0], np.cumsum(prefix_n)]))],
-                ["doc_id", "n", "d", "prefix"],
+                [batch.column(0), pa.array(n.astype(np.int64)), pa.array(digest.view(np.int64)), pa.array(second.view(np.int64)), long_lists(flat, at), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(part))],
+                ["doc_id", "n", "d", "d2", "prefix", "part"],
             )
 
     return run
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Whole runs of equal ``h`` from sorted batches, many runs at a time: arrays of the columns."""
-    held: list[np.ndarray] | None = None
+    """Whole runs of equal values of the first column from sorted batches, many runs at a time: arrays of the columns."""
+    held: list[list[np.ndarray]] = []  # pieces of the run that is still open
+
+    def joined(pieces: list[list[np.ndarray]]) -> list[np.ndarray]:
+        return [np.concatenate(c) for c in zip(*pieces)] if len(pieces) > 1 else pieces[0]
+
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if held is not None:
-            cols = [np.concatenate([a, b]) for a, b in zip(held, cols)]
         if not len(cols[0]):
             continue
+        if held and cols[0][0] != held[-1][0][-1]:
+            yield joined(held)
+            held = []
         cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
         if cut:
-            yield [c[:cut] for c in cols]
-        held = [c[cut:] for c in cols]
-    if held is not None and len(held[0]):
-        yield held
+            yield joined([*held, [c[:cut] for c in cols]])
+            held = []
+        held.append([c[cut:] for c in cols])
+    if held:
+        yield joined(held)
 
 
 def _starts(x: np.ndarray) -> np.ndarray:
@@ -210,7 +236,7 @@ def _starts(x: np.ndarray) -> np.ndarray:
 
 
 def _tile_pairs(percent: int):
-    """From tiles (h, n, d), sorted: pairs of partners (h null), and the rows of tiles that gave a star only."""
+    """From tiles or their parts (h, part, n, d), sorted: pairs of partners (h null), and the rows of tiles that gave a star only."""
     def run(batches):
         held: list[np.ndarray] = []
 
@@ -219,14 +245,14 @@ def _tile_pairs(percent: int):
             none = pa.nulls(p.shape[1], pa.int64())
             return pa.RecordBatch.from_arrays([none, none, pa.array(p[0]), pa.array(p[1])], ["h", "n", "a", "b"])
 
-        for h, n, d in _runs(batches):
+        for h, part, n, d in _runs(batches):
             new = np.ones(len(h), dtype=bool)
             new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (n[1:] != n[:-1])
-            h, n, d = h[new], n[new], d[new]
-            at = _starts(h)
+            h, part, n, d = h[new], part[new], n[new], d[new]
+            at = np.concatenate([[0], np.flatnonzero((h[1:] != h[:-1]) | (part[1:] != part[:-1])) + 1, [len(h)]])
             size = np.diff(at)
             end = np.repeat(at[1:], size)
-            small = np.repeat(size <= ALL_PAIRS, size)
+            small = np.repeat((size <= ALL_PAIRS) & (part[at[:-1]] < 0), size)
             first = np.repeat(at[:-1], size)
             i = np.arange(len(h))
             found = [(first[~small], i[~small]), (np.maximum(i - 1, first)[~small], i[~small])]
@@ -254,17 +280,27 @@ def _words64(bitmap: bytes) -> np.ndarray:
     return np.frombuffer(bitmap, dtype=np.uint64)
 
 
+def _bitmap_rows(column: pa.Array, at: np.ndarray, width: int) -> np.ndarray:
+    """The bitmaps at these places, all of ``width`` words of 64 bits, as rows."""
+    _, offsets, data = column.buffers()
+    first = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column)].astype(np.int64)[at]
+    raw = np.frombuffer(data, np.uint8)
+    return raw[first[:, None] + np.arange(8 * width)].view(np.uint64)
+
+
 def _bitmap_filter(percent: int):
     def run(batches):
         for batch in batches:
             a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
-            ba, bb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            width = [np.array([bitmap_bits(x) // 64 for x in n.tolist()], np.int64) for n in (na, nb)]
             most = most_difference(na, nb, percent)
             keep = np.zeros(len(a), dtype=bool)
-            for i in range(len(a)):
-                x, y = _words64(ba[i]), _words64(bb[i])
-                w = min(len(x), len(y))
-                keep[i] = int(np.bitwise_count(fold(x, w) ^ fold(y, w)).sum()) <= most[i]
+            for wa, wb in np.unique(np.stack(width), axis=1).T.tolist():
+                at = np.flatnonzero((width[0] == wa) & (width[1] == wb))
+                for lo in range(0, len(at), 4096):
+                    cut = at[lo : lo + 4096]
+                    x, y = (fold(_bitmap_rows(batch.column(i), cut, w), min(wa, wb)) for i, w in ((4, wa), (5, wb)))
+                    keep[cut] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most[cut]
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
     return run
@@ -341,36 +377,42 @@ def _cross_pairs(percent: int, joining: bool):
     return run
 
 
+def _salted(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """Members of tiles (h, .., d) joined with a table that has one row a tile; a tile's members are dealt over SALTS parts."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int")).join(few.select("*", salts), ["h", "salt"]).drop("salt")
+
+
 def _squares(tiles: DataFrame, shape: DataFrame) -> DataFrame:
     """Members of tiles (h, n, d, c), dealt as squares of blocks of about PART members, each square to one task."""
     size = tiles.groupBy("h").agg(F.ceil(F.count("*") / PART).cast("int").alias("m"))
-    rows = tiles.join(size, "h").withColumn("s", F.pmod(F.xxhash64("d"), F.col("m")).cast("int"))
+    rows = _salted(tiles, size).withColumn("s", F.pmod(F.xxhash64("d", F.lit(1)), F.col("m")).cast("int"))
     rows = rows.select("h", "n", "d", "c", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
     rows = rows.select(F.xxhash64("h", F.least("s", "x"), F.greatest("s", "x")).alias("key"), "s", F.least("s", "x").alias("p"), F.greatest("s", "x").alias("q"), "n", "d", "c")
     return rows.join(shape, "d").select("key", "s", "p", "q", "n", "d", "c", "bitmap").repartition("key").sortWithinPartitions("key")
 
 
-def _set_of(text: str | None, k: int) -> np.ndarray:
-    raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
-    return shingle_sets(Words(raw, np.array([0, len(raw)]), SPACED), k)[0]
-
-
 def _verify(k: int, percent: int):
-    """Pairs sorted by a: intersect the sorted shingle arrays of both texts."""
+    """Rows (a, b, text) sorted by a, then b: first the text of a (b null), then its partners', which are intersected with it."""
     def run(batches):
-        last, mine = None, None
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ta, tb = batch.column(2), batch.column(3)
-            keep = []
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, mine = a[i], _set_of(ta[i].as_py(), k)
-                other = _set_of(tb[i].as_py(), k)
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(mine) + len(other) - both))
-            keep = np.array(keep, dtype=bool)
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[keep]), pa.array(batch.column(1).to_numpy()[keep])], ["a", "b"])
+        mine, held = np.zeros(0, np.uint64), None
+        for batch, sets, off in _blocks(batches, k):
+            a, own = batch.column(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            b = batch.column(1).fill_null(0).to_numpy()
+            n, keep = np.diff(off), np.zeros(len(a), dtype=bool)
+            at = _starts(a)
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+                if own[lo]:
+                    mine, held, lo = sets[off[lo] : off[lo + 1]], a[lo], lo + 1
+                if lo == hi or held != a[lo] or not len(mine):
+                    continue
+                theirs = sets[off[lo] : off[hi]]
+                place = np.searchsorted(mine, theirs)
+                place[place == len(mine)] = 0
+                both = sum_by((mine[place] == theirs).astype(np.int64), off[lo : hi + 1] - off[lo])
+                keep[lo:hi] = 100 * both >= percent * (len(mine) + n[lo:hi] - both)
+            mine = mine.copy()  # the block's own array may go
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
     return run
 
@@ -379,22 +421,26 @@ def _describe(texts: DataFrame, classes: DataFrame, pairs: DataFrame | None, k:
     """(d, n, text, bitmap) of the classes that pairs or nodes name, from one of the documents of each."""
     if nodes is None:
         nodes = pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d")))
-    reps = materialize(classes.join(nodes.select("d").distinct(), "d", "left_semi").select(F.col("rep").alias("doc_id"), "d", "n"), "reps")
+    reps = materialize(classes.join(nodes.select("d").distinct(), "d", "left_semi").select(F.col("rep").alias("doc_id"), "d", "d1", "d2", "n"), "reps")
 
     def run(batches):
-        for batch in batches:
-            maps = [parity_bitmap(_set_of(t, k)) for t in batch.column(2).to_pylist()]
+        for batch, sets, off in _blocks(batches, k):
+            maps = [parity_bitmap(sets[lo:hi]) for lo, hi in zip(off[:-1].tolist(), off[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maps, pa.binary())], ["d", "n", "text", "bitmap"])
 
     # rows that repeat an id may differ in text: the one whose set is the class's stays
-    own = sift(texts, reps, "doc_id").join(reps, "doc_id").select("d", "n", "text").mapInArrow(_own_text(k), "d long, n long, text string")
-    return materialize(own.dropDuplicates(["d"]).mapInArrow(run, "d long, n long, text string, bitmap binary"), "described")
+    own = sift(texts, reps, "doc_id").join(reps, "doc_id").select("d", "d1", "d2", "n", "text").mapInArrow(_own_text(k), "d long, n long, text string")
+    out = materialize(own.dropDuplicates(["d"]).mapInArrow(run, "d long, n long, text string, bitmap binary"), "described")
+    discard(reps)
+    return out
 
 
 def _own_text(k: int):
     def run(batches):
         for batch, sets, off in _blocks(batches, k):
-            yield batch.filter(pa.array(set_digests(sets, off).view(np.int64) == batch.column(0).to_numpy()))
+            first, second = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            same = (set_digests(sets, off).view(np.int64) == first) & (second_digests(sets, off).view(np.int64) == second)
+            yield batch.select(["d", "n", "text"]).filter(pa.array(same))
 
     return run
 
@@ -407,10 +453,14 @@ def _bounded(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose similarity is reached; texts travel, not shingle arrays, as they are smaller."""
+    """The pairs (a, b) of classes whose similarity is reached; texts travel, not shingle arrays, as they are smaller.
+
+    The text of a travels once, before those of its partners.
+    """
     text = own.select("d", "text")
-    both = pairs.join(text.select(F.col("d").alias("b"), F.col("text").alias("tb")), "b").join(text.select(F.col("d").alias("a"), F.col("text").alias("ta")), "a")
-    return materialize(both.select("a", "b", "ta", "tb").sortWithinPartitions("a").mapInArrow(_verify(k, percent), "a long, b long"), "links")
+    theirs = pairs.join(text.withColumnRenamed("d", "b"), "b").select("a", "b", "text")
+    mine = pairs.select(F.col("a").alias("d")).distinct().join(text, "d").select(F.col("d").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    return materialize(mine.union(theirs).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b")).mapInArrow(_verify(k, percent), "a long, b long"), "links")
 
 
 def _joined(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -431,73 +481,110 @@ def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     open_ = _joined(links, comp).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     new = materialize(connected_components(open_), "joined")
     named = comp.join(new.select(F.col("node").alias("component"), F.col("component").alias("later")), "component", "left").select("node", F.coalesce("later", "component").alias("component"))
-    return materialize(named.union(new.join(comp, "node", "left_anti").select("node", "component")), "components")
+    out = materialize(named.union(new.join(comp, "node", "left_anti").select("node", "component")), "components")
+    discard(new, comp)
+    return out
+
+
+def _named(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Sets whose names ``d`` are those of one class each, and the names that were given anew, if any.
+
+    Different sets that share the first digest differ in the second one and take their name from it.
+    """
+    twice = materialize(sets.where("n > 0").groupBy("d").agg(F.min("d2").alias("lo"), F.max("d2").alias("hi")).where("lo <> hi").select("d"), "collisions")
+    if twice.isEmpty():
+        discard(twice)
+        return sets.withColumn("d1", F.col("d")), None
+    mark = twice.withColumn("twice", F.lit(True))
+    return sets.join(mark, "d", "left").withColumn("d1", F.col("d")).withColumn("d", F.when(F.col("twice"), F.xxhash64("d", "d2")).otherwise(F.col("d"))).drop("twice"), twice
 
 
+@tidy
 def ngram_jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): components of documents linked at a Jaccard similarity of percent/100."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # a null id stands behind all others until the end
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hot = spark.sparkContext.broadcast(hot_shingles(texts, k))
-    sets = materialize(texts.mapInArrow(_features(k, percent, hot), "doc_id long, n long, d long, prefix array<long>"), "shingle_sets")
-    classes = materialize(sets.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
+    read = materialize(texts.mapInArrow(_features(k, percent, hot), "doc_id long, n long, d long, d2 long, prefix array<long>, part array<int>"), "shingle_sets")
+    sets, renamed = _named(read)
+    classes = materialize(sets.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("d1").alias("d1"), F.min("d2").alias("d2")), "classes")
+    members = materialize(sets.select("doc_id", "n", "d"), "members")
 
-    rows = sets.where("n > 0").select(F.explode("prefix").alias("h"), "n", "d")
-    tiles = rows.repartition("h").sortWithinPartitions("h", "n", "d").mapInArrow(_tile_pairs(percent), "h long, n long, a long, b long")
+    rows = sets.where("n > 0").select("n", "d", F.explode(F.arrays_zip("prefix", "part")).alias("x")).select(F.col("x.prefix").alias("h"), "x.part", "n", "d")
+    tiles = rows.repartition("h", "part").sortWithinPartitions("h", "part", "n", "d").mapInArrow(_tile_pairs(percent), "h long, n long, a long, b long")
     tiles = materialize(tiles, "tiles")
+    discard(read, renamed)
     pairs = materialize(tiles.where("h is null").select("a", "b").distinct(), "pairs")
-    large = tiles.where("h is not null").select("h", "n", F.col("a").alias("d"))
+    large = materialize(tiles.where("h is not null").select("h", "n", F.col("a").alias("d")), "large_tiles")
+    discard(tiles)
 
     tested, comp, shape, joining = None, None, None, True
     while not pairs.isEmpty():
         own = _describe(texts, classes, pairs, k)
-        open_pairs = _bounded(pairs, own, percent)
+        open_pairs = bounded = _bounded(pairs, own, percent)
         if comp is None:  # first a forest, each class with its smallest partner; most other pairs then lie inside a component
             chosen = materialize(open_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "chosen")
             found = _linked(chosen, own, k, percent)
             if not found.isEmpty():
                 comp = _merged(comp, found)
             open_pairs = _still_open(open_pairs.join(chosen, ["a", "b"], "left_anti"), comp)
+            discard(found, bounded, chosen)
         found = _linked(open_pairs, own, k, percent)
         if not found.isEmpty():
             comp = _merged(comp, found)
+        discard(found, open_pairs, own)
         tested = pairs if tested is None else tested.union(pairs)
         placed = large.withColumn("c", F.col("d"))
         if comp is not None:
             placed = large.join(comp.select(F.col("node").alias("d"), "component"), "d", "left").select("h", "n", "d", F.coalesce("component", "d").alias("c"))
         mixed = placed.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("h")
-        mixed = materialize(placed.join(mixed, "h", "left_semi"), "mixed_tiles")
+        mixed = materialize(_salted(placed, mixed), "mixed_tiles")
         if mixed.isEmpty():
             break
         if shape is None:  # later rounds only have fewer members
-            shape = _describe(texts, classes, None, k, nodes=mixed).select("d", "bitmap")
+            described = _describe(texts, classes, None, k, nodes=mixed)
+            shape = materialize(described.select("d", "bitmap"), "shapes")
+            discard(described)
         dealt = _squares(mixed, shape)
         while True:
             more = materialize(dealt.mapInArrow(_cross_pairs(percent, joining), "a long, b long").distinct(), "cross_pairs")
             pairs = materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-            if not joining or more.isEmpty() or not pairs.isEmpty():
+            none = more.isEmpty()
+            discard(more)
+            if not joining or none or not pairs.isEmpty():
                 break
             joining = False  # the likeliest pairs have all been refused: now every pair
         joining = False
+        discard(mixed)
+    discard(large, shape)
 
     by_class = classes.select("d", "rep", F.col("d").alias("c"))
     if comp is not None:
         by_class = classes.join(comp.withColumnRenamed("node", "d"), "d", "left").select("d", "rep", F.coalesce("component", "d").alias("c"))
     smallest = by_class.groupBy("c").agg(F.min("rep").alias("component_id"))
     by_class = by_class.join(smallest, "c").select("d", "component_id")
-    return sets.select("doc_id", "n", "d").join(by_class, "d", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    out = members.join(by_class, "d", "left")
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NO_ID)).alias("component_id"))
 
 
+@tidy
 def one_of_each_group(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component, the row of the smallest id (null last).
 
-    Rows are told apart by a number of their own, so repeated and null ids are documents like any other.
+    Rows are told apart by a number of their own, so repeated and null ids are documents like any other; of rows that tie
+    on the id, the one of the smallest number stays. Texts without words, empty and null ones are kept. All columns are kept. Empty tables
+    give empty results. Documents that stay aren't shuffled, as long as a bit table can tell that they do.
     """
     row = "_row"
     while row in docs.columns:
         row += "_"
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    groups = ngram_jaccard_components(numbered.select(row, text_col), percent, k, row, text_col).select(F.col("doc_id").alias(row), "component_id")
-    first = numbered.select(row, F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).join(groups, row).groupBy("component_id").agg(F.min(F.struct("none", "id", row)).alias("kept"))
-    return numbered.join(first.select(F.col("kept")[row].alias(row)), row, "left_semi").drop(row)
+    groups = materialize(ngram_jaccard_components(numbered.select(row, text_col), percent, k, row, text_col).select(F.col("doc_id").alias(row), "component_id"), "groups")
+    named = numbered.select(row, F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).join(groups, row)
+    first = named.groupBy("component_id").agg(F.min(F.struct("none", "id", row)).alias("kept")).select(F.col("kept")[row].alias(row))
+    gone = materialize(groups.join(first, row, "left_anti").select(row), "gone")
+    discard(groups)
+    return without(numbered, gone, row).drop(row)

@@ -129,3 +129,17 @@ def hash_of(words: list[bytes]) -> np.ndarray:
 
 def long_lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def raw_strings(column: pa.Array) -> list[bytes | None]:
+    """The bytes of a string column, whether they are valid UTF-8 or not; null stays None."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    wide = pa.types.is_large_string(column.type)
+    return pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(column), column.buffers(), column.null_count, column.offset).to_pylist()
+
+
+def string_column(values: list[bytes | None], kind: pa.DataType) -> pa.Array:
+    """A string column of given bytes, which aren't checked."""
+    held = pa.array(values, pa.large_binary() if pa.types.is_large_string(kind) else pa.binary())
+    return pa.Array.from_buffers(kind, len(held), held.buffers(), held.null_count, held.offset)
