@@ -1,15 +1,22 @@
 """Mixing sources to target weights. DataFrame functions only.
 
-Every document gets a hash-random key; documents are range-sorted by it within their source, prefix sums of their
+Every document gets a hash-random key of its id and text. Within a source, documents stand in the order of their keys; prefix sums of their
 sizes place them, and each source is cut at its exact budget: whole epochs first, then the beginning of one more, whose
-last document gives only the words that are still missing. Prefix sums are taken in two steps, over key ranges and
-then inside each range, so a source that holds a third of all rows is spread over many tasks.
+last document gives only the words that are still missing.
+
+Prefix sums are distributed over key ranges: FANOUT ranges of a source are summed up by an aggregation, a window over these few
+sums finds the range that holds the cut, and that range alone is divided again, until no range with a cut holds more than
+SORTED rows; only those rows are sorted. All other documents are told whole or left out by comparing their key with
+their source's cut, so texts and whole documents are never shuffled, however large a source is. Rows that tie on the key are ordered by a number that each
+row gets when the keys are written, and divided further by a hash of it.
 
 Targets fill up by weight: a source stops at MOST_EPOCHS times its size and what it leaves is shared again by weight,
 which is solved in closed form over the table of sources.
 
 Edge cases: a null text has no words; a null source is a source, last in order; sources without words have target 0.
-Repeated rows are documents of their own. Ties of the key are ordered by id and size. Empty tables give empty results.
+Repeated rows are documents of their own; which of several equal rows is cut is left open, the rows returned are the
+same. Null ids are ids like others. Very long texts count whole. Empty tables give empty results. Extra columns are ignored,
+or kept by ``mix_documents`` but for those of its own.
 """
 
 from __future__ import annotations
@@ -17,10 +24,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.llm.common import discard, materialize, tidy
+
 MOST_EPOCHS = 3
-#: Key ranges of a source. Prefix sums over them are taken by one task a source.
-RANGES = 4096
+#: Ranges into which a range of keys is divided, as a power of two; rows of a range that one task sorts.
+FANOUT_BITS, SORTED = 12, 20_000
+#: Bits of the key, and of the hash of a row's number that follows it.
+KEY_BITS, ROW_BITS = 60, 60
 SPACE = " \t\n\x0b\x0c\r"
+OWN = ("size", "source_size", "target", "taken")
+WHERE = ["no_source", "source_key"]
 
 
 def count_words(text: Column) -> Column:
@@ -29,6 +42,12 @@ def count_words(text: Column) -> Column:
     return F.when(F.length(trimmed) > 0, F.size(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))).otherwise(0).cast("long")
 
 
+def hash_key(id_: Column, text: Column, seed: int) -> Column:
+    """A random number of KEY_BITS bits that follows from id and text: the beginning of their MD5 digest."""
+    told = F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(told.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
 def fill_targets(sources: DataFrame, weights: int = 3) -> DataFrame:
     """(no_source, source_key, source_size, target) of sources (no_source, source_key, source_size); weights 1..weights repeat in order."""
     rank = F.row_number().over(Window.orderBy("no_source", "source_key"))
@@ -49,33 +68,65 @@ def fill_targets(sources: DataFrame, weights: int = 3) -> DataFrame:
     return table.select("no_source", "source_key", "source_size", target.cast("double").alias("target"))
 
 
+def _digit(level: int) -> Column:
+    """The part of a row's order (key, then hash of its number) that divides a range of this level."""
+    per_key = KEY_BITS // FANOUT_BITS
+    column, level, bits = ("_key", level, KEY_BITS) if level < per_key else ("_salt", level - per_key, ROW_BITS)
+    return F.shiftright(F.col(column), bits - FANOUT_BITS * (level + 1)).bitwiseAND((1 << FANOUT_BITS) - 1)
+
+
+def _cuts(sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """(no_source, source_key, cut_key, cut_salt, cut_row, cut_rest) of sources: the row in which the last epoch ends, and the words it gives."""
+    open_ = sources.select(*WHERE, (F.col("rest")).alias("left"), F.array().cast("array<long>").alias("path"))
+    found, rows = None, sized.select(*WHERE, "_key", "_salt", "_row", "size")
+    for level in range((KEY_BITS + ROW_BITS) // FANOUT_BITS + 1):
+        inside = rows.join(open_, WHERE)
+        for k in range(level):
+            inside = inside.where(_digit(k) == F.col("path")[k])
+        last = level * FANOUT_BITS >= KEY_BITS + ROW_BITS
+        digit = F.lit(0).cast("long") if last else _digit(level)
+        ranges = inside.groupBy(*WHERE, "left", "path", digit.alias("digit")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        upto = F.sum("words").over(Window.partitionBy(*WHERE).orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        hit = ranges.withColumn("upto", upto).where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") <= F.col("left")))
+        hit = materialize(hit.select(*WHERE, (F.col("left") - F.col("upto") + F.col("words")).alias("left"), F.concat("path", F.array("digit")).alias("path"), "n"), "cut_ranges")
+        few = hit.where("true" if last else f"n <= {SORTED}").drop("n")
+        order = Window.partitionBy(*WHERE).orderBy("_key", "_salt", "_row").rowsBetween(Window.unboundedPreceding, -1)
+        mine = rows.join(few, WHERE)
+        for k in range(level + (not last)):
+            mine = mine.where(_digit(k) == F.col("path")[k])
+        mine = mine.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+        at = (F.col("before") <= F.col("left")) & (F.col("before") + F.col("size") > F.col("left"))
+        mine = mine.where(at).select(*WHERE, F.col("_key").alias("cut_key"), F.col("_salt").alias("cut_salt"), F.col("_row").alias("cut_row"), (F.col("left") - F.col("before")).alias("cut_rest"))
+        found = mine if found is None else found.union(mine)
+        if last or hit.where(f"n > {SORTED}").isEmpty():
+            return found
+        open_ = hit.where(f"n > {SORTED}").drop("n")
+
+
+@tidy
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document, after the columns named in ``keep``."""
-    from chronoloom.llm.common import materialize
-
     text, source = F.col(text_col), F.col(source_col)
-    sized = docs.select(*keep, F.col(id_col).alias("_id"), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("source_key"), count_words(text).alias("size"))
-    sized = sized.withColumn("_key", F.xxhash64(F.lit(seed), F.col("_id"))).withColumn("_range", F.shiftrightunsigned("_key", 64 - (RANGES.bit_length() - 1)))
-    sized = materialize(sized, "sized")
-    where = ["no_source", "source_key"]
-    ranges = sized.groupBy(*where, "_range").agg(F.sum("size").alias("_words"))
-    sources = fill_targets(ranges.groupBy(*where).agg(F.sum("_words").alias("source_size")))
-    unsigned = F.col("_range")
-    before = Window.partitionBy(*where).orderBy(unsigned).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
-    ranges = ranges.join(sources, where).select(*where, "_range", "_before", "source_size", "target")
-    inside = Window.partitionBy(*where, "_range").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ranges, [*where, "_range"])
+    sized = docs.select(
+        *keep, F.col(id_col).alias("_id"), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("source_key"), count_words(text).alias("size"),
+        hash_key(F.col(id_col), text, seed).alias("_key"), F.monotonically_increasing_id().alias("_row"),
+    )
+    # the row's number is fixed by the written table
+    sized = materialize(sized.withColumn("_salt", F.shiftrightunsigned(F.xxhash64("_row"), 64 - ROW_BITS)), "sized")
+    sources = fill_targets(sized.groupBy(*WHERE).agg(F.sum("size").alias("source_size")))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - epochs * F.col("source_size") - F.col("_before") - F.col("_inside")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    return placed.select(*keep, F.col("_id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"))
+    sources = materialize(sources.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size")), "sources")
+    cuts = materialize(_cuts(sized, sources.where("rest > 0")), "cuts")
+    placed = sized.join(materialize(sources.join(cuts, WHERE, "left"), "source_cuts"), WHERE)
+    discard(cuts, sources)
+    mine, cut = F.struct("_key", "_salt", "_row"), F.struct(F.col("cut_key").alias("_key"), F.col("cut_salt").alias("_salt"), F.col("cut_row").alias("_row"))
+    more = F.when(F.col("cut_key").isNull() | (mine > cut), F.lit(0).cast("long")).when(mine < cut, F.col("size")).otherwise(F.col("cut_rest"))
+    return placed.select(*keep, F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.col("epochs") * F.col("size") + more).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
     """All rows of ``docs`` with size, source_size, target and taken; columns of these names are replaced."""
-    own = ("size", "source_size", "target", "taken")
-    held = F.struct(*[F.col(c) for c in docs.columns if c not in own]).alias("_held")
+    held = F.struct(*[F.col(c) for c in docs.columns if c not in OWN]).alias("_held")
     mixed = mix_sources(docs.select(held, F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source")), "_doc", "_text", "_source", seed, ("_held",))
-    return mixed.select("_held.*", *own)
+    return mixed.select("_held.*", *OWN)
