@@ -3,15 +3,15 @@
 A log holds events of conversations: ``delta`` appends text to a message, ``edit`` replaces what the message says so
 far and ``regenerate`` starts it again (its text, if any, is the new beginning). Events are partitioned by conversation,
 sorted by sequence and folded: the text of a message is the concatenation of its events from the last ``edit`` or
-``regenerate`` on. A table of finished turns is a log of one ``delta`` a turn.
+``regenerate`` on. Its role is the last one that any of its events names. A table of finished turns is a log of one ``delta`` a turn.
 
 Template: each turn is ``<turn:ROLE>TEXT</turn>`` and a line feed. Inside texts and roles a backslash is written ``\\s``,
 ``<`` is written ``\\l`` and, in roles, ``>`` is written ``\\g``; so no text can hold a control string, and the writing is
 undone exactly. The loss mask is the range of code points of every assistant text.
 
-Edge cases: a null text, role or kind is an empty text, an empty role, a delta. Ties in the sequence are ordered by role
+Edge cases: a null text or kind is an empty text, a delta; a null or empty role names none, and a message without any has an empty one. Ties in the sequence are ordered by role
 and text. Conversations with a null id form one conversation of their own. Empty tables give empty results. Other
-columns are ignored. A conversation is one output row, so its own length is the only thing that is gathered.
+columns are ignored, very long texts kept whole. Turns that repeat a number, or a whole row, are messages of their own. A conversation is one output row, so its own length is the only thing that is gathered.
 """
 
 from __future__ import annotations
@@ -39,15 +39,17 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("\\g"), F.lit(">")))
 
 
-def fold_events(log: DataFrame) -> DataFrame:
-    """(conv_id, message, role, text) of a log (conv_id, message, seq, kind, role, text)."""
-    log = log.select("conv_id", "message", "seq", F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+def fold_events(log: DataFrame, *first: str) -> DataFrame:
+    """(conv_id, message, role, text) of a log (conv_id, message, seq, kind, role, text), and the smallest values of further columns."""
+    own = [F.col(c).alias(f"_{c}") for c in first]
+    log = log.select(*own, "conv_id", "message", "seq", F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     message = Window.partitionBy("conv_id", "message")
     fresh = F.when(F.col("kind") != "delta", F.struct("seq", "role", "text"))
-    log = log.withColumn("_from", F.max(fresh).over(message)).where("_from is null or struct(seq, role, text) >= _from")
+    named = F.when(F.col("role") != "", F.struct("seq", "role", "text"))
+    log = log.withColumns({"_from": F.max(fresh).over(message), "_named": F.max(named).over(message)}).where("_from is null or struct(seq, role, text) >= _from")
     parts = F.array_sort(F.collect_list(F.struct("seq", "role", "text")))
-    return log.groupBy("conv_id", "message").agg(parts.alias("parts")).select(
-        "conv_id", "message", F.element_at("parts", -1)["role"].alias("role"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text")
+    return log.groupBy("conv_id", "message").agg(parts.alias("parts"), F.max("_named.role").alias("role"), *[F.min(f"_{c}").alias(c) for c in first]).select(
+        *first, "conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text")
     )
 
 
@@ -75,14 +77,12 @@ def render(turns: DataFrame) -> DataFrame:
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss_spans) of a table of turns (conv_id, turn, role, text), each turn one event."""
-    # turns that repeat a number are messages of their own, so the message's key is the whole event
-    log = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("key"))
-    log = log.groupBy("conv_id", "key").agg(F.count("*").alias("times"))
-    log = log.select("conv_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("time"), "key")
-    log = log.select("conv_id", F.struct("key", "time").alias("message"), F.col("key.turn").alias("seq"), F.lit("delta").alias("kind"), "key.role", "key.text")
-    folded = fold_events(log)
-    return render(folded.select("conv_id", F.col("message.key.turn").alias("turn"), "role", "text"))
+    """(conv_id, formatted, loss_spans) of a table of turns (conv_id, turn, role, text), each turn one event.
+
+    Conversations are partitioned once, by their id; folding, ordering and rendering then need no further shuffle.
+    """
+    log = conversations.select("conv_id", F.monotonically_increasing_id().alias("message"), F.col("turn").alias("seq"), F.lit("delta").alias("kind"), "role", "text")
+    return render(fold_events(log.repartition("conv_id"), "seq").withColumnRenamed("seq", "turn"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
