@@ -6,13 +6,15 @@ remaining sequence stand a suffix array (prefix doubling), its Burrows-Wheeler t
 block ranks, and sampled suffix positions. All windows are searched backwards at once; occurrences are located by
 walking to sampled positions; overlapping ones merge into removal spans of words.
 
-The benchmark is the query set: it is cut into blocks of at most BLOCK_BYTES of text by a hash of the item and each
-block is broadcast and searched in all documents, so no broadcast grows with the benchmark. Documents aren't shuffled.
+The benchmark is the query set. Its items are cut into overlapping pieces of PIECE words, and these by a hash into blocks of about
+BLOCK_BYTES of text, so neither one long item nor items without an id make a block large. One block at a time is
+broadcast and searched in all documents, and its hits are written; only rows with hits are merged afterwards. With one
+block, the usual case, documents aren't shuffled. A shard searches only windows all of whose words it holds.
 
 Edge cases: null, empty or blank texts have no words, no hits and no items; items without words are never hit; an item
 shorter than a window is one window. Repeated rows are each answered; repeated items count by their distinct ids, a
-null item id counts as an item written as an empty string. Empty tables give empty results or no hits. Extra columns
-of documents are kept by ``decontaminate`` where they don't clash with its own.
+null item id counts as an item written as an empty string. Very long texts are a shard of their own; texts need not be valid UTF-8.
+Empty tables give empty results or no hits. Extra columns of documents are kept where they don't clash with the operator's own.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import small_batches
-from chronoloom.llm.words import PLAIN, Words, hash_of, text_buffers, text_blocks
+from chronoloom.llm.common import discard, materialize, small_batches, tidy
+from chronoloom.llm.words import PLAIN, Words, raw_strings, string_column, text_buffers, text_blocks
 
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text in a block, and words in a piece of an item.
+BLOCK_BYTES, PIECE = 4 << 20, 20_000
 SAMPLE = 8
 #: Bytes of text in a shard.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 4 << 20
 
 
 class WaveletMatrix:
@@ -138,25 +141,31 @@ class FMIndex:
 
 
 class Windows:
-    """The distinct windows of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], size: int):
-        vocabulary = sorted({w for _, words in items for w in words})
-        hashes = hash_of(vocabulary)
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        number = {w: int(i) + 1 for w, i in zip((vocabulary[j] for j in order), range(len(order)))}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, words in items:
-            ids = [number[w] for w in words]
-            for i in range(max(1, len(ids) - size + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + size]), set()).add(item)
-        by_length: dict[int, list] = {}
-        for window, owners in found.items():
-            by_length.setdefault(len(window), []).append((window, sorted(owners)))
-        self.groups = [(n, np.array([w for w, _ in group], np.int64), [o for _, o in group]) for n, group in sorted(by_length.items())]
-        self.shortest = min(by_length, default=0)
-        self.n_symbols = len(vocabulary)
+    """The distinct windows of a block of pieces of benchmark items, as arrays."""
+
+    def __init__(self, items: list[str], words: Words, size: int):
+        self.items, owner = np.unique(np.array(items, dtype=object).astype(str), return_inverse=True) if items else (np.zeros(0, str), np.zeros(0, np.int64))
+        self.hashes, ids = np.unique(words.hash, return_inverse=True)
+        ids = (ids + 1).astype(np.int32)
+        n = np.diff(words.at)
+        #: (length, distinct windows as rows of word numbers, where the owners of each begin, owners)
+        self.groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for length in np.unique(np.minimum(n[n > 0], size)).tolist():
+            mine = np.flatnonzero(n >= size) if length == size else np.flatnonzero(n == length)
+            count = n[mine] - length + 1
+            first = np.repeat(words.at[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            rows, own = ids[first[:, None] + np.arange(length)], np.repeat(owner[mine], count)
+            order = np.lexsort((own, *rows.T[::-1]))
+            rows, own = rows[order], own[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+            again = np.zeros(len(rows), bool)  # an item that repeats a window owns it once
+            again[1:] = ~new[1:] & (own[1:] == own[:-1])
+            which = np.cumsum(new) - 1
+            at = np.searchsorted(which[~again], np.arange(new.sum() + 1))
+            self.groups.append((length, rows[new], at, own[~again]))
+        self.shortest = min((g[0] for g in self.groups), default=0)
+        self.n_symbols = len(self.hashes)
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
@@ -168,13 +177,11 @@ class Windows:
         out[maybe] = np.where(self.hashes[at] == h[maybe], at + 1, 0) if len(self.hashes) else 0
         return out
 
-    def occurrences(self, words: Words) -> tuple[np.ndarray, list[set[str]]]:
-        """(hit flag of each word, items of each text)."""
-        hit = np.zeros(len(words) + 1, np.int64)
-        n_texts = len(words.at) - 1
-        items: list[set[str]] = [set() for _ in range(n_texts)]
+    def occurrences(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hit flag of each word, then texts and items that occur in them, each pair once)."""
+        hit, none = np.zeros(len(words) + 1, np.int64), np.zeros(0, np.int64)
         if not self.groups or not len(words):
-            return hit[:-1].astype(bool), items
+            return hit[:-1].astype(bool), none, none
         ids = self.number(words.hash)
         inside = ids > 0
         begin = np.zeros(len(ids) + 1, bool)
@@ -185,125 +192,209 @@ class Windows:
         long = b - a >= self.shortest
         a, b = a[long], b[long]
         if not len(a):
-            return hit[:-1].astype(bool), items
+            return hit[:-1].astype(bool), none, none
         n = b - a + 1  # each run and a separator after it
         start = np.cumsum(n) - n
         where = np.repeat(a - start, n) + np.arange(n.sum())
         seq = ids[np.minimum(where, len(ids) - 1)]
         seq[start + n - 1] = 0
-        index = FMIndex(seq, self.n_symbols)
-        for length, patterns, owners in self.groups:
-            lo, hi = index.search(patterns)
+        present = np.zeros(self.n_symbols + 1, bool)
+        present[seq] = True
+        index, pairs = None, [np.zeros((2, 0), np.int64)]
+        for length, patterns, owner_at, owners in self.groups:
+            likely = np.flatnonzero(present[patterns].all(axis=1))
+            if not len(likely):
+                continue
+            index = index or FMIndex(seq, self.n_symbols)
+            lo, hi = index.search(patterns[likely])
             count = hi - lo
             rows = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
             at = where[index.locate(rows)]
             np.add.at(hit, at, 1)
             np.add.at(hit, at + length, -1)
             text = np.searchsorted(words.at, at, side="right") - 1
-            pattern = np.repeat(np.arange(len(patterns)), count)
-            for t, p in np.unique(np.stack([text, pattern]), axis=1).T.tolist():
-                items[t].update(owners[p])
-        return np.cumsum(hit[:-1]) > 0, items
-
-
-def _span_lists(hit: np.ndarray, words: Words) -> list[list[tuple[int, int]]]:
-    """Maximal runs of hit words of each text, counted from its first word."""
-    out = []
-    for lo, hi in zip(words.at[:-1].tolist(), words.at[1:].tolist()):
-        mine = np.concatenate([[False], hit[lo:hi], [False]])
-        change = np.flatnonzero(mine[1:] != mine[:-1]).reshape(-1, 2)
-        out.append([tuple(x) for x in change.tolist()])
-    return out
-
-
-def _cut(raw: bytes, spans: list[tuple[int, int]], first: np.ndarray, last: np.ndarray) -> str:
+            found = np.unique(np.stack([text, np.repeat(likely, count)]), axis=1)
+            times = owner_at[found[1] + 1] - owner_at[found[1]]
+            owned = np.repeat(owner_at[found[1]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            pairs.append(np.stack([np.repeat(found[0], times), owners[owned]]))
+        text, item = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        return np.cumsum(hit[:-1]) > 0, text, item
+
+
+def _spans(hit: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of maximal runs of hit words, counted from a text's first word."""
+    begin = np.zeros(len(hit) + 1, bool)
+    begin[words.at] = True
+    before = np.concatenate([[False], hit[:-1]]) if len(hit) else hit
+    after = np.concatenate([hit[1:], [False]]) if len(hit) else hit
+    first, last = np.flatnonzero(hit & (~before | begin[:-1])), np.flatnonzero(hit & (~after | begin[1:]))
+    text = np.searchsorted(words.at, first, side="right") - 1
+    return text, first - words.at[text], last + 1 - words.at[text]
+
+
+def _cut(raw: bytes, spans: list[tuple[int, int]], first: np.ndarray, last: np.ndarray) -> bytes:
     """The text without its removal spans, from the first byte of a span's first word to the last of its last."""
     parts, at = [], 0
     for a, b in spans:
         parts.append(raw[at : first[a]])
         at = last[b - 1]
-    return b"".join([*parts, raw[at:]]).decode("utf-8", "replace")
+    return b"".join([*parts, raw[at:]])
 
 
 OWN = ("n_words", "removal_spans", "item_ids")
+_SPANS = "array<struct<start: long, end: long>>"
+_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _lists(of: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """Values listed by the sorted numbers 0..n-1 that they belong to."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), values)
+
 
+def _found(windows: Windows, words: Words) -> tuple[pa.Array, pa.Array]:
+    """(removal spans, items) of each text of a shard."""
+    n, (hit, text, item) = len(words.at) - 1, windows.occurrences(words)
+    of, start, end = _spans(hit, words)
+    spans = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"])
+    return _lists(of, n, spans), _lists(text, n, pa.array(windows.items[item].tolist(), pa.string()))
 
-def _search(windows, text_col: str, schema: pa.Schema, is_first: bool):
+
+def _search(windows, keep: list[str], text_col: str):
+    """Each row with n_words, spans and items of one block of windows."""
     def run(batches):
-        search = windows.value
         for part, raw, at in text_blocks(batches, text_col, SHARD_BYTES):
             words = Words(raw, at, PLAIN)
-            hit, items = search.occurrences(words)
-            if not is_first:
-                old = part.column(part.schema.get_field_index("removal_spans")).to_pylist()
-                for i, spans in enumerate(old):
-                    for s in spans:
-                        hit[words.at[i] + s["start"] : words.at[i] + s["end"]] = True
-                for mine, before in zip(items, part.column(part.schema.get_field_index("item_ids")).to_pylist()):
-                    mine.update(before)
-            own = {
-                "n_words": pa.array(np.diff(words.at), pa.int64()),
-                "removal_spans": pa.array([[{"start": a, "end": b} for a, b in x] for x in _span_lists(hit, words)], schema.field("removal_spans").type),
-                "item_ids": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-            }
-            yield pa.RecordBatch.from_arrays([own[f.name] if f.name in own else part.column(part.schema.get_field_index(f.name)) for f in schema], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), pa.array(np.diff(words.at), pa.int64()), *_found(windows.value, words)], [*keep, *OWN])
 
     return run
 
 
-def _items(benchmark: DataFrame, n_blocks: int, block: int, size: int, item_col: str, text_col: str) -> Windows:
-    rows = benchmark.where(F.pmod(F.xxhash64(item_col), F.lit(n_blocks)) == block).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).toArrow()
-    raw, at = text_buffers(rows.column("t")) if rows.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    words = Words(raw, at, PLAIN)
-    low = words.low.tobytes()
-    cut = [[low[words.start[j] : words.end[j]] for j in range(words.at[i], words.at[i + 1])] for i in range(rows.num_rows)]
-    return Windows(list(zip(rows.column("i").to_pylist(), cut)), size)
+def _pieces(item_col: str, text_col: str, size: int):
+    """(item, block, words) of items cut into pieces that share size - 1 words, words joined by line feeds."""
+    def run(batches):
+        for batch, raw, at in text_blocks(batches, text_col, 1 << 19):
+            words, items = Words(raw, at, PLAIN), batch.column(batch.schema.get_field_index(item_col)).to_pylist()
+            low, out = words.low.tobytes(), ([], [])
+            for i, (lo, hi) in enumerate(zip(words.at[:-1].tolist(), words.at[1:].tolist())):
+                for first in range(lo, max(lo + 1, hi - size + 1), PIECE) if lo < hi else ():
+                    last = min(hi, first + PIECE + size - 1)
+                    out[0].append(items[i])
+                    out[1].append(b"\n".join(low[a:b] for a, b in zip(words.start[first:last].tolist(), words.end[first:last].tolist())))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), string_column(out[1], pa.string())], ["item", "words"])
 
+    return run
 
-def _window_blocks(benchmark: DataFrame, size: int, item_col: str = "item_id", text_col: str = "text") -> list:
-    """A broadcast of the windows of each block of items."""
-    benchmark = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("words"))
-    total = benchmark.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_BYTES))
-    return [benchmark.sparkSession.sparkContext.broadcast(_items(benchmark, n, k, size, "item", "words")) for k in range(n)]
 
+def _blocks(benchmark: DataFrame, size: int, item_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(the pieces of the benchmark's items with the number of their block, number of blocks)."""
+    pieces = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("words"))
+    pieces = materialize(pieces.mapInArrow(_pieces("item", "words", size), "item string, words string"), "pieces")
+    n = max(1, -(-(pieces.agg(F.sum(F.octet_length("words") + 64)).first()[0] or 0) // BLOCK_BYTES))
+    return pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(n))), n
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, removal_spans (array of word ranges) and item_ids (items with occurring windows)."""
-    small_batches(docs.sparkSession)
-    blocks = _window_blocks(benchmark, size, item_col, item_text_col)
-    out = docs.drop(*OWN)
-    keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    schema = f"{keep}, n_words long, removal_spans array<struct<start: long, end: long>>, item_ids array<string>"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-    for block, windows in enumerate(blocks):
-        out = out.mapInArrow(_search(windows, text_col, arrow, block == 0), schema)
-    return out
+def _windows(pieces: DataFrame, block: int, size: int) -> Windows:
+    """Of one block, which is BLOCK_BYTES of text about."""
+    rows = pieces.where(F.col("block") == block).select("item", "words").toArrow()
+    raw, at = text_buffers(rows.column("words")) if rows.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    return Windows(rows.column("item").to_pylist(), Words(raw, at, PLAIN), size)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text") -> DataFrame:
-    """``docs`` with the merged removal spans cut out of their texts; clean texts stay as they are."""
-    names, at = docs.columns, docs.columns.index(text_col)
-    small_batches(docs.sparkSession)
-    blocks = _window_blocks(benchmark, size)
+def _ddl(df: DataFrame, keep: list[str]) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+
+
+def _merge(docs: DataFrame, row: str, pieces: DataFrame, n_blocks: int, size: int, text_col: str) -> DataFrame:
+    """(row, removal_spans, item_ids) of the rows that any block hits: each block's hits are a table, then hits of a row are merged."""
+    parts = None
+    for block in range(n_blocks):
+        windows = docs.sparkSession.sparkContext.broadcast(_windows(pieces, block, size))
+        found = docs.select(row, text_col).mapInArrow(_search(windows, [row], text_col), f"`{row}` long, n_words long, removal_spans {_SPANS}, item_ids array<string>")
+        part = materialize(found.where(F.size("removal_spans") > 0).drop("n_words"), "hits")
+        windows.destroy()
+        parts = part if parts is None else parts.unionByName(part)
+    all_spans = F.array_sort(F.flatten(F.collect_list("removal_spans")))
+    start = F.array().cast(_SPANS)
+
+    def joined(acc, s):
+        last = F.element_at(acc, -1)
+        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"]), longer).otherwise(F.concat(acc, F.array(s)))
+
+    rows = parts.groupBy(row).agg(all_spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    return rows.select(row, F.aggregate("spans", start, joined).alias("removal_spans"), "item_ids")
+
+
+@tidy
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` with n_words, removal_spans (array of word ranges) and item_ids (items with occurring windows)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    pieces, n_blocks = _blocks(benchmark, size, item_col, item_text_col)
+    docs = docs.drop(*OWN)
+    own = f"n_words long, removal_spans {_SPANS}, item_ids array<string>"
+    if n_blocks == 1:
+        windows = spark.sparkContext.broadcast(_windows(pieces, 0, size))
+        return docs.mapInArrow(_search(windows, docs.columns, text_col), _ddl(docs, docs.columns) + own)
+    row, keep = _row_name(docs), docs.columns
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    hits = materialize(_merge(docs, row, pieces, n_blocks, size, text_col), "merged")
+    nothing = spark.sparkContext.broadcast(Windows([], Words(np.zeros(0, np.uint8), np.zeros(1, np.int64), PLAIN), size))
+    counted = docs.mapInArrow(_search(nothing, docs.columns, text_col), _ddl(docs, docs.columns) + own).drop("removal_spans", "item_ids")
+    none = [F.coalesce("removal_spans", F.array().cast(_SPANS)).alias("removal_spans"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")]
+    return counted.join(hits, row, "left").select(*keep, "n_words", *none)
+
+
+def _row_name(docs: DataFrame) -> str:
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    return row
+
+
+def _cutter(names: list[str], text_col: str, windows=None):
+    """Rows without the spans that the windows hit, or that the column ``removal_spans`` lists."""
+    at = names.index(text_col)
 
     def run(batches):
         for part, raw, ends in text_blocks(batches, text_col, SHARD_BYTES):
-            words = Words(raw, ends, PLAIN)
-            hit = np.zeros(len(words), bool)
-            for windows in blocks:
-                hit |= windows.value.occurrences(words)[0]
-            column = part.column(at)
-            if hit.any():
-                texts = column.to_pylist()
-                for i, spans in enumerate(_span_lists(hit, words)):
-                    if spans:
-                        own = slice(words.at[i], words.at[i + 1])
-                        texts[i] = _cut(raw[ends[i] : ends[i + 1]].tobytes(), spans, words.start[own] - ends[i], words.end[own] - ends[i])
-                column = pa.array(texts, column.type)
-            yield pa.RecordBatch.from_arrays([column if i == at else c for i, c in enumerate(part.columns)], names)
-
-    return docs.mapInArrow(run, docs.schema)
+            words, column = Words(raw, ends, PLAIN), part.column(part.schema.get_field_index(text_col))
+            if windows is not None:
+                of, start, end = _spans(windows.value.occurrences(words)[0], words)
+                spans: dict[int, list[tuple[int, int]]] = {}
+                for i, a, b in zip(of.tolist(), start.tolist(), end.tolist()):
+                    spans.setdefault(i, []).append((a, b))
+            else:
+                listed = part.column(part.schema.get_field_index("removal_spans")).to_pylist()
+                spans = {i: [(s["start"], s["end"]) for s in x] for i, x in enumerate(listed) if x}
+            if spans:
+                texts = raw_strings(column)
+                for i, mine in spans.items():
+                    own = slice(words.at[i], words.at[i + 1])
+                    texts[i] = _cut(texts[i], mine, words.start[own] - ends[i], words.end[own] - ends[i])
+                column = string_column(texts, column.type)
+            yield pa.RecordBatch.from_arrays([column if i == at else part.column(part.schema.get_field_index(c)) for i, c in enumerate(names)], names)
+
+    return run
+
+
+@tidy
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text") -> DataFrame:
+    """``docs`` with the merged removal spans cut out of their texts; clean texts stay as they are.
+
+    Null texts stay null; a text that is hit as a whole becomes what stands around its words. All columns are kept; a column
+    called removal_spans stays as it is. Empty tables give empty results or unchanged rows.
+    """
+    spark, names = docs.sparkSession, docs.columns
+    small_batches(spark)
+    pieces, n_blocks = _blocks(benchmark, size, "item_id", "text")
+    if n_blocks == 1:
+        windows = spark.sparkContext.broadcast(_windows(pieces, 0, size))
+        discard(pieces)
+        return docs.mapInArrow(_cutter(names, text_col, windows), docs.schema)
+    row = _row_name(docs)
+    held = materialize(docs.select(F.struct(*names).alias("held"), F.col(text_col).alias(text_col), F.monotonically_increasing_id().alias(row)), "numbered")
+    hits = materialize(_merge(held, row, pieces, n_blocks, size, text_col), "merged")
+    marked = held.select("held", F.col(text_col), row).join(hits.select(row, "removal_spans"), row, "left").select("held", text_col, "removal_spans")
+    cut = marked.mapInArrow(_cutter(["held", text_col], text_col), f"held {held.schema['held'].dataType.simpleString()}, `{text_col}` {docs.schema[text_col].dataType.simpleString()}")
+    return cut.select(*[F.col(text_col) if c == text_col else F.col("held")[c].alias(c) for c in names])
