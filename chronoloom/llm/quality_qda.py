@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize, small_batches
+from chronoloom.llm.common import discard, materialize, sift, small_batches, tidy
 from chronoloom.llm.words import SPACED, Words, sum_by, text_blocks
 
 FEATURES = (
@@ -179,6 +179,7 @@ def fold(id_col: str, folds: int) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
+@tidy
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out_fold: int = 1) -> DataFrame:
     """``docs`` without their texts, with held_out, score and predicted."""
     own = ("held_out", "score", "predicted", "stats")
@@ -196,10 +197,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return out.select(*keep, F.coalesce(fold(id_col, folds) == held_out_fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@tidy
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more, unchanged."""
-    described = materialize(describe(docs.select(id_col, text_col), text_col), "quality_stats")
+    """The rows of ``docs`` that score ``least`` or more, unchanged.
+
+    Only documents that may be labelled are described for the fit; all are then described and judged in one pass. Null, empty and
+    blank texts are judged by the statistics of an empty text; repeated rows are each judged; all columns are kept. Without labels
+    of both classes every score is 0.5 and everything stays. Empty tables give empty results.
+    """
+    labelled = sift(docs.select(id_col, text_col), labels.where(F.col(label_col).isNotNull()), id_col)
+    described = materialize(describe(labelled, text_col), "quality_stats")
     model = fit(described, labels, id_col, label_col)
+    discard(described)
 
     def run(batches):
         for batch, raw, ends in text_blocks(batches, text_col):
