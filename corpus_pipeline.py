@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize
+from chronoloom.llm.common import discard, materialize, scratch_tables
 from chronoloom.llm.fm_decontam import decontaminate
 from chronoloom.llm.ngram_jaccard import one_of_each_group
 from chronoloom.llm.pii_weak import redact
@@ -50,5 +50,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scratch_tables(spark):  # what a stage leaves behind goes once its output stands
+            docs = materialize(stage(spark, before, sf_dir), name, keep=True)
+        discard(before)
     return docs
