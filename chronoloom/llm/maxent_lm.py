@@ -1,23 +1,26 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-A token's probability is P(super-class | context) * P(class | super-class, context) * P(token | class). The first two
+Classes are the leaves of a tree of LEVELS levels, WIDTH branches each. A token's probability is the product of the probabilities of
+the branches that lead to its class, each given the branch before and the context, and of P(token | class). The branches
 are maximum-entropy models over hashed features of the context: the word before, the pair of words before, and the word
-two before (a skip). Each feature and value points into a table of weight rows, one weight a class. The last factor
+two before (a skip). Each feature and value points into a table of weight rows, one weight a branch. The last factor
 depends on the class only, and its maximum-entropy solution is the smoothed share of the token in its class.
 
-The OWN_CLASSES most frequent words have classes of their own; the others share the rest of the classes by hash. Every class has one place for words that
+The OWN_CLASSES most frequent words have classes of their own; for them the last factor is but for unknown words 1, so all their
+probability comes from features. The others share the rest of the classes by hash. Every class has one place for words that
 training did not hold, so each factor sums to 1.
 
 Training: word counts come from the whole training part. Then every task makes gradient updates over all its
 texts, in batches, scaled by how often a weight row was met; the tasks' rows are averaged by those counts in a
-shuffle. ROUNDS passes are made. Scoring reads whole texts in numpy batches. Counts of the FREQUENT most frequent words (a
+shuffle. ROUNDS passes are made. The number of weight rows grows with the number of training tokens, up to MORE_BITS bits. Scoring reads
+whole texts in numpy batches. Counts of the FREQUENT most frequent words (a
 fixed number, 16 bytes each) are broadcast; the counts of other words are joined.
 
 Because log P(token | class) and the base score hold the same smoothed count, the model's score is the base score plus,
 for each token, the gain of its class in context over the class's share.
 
-Edge cases: a null text is an empty text, of one token (the end). A null id belongs to the training part. Repeated rows
-are each answered and each count. With an empty training part all words are unknown and N and V are 0. Empty tables
+Edge cases: a null text is an empty text, of one token (the end). A null id belongs to the training part. Very long texts are read whole, as a block
+of their own. Ties of counts go by the word's hash. Repeated rows are each answered and each count. With an empty training part all words are unknown and N and V are 0. Empty tables
 give empty results. Extra columns are ignored. Words are compared by 64-bit hashes.
 """
 
@@ -30,19 +33,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize
+from chronoloom.llm.common import discard, materialize, small_batches, tidy
 from chronoloom.llm.words import SPACED, Words, long_lists, sum_by, word_blocks
 
 ROUNDS = 1
 #: Words whose counts are broadcast.
 FREQUENT = 1 << 19
-#: Super-classes, and classes in each; so many words have classes of their own.
-WIDTHS, OWN_CLASSES = (32, 32), 768
-N_CLASSES = WIDTHS[0] * WIDTHS[1]
+#: Branches of a node and levels of the tree of classes; so many words have classes of their own.
+WIDTH, LEVELS, OWN_CLASSES = 32, 3, 24_576
+N_CLASSES = WIDTH**LEVELS
 FEATURES = 3
-#: Weight rows of each feature in the model of super-classes and of classes, as powers of two.
-ROW_BITS = (14, 15)
-N_ROWS = tuple(FEATURES << b for b in ROW_BITS)
+#: Weight rows of each feature at each level, as powers of two, for up to 2**FULL_BITS training tokens; a bit more for each
+#: factor of 4 beyond, MORE_BITS at most.
+ROW_BITS, FULL_BITS, MORE_BITS = (14, 15, 15), 23, 2
+#: Training tokens of a task, at least, where there are many: what tasks hand on stays below the size of the texts.
+TASK_TOKENS = 8_000_000
 #: Weights stay within this range.
 LIMIT = 8.0
 #: Tokens of a gradient step, few enough that its arrays stay in the processor's cache.
@@ -117,14 +122,24 @@ def classes(h: np.ndarray, own: WordTable) -> np.ndarray:
     return np.where(found >= 0, found, shared)
 
 
-def _rows(one: np.ndarray, two: np.ndarray, above: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Weight rows of each feature in both models; above is the super-class."""
+def row_bits(n_tokens: int) -> tuple[int, ...]:
+    more = min(MORE_BITS, max(0, (int(n_tokens).bit_length() - FULL_BITS) // 2))
+    return tuple(b + more for b in ROW_BITS)
+
+
+def _mixed(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
     features = (one * _MULT[0], one * _MULT[1] + two * _MULT[2], two * _MULT[2] + _MULT[0])
-    mixed = [x ^ (x >> np.uint64(29)) for x in features]
-    first = [((x * _MULT[1]) >> np.uint64(64 - ROW_BITS[0])).astype(np.int64) + (i << ROW_BITS[0]) for i, x in enumerate(mixed)]
-    salt = above.astype(np.uint64) * _MULT[2]
-    second = [(((x + salt) * _MULT[0]) >> np.uint64(64 - ROW_BITS[1])).astype(np.int64) + (i << ROW_BITS[1]) for i, x in enumerate(mixed)]
-    return first, second
+    return [x ^ (x >> np.uint64(29)) for x in features]
+
+
+def _rows(mixed: list[np.ndarray], node: np.ndarray | None, bits: int) -> list[np.ndarray]:
+    """Weight rows of each feature at a node of the tree (None: its root)."""
+    if node is None:
+        keys = [x * _MULT[1] for x in mixed]
+    else:
+        salt = (node + 1).astype(np.uint64) * _MULT[2]
+        keys = [(x + salt) * _MULT[0] for x in mixed]
+    return [(x >> np.uint64(64 - bits)).astype(np.int64) + (i << bits) for i, x in enumerate(keys)]
 
 
 def _sum_rows(p: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,29 +158,32 @@ def _sum_rows(p: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 class Model:
-    """Weights and the shares of classes; a class's super-class is its number modulo the number of super-classes."""
-
-    def __init__(self, own: WordTable, mass: np.ndarray):
-        self.own = own
-        grid = (mass / mass.sum()).astype(np.float32).reshape(WIDTHS[1], WIDTHS[0])  # [class in super-class, super-class]
-        self.share = (grid.sum(axis=0, keepdims=True), (grid / grid.sum(axis=0)).T.copy())
-        self.bias = tuple(np.log(x) for x in self.share)
+    """Weights and shares of branches. The digits of a class's number to the base WIDTH, lowest first, are its branches from the root on."""
+
+    def __init__(self, own: WordTable, mass: np.ndarray, n_tokens: int = 0):
+        self.own, self.bits = own, row_bits(n_tokens)
+        self.share = []
+        for k in range(LEVELS):
+            below = mass.reshape(-1, WIDTH ** (k + 1)).sum(axis=0).reshape(WIDTH, -1)  # [branch, node]
+            self.share.append((below / below.sum(axis=0)).T.astype(np.float32).copy())
+        self.bias = [np.log(x) for x in self.share]
         self.log_mass = np.log10(mass)
-        self.weights = [np.zeros((n, w), np.float32) for n, w in zip(N_ROWS, WIDTHS)]
+        self.weights = [np.zeros((FEATURES << b, WIDTH), np.float32) for b in self.bits]
 
     def _batches(self, h: np.ndarray, one: np.ndarray, two: np.ndarray):
-        """For each batch its place and, of both models: rows, row of the bias, class, exp of the logits and their sum."""
+        """For each batch its place and, at each level: rows, node, branch, exp of the logits and their sum."""
         leaf = classes(h, self.own)
         for lo in range(0, len(h), BATCH):
             cut = slice(lo, lo + BATCH)
-            above, below = leaf[cut] % WIDTHS[0], leaf[cut] // WIDTHS[0]
-            first, second = _rows(one[cut], two[cut], above)
-            for k, rows, group, y in ((0, first, np.zeros_like(above), above), (1, second, above, below)):
-                x = self.bias[k].take(group, axis=0)
+            mixed = _mixed(one[cut], two[cut])
+            for k in range(LEVELS):
+                node = leaf[cut] % WIDTH**k
+                rows, y = _rows(mixed, node if k else None, self.bits[k]), leaf[cut] // WIDTH**k % WIDTH
+                x = self.bias[k].take(node, axis=0)
                 for r in rows:
                     x += self.weights[k].take(r, axis=0)
                 np.exp(x, out=x)
-                yield cut, k, rows, group, y, x, x @ np.ones(WIDTHS[k], np.float32)
+                yield cut, k, rows, node, y, x, x @ np.ones(WIDTH, np.float32)
 
     def gains(self, h: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """log10 of P(class | context) over the smoothed total of the class, for each token."""
@@ -251,18 +269,18 @@ def _trainer(held):
     def run(batches):
         model = copy.copy(held.value)  # the task's own; the broadcast one stays as it is
         model.weights = [w.copy() for w in model.weights]
-        seen = [np.zeros(n, np.float32) for n in N_ROWS]
+        seen = [np.zeros(len(w), np.float32) for w in model.weights]
         for _, words in word_blocks(batches, SPACED):
             h, one, two, _ = tokens(words)
             model.update(h, one, two, seen)
-        for k in (0, 1):
+        for k in range(LEVELS):
             met = seen[k].reshape(-1, CHUNK)
             weights = model.weights[k].reshape(len(met), -1)
             some = np.flatnonzero(met.any(axis=1))
             for lo in range(0, len(some), 64):
                 cut = some[lo : lo + 64]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cut * 2 + k), pa.array([x.tobytes() for x in met[cut]], pa.binary()), pa.array([x.astype(np.float16).tobytes() for x in weights[cut]], pa.binary())],
+                    [pa.array(cut * LEVELS + k), pa.array([x.tobytes() for x in met[cut]], pa.binary()), pa.array([x.astype(np.float16).tobytes() for x in weights[cut]], pa.binary())],
                     ["chunk", "seen", "weights"],
                 )
 
@@ -286,16 +304,20 @@ def _average(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(mean, pa.binary())], ["chunk", "weights"])
 
 
-def train(texts: DataFrame, counts: DataFrame, own: WordTable, rounds: int = ROUNDS) -> Model:
-    model = Model(own, class_mass(counts, own))
+def train(texts: DataFrame, counts: DataFrame, own: WordTable, n_tokens: int, rounds: int = ROUNDS) -> Model:
+    model = Model(own, class_mass(counts, own), n_tokens)
+    context = texts.sparkSession.sparkContext
+    tasks = max(2 * context.defaultParallelism, n_tokens // TASK_TOKENS)
+    chunks = sum(len(w) for w in model.weights) // CHUNK
     for _ in range(rounds):
-        held = texts.sparkSession.sparkContext.broadcast(model)
-        parts = texts.select("text").mapInArrow(_trainer(held), "chunk long, seen binary, weights binary")
-        rows = parts.repartition("chunk").mapInArrow(_average, "chunk long, weights binary").collect()  # N_ROWS rows of weights in all, whatever the corpus
-        for r in rows:
-            at, k = divmod(r["chunk"], 2)
+        held = context.broadcast(model)
+        parts = texts.select("text").coalesce(tasks).mapInArrow(_trainer(held), "chunk long, seen binary, weights binary")
+        averages = materialize(parts.repartition(max(1, chunks // 64), "chunk").mapInArrow(_average, "chunk long, weights binary"), "weights")
+        for r in averages.toLocalIterator():  # the rows of weights, whose number row_bits bounds, one part of them at a time
+            at, k = divmod(r["chunk"], LEVELS)
             model.weights[k][at * CHUNK : (at + 1) * CHUNK] = np.frombuffer(r["weights"], np.float16).reshape(CHUNK, -1)
-        held.unpersist()
+        held.destroy()
+        discard(averages)
     return model
 
 
@@ -326,9 +348,11 @@ def _scorer(held):
     return run
 
 
+@tidy
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, fold: int = 0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     spark = docs.sparkSession
+    small_batches(spark)
     all_texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = all_texts.where(~held_out("doc_id", folds, fold))
     counts = word_counts(texts)
@@ -338,7 +362,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = np.lexsort((h, -c))
     h, c = h[order], c[order]
     own = WordTable(h[:OWN_CLASSES], np.arange(min(len(h), OWN_CLASSES)))
-    model = train(texts, counts, own)
+    model = train(texts, counts, own, int(n))
     held = spark.sparkContext.broadcast((model, WordTable(h, c)))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = all_texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
