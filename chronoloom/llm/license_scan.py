@@ -7,7 +7,7 @@ template``. A template's place is the start on which every word of its mandatory
 enough of its anchors start within SHIFT words of it, so that words put in or left out between them do no harm. Short
 phrases are templates whose every word is mandatory, so each of their places is found.
 
-Edge cases: null and empty texts have no words and no labels, score 0. Repeated rows are each answered. Empty tables
+Edge cases: null and empty texts have no words and no labels, score 0. Very long texts are read whole. Words of equal IDF rank by their place. Repeated rows are each answered. Empty tables
 give empty results. Extra columns are ignored.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize
+from chronoloom.llm.common import materialize, tidy
 
 # Phrases that name a licence.
 PHRASES = {
@@ -51,6 +51,17 @@ TEMPLATES = {
         ("licensed under creative commons attribution license", "creative commons"),
         ("this work is licensed under a creative commons attribution 4 0 international license", "creative commons"),
     ],
+    "cc-by-sa": [("this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike")],
+    "cc0": [("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright related neighboring rights")],
+    "agpl": [
+        ("licensed under the gnu affero general public license", "affero general public license"),
+        ("you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "affero general public license"),
+    ],
+    "isc": [("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "purpose with or without fee hereby granted")],
+    "zlib": [("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "including commercial applications alter redistribute freely")],
+    "boost": [("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "person organization obtaining copy")],
+    "epl": [("this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license")],
+    "unlicense": [("this is free and unencumbered software released into the public domain", "free unencumbered software released")],
     "cc-by-nc": [
         ("licensed under cc by nc 4 0", "licensed cc nc"),
         ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
@@ -73,7 +84,7 @@ def _places(words: list[str], key: str) -> set[int]:
     return set(found)
 
 
-def _index(spark: SparkSession) -> DataFrame:
+def index_rows() -> list[tuple[str, str, int, str, str, bool]]:
     """(template, label, position, word, kind, must): content words of phrases and notices by their places."""
     rows = []
     for phrase, label in PHRASES.items():
@@ -83,7 +94,12 @@ def _index(spark: SparkSession) -> DataFrame:
             words = text.split()
             must = _places(words, key)
             rows += [(f"notice:{label}" + f":{n}" * (n > 0), label, i, w, "notice", i in must) for i, w in enumerate(words) if w not in COMMON or i in must]
-    return spark.createDataFrame(rows, "template string, label string, position int, word string, kind string, must boolean")
+    return rows
+
+
+def _index(spark: SparkSession) -> DataFrame:
+    listed = ", ".join(f"('{t}', '{lab}', {i}, '{w}', '{k}', {m})" for t, lab, i, w, k, m in index_rows())
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t(template, label, position, word, kind, must)")
 
 
 def vocabulary() -> list[str]:
@@ -91,28 +107,29 @@ def vocabulary() -> list[str]:
     return sorted(words)
 
 
+@tidy
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places) of every document.
 
     places: array of (label, template, first word, share of its anchors that agree).
     """
     spark = docs.sparkSession
-    vocab = F.array(*[F.lit(w) for w in vocabulary()])
-    # A-Z and a-z are told apart only in the few words that are looked up
+    vocab = vocabulary()
     words = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
-    ascii_lower = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     cut = docs.select(F.col(id_col).alias("doc_id"), words.alias("w"))
     cut = cut.withColumn("w", F.when(F.element_at("w", 1) == "", F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0)))).otherwise(F.col("w")))
     cut = cut.withColumn("w", F.when((F.size("w") > 0) & (F.element_at("w", -1) == ""), F.slice("w", 1, F.size("w") - 1)).otherwise(F.col("w")))
-    least, most = min(map(len, vocabulary())), max(map(len, vocabulary()))
-    placed = F.transform("w", lambda w, i: F.struct(i.alias("at"), w.alias("word")))
-    near = F.filter(placed, lambda x: F.octet_length(x["word"]).between(least, most) & F.array_contains(vocab, F.translate(x["word"], *ascii_lower)))
-    near = F.transform(near, lambda x: F.struct(x["at"].alias("at"), F.translate(x["word"], *ascii_lower).alias("word")))
+    least, most = min(map(len, vocab)), max(map(len, vocab))
+    # a hashed lookup of every short word; only A-Z are lower-cased, which is told apart in the few words that are found
+    places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
+    near = F.filter(places, lambda i: F.octet_length(F.col("w")[i]).between(least, most) & F.lower(F.col("w")[i]).isin(vocab))
+    near = F.transform(near, lambda i: F.struct(i.alias("at"), F.translate(F.col("w")[i], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("word")))
+    near = F.filter(near, lambda x: x["word"].isin(vocab))
     files = materialize(cut.select(F.monotonically_increasing_id().alias("file"), "doc_id", F.size("w").cast("long").alias("n_words"), near.alias("hits")), "licence_words")
 
     hits = files.where(F.size("hits") > 0).select("file", F.explode("hits").alias("x")).select("file", "x.at", "x.word")
     index = _index(spark)
-    df = hits.groupBy("word").agg(F.approx_count_distinct("file", 0.02).alias("df"))
+    df = files.where(F.size("hits") > 0).select(F.explode(F.array_distinct("hits.word")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     idf = index.select("word").distinct().join(df, "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df"))
     rank = F.row_number().over(Window.partitionBy("template").orderBy("df", "position"))
     postings = index.join(idf, "word").withColumn("rank", rank).where(F.col("must") | (F.col("rank") <= ANCHORS))
