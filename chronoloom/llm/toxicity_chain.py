@@ -1,9 +1,10 @@
 """Toxicity: a classifier chain over hashed words and beginnings of words.
 
-The chain's links, in order: low quality, toxic, severe (toxic with at least SEVERE_TERMS different toxic terms). Each is
-a ridge logistic model over a document's counts of selected terms and its length; later models also see the
-probabilities of earlier links. In training, these come from out-of-fold predictions, so a link learns from the
-probabilities that it will meet.
+The labels know one category, toxic. The chain's links, in order: threat, contempt, insult, toxic. The first three are weakly
+labelled: a toxic document holds a word of the category's list below (fixed values); the last link, whose probability is
+the score, is that of the labels. Each is a ridge logistic model over a document's counts of selected terms and its
+length; later models also see the probabilities of earlier links. In training, these come from out-of-fold predictions, so
+a link learns from the probabilities that it will meet.
 
 Training uses at most SAMPLE labelled rows outside the held-out fold (those with the smallest hash of their id), a bound
 that is broadcast safely; TERMS terms (words, or their first bytes) are selected by the log odds of how many documents
@@ -11,7 +12,7 @@ hold them, or hold them more than once, whichever tells toxic documents better.
 
 Edge cases: null, empty and blank texts have no terms. A document labelled several times counts by its mean label, 0.5
 upwards as toxic; null labels don't count. Without toxic and other labels every score is 0. Repeated rows are each
-answered. Empty tables give empty results. Extra columns of documents are ignored.
+answered. Ties of terms go by their hash. Very long texts are read whole, as a block of their own. Empty tables give empty results. Extra columns of documents are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize
-from chronoloom.llm.words import PLAIN, Words, word_blocks
+from chronoloom.llm.common import discard, materialize, small_batches, tidy
+from chronoloom.llm.words import PLAIN, Words, hash_of, sum_by, word_blocks
 
-SAMPLE, TERMS, FOLDS, SEVERE_TERMS = 12_000, 384, 5, 8
+SAMPLE, TERMS, FOLDS = 12_000, 384, 5
 #: Beginnings of words, in bytes, that are terms too.
 BEGINNINGS = (4, 5, 6, 7, 8)
-LINKS = ("low_quality", "toxic", "severe")
+# Words that tell a category of toxic documents.
+CATEGORIES = {
+    "threat": "kill hurt destroy die burn beat murder shoot".split(),
+    "contempt": "worthless pathetic disgusting useless stupid dumb filthy vile hate".split(),
+    "insult": "idiot moron clown scum fool loser jerk trash bastard".split(),
+}
+LINKS = (*CATEGORIES, "toxic")
 
 
 def _terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -123,12 +130,12 @@ class _Selected:
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 1, folds: int = 3) -> tuple[_Selected, Chain] | None:
-    """Terms and chain from labels (doc_id, toxic, quality); None if there is nothing to tell apart."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"), (F.coalesce(F.avg("quality"), F.lit(1)) < 0.5).cast("int").alias("low_quality"))
+    """Terms and chain from documents (doc_id, text) and labels (doc_id, toxic); None if there is nothing to tell apart."""
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     if held_out_fold is not None:
         known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held_out_fold)
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic", "low_quality")  # SAMPLE rows at most
+    texts = docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")  # SAMPLE rows at most
     texts = materialize(texts, "sample")
     total, toxic = texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < total:
@@ -141,34 +148,41 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 1, fol
         return None
     terms = _Selected(np.array([r["term"] for r in picked], np.int64).view(np.uint64))
 
+    lists = [np.sort(hash_of([w.encode() for w in words])) for words in CATEGORIES.values()]
+
     def count(batches):
         for batch, words in word_blocks(batches, PLAIN):
             seen = terms.counts(words).astype(np.int64)
             at = np.arange(len(seen) + 1, dtype=np.int32) * seen.shape[1]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(np.diff(words.at)), pa.ListArray.from_arrays(pa.array(at), pa.array(seen.ravel()))], ["toxic", "low_quality", "n_words", "seen"])
-
-    got = texts.mapInArrow(count, "toxic int, low_quality int, n_words long, seen array<long>").toArrow().combine_chunks()  # SAMPLE * TERMS numbers at most
-    counts = got.column("seen").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, -1).astype(float)
-    n_words, toxic_y, low_y = (got.column(c).to_numpy().astype(float) for c in ("n_words", "toxic", "low_quality"))
-    order = np.lexsort([toxic_y, low_y, counts.sum(axis=1), n_words])  # the same folds whatever the order of rows
-    counts, n_words, toxic_y, low_y = (x[order] for x in (counts, n_words, toxic_y, low_y))
-    severe = toxic_y * ((counts > 0).sum(axis=1) >= SEVERE_TERMS)
-    return terms, Chain(counts, n_words, [low_y, toxic_y, severe])
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, folds: int = 3) -> DataFrame:
-    """(doc_id, held_out, score, predicted, low_quality, severe): probabilities; score is that of toxic."""
-    model = train(docs, labels, held_out_fold, folds)
+            toxic = batch.column(1).to_numpy()
+            weak = np.stack([(sum_by(np.isin(words.hash, some).astype(np.int64), words.at) > 0) & (toxic == 1) for some in lists], axis=1).astype(np.int64)
+            weak_at = np.arange(len(weak) + 1, dtype=np.int32) * len(lists)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), pa.array(np.diff(words.at)), pa.ListArray.from_arrays(pa.array(at), pa.array(seen.ravel())), pa.ListArray.from_arrays(pa.array(weak_at), pa.array(weak.ravel()))],
+                ["toxic", "n_words", "seen", "weak"],
+            )
+
+    got = texts.mapInArrow(count, "toxic int, n_words long, seen array<long>, weak array<long>").toArrow().combine_chunks()  # SAMPLE * TERMS numbers at most
+    discard(texts)
+    counts, weak = (got.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, -1).astype(float) for c in ("seen", "weak"))
+    n_words, toxic_y = (got.column(c).to_numpy().astype(float) for c in ("n_words", "toxic"))
+    order = np.lexsort([toxic_y, *weak.T, counts.sum(axis=1), n_words])  # the same folds whatever the order of rows
+    return terms, Chain(counts[order], n_words[order], [*weak[order].T, toxic_y[order]])
+
+
+@tidy
+def score_toxicity(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(doc_id, held_out, score, predicted, threat, contempt, insult): probabilities; score is that of toxic."""
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    model = train(docs, labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("toxic")), held_out_fold, folds)
 
     def run(batches):
         for batch, words in word_blocks(batches, PLAIN):
             n = np.diff(words.at)
-            if model is None:
-                low = toxic = severe = np.zeros(len(n))
-            else:
-                low, toxic, severe = model[1].probabilities(model[0].counts(words), n.astype(float))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(toxic), pa.array(low), pa.array(severe)], ["doc_id", "score", "low_quality", "severe"])
+            links = [np.zeros(len(n)) for _ in LINKS] if model is None else model[1].probabilities(model[0].counts(words), n.astype(float))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, links)], ["doc_id", *LINKS])
 
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, low_quality double, severe double")
+    out = docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{x} double" for x in LINKS))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_out_fold, F.lit(False))
-    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "low_quality", "severe")
+    return out.select("doc_id", held_out.alias("held_out"), F.col("toxic").alias("score"), (F.col("toxic") >= 0.5).cast("int").alias("predicted"), *CATEGORIES)
