@@ -13,6 +13,7 @@ from chronoloom.llm.fm_decontam import find_contamination
 from chronoloom.llm.license_scan import scan_licenses
 from chronoloom.llm.maxent_lm import score_texts
 from chronoloom.llm.ngram_jaccard import ngram_jaccard_components
+from chronoloom.llm.oracle import SQL
 from chronoloom.llm.pii_weak import ADDED, KINDS, find_personal_data
 from chronoloom.llm.quality_qda import score_quality
 from chronoloom.llm.source_mix import mix_sources
@@ -50,7 +51,7 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
-    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     talks = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read_back(format_conversations(talks)).select(
@@ -94,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
