@@ -384,9 +384,8 @@ def _salted(rows: DataFrame, few: DataFrame) -> DataFrame:
 
 
 def _squares(tiles: DataFrame, shape: DataFrame) -> DataFrame:
-    """Members of tiles (h, n, d, c), dealt as squares of blocks of about PART members, each square to one task."""
-    size = tiles.groupBy("h").agg(F.ceil(F.count("*") / PART).cast("int").alias("m"))
-    rows = _salted(tiles, size).withColumn("s", F.pmod(F.xxhash64("d", F.lit(1)), F.col("m")).cast("int"))
+    """Members of tiles (h, m, n, d, c), dealt as squares of blocks of about PART members, m blocks a tile, each square to one task."""
+    rows = tiles.withColumn("s", F.pmod(F.xxhash64("d", F.lit(1)), F.col("m")).cast("int"))
     rows = rows.select("h", "n", "d", "c", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
     rows = rows.select(F.xxhash64("h", F.least("s", "x"), F.greatest("s", "x")).alias("key"), "s", F.least("s", "x").alias("p"), F.greatest("s", "x").alias("q"), "n", "d", "c")
     return rows.join(shape, "d").select("key", "s", "p", "q", "n", "d", "c", "bitmap").repartition("key").sortWithinPartitions("key")
@@ -539,7 +538,7 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_
         placed = large.withColumn("c", F.col("d"))
         if comp is not None:
             placed = large.join(comp.select(F.col("node").alias("d"), "component"), "d", "left").select("h", "n", "d", F.coalesce("component", "d").alias("c"))
-        mixed = placed.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("h")
+        mixed = placed.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.ceil(F.count("*") / PART).cast("int").alias("m")).where("c0 < c1").select("h", "m")
         mixed = materialize(_salted(placed, mixed), "mixed_tiles")
         if mixed.isEmpty():
             break
@@ -560,11 +559,14 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_
         discard(mixed)
     discard(large, shape)
 
-    by_class = classes.select("d", "rep", F.col("d").alias("c"))
+    # classes of a component are dealt over parts like the members of a tile, which is what its name is here
+    by_class = classes.select("d", F.col("rep").alias("component_id"))
     if comp is not None:
-        by_class = classes.join(comp.withColumnRenamed("node", "d"), "d", "left").select("d", "rep", F.coalesce("component", "d").alias("c"))
-    smallest = by_class.groupBy("c").agg(F.min("rep").alias("component_id"))
-    by_class = by_class.join(smallest, "c").select("d", "component_id")
+        several = classes.select("d", "rep").join(comp.select(F.col("node").alias("d"), F.col("component").alias("h")), "d")
+        several = materialize(_salted(several, several.groupBy("h").agg(F.min("rep").alias("component_id"))).select("d", "component_id"), "several")
+        by_class = by_class.join(several.withColumnRenamed("component_id", "joined"), "d", "left").select("d", F.coalesce("joined", "component_id").alias("component_id"))
+    by_class = materialize(by_class, "by_class")
+    discard(classes, comp)
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = members.join(by_class, "d", "left")
     return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NO_ID)).alias("component_id"))
