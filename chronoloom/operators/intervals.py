@@ -58,22 +58,6 @@ def overlap_of(pairs: DataFrame) -> Column:
     return overlap_ms(F.col("a_start_ms"), F.col("a_end_ms"), F.col("b_start_ms"), F.col("b_end_ms"))
 
 
-def absorb_gaps(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """(keys, gap_no, start_ms, end_ms, decision, label): which gaps the label on both sides takes over.
-
-    Reasons stand in a fixed order: too long, several labels end or begin there, different labels, absorbed.
-    """
-    found = gaps(rows, keys)
-    left = rows.select(*keys, F.col("end_ms").alias("start_ms"), "label").groupBy(*keys, "start_ms").agg(F.array_sort(F.collect_set("label")).alias("left"))
-    right = rows.select(*keys, F.col("start_ms").alias("end_ms"), "label").groupBy(*keys, "end_ms").agg(F.array_sort(F.collect_set("label")).alias("right"))
-    both = found.join(left, [*keys, "start_ms"], "left").join(right, [*keys, "end_ms"], "left")
-    decision = (
-        F.when(F.col("end_ms") - F.col("start_ms") > most, "over_threshold").when(F.col("left").isNull() | F.col("right").isNull(), "missing_side")
-        .when(F.size("left") > 1, "ambiguous_left").when(F.size("right") > 1, "ambiguous_right").when(F.col("left")[0] != F.col("right")[0], "different_labels").otherwise("absorbed")
-    )
-    return both.select(*keys, "gap_no", "start_ms", "end_ms", decision.alias("decision"), F.when(decision == "absorbed", F.col("left")[0]).alias("label"))
-
-
 def coverage(rows: DataFrame, reference: DataFrame, keys: list[str], bucket: int) -> DataFrame:
     """Each row with covered_ms: what the reference's union covers of it."""
     pairs = overlap_join(rows, islands(reference, keys).drop("island", "n"), keys, bucket)

@@ -1,4 +1,4 @@
-"""Aggregations of quality, durations, storage and memory."""
+"""Aggregations of durations, memory, runs and requests."""
 
 from __future__ import annotations
 
@@ -7,34 +7,25 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators.intervals import overlap_join, overlap_of
 
-#: Upper ends of the classes of durations, in milliseconds.
-DURATION_BINS = (1_000, 3_000, 10_000, 30_000, 60_000, 300_000)
+# Upper ends of the classes of durations, in seconds.
+DURATION_BINS = (1, 2, 5, 10, 20, 30)
+# Least lengths of summaries in characters, the largest share of retries, and how far characters a token may drift.
+SHORT_BLOCK, SHORT_OVERVIEW, RETRY_RATE, TOKEN_DRIFT = 120, 300, 0.15, 0.2
 
 
 def overlap_matrix(rows: DataFrame, reference: DataFrame, keys: list[str], bucket: int) -> DataFrame:
-    """(label, ref_label, overlap_ms): shared time of each pair of labels."""
+    """(label, ref_label, overlap_ms): shared time of each pair of labels, over all keys."""
     pairs = overlap_join(rows, reference, keys, bucket)
     return pairs.groupBy(F.col("a_label").alias("label"), F.col("b_label").alias("ref_label")).agg(F.sum(overlap_of(pairs)).alias("overlap_ms"))
 
 
-def segment_quality(rows: DataFrame, reference: DataFrame, keys: list[str], bucket: int) -> DataFrame:
-    """(keys, id, correct_ms, other_ms, best_label): time shared with the own label and with others, and the label that shares most."""
-    pairs = overlap_join(rows, reference, keys, bucket)
-    by_label = pairs.groupBy(*keys, F.col("a_id").alias("id"), F.col("a_label").alias("label"), F.col("b_label").alias("ref_label")).agg(F.sum(overlap_of(pairs)).alias("ms"))
-    own = F.col("label") == F.col("ref_label")
-    return by_label.groupBy(*keys, "id").agg(
-        F.sum(F.when(own, F.col("ms")).otherwise(0)).alias("correct_ms"), F.sum(F.when(~own, F.col("ms")).otherwise(0)).alias("other_ms"),
-        F.min(F.struct((-F.col("ms")).alias("m"), "ref_label"))["ref_label"].alias("best_label"),
-    )
-
-
-def duration_stats(rows: DataFrame, duration: Column, group: Column) -> DataFrame:
-    """One row a group: count, sum, mean, quartiles and numbers by class of duration."""
-    rows = rows.select(group.alias("grp"), duration.alias("d"))
+def duration_stats(rows: DataFrame, seconds: Column, label: str) -> DataFrame:
+    """One row for all, known and unknown rows and for each label: count, sum, mean, quartiles to 3 decimals, and numbers by class."""
+    rows = grouped_with_totals(rows.withColumn("_s", seconds), label, "unknown").select("grp", "_s")
     edges = [0, *DURATION_BINS, None]
-    inside = [(F.col("d") >= lo) & (F.lit(True) if hi is None else F.col("d") < hi) for lo, hi in zip(edges[:-1], edges[1:])]
-    quantiles = [F.percentile("d", q).alias(f"p{int(q * 100)}") for q in (0.25, 0.5, 0.75, 0.9)]
-    return rows.groupBy("grp").agg(F.count("*").alias("n"), F.sum("d").alias("total"), F.avg("d").alias("mean"), F.min("d").alias("least"), F.max("d").alias("most"), *quantiles, *[F.count_if(x).alias(f"bin{i}") for i, x in enumerate(inside)])
+    inside = [(F.col("_s") >= lo) & (F.lit(True) if hi is None else F.col("_s") < hi) for lo, hi in zip(edges[:-1], edges[1:])]
+    told = {"total": F.sum("_s"), "mean": F.avg("_s"), "least": F.min("_s"), "most": F.max("_s")} | {f"p{int(q * 100)}": F.percentile("_s", q) for q in (0.25, 0.5, 0.75, 0.9)}
+    return rows.groupBy("grp").agg(F.count("*").alias("n"), *[F.round(c, 3).alias(k) for k, c in told.items()], *[F.count_if(x).alias(f"bin{i}") for i, x in enumerate(inside)])
 
 
 def grouped_with_totals(rows: DataFrame, label: str, unknown: str) -> DataFrame:
@@ -49,10 +40,45 @@ def memory_peaks(samples: DataFrame) -> DataFrame:
 
 
 def leak_test(samples: DataFrame, threshold: float) -> DataFrame:
-    """(key, first_median, last_median, leaking): medians of up to three first and last samples of each key."""
+    """One row a key of idle samples (key, t, id, available, cached, rss, cma; in kilobytes): medians of up to three first and last ones.
+
+    A leak is suspected if available memory fell by more than the threshold (megabytes), caches that can be given back don't
+    explain half of it, and resident or contiguous memory moved by a quarter of it. Fewer than two samples tell nothing.
+    """
     order = Window.partitionBy("key")
     n = F.count("*").over(order)
     width = F.least(F.lit(3), F.greatest(F.lit(1), F.floor(n / 2)))
     rows = samples.withColumns({"up": F.row_number().over(order.orderBy("t", "id")), "down": F.row_number().over(order.orderBy(F.desc("t"), F.desc("id"))), "w": width})
-    out = rows.groupBy("key").agg(F.median(F.when(F.col("up") <= F.col("w"), F.col("value"))).alias("first_median"), F.median(F.when(F.col("down") <= F.col("w"), F.col("value"))).alias("last_median"))
-    return out.withColumn("leaking", F.col("last_median") - F.col("first_median") > threshold)
+
+    def moved(c: str, sign: int) -> Column:
+        first, last = (F.median(F.when(F.col(side) <= F.col("w"), F.col(c))) for side in ("up", "down"))
+        return sign * (last - first) / 1024
+
+    out = rows.groupBy("key").agg(F.count("*").alias("n"), moved("available", -1).alias("available_decline"), moved("cached", 1).alias("cached_growth"), moved("rss", 1).alias("rss_growth"), moved("cma", -1).alias("cma_decline"))
+    explained = F.col("cached_growth") >= F.greatest(F.lit(0.0), F.col("available_decline") * 0.5)
+    few = F.col("n") < 2
+    suspected = ~few & (F.col("available_decline") > threshold) & ~explained & ((F.col("rss_growth") > threshold * 0.25) | (F.col("cma_decline") > threshold * 0.25))
+    told = [F.when(~few, F.round(c, 3)).alias(c) for c in ("available_decline", "cached_growth", "rss_growth", "cma_decline")]
+    return out.select("key", "n", *told, F.when(~few, explained).alias("explained"), suspected.alias("suspected"), F.when(few, "insufficient_samples").when(F.col("n") >= 6, "high").otherwise("low").alias("confidence"))
+
+
+def run_flags(runs: DataFrame) -> DataFrame:
+    """(run, flags) of run reports: which of the rules below a run breaks, in this order.
+
+    short blocks, short overview, overview from chapters, blocks hardly merged, most blocks opened by a change of speaker, a kind of
+    request that still thinks, many retries, characters a token off the configured number, empty fields.
+    """
+    thinks = [F.when(F.col(f"thinking_{k}") > 0, f"thinks:{k}") for k in ("block", "full", "speaker")]
+    flags = F.array_compact(F.array(
+        F.when(F.col("block_chars") < SHORT_BLOCK, "short_blocks"), F.when((F.col("overview_chars") > 0) & (F.col("overview_chars") < SHORT_OVERVIEW), "short_overview"),
+        F.when(F.col("overview_source") == "chapter_summaries", "overview_from_chapters"), F.when((F.col("chapters") > 0) & (F.col("chapters") > F.col("blocks") * 0.7), "hardly_merged"),
+        F.when((F.col("by_speaker") > 0) & (F.col("by_speaker") > F.col("blocks") * 0.5), "opened_by_speaker"), *thinks,
+        F.when((F.col("retries") > 0) & (F.try_divide("retries", "requests") > RETRY_RATE), "many_retries"),
+        F.when((F.col("chars_per_token") > 0) & (F.abs(F.col("chars_per_token") - F.col("configured")) > TOKEN_DRIFT), "token_drift"), F.when(F.col("empty_fields") > 0, "empty_fields"),
+    ))
+    return runs.select("run", F.array_join(flags, ",").alias("flags"))
+
+
+def value_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Count, least, mean to one decimal and most of values that aren't null."""
+    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.round(F.avg(value), 1).alias("mean"), F.max(value).alias("most"))

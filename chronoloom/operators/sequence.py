@@ -1,12 +1,10 @@
-"""Ordered operators inside a meeting: turns, fills, latest records, ranges, topic boundaries."""
+"""Ordered operators inside a meeting: turns, fills, latest records, ranges."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.functions.text import grams, jaccard
-
 
 def _order(*more: str):
     return Window.partitionBy("meeting_id").orderBy("idx", *more)
@@ -15,9 +13,10 @@ def _order(*more: str):
 def merge_turns(segments: DataFrame, most_gap: int) -> DataFrame:
     """(meeting_id, turn_no, speaker, start_ms, end_ms, n, text): segments of one speaker with small gaps; blank ones are left out.
 
-    A turn ends where its last segment ends.
+    A turn ends where its last segment ends. Texts are stripped before they are joined.
     """
-    rows = segments.where(F.trim("text") != "")
+    text = F.btrim("text", F.lit(" \t\n\r\x0b\x0c"))
+    rows = segments.withColumn("text", text).where("text <> ''")
     same = (F.lag("speaker").over(_order()) == F.col("speaker")) & (F.col("start_ms") - F.lag("end_ms").over(_order()) <= most_gap)
     rows = rows.withColumn("_new", F.when(same, 0).otherwise(1))
     rows = rows.withColumn("turn_no", F.sum("_new").over(_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -57,31 +56,36 @@ def contiguous_ranges(starts: DataFrame, ends: DataFrame) -> DataFrame:
     return rows.where("end_idx >= _first").select("meeting_id", "idx", F.col("_first").alias("start_idx"), "end_idx")
 
 
-def cohesion(segments: DataFrame, k: int = 2, least_chars: int = 12) -> DataFrame:
-    """Segments with ``cohesion``: bigram-set similarity of the k segments before and the k from here; null where either is short."""
-    before = F.array_join(F.collect_list("text").over(_order().rowsBetween(-k, -1)), "")
-    after = F.array_join(F.collect_list("text").over(_order().rowsBetween(0, k - 1)), "")
-    rows = segments.withColumns({"_before": before, "_after": after})
-    alike = jaccard(F.array_distinct(grams(F.col("_before"))), F.array_distinct(grams(F.col("_after"))))
-    return rows.withColumn("cohesion", F.when((F.length("_before") >= least_chars) & (F.length("_after") >= least_chars), alike)).drop("_before", "_after")
+def clip_ranges(candidates: DataFrame) -> DataFrame:
+    """Ranges (meeting_id, no, start_idx, end_idx) that don't overlap: reversed ones become points, equal starts one range, ends give way to the next start."""
+    rows = candidates.withColumn("end_idx", F.greatest("start_idx", "end_idx"))
+    rows = rows.groupBy("meeting_id", "start_idx").agg(F.max("end_idx").alias("end_idx"), F.min(F.struct("end_idx", "no"))["no"].alias("no"), F.count("*").alias("merged"))
+    follows = F.lead("start_idx").over(Window.partitionBy("meeting_id").orderBy("start_idx"))
+    return rows.withColumn("end_idx", F.least(F.col("end_idx"), F.coalesce(follows - 1, F.col("end_idx"))))
+
 
+def expand_ranges(ranges: DataFrame, ends: DataFrame) -> DataFrame:
+    """Ranges with full_start and full_end, which cover 0 to the end (meeting_id, last_idx) without gaps, and core ends clipped to them; empty ones go."""
+    order = Window.partitionBy("meeting_id").orderBy("start_idx")
+    rows = ranges.join(ends, "meeting_id")
+    last = F.least(F.coalesce(F.lead("start_idx").over(order) - 1, F.col("last_idx")), F.col("last_idx"))
+    rows = rows.withColumns({"full_start": F.when(F.row_number().over(order) == 1, F.lit(0).cast("long")).otherwise(F.col("start_idx")), "full_end": last})
+    rows = rows.where("full_start <= full_end").withColumn("end_idx", F.least(F.greatest("start_idx", F.least("end_idx", "last_idx")), "full_end"))
+    return rows.withColumn("expanded", (F.col("full_start") != F.col("start_idx")) | (F.col("full_end") != F.col("end_idx"))).drop("last_idx")
 
-def boundaries(segments: DataFrame, long_gap: int, weak: float, k: int = 2) -> DataFrame:
-    """Segments with ``score`` and ``reasons``: a long gap and a weak cohesion count 1 each, a change of speaker 0.25."""
-    rows = cohesion(segments, k)
-    gap = F.coalesce(F.col("start_ms") - F.lag("end_ms").over(_order()) >= long_gap, F.lit(False))
-    change = F.coalesce(F.lag("speaker").over(_order()) != F.col("speaker"), F.lit(False))
-    low = F.coalesce(F.col("cohesion") < weak, F.lit(False))
-    score = gap.cast("double") + change.cast("double") * 0.25 + low.cast("double")
-    reasons = F.array_compact(F.array(F.when(gap, "gap"), F.when(change, "speaker"), F.when(low, "cohesion")))
-    return rows.withColumns({"score": score, "reasons": reasons})
 
+def loose_turns(segments: DataFrame, most_gap: int) -> DataFrame:
+    """(meeting_id, turn_no, speaker, start_ms, end_ms, n): like ``merge_turns``, but a missing end or start never parts segments of one speaker.
 
-def topic_blocks(segments: DataFrame, long_gap: int, weak: float, least_chars: int) -> DataFrame:
-    """(meeting_id, block, first_idx, last_idx, chars): cut where the score reaches 1; a short block joins the one on its left."""
+    A segment without an end leaves the turn's end as it is, so the last known end within the turn counts.
+    """
+    rows = segments.where("text <> ''")
+    rows = rows.withColumn("_change", F.when(F.lag("speaker").over(_order()) == F.col("speaker"), 0).otherwise(1))
     upto = _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = boundaries(segments, long_gap, weak).withColumn("cut", F.sum(F.when(F.col("score") >= 1.0, 1).otherwise(0)).over(upto))
-    blocks = rows.groupBy("meeting_id", "cut").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.sum(F.length("text")).alias("chars"))
-    by = Window.partitionBy("meeting_id").orderBy("cut").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = blocks.withColumn("block", F.greatest(F.sum(F.when(F.col("chars") >= least_chars, 1).otherwise(0)).over(by), F.lit(1)))
-    return blocks.groupBy("meeting_id", "block").agg(F.min("first_idx").alias("first_idx"), F.max("last_idx").alias("last_idx"), F.sum("chars").alias("chars"))
+    rows = rows.withColumn("_voice", F.sum("_change").over(upto))
+    same = Window.partitionBy("meeting_id", "_voice").orderBy("idx")
+    # within a voice: gaps part turns, and the end before is the last one that is known since then
+    end_before = F.last("end_ms", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("start_ms") - end_before > most_gap, F.lit(False))
+    rows = rows.withColumn("turn_no", F.sum(F.when((F.col("_change") == 1) | apart, 1).otherwise(0)).over(upto))
+    return rows.groupBy("meeting_id", "turn_no").agg(F.min("speaker").alias("speaker"), F.min_by("start_ms", "idx").alias("start_ms"), F.max_by("end_ms", F.when(F.col("end_ms").isNotNull(), F.col("idx"))).alias("end_ms"), F.count("*").alias("n"))

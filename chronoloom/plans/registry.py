@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from chronoloom.functions import scalars, text
 from chronoloom.operators import intervals as iv
 from chronoloom.operators import library as lib
-from chronoloom.operators import lineage, mapreduce, metrics, packing, sequence
+from chronoloom.operators import lineage, mapreduce, metrics, packing, sequence, topics
+from chronoloom.plans import more
 from chronoloom.plans.oracle import SQL
 from chronoloom.sources import adapters as src
 from chronoloom.streaming import events as streams
@@ -40,10 +41,6 @@ def pad_and_split(spark, d):
     return iv.split_long(wide, 600_000).select("key", "id", "piece", "start_ms", "end_ms")
 
 
-def gap_absorption(spark, d):
-    return iv.absorb_gaps(src.intervals(spark, d), KEY, 6 * HOUR)
-
-
 def overlap_matrix(spark, d):
     return metrics.overlap_matrix(src.intervals(spark, d, LONG), src.reference_intervals(spark, d, LONG), KEY, HOUR)
 
@@ -52,13 +49,8 @@ def interval_coverage(spark, d):
     return iv.coverage(src.intervals(spark, d, LONG), src.reference_intervals(spark, d, LONG), KEY, HOUR)
 
 
-def segment_quality(spark, d):
-    return metrics.segment_quality(src.intervals(spark, d, LONG), src.reference_intervals(spark, d, LONG), KEY, HOUR)
-
-
 def duration_stats(spark, d):
-    rows = src.intervals(spark, d)
-    return metrics.duration_stats(rows, (F.col("end_ms") - F.col("start_ms")).cast("double"), F.col("label"))
+    return metrics.duration_stats(src.intervals(spark, d, 6), (F.col("end_ms") - F.col("start_ms")) / 1000, "label")
 
 
 def overlapping_groups(spark, d):
@@ -155,25 +147,21 @@ def chapter_assign(spark, d):
 
 
 def job_join(spark, d):
-    last = sequence.latest(src.results(spark, d), ["job_id"], "line", "status", "text_chars")
+    last = sequence.latest(src.results(spark, d, False), ["job_id"], "line", "status", "text_chars")
     return src.jobs(spark, d).join(last, "job_id", "left").select("job_id", "audio", F.coalesce("status", F.lit("missing_result")).alias("status"), "text_chars")
 
 
-def latest_record(spark, d, whole=False):
-    return sequence.latest(src.results(spark, d, whole), ["job_id"], "line", "status", "text_chars").where("status = 'success'")
-
-
-def latest_record_whole(spark, d):
-    return latest_record(spark, d, True)
+def latest_record(spark, d):
+    return sequence.latest(src.results(spark, d), ["job_id"], "line", "status", "text_chars").where("status = 'success'")
 
 
 def identity_diff(spark, d):
-    a, b = src.jobs(spark, d).select("job_id"), src.results(spark, d).select("job_id")
+    a, b = src.jobs(spark, d).select("job_id"), src.results(spark, d, False).select("job_id")
     return a.subtract(b).withColumn("side", F.lit("missing")).union(b.subtract(a).withColumn("side", F.lit("extra")))
 
 
 def library_list(spark, d):
-    return lib.search(src.library(spark, d), "an", "review").select("meeting_id", "state", "size", "updated_at")
+    return lib.search(src.library(spark, d), " EN ", "processing", "title_asc").select("meeting_id", "title", "state", "updated_at")
 
 
 def library_facets(spark, d):
@@ -181,12 +169,12 @@ def library_facets(spark, d):
 
 
 def library_page(spark, d):
-    return lib.page(src.library(spark, d), [F.desc_nulls_last("size"), F.asc("meeting_id")], 2, 50).select("meeting_id", "state", "size")
+    return lib.page(src.library(spark, d), [F.desc_nulls_last("size"), F.asc("meeting_id")], 2, 50).select("meeting_id", "state", "size", "total", "has_more")
 
 
 def storage_categories(spark, d):
-    kind = F.when(F.col("source").isNull(), "other").when(F.col("source").rlike("[05]$"), "audio").when(F.col("source").rlike("[1-4]$"), "results").otherwise("exports")
-    return src.library(spark, d).groupBy(kind.alias("category")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    rows = src.stored_files(spark, d).groupBy(lib.file_category(F.col("path")).alias("category")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    return rows.withColumn("status", lib.storage_status(F.lit(20_000_000) - F.col("bytes"), 19_900_000, 19_500_000))
 
 
 def transcript_search(spark, d):
@@ -212,29 +200,19 @@ def asof_next(spark, d):
     return lib.as_of(_points(spark, d), src.segments(spark, d), forward=True)
 
 
-def _parts(spark, d) -> DataFrame:
-    b = src.table(spark, d, "benchmark")
-    return b.select("item_id", F.substring("text", 1, 300).alias("a"), F.substring("text", 100, 300).alias("b"))
-
-
 def _edited(spark, d) -> DataFrame:
-    """Whole texts of the benchmark and copies in which every two neighbouring words have changed places."""
-    return src.table(spark, d, "benchmark").select("item_id", F.col("text").alias("a"), F.regexp_replace("text", r"(\S+)(\s+)(\S+)", "$3$2$1").alias("b"))
-
-
-def _bigram_jaccard(b: DataFrame) -> DataFrame:
-    return b.select("item_id", F.round(text.jaccard(F.array_distinct(text.grams(F.col("a"))), F.array_distinct(text.grams(F.col("b")))), 6).alias("similarity"))
+    """Whole texts of the benchmark and of the next item."""
+    b = src.table(spark, d, "benchmark")
+    after = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("b"))
+    return b.select("item_id", F.col("text").alias("a")).join(after, "item_id")
 
 
 def bigram_jaccard(spark, d):
-    return _bigram_jaccard(_parts(spark, d))
-
-
-def bigram_jaccard_whole(spark, d):
-    return _bigram_jaccard(_edited(spark, d))
+    return _edited(spark, d).select("item_id", F.round(text.jaccard(F.array_distinct(text.grams(F.col("a"))), F.array_distinct(text.grams(F.col("b")))), 6).alias("similarity"))
 
 
-def _bigram_cosine(b: DataFrame) -> DataFrame:
+def bigram_cosine(spark, d):
+    b = _edited(spark, d)
     one = b.select("item_id", F.explode(text.grams(F.col("a"))).alias("g"), F.lit(1).alias("x"), F.lit(0).alias("y"))
     two = b.select("item_id", F.explode(text.grams(F.col("b"))).alias("g"), F.lit(0).alias("x"), F.lit(1).alias("y"))
     n = one.union(two).groupBy("item_id", "g").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
@@ -242,39 +220,33 @@ def _bigram_cosine(b: DataFrame) -> DataFrame:
     return n.groupBy("item_id").agg(F.round(F.when(norm > 0, dot / norm).otherwise(F.lit(0.0)), 6).alias("similarity"))
 
 
-def bigram_cosine(spark, d):
-    return _bigram_cosine(_parts(spark, d))
-
-
-def bigram_cosine_whole(spark, d):
-    return _bigram_cosine(_edited(spark, d))
-
-
 def cohesion_curve(spark, d):
-    return sequence.cohesion(src.segments(spark, d)).select("meeting_id", "idx", F.round("cohesion", 6).alias("cohesion"))
+    return topics.cohesion(src.segments(spark, d)).select("meeting_id", "idx", F.round("cohesion", 6).alias("cohesion"))
 
 
 def topic_boundaries(spark, d):
-    rows = sequence.boundaries(src.segments(spark, d), 2500, 0.2)
-    return rows.select("meeting_id", "idx", "score", F.array_join("reasons", ",").alias("reasons"))
+    rows = topics.boundaries(src.segments(spark, d))
+    return rows.select("meeting_id", "idx", F.round("depth", 6).alias("depth"), "score", F.array_join("reasons", ",").alias("reasons"))
 
 
 def topic_blocks(spark, d):
-    return sequence.topic_blocks(src.segments(spark, d), 2500, 0.2, 400)
+    return topics.blocks(topics.placed(src.segments(spark, d)))
+
 
+def topic_blocks_capped(spark, d):
+    return topics.blocks(topics.split_large(topics.placed(src.segments(spark, d)), 300))
 
-def _char_error_rate(b: DataFrame) -> DataFrame:
-    clean = b.select("item_id", F.regexp_replace("h", "[^ -~]", "").alias("h"), F.regexp_replace("r", "[^ -~]", "").alias("r"))
-    return clean.select("item_id", F.round(text.char_error_rate(F.col("h"), F.col("r")), 6).alias("cer"))
+
+def boundary_reasons(spark, d):
+    return topics.reason_counts(topic_blocks(spark, d))
 
 
 def char_error_rate(spark, d):
-    b = src.table(spark, d, "benchmark")
-    return _char_error_rate(b.select("item_id", F.substring("text", 1, 200).alias("r"), F.substring("text", 11, 200).alias("h")))
+    return _edited(spark, d).select("item_id", F.round(text.char_error_rate(F.col("b"), F.col("a"), None), 6).alias("cer"))
 
 
-def char_error_rate_whole(spark, d):
-    return _char_error_rate(_edited(spark, d).select("item_id", F.col("a").alias("r"), F.col("b").alias("h")))
+def token_error_rate(spark, d):
+    return _edited(spark, d).select("item_id", F.round(text.token_error_rate(F.col("b"), F.col("a")), 6).alias("ter"))
 
 
 def token_estimate(spark, d):
@@ -289,9 +261,11 @@ def content_hash(spark, d):
 def tumbling_context(spark, d):
     core, margin = 60_000, 15_000
     s = src.segments(spark, d).withColumn("mid", F.floor((F.col("start_ms") + F.col("end_ms")) / 2))
-    first, last = F.greatest(F.floor((F.col("mid") - margin) / core), F.lit(0)), F.floor((F.col("mid") + margin) / core)
-    rows = s.withColumn("win", F.explode(F.sequence(first, last)))
-    return rows.select("meeting_id", "win", "segment_id", (F.floor(F.col("mid") / core) == F.col("win")).alias("is_core"))
+    # the last window is that of the meeting's end
+    s = s.withColumn("last", F.greatest(F.ceil(F.max("end_ms").over(Window.partitionBy("meeting_id")) / core) - 1, F.lit(0)))
+    first, last = F.greatest(F.floor((F.col("mid") - margin) / core), F.lit(0)), F.least(F.floor((F.col("mid") + margin) / core), F.col("last"))
+    rows = s.withColumn("win", F.explode(F.sequence(F.least(first, last), last)))
+    return rows.select("meeting_id", "win", "segment_id", (F.least(F.floor(F.col("mid") / core), F.col("last")) == F.col("win")).alias("is_core"))
 
 
 def _samples(spark, d) -> DataFrame:
@@ -303,17 +277,22 @@ def memory_peaks(spark, d):
 
 
 def leak_test(spark, d):
-    return metrics.leak_test(_samples(spark, d), 10.0)
-
-
-def run_flags(spark, d, whole=False):
-    r = src.results(spark, d, whole).groupBy("job_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("bad"), F.sum("text_chars").alias("chars"))
-    flags = F.array_compact(F.array(F.when(F.col("bad") > 0, "has_failures"), F.when(F.col("bad") * 2 > F.col("n"), "mostly_failed"), F.when(F.col("chars") < 100, "little_text"), F.when(F.col("n") >= 6, "many_parts")))
-    return r.select("job_id", F.array_join(flags, ",").alias("flags"))
+    idle = src.table(spark, d, "events").where("event_id % 3 = 0").select(
+        F.col("user_id").alias("key"), F.col("ts").alias("t"), F.col("event_id").alias("id"), (F.col("value") * 1024).alias("available"), (F.col("event_id") % 97 * 100).cast("double").alias("cached"),
+        (F.col("event_id") % 89 * 500).cast("double").alias("rss"), (F.col("value") * 300).alias("cma"),
+    )
+    return metrics.leak_test(idle, 10.0)
 
 
-def run_flags_whole(spark, d):
-    return run_flags(spark, d, True)
+def run_flags(spark, d):
+    r = src.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run")).agg(
+        F.count("*").alias("blocks"), F.sum("l_partkey").alias("p"), F.sum("l_suppkey").alias("s"), F.max("l_linenumber").alias("m"), F.count_if(F.col("l_returnflag") == "R").alias("retries"),
+    )
+    return metrics.run_flags(r.select(
+        "run", "blocks", (F.col("p") % 300).alias("block_chars"), (F.col("s") % 900).alias("overview_chars"), F.when(F.col("p") % 4 == 0, "chapter_summaries").otherwise("timeline").alias("overview_source"), (F.col("s") % 6).alias("chapters"),
+        (F.col("p") % 5).alias("by_speaker"), (F.col("p") % 2).alias("thinking_block"), (F.col("p") % 3).alias("thinking_full"), (F.col("s") % 2).alias("thinking_speaker"), "retries", F.col("m").alias("requests"),
+        (F.col("s") % 20 / 10).alias("chars_per_token"), F.lit(1.3).alias("configured"), (F.col("p") % 7 - 3).alias("empty_fields"),
+    ))
 
 
 def chunk_plan(spark, d):
@@ -326,7 +305,7 @@ def budget_prefix(spark, d):
 
 def bin_packing(spark, d):
     s = src.segments(spark, d)
-    return packing.best_fit(s.select("meeting_id", F.col("segment_id").alias("item"), F.length("text").cast("long").alias("cost")), 1500)
+    return packing.best_fit(s.select("meeting_id", F.col("segment_id").alias("item"), F.col("idx").alias("first"), F.length("text").cast("long").alias("cost")), 1500)
 
 
 def reduce_tree(spark, d):
@@ -344,14 +323,11 @@ def stream_counts(spark, d):
 
 
 QUERIES = [
-    interval_islands, merge_same_label, coverage_gaps, pad_and_split, gap_absorption, overlap_matrix, interval_coverage, segment_quality, duration_stats,
-    overlapping_groups, canonical_transcript, transcript_stats, timeline_text, merge_turns, speaker_fill, speaker_stats, speaker_documents, top2_evidence,
-    ref_repairs, evidence_table, first_claim, evidence_tolerance, contiguous_ranges, chapter_assign, job_join, latest_record, identity_diff, library_list,
-    library_facets, library_page, storage_categories, transcript_search, draft_overlay, asof_active, asof_next, bigram_jaccard, bigram_cosine,
-    cohesion_curve, topic_boundaries, topic_blocks, char_error_rate, token_estimate, content_hash, tumbling_context, memory_peaks, leak_test, run_flags,
-    chunk_plan, budget_prefix, bin_packing, reduce_tree, stream_counts,
-    # whole inputs, where the SQL of the query without _whole is over parts of texts or of jobs
-    bigram_jaccard_whole, bigram_cosine_whole, char_error_rate_whole, latest_record_whole, run_flags_whole,
+    interval_islands, merge_same_label, coverage_gaps, pad_and_split, overlap_matrix, interval_coverage, duration_stats, overlapping_groups, canonical_transcript, transcript_stats,
+    timeline_text, merge_turns, speaker_fill, speaker_stats, speaker_documents, top2_evidence, ref_repairs, evidence_table, first_claim, evidence_tolerance, contiguous_ranges, chapter_assign,
+    job_join, latest_record, identity_diff, library_list, library_facets, library_page, storage_categories, transcript_search, draft_overlay, asof_active, asof_next, bigram_jaccard, bigram_cosine,
+    cohesion_curve, topic_boundaries, topic_blocks, topic_blocks_capped, boundary_reasons, char_error_rate, token_error_rate, token_estimate, content_hash, tumbling_context, memory_peaks, leak_test,
+    run_flags, chunk_plan, budget_prefix, bin_packing, reduce_tree, stream_counts,
 ]
 
 
@@ -360,8 +336,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | more.SQL

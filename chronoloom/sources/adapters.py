@@ -41,8 +41,8 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("audio"))
 
 
-def results(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """(job_id, line, status, text_chars): results in order of arrival; a third of the jobs has none, or with ``whole`` all have theirs."""
+def results(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """(job_id, line, status, text_chars): results in order of arrival; without ``whole`` a third of the jobs has none."""
     rows = table(spark, sf_dir, "lineitem")
     if not whole:
         rows = rows.where("l_orderkey % 3 <> 0")
@@ -50,11 +50,53 @@ def results(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("line"), status.alias("status"), F.col("l_suppkey").alias("text_chars"))
 
 
+STATES = ("created", "recording", "uploading", "processing", "review_ready", "finalizing", "finalized", "failed", "cancelled")
+PATHS = ("exports/formal_minutes.html", "source.wav", "upload.part", "result.json", "processing.wav", "notes.txt", "source.MP3", "a/Exports/x.bin")
+
+
+def pick(values: tuple, number: str) -> F.Column:
+    """The value at a place from 0."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.expr(f"cast({number} as int)") + 1)
+
+
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(meeting_id, title, state, size, updated_at): a library of recordings."""
+    """(meeting_id, title, state, audio_state, size, created_at, updated_at): a library of recordings."""
     docs = table(spark, sf_dir, "documents")
-    states = F.array(*[F.lit(s) for s in ("created", "uploaded", "queued", "running", "draft", "review", "final", "failed", "deleted")])
     return docs.select(
-        F.col("doc_id").alias("meeting_id"), F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("title"), F.element_at(states, (F.col("doc_id") % 9 + 1).cast("int")).alias("state"),
-        F.col("n_chars").cast("long").alias("size"), (F.col("doc_id") * 7919 % 100003).alias("updated_at"), "source", "lang",
+        F.col("doc_id").alias("meeting_id"), F.concat_ws(" ", "lang", "source", F.col("doc_id").cast("string")).alias("title"), pick(STATES, "doc_id % 9").alias("state"),
+        pick(("available", "deleted", None), "floor(doc_id / 9) % 3").alias("audio_state"), F.col("n_chars").cast("long").alias("size"), (F.col("doc_id") * 7919 % 100003).alias("created_at"), (F.col("doc_id") * 104729 % 100003).alias("updated_at"),
+    )
+
+
+def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("meeting_id"), pick(PATHS, "doc_id % 8").alias("path"), F.col("n_chars").cast("long").alias("size"))
+
+
+def segment_name(number: F.Column) -> F.Column:
+    return F.concat(F.lit("seg-"), F.lpad(number.cast("string"), 6, "0"))
+
+
+def summary_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary's facts, one of five fields a segment, with faults: placeholders, unknown refs, owners and deadlines nobody gave."""
+    i = F.col("idx")
+    return segments(spark, sf_dir).select(
+        "meeting_id", pick(("chapters", "speakers", "key_points", "decisions", "action_items"), "idx % 5").alias("field"), F.floor(i / 5).alias("pos"),
+        F.when(i % 7 == 3, "none").otherwise(F.concat(F.lit("item "), (i % 4).cast("string"))).alias("text"), F.when(i % 11 != 5, F.concat(F.lit("about "), (i % 3).cast("string"))).alias("overview"),
+        F.array(segment_name(i), segment_name(i + 1), segment_name(i), F.lit("seg-999999")).alias("refs"), "speaker", F.when(i % 2 == 0, "speaker_1").otherwise("somebody").alias("owner"),
+        F.when(F.col("meeting_id") % 3 == 0, F.substring("text", 1, 5)).otherwise("never said").alias("deadline"), F.when((F.col("meeting_id") % 13 == 0), "seg-999999").alias("start_ref"), F.lit(None).cast("string").alias("end_ref"),
+    )
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that say something, as turns numbered from 1."""
+    return segments(spark, sf_dir).where("trim(text) <> ''").select("meeting_id", (F.col("idx") + 1).alias("turn_id"), "speaker", "start_ms", "end_ms", "text")
+
+
+def map_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of map outputs with the turns that they name, some empty, unclear or of no turn."""
+    i = F.col("idx")
+    ids = F.when(i % 5 == 4, F.array().cast("array<long>")).otherwise(F.array_compact(F.array(i + 1, i + 2, F.when(i % 3 == 0, F.lit(999).cast("long")))))
+    return segments(spark, sf_dir).select(
+        "meeting_id", pick(("decisions", "risks"), "idx % 2").alias("field"), i.alias("pos"), F.when(i % 5 == 2, "").otherwise("text").alias("text"), F.when(i % 4 == 1, "未明确").alias("owner"), F.lit(None).cast("string").alias("due"), ids.alias("turn_ids"),
     )
