@@ -266,7 +266,7 @@ def sample_metrics(spark, d):
 
 
 TEXTS = f"""{SEG}, rf AS (SELECT meeting_id, idx AS id, start_ms + 1500 AS start_ms, end_ms + 1500 AS end_ms, text FROM s),
-tr AS (SELECT s.meeting_id, s.idx AS id, s.speaker, s.start_ms, s.end_ms, s.text, count(rf.id) AS n_ref, CAST(coalesce(sum(least(s.end_ms, rf.end_ms) - greatest(s.start_ms, rf.start_ms)), 0) AS BIGINT) AS ref_ms, trim(regexp_replace(coalesce(string_agg(rf.text, ' ' ORDER BY rf.start_ms, rf.id), ''), '\\s+', ' ', 'g')) AS ref_text
+tr AS (SELECT s.meeting_id, s.idx AS id, s.speaker, s.start_ms, s.end_ms, s.text, count(rf.id) AS n_ref, CAST(coalesce(sum(CASE WHEN rf.id IS NOT NULL THEN least(s.end_ms, rf.end_ms) - greatest(s.start_ms, rf.start_ms) END), 0) AS BIGINT) AS ref_ms, trim(regexp_replace(coalesce(string_agg(rf.text, ' ' ORDER BY rf.start_ms, rf.id), ''), '\\s+', ' ', 'g')) AS ref_text
  FROM s LEFT JOIN rf ON rf.meeting_id = s.meeting_id AND s.start_ms < rf.end_ms AND rf.start_ms < s.end_ms AND s.end_ms > s.start_ms AND rf.end_ms > rf.start_ms GROUP BY ALL)"""
 DISTANCE = "regexp_replace(lower(regexp_replace({}, '<[^>]+>', '', 'g')), '[^0-9a-z一-鿿]', '', 'g')"
 
