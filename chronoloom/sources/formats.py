@@ -71,7 +71,7 @@ def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_document_or_null(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(source, doc) of JSON documents; null where one doesn't parse."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source"), F.from_json("value", schema).alias("doc"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source"), F.when(F.expr("try_parse_json(value)").isNotNull(), F.from_json("value", schema)).alias("doc"))
 
 
 def read_strict_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -147,7 +147,7 @@ def check_timeline(rows: DataFrame) -> DataFrame:
 
     order = Window.partitionBy("source").orderBy("line")
     why = F.array_compact(F.array(F.when(F.lag("segment_id").over(order) >= F.col("segment_id"), "not_increasing"), F.when(F.col("end_s") <= F.col("start_s"), "end_before_start"), F.when(F.trim("text") == "", "blank_text")))
-    return rows.select("segment_id", F.explode(why).alias("check"))
+    return rows.withColumn("_why", why).select("segment_id", F.explode("_why").alias("check"))
 
 
 def write_lines(rows: DataFrame, line: Column, path: str, order: list[Column]) -> None:
