@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import discard, materialize, small_batches, tidy
-from chronoloom.llm.words import PLAIN, Words, raw_strings, string_column, text_buffers, text_blocks
+from chronoloom.llm.words import PLAIN, ShardWords, Words, raw_strings, string_column, text_buffers, text_blocks
 
 #: Bytes of benchmark text in a block, and words in a piece of an item.
 BLOCK_BYTES, PIECE = 4 << 20, 20_000
@@ -177,7 +177,7 @@ class Windows:
         out[maybe] = np.where(self.hashes[at] == h[maybe], at + 1, 0) if len(self.hashes) else 0
         return out
 
-    def occurrences(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def occurrences(self, words: Words | ShardWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hit flag of each word, then texts and items that occur in them, each pair once)."""
         hit, none = np.zeros(len(words) + 1, np.int64), np.zeros(0, np.int64)
         if not self.groups or not len(words):
@@ -221,7 +221,7 @@ class Windows:
         return np.cumsum(hit[:-1]) > 0, text, item
 
 
-def _spans(hit: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spans(hit: np.ndarray, words: ShardWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, end) of maximal runs of hit words, counted from a text's first word."""
     begin = np.zeros(len(hit) + 1, bool)
     begin[words.at] = True
@@ -251,7 +251,7 @@ def _lists(of: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), values)
 
 
-def _found(windows: Windows, words: Words) -> tuple[pa.Array, pa.Array]:
+def _found(windows: Windows, words: ShardWords) -> tuple[pa.Array, pa.Array]:
     """(removal spans, items) of each text of a shard."""
     n, (hit, text, item) = len(words.at) - 1, windows.occurrences(words)
     of, start, end = _spans(hit, words)
@@ -263,7 +263,7 @@ def _search(windows, keep: list[str], text_col: str):
     """Each row with n_words, spans and items of one block of windows."""
     def run(batches):
         for part, raw, at in text_blocks(batches, text_col, SHARD_BYTES):
-            words = Words(raw, at, PLAIN)
+            words = ShardWords(raw, at, PLAIN)
             yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), pa.array(np.diff(words.at), pa.int64()), *_found(windows.value, words)], [*keep, *OWN])
 
     return run
@@ -358,7 +358,7 @@ def _cutter(names: list[str], text_col: str, windows=None):
 
     def run(batches):
         for part, raw, ends in text_blocks(batches, text_col, SHARD_BYTES):
-            words, column = Words(raw, ends, PLAIN), part.column(part.schema.get_field_index(text_col))
+            words, column = ShardWords(raw, ends, PLAIN), part.column(part.schema.get_field_index(text_col))
             if windows is not None:
                 of, start, end = _spans(windows.value.occurrences(words)[0], words)
                 spans: dict[int, list[tuple[int, int]]] = {}

@@ -98,15 +98,43 @@ class Words:
         return long, mix((self._total[first + n_bytes] - self._total[first]) * self._back[long] + np.uint64(n_bytes))
 
 
+def _cuts(at: np.ndarray, block_bytes: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of about ``block_bytes``; a longer text is a range of its own."""
+    lo = 0
+    while lo < len(at) - 1:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + block_bytes, side="right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+class ShardWords:
+    """The words of a large block of texts, as ``Words`` has them, hashed a smaller block at a time.
+
+    So the arrays of a number a byte are as long as a small block, and only those of a number a word as long as the whole.
+    """
+
+    def __init__(self, raw: np.ndarray, at: np.ndarray, kind: np.ndarray, block_bytes: int = 1 << 19):
+        none = np.zeros(0, np.int64)
+        hashes, starts, ends, begins, n = [np.zeros(0, np.uint64)], [none], [none], [none], 0
+        for lo, hi in _cuts(at, block_bytes):
+            words = Words(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], kind)
+            hashes.append(words.hash)
+            starts.append(words.start + at[lo])
+            ends.append(words.end + at[lo])
+            begins.append(words.at[:-1] + n)
+            n += len(words)
+        self.hash, self.start, self.end, self.at = (np.concatenate(x) for x in (hashes, starts, ends, [*begins, np.array([n])]))
+
+    def __len__(self) -> int:
+        return len(self.hash)
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", block_bytes: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Arrow batches cut into blocks of whole texts of about ``block_bytes``; a longer text is a block of its own."""
     for batch in batches:
         raw, at = text_buffers(batch.column(batch.schema.get_field_index(column)))
-        lo, n = 0, batch.num_rows
-        while lo < n:
-            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + block_bytes, side="right")) - 1)
+        for lo, hi in _cuts(at, block_bytes):
             yield batch.slice(lo, hi - lo), raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-            lo = hi
 
 
 def word_blocks(batches: Iterator[pa.RecordBatch], kind: np.ndarray, column: str = "text", block_bytes: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, Words]]:

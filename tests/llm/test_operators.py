@@ -6,11 +6,12 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronoloom.llm import queries
+from chronoloom.llm import queries, words
 from chronoloom.llm.chat_format import escape, fold_events, unescape
 from chronoloom.llm.common import connected_components
 from chronoloom.llm.license_scan import PHRASES, scan_licenses
@@ -551,3 +552,12 @@ def test_pipeline_stages_take_effect(spark, docs):
     mixed = rows(corpus_pipeline.mixing(spark, texts, DIR))
     want = {r["doc_id"]: r["taken"] for r in rows(Q["op8_source_mixing"](spark, DIR)) if r["taken"] > 0}
     assert {r["doc_id"]: r["taken"] for r in mixed} == want and set(docs[0]) < set(mixed[0])
+
+
+@pytest.mark.parametrize("block_bytes", [1, 7, 64, 1 << 19])
+def test_words_of_a_shard_are_those_of_its_blocks(block_bytes):
+    for texts in ([], [""], ["", None, "a b"], ["Ab, c" * (i % 9) + " é x" for i in range(50)]):
+        raw, at = words.text_buffers(pa.array(texts, pa.string()))
+        want, got = words.Words(raw, at, words.PLAIN), words.ShardWords(raw, at, words.PLAIN, block_bytes)
+        for part in ("hash", "start", "end", "at"):
+            assert getattr(got, part).tolist() == getattr(want, part).tolist()
