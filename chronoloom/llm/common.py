@@ -107,32 +107,63 @@ def scratch_tables(spark: SparkSession) -> Iterator[None]:
             _remove(spark, path)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """A name that isn't among the taken ones; Spark doesn't tell upper case from lower case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def but_own(columns: list[str], *own: str) -> list[str]:
+    """The columns whose names aren't an operator's own, in any case."""
+    low = {c.lower() for c in own}
+    return [c for c in columns if c.lower() not in low]
+
+
+def place_of(df: DataFrame, column: str) -> int:
+    return [c.lower() for c in df.columns].index(column.lower())
+
+
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """The same columns under the names c0, c1, .. whatever the caller calls them."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def _bit_table(ids: DataFrame, key: str, bits: int) -> DataFrame:
     slot = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
-    table = ids.select(slot.alias("_slot")).select((F.col("_slot") / 64).cast("long").alias("_word"), F.expr("shiftleft(1L, cast(_slot % 64 as int))").alias("_bit"))
-    return table.groupBy("_word").agg(F.expr("bit_or(_bit)").alias("_bits"))
+    table = ids.select(slot.alias("slot")).select((F.col("slot") / 64).cast("long").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
+    return table.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits"))
 
 
-def _marked(df: DataFrame, ids: DataFrame, key: str, bits: int) -> DataFrame:
-    marked = df.withColumn("_slot", F.pmod(F.xxhash64(F.col(key)), F.lit(bits))).withColumn("_word", (F.col("_slot") / 64).cast("long"))
-    marked = marked.join(F.broadcast(_bit_table(ids, key, bits)), "_word", "left")
-    return marked.withColumn("_maybe", F.expr("coalesce((shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1L) = 1L, false)"))
+def _marked(df: DataFrame, ids: DataFrame, key: str, bits: int) -> tuple[DataFrame, str]:
+    """(the rows with numbered columns and ``maybe``, the name of the key)."""
+    own = f"c{place_of(df, key)}"
+    marked = numbered_columns(df).withColumn("slot", F.pmod(F.xxhash64(F.col(own)), F.lit(bits))).withColumn("word", (F.col("slot") / 64).cast("long"))
+    marked = marked.join(F.broadcast(_bit_table(ids, key, bits)), "word", "left")
+    return marked.withColumn("maybe", F.expr("coalesce((shiftrightunsigned(bits, cast(slot % 64 as int)) & 1L) = 1L, false)")), own
 
 
 def sift(df: DataFrame, ids: DataFrame, key: str, bits: int = 1 << 25) -> DataFrame:
     """Rows of ``df`` whose key may be among ``ids``: a bit table of fixed size in front of an exact join.
 
     The table has bits/64 rows at most (8 MB), so it is broadcast whatever the number of ids; with very many ids it
-    only lets more rows through.
+    only lets more rows through. Columns of any name are kept as they are.
     """
-    return _marked(df, ids, key, bits).where("_maybe").select(*df.columns)
+    marked, _ = _marked(df, ids, key, bits)
+    return marked.where("maybe").select(*[f"c{i}" for i in range(len(df.columns))]).toDF(*df.columns)
 
 
 def without(df: DataFrame, ids: DataFrame, key: str, bits: int = 1 << 25) -> DataFrame:
-    """Rows of ``df`` whose key isn't among ``ids``: only rows that the bit table can't clear are shuffled to an exact join."""
-    marked = _marked(df, ids, key, bits)
-    clear, maybe = marked.where("not _maybe").select(*df.columns), marked.where("_maybe").select(*df.columns)
-    return clear.union(maybe.join(ids.select(key), key, "left_anti").select(*df.columns))
+    """Rows of ``df`` whose key isn't among ``ids``: only rows that the bit table can't clear are shuffled to an exact join.
+
+    Columns of any name are kept as they are.
+    """
+    marked, own = _marked(df, ids, key, bits)
+    names = [f"c{i}" for i in range(len(df.columns))]
+    clear, maybe = marked.where("not maybe").select(*names), marked.where("maybe").select(*names)
+    gone = ids.select(F.col(key).alias(own))
+    return clear.union(maybe.join(gone, own, "left_anti").select(*names)).toDF(*df.columns)
 
 
 def _lowest(links: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import discard, materialize, small_batches, tidy
+from chronoloom.llm.common import discard, free_name, materialize, numbered_columns, place_of, small_batches, tidy
 from chronoloom.llm.words import PLAIN, ShardWords, Words, raw_strings, string_column, text_buffers, text_blocks
 
 #: Bytes of benchmark text in a block, and words in a piece of an item.
@@ -144,7 +144,11 @@ class Windows:
     """The distinct windows of a block of pieces of benchmark items, as arrays."""
 
     def __init__(self, items: list[str], words: Words, size: int):
-        self.items, owner = np.unique(np.array(items, dtype=object).astype(str), return_inverse=True) if items else (np.zeros(0, str), np.zeros(0, np.int64))
+        names = sorted(set(items))
+        number = {item: i for i, item in enumerate(names)}
+        self.items = np.empty(len(names), object)
+        self.items[:] = names
+        owner = np.array([number[item] for item in items], np.int64)
         self.hashes, ids = np.unique(words.hash, return_inverse=True)
         ids = (ids + 1).astype(np.int32)
         n = np.diff(words.at)
@@ -336,7 +340,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, te
     if n_blocks == 1:
         windows = spark.sparkContext.broadcast(_windows(pieces, 0, size))
         return docs.mapInArrow(_search(windows, docs.columns, text_col), _ddl(docs, docs.columns) + own)
-    row, keep = _row_name(docs), docs.columns
+    row, keep = free_name(docs.columns, "_row"), docs.columns
     docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     hits = materialize(_merge(docs, row, pieces, n_blocks, size, text_col), "merged")
     nothing = spark.sparkContext.broadcast(Windows([], Words(np.zeros(0, np.uint8), np.zeros(1, np.int64), PLAIN), size))
@@ -345,13 +349,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, te
     return counted.join(hits, row, "left").select(*keep, "n_words", *none)
 
 
-def _row_name(docs: DataFrame) -> str:
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
-    return row
-
-
 def _cutter(names: list[str], text_col: str, windows=None):
     """Rows without the spans that the windows hit, or that the column ``removal_spans`` lists."""
     at = names.index(text_col)
@@ -385,16 +382,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_co
     Null texts stay null; a text that is hit as a whole becomes what stands around its words. All columns are kept; a column
     called removal_spans stays as it is. Empty tables give empty results or unchanged rows.
     """
-    spark, names = docs.sparkSession, docs.columns
+    spark, names, text = docs.sparkSession, docs.columns, f"c{place_of(docs, text_col)}"
     small_batches(spark)
     pieces, n_blocks = _blocks(benchmark, size, "item_id", "text")
+    docs = numbered_columns(docs)
     if n_blocks == 1:
         windows = spark.sparkContext.broadcast(_windows(pieces, 0, size))
         discard(pieces)
-        return docs.mapInArrow(_cutter(names, text_col, windows), docs.schema)
-    row = _row_name(docs)
-    held = materialize(docs.select(F.struct(*names).alias("held"), F.col(text_col).alias(text_col), F.monotonically_increasing_id().alias(row)), "numbered")
-    hits = materialize(_merge(held, row, pieces, n_blocks, size, text_col), "merged")
-    marked = held.select("held", F.col(text_col), row).join(hits.select(row, "removal_spans"), row, "left").select("held", text_col, "removal_spans")
-    cut = marked.mapInArrow(_cutter(["held", text_col], text_col), f"held {held.schema['held'].dataType.simpleString()}, `{text_col}` {docs.schema[text_col].dataType.simpleString()}")
-    return cut.select(*[F.col(text_col) if c == text_col else F.col("held")[c].alias(c) for c in names])
+        return docs.mapInArrow(_cutter(docs.columns, text, windows), docs.schema).toDF(*names)
+    held = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    hits = materialize(_merge(held, "row", pieces, n_blocks, size, text), "merged")
+    marked = held.join(hits.select("row", "removal_spans"), "row", "left").select(*docs.columns, "removal_spans")
+    return marked.mapInArrow(_cutter(docs.columns, text), docs.schema).toDF(*names)

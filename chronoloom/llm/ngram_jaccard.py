@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import connected_components, discard, materialize, sift, small_batches, tidy, without
+from chronoloom.llm.common import connected_components, discard, materialize, numbered_columns, place_of, sift, small_batches, tidy, without
 from chronoloom.llm.words import SPACED, Words, long_lists, mix, sum_by, text_blocks
 
 _Q = 0xD6E8FEB86659FD93
@@ -580,13 +580,11 @@ def one_of_each_group(docs: DataFrame, percent: int = 75, k: int = 5, id_col: st
     on the id, the one of the smallest number stays. Texts without words, empty and null ones are kept. All columns are kept. Empty tables
     give empty results. Documents that stay aren't shuffled, as long as a bit table can tell that they do.
     """
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    groups = materialize(ngram_jaccard_components(numbered.select(row, text_col), percent, k, row, text_col).select(F.col("doc_id").alias(row), "component_id"), "groups")
-    named = numbered.select(row, F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).join(groups, row)
-    first = named.groupBy("component_id").agg(F.min(F.struct("none", "id", row)).alias("kept")).select(F.col("kept")[row].alias(row))
-    gone = materialize(groups.join(first, row, "left_anti").select(row), "gone")
+    id_, text = f"c{place_of(docs, id_col)}", f"c{place_of(docs, text_col)}"
+    numbered = materialize(numbered_columns(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    groups = materialize(ngram_jaccard_components(numbered.select("row", text), percent, k, "row", text).select(F.col("doc_id").alias("row"), "component_id"), "groups")
+    named = numbered.select("row", F.col(id_).isNull().alias("none"), F.col(id_).alias("id")).join(groups, "row")
+    first = named.groupBy("component_id").agg(F.min(F.struct("none", "id", "row")).alias("kept")).select("kept.row")
+    gone = materialize(groups.join(first, "row", "left_anti").select("row"), "gone")
     discard(groups)
-    return without(numbered, gone, row).drop(row)
+    return without(numbered, gone, "row").drop("row").toDF(*docs.columns)

@@ -13,7 +13,7 @@ points, ends exclusive.
 
 Edge cases: null, empty and blank texts have no spans. Long runs of digits or letters are read once, not once per
 start. Repeated rows are each answered. Empty tables give empty results. Extra columns are kept by ``find_personal_data``
-where they don't clash with ``spans``.
+where they don't clash with ``spans``, in upper or lower case.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import small_batches
+from chronoloom.llm.common import but_own, free_name, place_of, small_batches
 from chronoloom.llm.words import raw_strings, string_column, text_blocks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -242,12 +242,13 @@ def spans_of(text: bytes, model: SpanModel) -> list[tuple[str, int, int]]:
 def find_personal_data(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` (or the columns ``keep`` of it) with spans: array of (kind, start, end) in code points."""
     model = train(docs, text_col)
-    keep = tuple(c for c in (docs.columns if keep is None else keep) if c != "spans")
+    keep = but_own(docs.columns if keep is None else list(keep), "spans")
+    held = free_name(keep, "text")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", spans array<struct<kind: string, start: long, end: long>>"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for batch, raw, at in text_blocks(batches, "_text"):
+        for batch, raw, at in text_blocks(batches, held):
             out: list = [[] for _ in range(batch.num_rows)]
             for i in _interesting(raw, at).tolist():
                 text = raw[at[i] : at[i + 1]].tobytes()
@@ -256,7 +257,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", keep: tuple[str,
                 out[i] = [{"kind": k, "start": points[2 * j], "end": points[2 * j + 1]} for j, (k, _, _) in enumerate(found)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], [*keep, "spans"])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias(held)).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -266,7 +267,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     cleaned. Empty tables give empty results; all columns are kept.
     """
     model = train(docs, text_col)
-    at_col, names = docs.columns.index(text_col), docs.columns
+    at_col, names = place_of(docs, text_col), docs.columns
 
     def cleaned(text: bytes) -> bytes:
         # overlapping spans of several kinds become one, named after the first

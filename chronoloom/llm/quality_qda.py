@@ -11,7 +11,7 @@ Labels, language, source and id are never inputs of a score.
 Edge cases: null, empty and blank texts have the statistics of an empty text. A document labelled several times counts by
 its mean label, 0.5 upwards as good; null labels don't count. With labels of one class only, or none, every score is 0.5.
 Repeated rows are each answered. Empty tables give empty results. Extra columns are kept by ``score_quality`` where
-they don't clash with its own.
+they don't clash with its own, in upper or lower case.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import discard, materialize, sift, small_batches, tidy
+from chronoloom.llm.common import but_own, discard, free_name, materialize, sift, small_batches, tidy
 from chronoloom.llm.words import SPACED, Words, sum_by, text_blocks
 
 FEATURES = (
@@ -106,16 +106,17 @@ def document_statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 def describe(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``stats`` in place of the text."""
     small_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in (text_col, "stats")]
+    keep = but_own(docs.columns, text_col, "stats")
+    held = free_name(keep, "text")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", stats array<double>"
 
     def run(batches):
-        for batch, raw, at in text_blocks(batches, "_text"):
+        for batch, raw, at in text_blocks(batches, held):
             x = np.nan_to_num(document_statistics(raw, at))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*keep, "stats"])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias(held)).mapInArrow(run, schema)
 
 
 class Discriminant:
@@ -183,7 +184,7 @@ def fold(id_col: str, folds: int) -> F.Column:
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out_fold: int = 1) -> DataFrame:
     """``docs`` without their texts, with held_out, score and predicted."""
     own = ("held_out", "score", "predicted", "stats")
-    keep = [c for c in docs.columns if c not in (text_col, *own)]
+    keep = but_own(docs.columns, text_col, *own)
     described = materialize(describe(docs.select(*keep, text_col), text_col), "quality_stats")
     model = fit(described, labels.where(F.coalesce(fold(id_col, folds) != held_out_fold, F.lit(True))), id_col, label_col)
     schema = ", ".join(f"`{c}` {described.schema[c].dataType.simpleString()}" for c in keep) + ", score double"

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import discard, materialize, tidy
+from chronoloom.llm.common import but_own, discard, materialize, tidy
 
 MOST_EPOCHS = 3
 #: Ranges into which a range of keys is divided, as a power of two; rows of a range that one task sorts.
@@ -59,7 +59,7 @@ def fill_targets(sources: DataFrame, weights: int = 3) -> DataFrame:
         "k": F.row_number().over(order),
         "total": F.sum("source_size").over(everything),
         "full": F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "open_weight": F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+        "open_weight": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     })
     # the first source in this order that stays below its cap fixes what one unit of weight gets
     opens = F.col("cap") * F.col("open_weight") >= (F.col("total") - F.col("full")) * F.col("weight")
@@ -126,7 +126,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
-    """All rows of ``docs`` with size, source_size, target and taken; columns of these names are replaced."""
-    held = F.struct(*[F.col(c) for c in docs.columns if c not in OWN]).alias("_held")
+    """All rows of ``docs`` with size, source_size, target and taken; columns of these names, in any case, are replaced."""
+    held = F.struct(*but_own(docs.columns, *OWN)).alias("_held")
     mixed = mix_sources(docs.select(held, F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source")), "_doc", "_text", "_source", seed, ("_held",))
     return mixed.select("_held.*", *OWN)

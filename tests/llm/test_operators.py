@@ -561,3 +561,43 @@ def test_words_of_a_shard_are_those_of_its_blocks(block_bytes):
         want, got = words.Words(raw, at, words.PLAIN), words.ShardWords(raw, at, words.PLAIN, block_bytes)
         for part in ("hash", "start", "end", "at"):
             assert getattr(got, part).tolist() == getattr(want, part).tolist()
+
+
+CLASH = "_slot, _bits, _word, _maybe, _ROW, Score, Stats, Spans, SIZE, Target, N_Words, Removal_Spans, HELD, _TEXT, c0, maybe"
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_columns_of_any_name_keep_their_values(spark, stage):
+    """Extra columns that are called like an operator's own, or differ from them in case only, come out as they went in."""
+    own = {"mixing": ("size", "target", "source_size", "taken")}.get(stage, ())
+    d = spark.read.parquet(f"{DIR}/documents.parquet").selectExpr("*", *[f"concat('{c}', doc_id) as `{c}`" for c in CLASH.split(", ")])
+    got = rows(dict(corpus_pipeline.STAGES)[stage](spark, d, DIR))
+    assert got
+    for r in got:
+        for c in CLASH.split(", "):
+            assert c.lower() in own or r[c] == f"{c}{r['doc_id']}"
+
+
+def test_clashing_columns_of_operators(spark):
+    from chronoloom.llm.common import sift, without
+    from chronoloom.llm.pii_weak import find_personal_data
+    from chronoloom.llm.quality_qda import score_quality
+
+    d = spark.createDataFrame([(i, f"text {i} a@b.org", f"s{i}", f"t{i}", f"w{i}", i % 2) for i in range(30)], "doc_id long, text string, Stats string, Spans string, _Text string, Score int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    assert all(r["_Text"] == f"w{r['doc_id']}" and 0 <= r["score"] <= 1 for r in rows(score_quality(d, labels)))
+    assert all(r["_Text"] == f"w{r['doc_id']}" and r["spans"] for r in rows(find_personal_data(d)))
+    ids = spark.createDataFrame([(3,), (4,)], "doc_id long")
+    marked = d.selectExpr("doc_id", "7 as slot", "8 as Bits", "9 as word", "1 as maybe", "2 as k")
+    kept = rows(without(marked, ids, "doc_id"))
+    assert len(kept) == 28 and all((r["slot"], r["Bits"], r["word"], r["maybe"], r["k"]) == (7, 8, 9, 1, 2) for r in kept)
+    assert {3, 4} <= {r["doc_id"] for r in rows(sift(marked, ids, "doc_id"))}
+
+
+def test_op2_items_that_differ_in_a_nul(spark):
+    from chronoloom.llm.fm_decontam import find_contamination
+
+    text = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([("a", text), ("a\0", text), (None, text)], "item_id string, text string")
+    got = rows(find_contamination(spark.createDataFrame([(1, text)], "doc_id long, text string"), bench))
+    assert sorted(got[0]["item_ids"]) == ["", "a", "a\0"]
