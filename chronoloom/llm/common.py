@@ -17,8 +17,6 @@ _WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary(
 #: The innermost list takes the folders that ``scratch_tables`` removes.
 _SCOPES: list[list[str]] = []
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Parts over which the links of one node are dealt.
-SALTS = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -166,40 +164,37 @@ def without(df: DataFrame, ids: DataFrame, key: str, bits: int = 1 << 25) -> Dat
     return clear.union(maybe.join(gone, own, "left_anti").select(*names)).toDF(*df.columns)
 
 
-def _lowest(links: DataFrame) -> DataFrame:
-    """(u, s, m) for links (u, v, s): the smallest v of each u, for each part s of its links.
+def _star(links: DataFrame) -> DataFrame:
+    """(u, v, m) of links (u, v): m is the smallest of u and all its v.
 
-    Minima go over the parts first, so no task holds all links of a node.
+    The minimum is found by partial aggregation; a node with very many links is one row on the other side of the join, so
+    adaptive execution may split its links.
     """
-    part = links.groupBy("u", "s").agg(F.min("v").alias("m"))
-    low = part.groupBy("u").agg(F.min("m").alias("m"))
-    return part.select("u", "s").join(low, "u")
+    low = links.groupBy("u").agg(F.min("v").alias("low"))
+    return links.join(low, "u").select("u", "v", F.least("u", "low").alias("m"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of an undirected edge list; the component is its smallest node.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014) written as aggregations and joins. The links of a
-    node are dealt over SALTS parts by their other end, so a node with very many links is never gathered in one
-    place. Each round is written to the shared folder and the one before removed. The number of rounds grows with the logarithm
+    Alternating large-star and small-star rounds (Kiveris et al., 2014) written as aggregations and joins. Each round is
+    written to the shared folder and the one before removed. The number of rounds grows with the logarithm
     of the size of a component.
     """
     def tidied(df: DataFrame) -> DataFrame:
         return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("s")
     now = materialize(tidied(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))), "edges")
     while True:
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a")).select("u", "v", salt)
-        low = _lowest(both).select("u", "s", F.least("u", "m").alias("m"))
-        large = tidied(both.join(low, ["u", "s"]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
-        up = large.select(F.col("a").alias("u"), F.col("b").alias("v")).select("u", "v", salt)
-        low = _lowest(up)
-        small = up.join(low, ["u", "s"]).select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        both = now.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
+        large = tidied(_star(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
+        up = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        small = up.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         before, now = now, materialize(tidied(small), "edges")
         discard(before)
-        total, distinct = now.agg(F.count("*"), F.countDistinct("a")).first()
-        if total == distinct and now.join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+        ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.lit(1).alias("own"), F.lit(0).alias("head")), F.struct(F.col("b").alias("u"), F.lit(0).alias("own"), F.lit(1).alias("head")))).alias("e"))
+        ends = ends.groupBy("e.u").agg(F.sum("e.own").alias("own"), F.max("e.head").alias("head"))
+        if ends.where("own > 1 or own = 1 and head = 1").isEmpty():
             break  # every node hangs on one that hangs on none
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
