@@ -1,4 +1,4 @@
-"""DuckDB SQL of the corpus queries that SQL can express. The rest (op3, op4, op9, op10) is tested against brute force and held-out rows."""
+"""DuckDB SQL of the corpus queries that SQL can express. The rest (op3, op4, op9, op10, op11) is tested against brute force and held-out rows."""
 
 from __future__ import annotations
 
@@ -86,7 +86,53 @@ p AS (SELECT d.*, b.source_size, target, epochs, budget - epochs * b.source_size
  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, CAST(target AS DOUBLE) AS target, CAST(epochs * size + greatest(0, least(size, rest)) AS BIGINT) AS taken FROM p"""
 
+
+
+def _crc32(x: str) -> str:
+    """crc32 of a value's decimal digits: a byte, then eight shifts, each time."""
+    shift = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, q: xor(p >> 1, (p & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda a, b: {shift}), 4294967295)"
+
+
+OP12 = f"""WITH RECURSIVE o AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, md5(strlen(r) || ':' || r || t)) AS pos, r, t
+ FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations)),
+c AS MATERIALIZED (SELECT conv_id, max(pos) AS own, conv_id - conv_id % 20 AS first, {_crc32('conv_id')} % 4 AS h FROM o GROUP BY conv_id),
+k AS (SELECT c.*, c.h - least(c.h, coalesce(f.own, 0)) AS shift FROM c LEFT JOIN c f ON f.conv_id = c.first),
+b AS (SELECT c.conv_id, o.pos AS d, r, t FROM c JOIN o ON o.conv_id = c.first AND o.pos <= c.h UNION ALL SELECT k.conv_id, pos - shift, r, t FROM o JOIN k ON o.conv_id = k.conv_id AND o.pos > k.h),
+p AS MATERIALIZED (SELECT conv_id, d, md5(string_agg(strlen(r) || ':' || r || strlen(t) || ':' || t, '') OVER w) AS k, len(regexp_extract_all(t, '{SPACED}')) AS words FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY d)
+ UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+q AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY d) AS pk, max(d) OVER (PARTITION BY conv_id) AS n FROM p),
+v AS MATERIALIZED (SELECT d, k, any_value(pk) AS pk, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = n), '')) AS ends FROM q GROUP BY d, k),
+w AS MATERIALIZED (SELECT v.*, (SELECT count(*) FROM v x WHERE x.d = v.d + 1 AND x.pk = v.k) AS n_children FROM v),
+u AS (SELECT d, k, pk, n_convs, words, n_children, d AS ad, k AS ak, pk AS apk FROM w UNION ALL SELECT u.d, u.k, u.pk, u.n_convs, u.words, u.n_children, w.d, w.k, w.pk FROM u JOIN w ON u.ad > 0 AND w.d = u.ad - 1 AND w.k = u.apk),
+t AS (SELECT ad, ak, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved FROM u GROUP BY ad, ak)
+SELECT w.conv_id, w.d AS depth, y.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved AS saved_tokens, w.ends AS ends_sha256
+FROM w JOIN t ON t.ad = w.d AND t.ak = w.k LEFT JOIN w y ON y.d = w.d - 1 AND y.k = w.pk"""
+
+
+def _leaf(n_chars: str) -> str:
+    def told(x: str) -> str:
+        return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || {x} END"
+
+    return f"sha256({' || '.join(map(told, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+_RUNS = "sha256(string_agg(h, '' ORDER BY pos))"
+_FOLD = "sha256(CASE WHEN pos % 2 = 1 THEN coalesce(s.h, '') ELSE '' END || acc || CASE WHEN pos % 2 = 1 THEN '' ELSE coalesce(s.h, '') END)"
+OP13 = f"""WITH RECURSIVE l AS MATERIALIZED (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+ FROM (SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, CASE WHEN {_crc32('doc_id')} % 7 = 0 THEN {_leaf('(n_chars + 1)')} ELSE {_leaf('n_chars')} END AS changed FROM documents)),
+n AS MATERIALIZED (SELECT lang, 0 AS k, pos, leaf AS h FROM l UNION ALL SELECT lang, k + 1, pos // 2, {_RUNS} FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS several FROM n) WHERE several > 1 GROUP BY lang, k, pos // 2),
+g AS MATERIALIZED (SELECT lang, max(k) AS top, arg_max(h, k) AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM n GROUP BY lang),
+m AS MATERIALIZED (SELECT 0 AS k, pos, subroot AS h FROM g UNION ALL SELECT k + 1, pos // 2, {_RUNS} FROM (SELECT *, count(*) OVER () AS several FROM m) WHERE several > 1 GROUP BY k, pos // 2),
+a AS MATERIALIZED (SELECT r, lang, 0 AS k, pos, changed AS acc, '' AS proof FROM l UNION ALL SELECT r, a.lang, a.k + 1, a.pos // 2, {_FOLD.replace('pos', 'a.pos')}, proof || coalesce(s.h, '')
+ FROM a JOIN g ON g.lang IS NOT DISTINCT FROM a.lang AND a.k < g.top LEFT JOIN n s ON s.lang IS NOT DISTINCT FROM a.lang AND s.k = a.k AND s.pos = xor(a.pos, 1)),
+z AS MATERIALIZED (SELECT r, 0 AS k, g.pos AS pos, acc, proof FROM a JOIN g ON g.lang IS NOT DISTINCT FROM a.lang AND a.k = g.top UNION ALL SELECT r, z.k + 1, z.pos // 2, {_FOLD.replace('pos', 'z.pos')}, proof || coalesce(s.h, '')
+ FROM z LEFT JOIN m s ON s.k = z.k AND s.pos = xor(z.pos, 1) WHERE z.k < (SELECT max(k) FROM m))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM l JOIN g ON g.lang IS NOT DISTINCT FROM l.lang JOIN z ON z.r = l.r AND z.k = (SELECT max(k) FROM m), (SELECT h AS root FROM m ORDER BY k DESC LIMIT 1)"""
+
 SQL = {
     "op1_ngram_jaccard_join": OP1, "op2_benchmark_decontamination": OP2, "op5_embedding_near_dedup": OP5, "op6_chat_formatting": OP6,
     "op7_license_scan": OP7, "op8_source_mixing": OP8,
+    "op12_conversation_prefix_trie": OP12, "op13_merkle_manifest": OP13,
 }

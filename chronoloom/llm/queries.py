@@ -12,11 +12,14 @@ from chronoloom.llm.embedding_dedup import embedding_components
 from chronoloom.llm.fm_decontam import find_contamination
 from chronoloom.llm.license_scan import scan_licenses
 from chronoloom.llm.maxent_lm import score_texts
+from chronoloom.llm.merkle_manifest import manifest
 from chronoloom.llm.ngram_jaccard import ngram_jaccard_components
 from chronoloom.llm.oracle import SQL
 from chronoloom.llm.pii_weak import ADDED, KINDS, find_personal_data
+from chronoloom.llm.prefix_trie import prefix_trie
 from chronoloom.llm.quality_qda import score_quality
 from chronoloom.llm.source_mix import mix_sources
+from chronoloom.llm.syncmers import compare_with_next
 from chronoloom.llm.toxicity_chain import score_toxicity
 
 
@@ -86,10 +89,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *added)
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(_read(spark, sf_dir, "documents"))
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_lm_scoring, op4_quality_classifier, op5_embedding_near_dedup, op6_chat_formatting,
-        op7_license_scan, op8_source_mixing, op9_toxicity, op10_pii,
+        op7_license_scan, op8_source_mixing, op9_toxicity, op10_pii, op11_document_fingerprints, op12_conversation_prefix_trie, op13_merkle_manifest,
     ]
     return {f.__name__: f for f in found}
 
