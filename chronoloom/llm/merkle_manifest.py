@@ -85,8 +85,8 @@ def _roots(batches):
     con = _connect()
     for t in _buckets(batches, 2):
         height = _levels(con, t.select(["pos", "digest"]))
-        root = con.execute(f"SELECT digest FROM n{height}").fetchone()[0]
-        yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks()[:1], t.column(1).combine_chunks()[:1], pa.array([height]), pa.array([root])], ["g", "bucket", "height", "root"])
+        root = con.execute(f"SELECT digest FROM n{height}").fetchall()[0][0]
+        yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks()[:1], t.column(1).combine_chunks()[:1], pa.array([height], pa.int32()), pa.array([root])], ["g", "bucket", "height", "root"])
 
 
 def _sibling(k: int) -> tuple[str, str]:
