@@ -358,7 +358,7 @@ def test_edges(spark, odd, kind, name):
             "op10_pii": lambda: (by[7]["n_email"], by[7]["n_ip"], by[7]["n_phone"], by[1]["spans"]) == (1, 1, 1, ""),
             "op5_embedding_near_dedup": lambda: len(got) == 41 and sum(r["vec_id"] is None and not r["kept"] and r["n_links"] == 0 for r in got) == 1,
             "op6_chat_formatting": lambda: any(r["conv_id"] == -7 and r["n_turns"] == 2 for r in got),
-            "op11_document_fingerprints": lambda: [by[i]["n_chars"] for i in (1, 2, 3, 5, 6)] == [0, 0, 3, 4, 1_000_000] and by[1]["fingerprint"] == "" and by[4]["near_next"] in (0, 1),
+            "op11_document_fingerprints": lambda: [by[i]["n_chars"] for i in (1, 2, 3, 5, 6)] == [0, 0, 4, 4, 1_000_000] and by[1]["fingerprint"] == "" and by[4]["near_next"] in (0, 1),
             "op12_conversation_prefix_trie": lambda: [r["n_convs"] for r in got if r["depth"] == 0] == [max(r["n_convs"] for r in got)] and all(len(r["ends_sha256"]) == 64 for r in got),
             "op13_merkle_manifest": lambda: len({r["root"] for r in got}) == 1 and by[None]["verified"] and len({r["leaf"] for r in got}) == len(got) - 1,
         }
