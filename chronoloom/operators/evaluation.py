@@ -20,28 +20,50 @@ def by_labels(rows: DataFrame, reference: DataFrame, keys: list[str], bucket: in
 
 
 def assign(rows: list[str], columns: list[str], value: dict[tuple[str, str], int]) -> list[str]:
-    """A column for each row (there are at least as many), no column twice, with the largest sum; of several, the first in order."""
-    best: dict[tuple[int, int], int] = {}
+    """A column for each row (there are at least as many), no column twice, with the largest sum; of several, the first in order.
 
-    def most(i: int, used: int) -> int:
-        if i == len(rows):
-            return 0
-        if (i, used) not in best:
-            best[i, used] = max(value[rows[i], c] + most(i + 1, used | 1 << j) for j, c in enumerate(columns) if not used >> j & 1)
-        return best[i, used]
-
-    used, out = 0, []
-    for i, r in enumerate(rows):
-        j = next(j for j, c in enumerate(columns) if not used >> j & 1 and value[r, c] + most(i + 1, used | 1 << j) == most(i, used))
-        out.append(columns[j])
-        used |= 1 << j
-    return out
+    Hungarian method with potentials. Costs are whole numbers of any size: the value comes first, then the place of the first row's
+    column, then of the second's, so the smallest cost is also the first in order.
+    """
+    n, m = len(rows), len(columns)
+    base = m + 1
+    cost = [[-value[r, c] * base**n + j * base ** (n - 1 - i) for j, c in enumerate(columns)] for i, r in enumerate(rows)]
+    potential, price, owner = [0] * n, [0] * m, [-1] * m
+    for row in range(n):
+        slack: list[int | None] = [None] * m
+        before, done, at, i = [-1] * m, [False] * m, -1, row
+        while True:  # grow a tree of tight edges until it meets a free column
+            least, nearest = None, -1
+            for j in range(m):
+                if done[j]:
+                    continue
+                d = cost[i][j] - potential[i] - price[j]
+                if slack[j] is None or d < slack[j]:
+                    slack[j], before[j] = d, at
+                if least is None or slack[j] < least:
+                    least, nearest = slack[j], j
+            potential[row] += least
+            for j in range(m):
+                if done[j]:
+                    potential[owner[j]] += least
+                    price[j] -= least
+                else:
+                    slack[j] -= least
+            at = nearest
+            if owner[at] < 0:
+                break
+            done[at] = True
+            i = owner[at]
+        while at >= 0:
+            owner[at], at = (owner[before[at]] if before[at] >= 0 else row), before[at]
+    taken = {i: j for j, i in enumerate(owner) if i >= 0}
+    return [columns[taken[i]] for i in range(n)]
 
 
 def label_mapping(matrix: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, label, ref_label, ms): the one-to-one mapping of labels that shares most time, of a matrix of ``by_labels``.
 
-    A key's matrix, labels by labels, is one group.
+    A key's matrix, labels by labels, is one group; its assignment takes time with the cube of the number of labels.
     """
     kinds = ", ".join(f"{k} {matrix.schema[k].dataType.simpleString()}" for k in keys)
 

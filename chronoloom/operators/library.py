@@ -40,8 +40,8 @@ def facets(rows: DataFrame) -> DataFrame:
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """A page of rows in an order, with the total and whether more follow; the size is kept within 1 to 100."""
     size, number = min(100, max(1, size)), max(1, number)
-    total = rows.count()
-    return rows.orderBy(*order).offset((number - 1) * size).limit(size).withColumns({"total": F.lit(total).cast("long"), "has_more": F.lit(total > number * size)})
+    total = rows.agg(F.count("*")).scalar()
+    return rows.orderBy(*order).offset((number - 1) * size).limit(size).withColumn("total", total).withColumn("has_more", F.col("total") > number * size)
 
 
 def storage_items(rows: DataFrame, files: DataFrame, active: DataFrame) -> DataFrame:

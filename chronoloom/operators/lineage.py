@@ -29,9 +29,18 @@ def first_claims(refs: DataFrame) -> DataFrame:
     return refs.select("meeting_id", "owner", F.explode("refs").alias("ref")).groupBy("meeting_id", "ref").agg(F.min("owner").alias("owner"))
 
 
-def near_in_time(claims: DataFrame, segments: DataFrame, tolerance: int) -> DataFrame:
-    """The claims (meeting_id, speaker, start_ms, end_ms) that some segment of their speaker meets within the tolerance."""
-    s, c = segments.alias("s"), claims.alias("c")
-    on = (F.col("s.meeting_id") == F.col("c.meeting_id")) & (F.col("s.speaker") == F.col("c.speaker"))
-    on &= (F.col("s.start_ms") - tolerance <= F.col("c.end_ms")) & (F.col("c.start_ms") <= F.col("s.end_ms") + tolerance)
-    return c.join(s, on, "left_semi")
+def near_in_time(claims: DataFrame, segments: DataFrame, tolerance: int, bucket: int = 60_000) -> DataFrame:
+    """The claims (meeting_id, speaker, start_ms, end_ms) that some segment of their speaker meets within the tolerance.
+
+    Both sides are cut into time buckets for an equi join, so a long meeting isn't compared with itself.
+    """
+    keys, ends = ["meeting_id", "speaker"], ["start_ms", "end_ms"]
+
+    def cut(df: DataFrame, side: str, by: int) -> DataFrame:
+        first, last = F.floor((F.col("start_ms") - by) / bucket), F.floor((F.col("end_ms") + by) / bucket)
+        return df.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in ends], F.explode(F.sequence(first, F.greatest(first, last))).alias("bucket"))
+
+    both = cut(claims.select(*keys, *ends).distinct(), "c", tolerance).join(cut(segments, "s", 0), [*keys, "bucket"])
+    near = both.where((F.col("s_start_ms") - tolerance <= F.col("c_end_ms")) & (F.col("c_start_ms") <= F.col("s_end_ms") + tolerance))
+    found = near.select(*keys, *[F.col(f"c_{c}").alias(c) for c in ends]).distinct()
+    return claims.join(found, [*keys, *ends], "left_semi")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.tables import new_folder
+
 
 def fingerprint(*columns: str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
@@ -32,7 +32,7 @@ def reduce_tree(parts: DataFrame, function: Callable[[Column], Column], fan_in:
     if fan_in < 2:
         raise ValueError("the tree of reductions doesn't shrink with a fan-in below 2")
     spark = parts.sparkSession
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='spark-chronoloom-')}/reduce-{uuid.uuid4().hex}"
+    base = new_folder(spark, "reduce")
     meeting = Window.partitionBy("meeting_id")
     node = (F.row_number().over(meeting.orderBy("window", "output")) - 1).cast("long")
     now, done = parts.select("meeting_id", node.alias("node"), F.count("*").over(meeting).alias("n"), "output"), []

@@ -29,6 +29,19 @@ def _codes(column: pa.Array) -> np.ndarray:
     return column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
 
 
+def _before(column: pa.Array, begin: np.ndarray, goes_on: np.ndarray, held: int | None) -> pa.Array:
+    """For each row the last value that isn't null before it in its group; ``held`` is that of the batches before."""
+    n = len(column)
+    known = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.arange(n), -1)
+    at = np.concatenate([[-1], np.maximum.accumulate(known)[:-1]])
+    some = at >= begin
+    value = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[np.maximum(at, 0)]
+    if held is not None:
+        value = np.where(~some & goes_on, held, value)
+        some = some | goes_on
+    return pa.array(value, mask=~some)
+
+
 def _local(keys: list[str], names: list[str], values: list[tuple[str, str, str]], counts: bool):
     """Rows of one partition with totals up to each row; values: (column, 'sum' or 'xor', name of the result)."""
     added = [name for _, _, name in values]
@@ -63,6 +76,9 @@ def _local(keys: list[str], names: list[str], values: list[tuple[str, str, str]]
             if goes_on.any():
                 totals[0][goes_on] += open_[1][0]
             for j, (column, kind, _) in enumerate(values, 1):
+                if kind == "last":
+                    totals.append(_before(batch.column(batch.schema.get_field_index(column)), begin, goes_on, open_[1][j] if open_ else None))
+                    continue
                 v = batch.column(batch.schema.get_field_index(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 upto = np.bitwise_xor.accumulate(v) if kind == "xor" else np.cumsum(v)
                 before = np.concatenate([[0], upto])[begin]
@@ -70,13 +86,20 @@ def _local(keys: list[str], names: list[str], values: list[tuple[str, str, str]]
                 if goes_on.any():
                     own[goes_on] = own[goes_on] ^ open_[1][j] if kind == "xor" else own[goes_on] + open_[1][j]
                 totals.append(own)
+            def upto(i: int) -> list:
+                out = [int(totals[0][i])]
+                for (column, kind, _), t in zip(values, totals[1:]):
+                    own = batch.column(batch.schema.get_field_index(column))[int(i)].as_py() if kind == "last" else None
+                    out.append(own if own is not None else t[int(i)].as_py() if kind == "last" else int(t[i]))
+                return out
+
             if first is None and len(starts):
                 if open_ is not None:
-                    first = (open_[0], [int(t[starts[0] - 1]) for t in totals] if starts[0] else open_[1])
+                    first = (open_[0], upto(starts[0] - 1) if starts[0] else open_[1])
                 elif len(starts) > 1:
-                    first = (key_of(starts[1] - 1), [int(t[starts[1] - 1]) for t in totals])
-            open_ = (key_of(n - 1), [int(t[-1]) for t in totals])
-            yield out([*batch.columns, *map(pa.array, totals if counts else totals[1:])], n, pa.nulls(n, pa.list_(pa.int64())))
+                    first = (key_of(starts[1] - 1), upto(starts[1] - 1))
+            open_ = (key_of(n - 1), upto(n - 1))
+            yield out([*batch.columns, *[t if isinstance(t, pa.Array) else pa.array(t) for t in (totals if counts else totals[1:])]], n, pa.nulls(n, pa.list_(pa.int64())))
         edges = [g for g in (first, open_) if g is not None]
         if edges:
             columns = [pa.array([k[keys.index(c)] for k, _ in edges], t) if c in keys else pa.nulls(len(edges), t) for c, t in zip(names, kinds)]
@@ -85,13 +108,13 @@ def _local(keys: list[str], names: list[str], values: list[tuple[str, str, str]]
     return run
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, str] | None = None, xors: dict[str, str] | None = None, count: bool = False, write: Callable[[DataFrame, str], DataFrame] = written, name: str = "scan") -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, str] | None = None, xors: dict[str, str] | None = None, count: bool = False, lasts: dict[str, str] | None = None, write: Callable[[DataFrame, str], DataFrame] = written, name: str = "scan") -> DataFrame:
     """``df`` with totals of each key up to and with each row in an order.
 
-    sums and xors: {name of the result: column of whole numbers}; count adds ``pos``, the row's number from 1. The result
-    reads a table that ``write`` has put into the shared folder.
+    sums and xors: {name of the result: column of whole numbers}; count adds ``pos``, the row's number from 1; lasts: the last value
+    that isn't null before each row, without its own. The result reads a table that ``write`` has put into the shared folder.
     """
-    values = [(c, "sum", r) for r, c in (sums or {}).items()] + [(c, "xor", r) for r, c in (xors or {}).items()]
+    values = [(c, "sum", r) for r, c in (sums or {}).items()] + [(c, "xor", r) for r, c in (xors or {}).items()] + [(c, "last", r) for r, c in (lasts or {}).items()]
     row = "_scan_row"
     numbered = df.withColumn(row, F.monotonically_increasing_id())
     by = [*[F.col(k).asc_nulls_first() for k in keys], *order, F.col(row).asc()]
@@ -103,8 +126,9 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
     earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     before = [F.coalesce(F.sum(F.col(TOTALS)[0]).over(earlier), F.lit(0)).alias("_scan_n")]
     for i, (_, kind, r) in enumerate(values, 1):
-        total = F.sum(F.col(TOTALS)[i]) if kind == "sum" else F.bit_xor(F.col(TOTALS)[i])
-        before.append(F.coalesce(total.over(earlier), F.lit(0)).alias(f"_scan_{r}"))
+        one = F.col(TOTALS)[i]
+        total = (F.last(one, ignorenulls=True) if kind == "last" else F.sum(one) if kind == "sum" else F.bit_xor(one)).over(earlier)
+        before.append((total if kind == "last" else F.coalesce(total, F.lit(0))).alias(f"_scan_{r}"))
     # of all partitions, those parts that go on with a group: one row a partition at most
     offsets = edges.select(*[F.col(k).alias(f"_scan_key{i}") for i, k in enumerate(keys)], F.col(PART).alias("_scan_of"), *before).where("_scan_n > 0")
     on = F.col(PART) == F.col("_scan_of")
@@ -113,6 +137,9 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
     out = rows.join(F.broadcast(offsets), on, "left")
     full = {"pos": F.col("pos") + F.coalesce("_scan_n", F.lit(0))} if count else {}
     for _, kind, r in values:
+        if kind == "last":
+            full[r] = F.coalesce(r, f"_scan_{r}")
+            continue
         more = F.coalesce(f"_scan_{r}", F.lit(0))
         full[r] = F.col(r).bitwiseXOR(more) if kind == "xor" else F.col(r) + more
     return out.select(*df.columns, *[c.alias(r) for r, c in full.items()])

@@ -31,7 +31,8 @@ def fill_speakers(segments: DataFrame, unknown: str = "unknown") -> DataFrame:
     """Unknown speakers take the last known one, or else the next; the given label stays as raw_speaker."""
     known = F.when(F.col("speaker") != unknown, F.col("speaker"))
     before = F.last(known, ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(known, ignorenulls=True).over(_order().rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # the next one is the last one of the order reversed: a frame that ends with the partition would be read anew for every row
+    after = F.last(known, ignorenulls=True).over(Window.partitionBy("meeting_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return segments.withColumn("raw_speaker", F.col("speaker")).withColumn("_filled", F.coalesce(before, after, F.lit(unknown))).drop("speaker").withColumnRenamed("_filled", "speaker")
 
 
@@ -56,6 +57,19 @@ def contiguous_ranges(starts: DataFrame, ends: DataFrame) -> DataFrame:
     return rows.where("end_idx >= _first").select("meeting_id", "idx", F.col("_first").alias("start_idx"), "end_idx")
 
 
+def in_ranges(segments: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Segments with the ``chapter`` of ranges (meeting_id, idx, start_idx, end_idx) without overlaps that holds them; others go.
+
+    Ranges and segments stand in one ordered stream a meeting, so no pairs are made.
+    """
+    held = F.struct(F.col("idx").alias("chapter"), "end_idx")
+    starts = ranges.select("meeting_id", F.col("start_idx").alias("idx"), F.lit(0).alias("_kind"), held.alias("_range"), F.lit(None).cast("string").alias("segment_id"))
+    rows = segments.select("meeting_id", "idx", F.lit(1).alias("_kind"), F.lit(None).cast(starts.schema["_range"].dataType).alias("_range"), "segment_id")
+    order = Window.partitionBy("meeting_id").orderBy("idx", "_kind", "_range.chapter").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = starts.unionByName(rows).withColumn("_range", F.last("_range", ignorenulls=True).over(order))
+    return both.where((F.col("_kind") == 1) & (F.col("idx") <= F.col("_range.end_idx"))).select("meeting_id", "idx", "segment_id", "_range.chapter")
+
+
 def clip_ranges(candidates: DataFrame) -> DataFrame:
     """Ranges (meeting_id, no, start_idx, end_idx) that don't overlap: reversed ones become points, equal starts one range, ends give way to the next start."""
     rows = candidates.withColumn("end_idx", F.greatest("start_idx", "end_idx"))

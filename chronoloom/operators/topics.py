@@ -63,10 +63,11 @@ def boundaries(segments: DataFrame) -> DataFrame:
     A change from or to an unknown speaker is none.
     """
     rows = cohesion(segments)
-    everything = _order().rowsBetween(Window.unboundedPreceding, -1), _order().rowsBetween(1, Window.unboundedFollowing)
+    before = Window.unboundedPreceding, -1
+    back = Window.partitionBy("meeting_id").orderBy(F.desc("idx"))
     c = F.col("cohesion")
     rows = rows.withColumns({
-        "_left": F.last("cohesion", ignorenulls=True).over(everything[0]), "_right": F.first("cohesion", ignorenulls=True).over(everything[1]),
+        "_left": F.last("cohesion", ignorenulls=True).over(_order().rowsBetween(*before)), "_right": F.last("cohesion", ignorenulls=True).over(back.rowsBetween(*before)),
         "_peak": F.coalesce(F.max("cohesion").over(_order().rowsBetween(-SPAN, -1)), c), "_next_peak": F.coalesce(F.max("cohesion").over(_order().rowsBetween(1, SPAN)), c),
         "_speaker": F.lag("speaker").over(_order()), "_end": F.lag("end_ms").over(_order()),
     })

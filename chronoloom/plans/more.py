@@ -328,7 +328,7 @@ def _ref(number: str) -> str:
 
 
 FACTS = f"""{SEG}, fa AS (SELECT meeting_id, ['chapters', 'speakers', 'key_points', 'decisions', 'action_items'][idx % 5 + 1] AS field, idx // 5 AS pos, CASE WHEN idx % 7 = 3 THEN NULL ELSE 'item ' || idx % 4 END AS text, CASE WHEN idx % 11 <> 5 THEN 'about ' || idx % 3 END AS overview, idx, speaker,
- CASE WHEN idx % 2 = 0 THEN 'speaker_1' ELSE 'somebody' END AS owner, CASE WHEN meeting_id % 3 = 0 THEN substring(text, 1, 5) ELSE 'never said' END AS deadline0, CASE WHEN meeting_id % 13 = 0 THEN 'seg-999999' END AS start_ref FROM s),
+ CASE WHEN idx % 2 = 0 THEN 'speaker_1' ELSE 'somebody' END AS owner, CASE WHEN meeting_id % 3 = 0 THEN text ELSE 'never said' END AS deadline0, CASE WHEN meeting_id % 13 = 0 THEN 'seg-999999' END AS start_ref FROM s),
 rr AS (SELECT fa.meeting_id, fa.field, fa.pos, fa.idx, unnest([fa.idx, fa.idx + 1]) AS n, unnest([0, 1]) AS at FROM fa), rs AS (SELECT rr.*, s.speaker AS sp, s.text AS st, s.start_ms, s.end_ms, s.segment_id AS ref, CASE WHEN s.text IS NULL THEN 1 ELSE 0 END AS miss, CASE WHEN s.text = '' THEN 1 ELSE 0 END AS emp FROM rr LEFT JOIN s ON s.meeting_id = rr.meeting_id AND s.idx = n),
 tl AS (SELECT fa.*, nullif(trim(regexp_replace(deadline0, '\\s+', ' ', 'g')), '') AS deadline, coalesce(list({{'at': at, 'ref': ref, 'sp': sp, 'st': st}} ORDER BY at) FILTER (WHERE miss = 0 AND emp = 0), []) AS c, 1 + sum(miss) AS n_missing, sum(emp) + sum(CASE WHEN at = 0 THEN emp ELSE 0 END) AS n_empty FROM fa JOIN rs USING (meeting_id, field, pos, idx) GROUP BY ALL),
 ow AS (SELECT *, CASE WHEN field = 'speakers' THEN list_filter(c, lambda x: x.sp = speaker) ELSE c END AS own FROM tl),

@@ -131,7 +131,7 @@ SQL = {
     "latest_record": f"WITH {LATEST.replace(' WHERE l_orderkey % 3 <> 0', '')} SELECT * FROM lt WHERE status = 'success'",
     "identity_diff": f"WITH {RES} SELECT *, 'missing' AS side FROM (SELECT o_orderkey AS job_id FROM orders EXCEPT SELECT job_id FROM res) UNION ALL SELECT *, 'extra' AS side FROM (SELECT job_id FROM res EXCEPT SELECT o_orderkey FROM orders)",
     "transcript_search": f"WITH {SEG} SELECT meeting_id, segment_id, CAST(instr(lower(text), 'the') AS INT) AS at FROM s WHERE contains(lower(text), 'the') OR contains(lower(speaker), 'the')",
-    "draft_overlay": f"WITH {SEG} SELECT meeting_id, segment_id, (meeting_id + idx) % 4 = 0 AS edited, CASE WHEN (meeting_id + idx) % 4 = 0 THEN length('* ' || substring(text, 1, 20)) ELSE length(text) END AS chars FROM s",
+    "draft_overlay": f"WITH {SEG} SELECT meeting_id, segment_id, (meeting_id + idx) % 4 = 0 AS edited, CASE WHEN (meeting_id + idx) % 4 = 0 THEN length('* ' || text) ELSE length(text) END AS chars FROM s",
     "asof_active": f"WITH {SEG}, {POINTS} SELECT pt.meeting_id, point, at_ms, (SELECT arg_max(segment_id, start_ms * 1000 + idx) FROM s WHERE s.meeting_id = pt.meeting_id AND start_ms <= at_ms) AS segment_id FROM pt",
     "asof_next": f"WITH {SEG}, {POINTS} SELECT pt.meeting_id, point, at_ms, (SELECT arg_min(segment_id, start_ms * 1000 + idx) FROM s WHERE s.meeting_id = pt.meeting_id AND start_ms >= at_ms) AS segment_id FROM pt",
     "bigram_jaccard": f"WITH {ITEMS} SELECT item_id, round({_jaccard('x', 'y')}, 6) AS similarity FROM (SELECT item_id, {_grams('a')} AS x, {_grams('b')} AS y FROM b)",
@@ -163,7 +163,7 @@ SQL = {
  n AS (SELECT *, least((mid + 15000) // 60000, last) AS hi, CASE WHEN mid < 15000 THEN 0 ELSE (mid - 15000) // 60000 END AS lo FROM m), w AS (SELECT *, unnest(range(least(lo, hi), hi + 1)) AS win FROM n)
  SELECT meeting_id, win, segment_id, least(mid // 60000, last) = win AS is_core FROM w""",
     "leak_test": """WITH e AS (SELECT user_id AS key, value * 1024 AS available, CAST(event_id % 97 * 100 AS DOUBLE) AS cached, CAST(event_id % 89 * 500 AS DOUBLE) AS rss, value * 300 AS cma, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS up,
- row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS down, least(3, greatest(1, count(*) OVER (PARTITION BY user_id) // 2)) AS w FROM events WHERE event_id % 3 = 0),
+ row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS down, least(3, greatest(1, count(*) OVER (PARTITION BY user_id) // 2)) AS w FROM events),
  m AS (SELECT key, count(*) AS n, -(median(available) FILTER (WHERE down <= w) - median(available) FILTER (WHERE up <= w)) / 1024 AS a, (median(cached) FILTER (WHERE down <= w) - median(cached) FILTER (WHERE up <= w)) / 1024 AS c,
  (median(rss) FILTER (WHERE down <= w) - median(rss) FILTER (WHERE up <= w)) / 1024 AS r, -(median(cma) FILTER (WHERE down <= w) - median(cma) FILTER (WHERE up <= w)) / 1024 AS x FROM e GROUP BY 1)
  SELECT key, n, CASE WHEN n >= 2 THEN round(a, 3) END AS available_decline, CASE WHEN n >= 2 THEN round(c, 3) END AS cached_growth, CASE WHEN n >= 2 THEN round(r, 3) END AS rss_growth, CASE WHEN n >= 2 THEN round(x, 3) END AS cma_decline,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +11,8 @@ from chronoloom.functions import scalars, text
 from chronoloom.operators import intervals as iv
 from chronoloom.operators import library as lib
 from chronoloom.operators import lineage, mapreduce, metrics, packing, sequence, topics
-from chronoloom.plans import more
+from chronoloom.operators.tables import new_folder
+from chronoloom.plans import deep
 from chronoloom.plans.oracle import SQL
 from chronoloom.sources import adapters as src
 from chronoloom.streaming import events as streams
@@ -141,9 +140,7 @@ def contiguous_ranges(spark, d):
 
 
 def chapter_assign(spark, d):
-    s, c = src.segments(spark, d), contiguous_ranges(spark, d).withColumnRenamed("idx", "chapter")
-    hit = (s["meeting_id"] == c["meeting_id"]) & s["idx"].between(c["start_idx"], c["end_idx"])
-    return s.join(c, hit).groupBy(s["meeting_id"], s["segment_id"]).agg(F.min("chapter").alias("chapter"))
+    return sequence.in_ranges(src.segments(spark, d), contiguous_ranges(spark, d)).select("meeting_id", "segment_id", "chapter")
 
 
 def job_join(spark, d):
@@ -184,7 +181,7 @@ def transcript_search(spark, d):
 
 def draft_overlay(spark, d):
     s = src.segments(spark, d)
-    edits = s.where("(meeting_id + idx) % 4 = 0").select("meeting_id", "segment_id", F.concat(F.lit("* "), F.substring("text", 1, 20)).alias("new_text"))
+    edits = s.where("(meeting_id + idx) % 4 = 0").select("meeting_id", "segment_id", F.concat(F.lit("* "), F.col("text")).alias("new_text"))
     return lib.overlay(s, edits).select("meeting_id", "segment_id", "edited", F.length("text").cast("long").alias("chars"))
 
 
@@ -277,7 +274,7 @@ def memory_peaks(spark, d):
 
 
 def leak_test(spark, d):
-    idle = src.table(spark, d, "events").where("event_id % 3 = 0").select(
+    idle = src.table(spark, d, "events").select(
         F.col("user_id").alias("key"), F.col("ts").alias("t"), F.col("event_id").alias("id"), (F.col("value") * 1024).alias("available"), (F.col("event_id") % 97 * 100).cast("double").alias("cached"),
         (F.col("event_id") % 89 * 500).cast("double").alias("rss"), (F.col("value") * 300).alias("cma"),
     )
@@ -310,14 +307,14 @@ def bin_packing(spark, d):
 
 def reduce_tree(spark, d):
     windows = src.segments(spark, d).select("meeting_id", F.col("idx").alias("window"), "text")
-    mapped = mapreduce.map_windows(windows, lambda t: F.concat(F.substring(t, 1, 10), F.lit("#"), F.length(t).cast("string")))
+    mapped = mapreduce.map_windows(windows, lambda t: F.sha2(t.cast("binary"), 256))
     return mapreduce.reduce_tree(mapped, lambda parts: F.sha2(F.array_join(parts, "|"), 256), 2)
 
 
 def stream_counts(spark, d):
     from pyspark.sql.functions import unix_timestamp
 
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='spark-chronoloom-')}/stream-{uuid.uuid4().hex}"
+    base = new_folder(spark, "stream")
     out = streams.run_to_table(streams.tumbling_counts(streams.read_stream(spark, f"{d}/events.parquet"), "1 day", "3650 days"), f"{base}/out", f"{base}/checkpoint")
     return out.select(unix_timestamp("window_start").alias("window_s"), "event_type", "n", "total")
 
@@ -336,8 +333,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES} | more.QUERIES
+    return {f.__name__: f for f in QUERIES} | deep.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | more.SQL
+    return SQL | deep.SQL

@@ -84,7 +84,7 @@ def summary_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "meeting_id", pick(("chapters", "speakers", "key_points", "decisions", "action_items"), "idx % 5").alias("field"), F.floor(i / 5).alias("pos"),
         F.when(i % 7 == 3, "none").otherwise(F.concat(F.lit("item "), (i % 4).cast("string"))).alias("text"), F.when(i % 11 != 5, F.concat(F.lit("about "), (i % 3).cast("string"))).alias("overview"),
         F.array(segment_name(i), segment_name(i + 1), segment_name(i), F.lit("seg-999999")).alias("refs"), "speaker", F.when(i % 2 == 0, "speaker_1").otherwise("somebody").alias("owner"),
-        F.when(F.col("meeting_id") % 3 == 0, F.substring("text", 1, 5)).otherwise("never said").alias("deadline"), F.when((F.col("meeting_id") % 13 == 0), "seg-999999").alias("start_ref"), F.lit(None).cast("string").alias("end_ref"),
+        F.when(F.col("meeting_id") % 3 == 0, F.col("text")).otherwise("never said").alias("deadline"), F.when((F.col("meeting_id") % 13 == 0), "seg-999999").alias("start_ref"), F.lit(None).cast("string").alias("end_ref"),
     )
 
 

@@ -15,7 +15,7 @@ def test_split_groups_nulls_and_repeats(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         df = spark.createDataFrame(table, "g string, t long, v long, other long")
-        got = [r.asDict() for r in running(df, ["g"], [F.col("t"), F.col("other"), F.col("v").asc_nulls_first()], {"total": "v"}, {"x": "v"}, True).collect()]
+        got = [r.asDict() for r in running(df, ["g"], [F.col("t"), F.col("other"), F.col("v").asc_nulls_first()], {"total": "v"}, {"x": "v"}, True, {"before": "v"}).collect()]
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(got) == len(table) and sorted(map(repr, ((r["g"], r["t"], r["v"], r["other"]) for r in got))) == sorted(map(repr, table))
@@ -29,6 +29,8 @@ def test_split_groups_nulls_and_repeats(spark):
         assert [(r["t"], r["other"], r["v"] or 0) for r in rows] == sorted((r["t"], r["other"], r["v"] or 0) for r in rows)
         values = [r["v"] or 0 for r in rows]
         assert [r["total"] for r in rows] == [sum(values[: i + 1]) for i in range(len(rows))]
+        known = [[v for v in (r["v"] for r in rows[:i]) if v is not None] for i in range(len(rows))]
+        assert [r["before"] for r in rows] == [k[-1] if k else None for k in known]
         assert [r["x"] for r in rows] == [reduce(lambda a, b: a ^ b, values[: i + 1]) for i in range(len(rows))]
 
 
