@@ -77,10 +77,11 @@ def fold_chapters(blocks: DataFrame, segments: DataFrame, alike: float = 0.8) ->
     """
     rows = blocks.withColumn("fresh", F.when(F.coalesce("continues_previous", F.lit(False)), 0).otherwise(1).cast("long"))
     numbered = running(rows, ["meeting_id"], [F.col("block").asc()], {"chapter": "fresh"}, name="chapters")
-    # the first block opens a chapter even if it claims to go on
-    numbered = numbered.withColumn("chapter", F.greatest("chapter", F.lit(1)))
     told = F.array_sort(F.collect_list(F.struct("block", "title", "summary", "key_points", "anchors", "start_ref", "end_ref", "refs")))
     rows = numbered.groupBy("meeting_id", "chapter").agg(told.alias("b"))
+    # the first block opens a chapter even if it claims to go on, so numbers may begin with 0
+    least = numbered.groupBy("meeting_id").agg(F.min("chapter").alias("least"))
+    rows = rows.join(least, "meeting_id").select("meeting_id", (F.col("chapter") - F.col("least") + 1).alias("chapter"), "b")
 
     def united(name: str) -> Column:
         return F.array_distinct(F.flatten(F.transform("b", lambda x: F.coalesce(x[name], F.array().cast("array<string>")))))

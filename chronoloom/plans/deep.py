@@ -53,7 +53,7 @@ def asr_units(spark, d):
 
 BLOCKS = f"""{SEG}, bk AS (SELECT meeting_id, idx AS block, 'title ' || idx AS title, CASE WHEN idx % 4 = 2 THEN coalesce(lag(text) OVER (PARTITION BY meeting_id ORDER BY idx), text) ELSE text END AS summary, ['point ' || idx % 3, 'point ' || (idx + 1) % 3] AS key_points, ['at ' || idx % 2] AS anchors,
  'seg-' || lpad(CAST(idx AS VARCHAR), 6, '0') AS start_ref, 'seg-' || lpad(CAST(idx + 1 AS VARCHAR), 6, '0') AS end_ref, idx % 5 <> 3 AS continues, row_number() OVER (PARTITION BY meeting_id ORDER BY idx) AS k FROM s),
-cb AS (SELECT *, CAST(greatest(1, sum(CASE WHEN continues THEN 0 ELSE 1 END) OVER (PARTITION BY meeting_id ORDER BY k)) AS BIGINT) AS chapter FROM bk),
+cb AS (SELECT *, CAST(sum(CASE WHEN continues AND k > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY meeting_id ORDER BY k) AS BIGINT) AS chapter FROM bk),
 cf AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, chapter ORDER BY k) AS j FROM cb),
 fo AS (SELECT meeting_id, chapter, j, summary AS overview FROM cf WHERE j = 1 UNION ALL SELECT cf.meeting_id, cf.chapter, cf.j, CASE WHEN length(regexp_replace(fo.overview, '[\\s\\p{{Z}}]+', '', 'g')) > 1 AND length(regexp_replace(cf.summary, '[\\s\\p{{Z}}]+', '', 'g')) > 1
  AND {_jaccard(_grams('fo.overview'), _grams('cf.summary'))} >= 0.8 THEN fo.overview ELSE fo.overview || '；' || cf.summary END FROM fo JOIN cf ON cf.meeting_id = fo.meeting_id AND cf.chapter = fo.chapter AND cf.j = fo.j + 1)"""
