@@ -45,7 +45,7 @@ def split_on_length(items: DataFrame, attempt: Attempt, most_depth: int = 3) ->
 
 
 def budgeted_groups(parts: DataFrame, budget: int) -> DataFrame:
-    """Parts (meeting_id, node, cost) with ``group``: consecutive parts up to a budget each, as greedy packing gives them.
+    """Parts (meeting_id, node, cost) with pos (from 1), upto (costs up to and with each) and ``group``: consecutive parts up to a budget each, as greedy packing gives them.
 
     Where a group begins depends on where the one before began, so each part's next beginning is found by a search in running totals
     and the beginnings are marked by doubling: a round joins those reached with what lies 2**k groups on. No meeting is worked through by one task.
@@ -70,7 +70,7 @@ def budgeted_groups(parts: DataFrame, budget: int) -> DataFrame:
             break
     mark = begins.withColumn("fresh", F.lit(1).cast("long"))
     marked = rows.join(mark, ["meeting_id", "pos"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(0).cast("long")))
-    return running(marked, ["meeting_id"], [F.col("pos").asc()], {"group": "fresh"}, name="groups").select("meeting_id", "node", "cost", (F.col("group") - 1).alias("group"))
+    return running(marked, ["meeting_id"], [F.col("pos").asc()], {"group": "fresh"}, name="groups").select("meeting_id", "node", "cost", "pos", "upto", (F.col("group") - 1).alias("group"))
 
 
 def merge_in_budget(parts: DataFrame, merge: Callable[[Column], Column], cost: Callable[[Column], Column], budget: int, most_rounds: int = 16) -> tuple[DataFrame, DataFrame]:

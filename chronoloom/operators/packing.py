@@ -1,6 +1,7 @@
 """Greedy planners: budgeted chunks with context, consecutive groups, best-fit packing, windows of units, truncation.
 
-Where the choice of each step depends on all before, a meeting is worked through by itself in a Pandas function; only ids
+Chunks and consecutive groups follow next beginnings by doubling, so a meeting of any length is split over tasks. For windows of units and best
+fit the choice of each step depends on more than that: a meeting is worked through by itself in a Pandas function; only ids
 and lengths are shuffled to it. Prefixes and truncations are running sums. What can't fit a budget by itself is reported as
 such, in a column ``oversize``, and is in no chunk; ``fail_on_oversize`` makes it an error.
 """
@@ -14,6 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.frontier import budgeted_groups
+from chronoloom.operators.scan import running
+from chronoloom.operators.tables import written
+
 _SENTENCE_END = re.compile(r"[。！？!?；;]\s*")
 
 
@@ -26,50 +31,32 @@ def chunk_plan(segments: DataFrame, budget: int, overlap: int) -> DataFrame:
     """(meeting_id, chunk, first_idx, last_idx, context_idx, cost, oversize): whole segments that say something, up to a budget of characters.
 
     The end is as far as the segments from the start fit. Before them stand up to ``overlap`` segments of context, as many as fit
-    with all of the chunk.
+    with all of the chunk. Chunks are groups of ``budgeted_groups``, so a long meeting is split over tasks; those that hold only one segment beyond
+    the budget aren't numbered.
     """
-    def plan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        ids, costs = rows["idx"].tolist(), rows["cost"].tolist()
-        total = [0]
-        for c in costs:
-            total.append(total[-1] + c)
-        out, at, n = [], 0, 0
-        while at < len(ids):
-            end = bisect.bisect_right(total, total[at] + budget) - 1
-            if end == at:
-                out.append((None, ids[at], ids[at], ids[at], costs[at], True))
-                at += 1
-                continue
-            first = next(c for c in range(max(0, at - overlap), at + 1) if total[end] - total[c] <= budget)
-            out.append((n, ids[at], ids[end - 1], ids[first], total[end] - total[first], False))
-            at, n = end, n + 1
-        found = pd.DataFrame(out, columns=["chunk", "first_idx", "last_idx", "context_idx", "cost", "oversize"]).astype({"chunk": "Int64"})
-        found.insert(0, "meeting_id", rows["meeting_id"].iloc[0])
-        return found
-
-    costs = segments.where(F.btrim("text") != "").select("meeting_id", "idx", (F.length("text") + 1).cast("long").alias("cost"))
-    return costs.groupBy("meeting_id").applyInPandas(plan, "meeting_id long, chunk long, first_idx long, last_idx long, context_idx long, cost long, oversize boolean")
+    costs = segments.where(F.btrim("text") != "").select("meeting_id", F.col("idx").alias("node"), (F.length("text") + 1).cast("long").alias("cost"))
+    rows = written(budgeted_groups(costs, budget), "grouped")
+    told = rows.groupBy("meeting_id", "group").agg(F.min("pos").alias("first"), F.min("node").alias("first_idx"), F.max("node").alias("last_idx"), F.sum("cost").alias("own"))
+    told = told.withColumn("oversize", F.col("own") > budget)
+    # of the segments before a chunk the farthest that still fits, with all between it and the chunk
+    near = told.where("not oversize").select("meeting_id", "group", "own", "first", F.explode(F.sequence(F.lit(1), F.lit(overlap))).alias("back")) if overlap else None
+    if near is not None:
+        at = near.withColumn("pos", F.col("first") - F.col("back")).join(rows.select("meeting_id", "pos", "node", "upto", F.col("cost").alias("one")), ["meeting_id", "pos"])
+        begin = rows.select("meeting_id", F.col("pos").alias("first"), (F.col("upto") - F.col("cost")).alias("base"))
+        at = at.join(begin, ["meeting_id", "first"]).withColumn("whole", F.col("own") + F.col("base") - F.col("upto") + F.col("one"))
+        context = at.where(F.col("whole") <= budget).groupBy("meeting_id", "group").agg(F.max_by("node", "back").alias("context_idx"), F.max_by("whole", "back").alias("whole"))
+        told = told.join(context, ["meeting_id", "group"], "left")
+    else:
+        told = told.withColumns({"context_idx": F.lit(None).cast("long"), "whole": F.lit(None).cast("long")})
+    number = running(told.withColumn("counts", (~F.col("oversize")).cast("long")), ["meeting_id"], [F.col("group").asc()], {"number": "counts"}, name="chunks")
+    return number.select("meeting_id", F.when(~F.col("oversize"), F.col("number") - 1).alias("chunk"), "first_idx", "last_idx", F.coalesce("context_idx", "first_idx").alias("context_idx"), F.coalesce("whole", "own").alias("cost"), "oversize")
 
 
 def consecutive_groups(items: DataFrame, budget: int) -> DataFrame:
     """(meeting_id, grp, first_idx, last_idx, cost, oversize): items (meeting_id, idx, cost) in order, each group as long as the budget allows."""
-    def plan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        out: list[list] = []
-        for idx, cost in zip(rows["idx"].tolist(), rows["cost"].tolist()):
-            if cost > budget:
-                out.append([idx, idx, cost, True])
-            elif out and not out[-1][3] and out[-1][2] + cost <= budget:
-                out[-1][1:3] = [idx, out[-1][2] + cost]
-            else:
-                out.append([idx, idx, cost, False])
-        found = pd.DataFrame(out, columns=["first_idx", "last_idx", "cost", "oversize"])
-        found.insert(0, "grp", range(len(found)))
-        found.insert(0, "meeting_id", rows["meeting_id"].iloc[0])
-        return found
-
-    return items.select("meeting_id", "idx", "cost").groupBy("meeting_id").applyInPandas(plan, "meeting_id long, grp long, first_idx long, last_idx long, cost long, oversize boolean")
+    rows = budgeted_groups(items.select("meeting_id", F.col("idx").alias("node"), F.col("cost").cast("long").alias("cost")), budget)
+    told = rows.groupBy("meeting_id", F.col("group").alias("grp")).agg(F.min("node").alias("first_idx"), F.max("node").alias("last_idx"), F.sum("cost").alias("cost"))
+    return told.withColumn("oversize", F.col("cost") > budget)
 
 
 def best_fit(items: DataFrame, budget: int) -> DataFrame:

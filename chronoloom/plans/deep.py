@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import scalars as sc
-from chronoloom.operators import carryover, frontier, ledger, logs, units
-from chronoloom.operators.tables import new_folder
+from chronoloom.operators import carryover, documents, exports, frontier, ledger, logs, units
+from chronoloom.operators.tables import new_folder, written
 from chronoloom.plans.more import QUERIES, SQL, query  # noqa: F401
 from chronoloom.plans.oracle import SEG, _grams, _jaccard
 from chronoloom.sources import adapters as src
+from chronoloom.streaming import events as streams
+from chronoloom.streaming import products
 
 # ---- units of recognition
 
@@ -119,7 +122,20 @@ def split_outputs(spark, d):
  g AS (SELECT meeting_id, k, idx, cost, 0 AS grp, cost AS used FROM c WHERE k = 1 UNION ALL SELECT c.meeting_id, c.k, c.idx, c.cost, CASE WHEN g.used + c.cost <= 500 THEN g.grp ELSE g.grp + 1 END, CASE WHEN g.used + c.cost <= 500 THEN g.used + c.cost ELSE c.cost END FROM g JOIN c ON c.meeting_id = g.meeting_id AND c.k = g.k + 1)
  SELECT meeting_id, idx AS node, CAST(cost AS BIGINT) AS cost, CAST(grp AS BIGINT) AS "group" FROM g""")
 def budgeted_groups(spark, d):
-    return frontier.budgeted_groups(src.segments(spark, d).select("meeting_id", F.col("idx").alias("node"), F.length("text").cast("long").alias("cost")), 500)
+    return frontier.budgeted_groups(src.segments(spark, d).select("meeting_id", F.col("idx").alias("node"), F.length("text").cast("long").alias("cost")), 500).select("meeting_id", "node", "cost", "group")
+
+
+def _grouped(cost: str, where: str, budget: int) -> str:
+    """Rows in order with the group that greedy packing puts them into."""
+    fits = f"g.used + c.cost <= {budget}"
+    return f"""c AS (SELECT meeting_id, idx, CAST({cost} AS BIGINT) AS cost, row_number() OVER (PARTITION BY meeting_id ORDER BY idx) AS k FROM s WHERE {where}),
+ g AS (SELECT meeting_id, k, idx, cost, 0::BIGINT AS grp, cost AS used FROM c WHERE k = 1 UNION ALL SELECT c.meeting_id, c.k, c.idx, c.cost, CASE WHEN {fits} THEN g.grp ELSE g.grp + 1 END, CASE WHEN {fits} THEN g.used + c.cost ELSE c.cost END FROM g JOIN c ON c.meeting_id = g.meeting_id AND c.k = g.k + 1)"""
+
+
+SQL["consecutive_groups"] = f"""WITH RECURSIVE {SEG}, {_grouped('length(text)', 'true', 500)} SELECT meeting_id, grp, min(idx) AS first_idx, max(idx) AS last_idx, CAST(sum(cost) AS BIGINT) AS cost, sum(cost) > 500 AS oversize FROM g GROUP BY 1, 2"""
+SQL["chunk_plan"] = f"""WITH RECURSIVE {SEG}, {_grouped('length(text) + 1', "trim(text) <> ''", 2000)}, t AS (SELECT meeting_id, grp, min(k) AS k, min(idx) AS first_idx, max(idx) AS last_idx, CAST(sum(cost) AS BIGINT) AS own FROM g GROUP BY 1, 2),
+ n AS (SELECT t.*, own > 2000 AS oversize, CAST(sum(CASE WHEN own > 2000 THEN 0 ELSE 1 END) OVER (PARTITION BY t.meeting_id ORDER BY grp) AS BIGINT) - 1 AS chunk, p.idx AS pi, p.cost AS pc FROM t LEFT JOIN c p ON p.meeting_id = t.meeting_id AND p.k = t.k - 1)
+ SELECT meeting_id, CASE WHEN NOT oversize THEN chunk END AS chunk, first_idx, last_idx, CASE WHEN NOT oversize AND own + pc <= 2000 THEN pi ELSE first_idx END AS context_idx, CASE WHEN NOT oversize AND own + pc <= 2000 THEN own + pc ELSE own END AS cost, oversize FROM n"""
 
 
 def _merged(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -234,3 +250,105 @@ def carryover_chapters(spark, d):
 @query()
 def carryover_repairs(spark, d):
     return carryover.wavefront(src.segments(spark, d), model, 700, 20)["repairs"]
+
+
+# ---- nested documents
+
+SCHEMA = {"id": "number", "tags": ["string"], "meta": {"lang": "string|null", "n": "number"}, "note?": "string"}
+
+
+def _nested(spark, d) -> DataFrame:
+    """Documents of a schema with faults: keys that lack, keys too many, wrong kinds, texts that aren't JSON."""
+    i = F.col("doc_id")
+    tags = F.concat(F.lit("["), F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda k: k < i % 4), lambda k: F.when((k == 1) & (i % 7 == 0), "7").otherwise('"t"')), ","), F.lit("]"))
+    meta = F.concat(F.when(i % 6 == 1, "").otherwise('"lang":null,'), F.lit('"n":'), F.when(i % 5 == 2, '"five"').otherwise("5"), F.when(i % 9 == 4, ',"more":{"a":1}').otherwise(""))
+    told = F.concat(F.lit('{"id":'), i.cast("string"), F.lit(',"tags":'), F.when(i % 13 == 6, "null").otherwise(tags), F.when(i % 8 == 3, "").otherwise(F.concat(F.lit(',"meta":{'), meta, F.lit("}"))), F.when(i % 10 == 0, ',"note":false').otherwise(""), F.when(i % 11 == 3, "").otherwise("}"))
+    return src.table(spark, d, "documents").select(i.alias("doc"), told.alias("json"))
+
+
+@query("""WITH g AS (SELECT doc_id AS doc FROM documents WHERE doc_id % 11 <> 3), m AS (SELECT doc FROM g WHERE doc % 8 <> 3)
+ SELECT doc_id AS doc, '$' AS path, 'not_json' AS fault, NULL AS told FROM documents WHERE doc_id % 11 = 3
+ UNION ALL SELECT doc, '$.tags', 'wrong_type', 'null' FROM g WHERE doc % 13 = 6 UNION ALL SELECT doc, '$.tags[1]', 'wrong_type', 'number' FROM g WHERE doc % 13 <> 6 AND doc % 7 = 0 AND doc % 4 > 1
+ UNION ALL SELECT doc, '$.meta.n', 'wrong_type', 'string' FROM m WHERE doc % 5 = 2 UNION ALL SELECT doc, '$.note', 'wrong_type', 'boolean' FROM g WHERE doc % 10 = 0
+ UNION ALL SELECT doc, '$.meta.more', 'extra', 'object' FROM m WHERE doc % 9 = 4 UNION ALL SELECT doc, '$.meta', 'missing', 'object' FROM g WHERE doc % 8 = 3 UNION ALL SELECT doc, '$.meta.lang', 'missing', 'string|null' FROM m WHERE doc % 6 = 1""")
+def document_faults(spark, d):
+    return documents.violations(_nested(spark, d), SCHEMA)
+
+
+def _large(spark, d) -> DataFrame:
+    """Documents with whole texts, long lists and deep values."""
+    i, inner = F.col("doc_id"), F.struct(F.struct(F.col("n_chars").alias("c")).alias("b"))
+    rows = src.table(spark, d, "documents")
+    items = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long")), lambda k: k < i % 30)
+    return rows.select(i.alias("doc"), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"), items.alias("list"), inner.alias("a"))).alias("json"))
+
+
+@query("""WITH t AS (SELECT doc_id AS doc, coalesce(text, '') AS text, unnest(range(0, 30)) AS k FROM documents)
+ SELECT doc_id AS doc, '$' AS path, 'object' AS kind, NULL AS value FROM documents UNION ALL SELECT doc_id, '$.a', 'object', NULL FROM documents UNION ALL SELECT doc_id, '$.a.b', 'object', NULL FROM documents
+ UNION ALL SELECT doc_id, '$.list', 'array', NULL FROM documents UNION ALL SELECT doc, '$.list[' || k || ']', 'number', CAST(k AS VARCHAR) FROM t WHERE k < doc % 30 AND k < 16 UNION ALL SELECT doc_id, '$.text', 'string', substring(coalesce(text, ''), 1, 600) FROM documents""")
+def document_kept(spark, d):
+    return documents.bounded(_large(spark, d))[0]
+
+
+@query("""SELECT doc_id AS doc, '$.a.b' AS path, 'depth' AS cut, NULL::BIGINT AS n FROM documents WHERE n_chars IS NOT NULL UNION ALL SELECT doc_id, '$.list', 'items', doc_id % 30 - 16 FROM documents WHERE doc_id % 30 > 16
+ UNION ALL SELECT doc_id, '$.text', 'text', length(text) - 600 FROM documents WHERE length(text) > 600""")
+def document_cuts(spark, d):
+    return documents.bounded(_large(spark, d))[1]
+
+
+# ---- exports
+
+def _bundle(spark, d) -> DataFrame:
+    s = src.segments(spark, d)
+    sentences = exports.sentence_index(s)
+    meetings = s.groupBy("meeting_id").agg(F.max("end_ms").alias("duration_ms")).select("meeting_id", F.concat(F.lit("task-"), F.col("meeting_id").cast("string")).alias("task_id"), "duration_ms", F.lit(None).cast("string").alias("source_audio"))
+    chapters = units.fold_chapters(blocks(spark, d), s)
+    speakers = s.groupBy("meeting_id", "speaker").agg(F.min("idx").alias("number"), F.min_by("text", "idx").alias("summary"))
+    items = s.where("text <> ''").select("meeting_id", F.when(F.col("idx") % 2 == 0, "sentence").otherwise("action").alias("kind"), F.col("idx").alias("no"), "text", F.array("segment_id", src.segment_name(F.col("idx") + 1)).alias("refs"))
+    words = s.select("meeting_id", F.col("idx").alias("no"), F.col("speaker").alias("keyword"))
+    overviews = s.groupBy("meeting_id").agg(F.max_by("text", "idx").alias("overview"))
+    parts = [exports.transcription(meetings, sentences), exports.auto_chapters(meetings, chapters), exports.summarization(meetings, overviews, speakers), exports.assistance(meetings, sentences, items, words)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+_WORDS = "{{'Id': {n}, 'SentenceId': sentence_id, 'Start': a, 'End': b, 'Text': text}}"
+
+
+@query(f"""WITH RECURSIVE {BLOCKS}, sn AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY idx) AS sentence_id FROM s WHERE text <> ''), me AS (SELECT meeting_id, 'task-' || meeting_id AS task, max(end_ms) AS dur, arg_max(text, idx) AS ov FROM s GROUP BY 1),
+ p AS (SELECT meeting_id, list({{'ParagraphId': segment_id, 'SpeakerId': speaker, 'Words': [{{'Id': sentence_id, 'SentenceId': sentence_id, 'Start': start_ms, 'End': end_ms, 'Text': text}}]}} ORDER BY sentence_id) AS l FROM sn GROUP BY 1),
+ la AS (SELECT meeting_id, chapter, arg_max(overview, j) AS overview FROM fo GROUP BY 1, 2), cc AS (SELECT meeting_id, chapter, arg_min(title, k) AS title, arg_min(start_ref, k) AS sr, arg_max(end_ref, k) AS er FROM cb GROUP BY 1, 2),
+ ch AS (SELECT cc.meeting_id, list({{'Id': cc.chapter, 'Start': coalesce(a.start_ms, 0), 'End': coalesce(z.end_ms, 0), 'Headline': title, 'Summary': overview}} ORDER BY cc.chapter) AS l FROM cc JOIN la ON la.meeting_id = cc.meeting_id AND la.chapter = cc.chapter
+ LEFT JOIN s a ON a.meeting_id = cc.meeting_id AND a.segment_id = sr LEFT JOIN s z ON z.meeting_id = cc.meeting_id AND z.segment_id = er GROUP BY 1),
+ sk AS (SELECT meeting_id, list({{'SpeakerId': speaker, 'SpeakerName': speaker, 'Summary': summary}} ORDER BY n) AS l FROM (SELECT meeting_id, speaker, min(idx) AS n, arg_min(text, idx) AS summary FROM s GROUP BY 1, 2) GROUP BY 1),
+ it AS (SELECT x.meeting_id, x.idx % 2 AS kind, x.idx, x.text, x.sentence_id, x.start_ms AS a, greatest(x.end_ms, coalesce(y.end_ms, 0)) AS b, row_number() OVER (PARTITION BY x.meeting_id, x.idx % 2 ORDER BY x.idx) AS n FROM sn x LEFT JOIN sn y ON y.meeting_id = x.meeting_id AND y.idx = x.idx + 1),
+ il AS (SELECT meeting_id, list({_WORDS.format(n='n')} ORDER BY n) FILTER (WHERE kind = 0) AS ks, list({_WORDS.format(n='n')} ORDER BY n) FILTER (WHERE kind = 1) AS ac FROM it GROUP BY 1), kw AS (SELECT meeting_id, list(speaker ORDER BY idx) AS l FROM s GROUP BY 1),
+ js AS (SELECT meeting_id, 'transcription.json' AS name, to_json({{'TaskId': task, 'Transcription': {{'AudioInfo': {{'Duration': dur, 'SourceAudio': NULL}}, 'Paragraphs': coalesce(p.l, [])}}}}) AS j FROM me LEFT JOIN p USING (meeting_id)
+ UNION ALL SELECT meeting_id, 'auto_chapters.json', to_json({{'TaskId': task, 'AutoChapters': ch.l}}) FROM me JOIN ch USING (meeting_id) UNION ALL SELECT meeting_id, 'summarization.json', to_json({{'TaskId': task, 'Summarization': {{'ParagraphSummary': ov, 'ConversationalSummary': sk.l}}}}) FROM me JOIN sk USING (meeting_id)
+ UNION ALL SELECT meeting_id, 'meeting_assistance.json', to_json({{'TaskId': task, 'MeetingAssistance': {{'Keywords': kw.l, 'KeySentences': coalesce(ks, []), 'Actions': coalesce(ac, [])}}}}) FROM me LEFT JOIN il USING (meeting_id) JOIN kw USING (meeting_id))
+ SELECT meeting_id, name, sha256(CAST(j AS VARCHAR)) AS sha256, length(CAST(j AS VARCHAR)) AS chars FROM js""")
+def export_documents(spark, d):
+    return _bundle(spark, d).select("meeting_id", "name", F.sha2(F.col("json").cast("binary"), 256).alias("sha256"), F.length("json").cast("long").alias("chars"))
+
+
+@query(f"WITH {SEG} SELECT DISTINCT CAST(meeting_id AS VARCHAR) AS key, unnest({sorted(exports.BUNDLE)}) AS name, true AS same, 0 AS faults FROM s")
+def export_files(spark, d):
+    """The bundle written as files and read again; whether each is what was written, and its faults against its schema."""
+    folder, bundle = new_folder(spark, "exports"), written(_bundle(spark, d), "bundle")
+    documents.write_documents(bundle.select(F.col("meeting_id").alias("key"), "name", "json"), folder)
+    again = documents.read_documents(spark, folder)
+    same = bundle.select(F.col("meeting_id").cast("string").alias("key"), "name", F.col("json").alias("own")).join(again, ["key", "name"], "left")
+    found = [documents.violations(again.where(F.col("name") == name).select(F.col("key").alias("doc"), "json"), schema).withColumn("name", F.lit(name)) for name, schema in exports.BUNDLE.items()]
+    faults = functools.reduce(DataFrame.unionByName, found).select(F.col("doc").alias("key"), "name").unionByName(exports.bundle_faults(bundle).select(F.col("meeting_id").cast("string").alias("key"), F.lit("transcription.json").alias("name")))
+    faults = faults.groupBy("key", "name").agg(F.count("*").cast("int").alias("faults"))
+    return same.join(faults, ["key", "name"], "left").select("key", "name", F.col("own").eqNullSafe(F.col("json")).alias("same"), F.coalesce("faults", F.lit(0)).alias("faults"))
+
+
+# ---- streams with state
+
+@query("""SELECT user_id AS product, arg_max(event_type, {'t': ts, 'i': event_id}) AS state, count(*) AS n, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us, arg_max(event_id, {'t': ts, 'i': event_id}) AS last_id FROM events GROUP BY 1""")
+def product_stream(spark, d):
+    """Records of users folded by the stream, all events within its horizon."""
+    base = new_folder(spark, "products")
+    events = streams.read_stream(spark, f"{d}/events.parquet").select(F.col("user_id").alias("product"), "event_id", "event_type", "ts")
+    out = products.run_updates(products.product_records(events, "60 days", 40 * 86_400), f"{base}/out", f"{base}/checkpoint")
+    return out.select("product", "state", "n", "first_us", "last_us", "last_id")
