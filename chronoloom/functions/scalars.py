@@ -211,3 +211,44 @@ def token_estimate(text: Column, chars_per_token: float = 1.3, overhead: int = 0
 
 def overlap_ms(start: Column, end: Column, start2: Column, end2: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(end, end2) - F.greatest(start, start2))
+
+
+# Where requests of a kind lie, and versions that are written in two ways.
+REQUEST_KINDS = {"blocks/": "block-summary", "requests/full_summary": "full-summary", "requests/action_review": "action-review", "requests/speaker_batches": "speaker-batch"}
+VERSION_NAMES = {"meeting_minutes_vO": "meeting_minutes_v0", "meeting_minutes_map_vO": "meeting_minutes_map_v0"}
+
+
+def request_kind(path: Column) -> Column:
+    """Of a folder below the root of requests."""
+    found = F.lit("other")
+    for prefix, kind in reversed(REQUEST_KINDS.items()):
+        found = F.when(path.startswith(prefix), kind).otherwise(found)
+    return found
+
+
+def heading(c: Column) -> Column:
+    """On one line."""
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
+def schema_version(c: Column) -> Column:
+    """Trimmed, and under its usual name."""
+    t = F.btrim(c)
+    found = t
+    for other, name in VERSION_NAMES.items():
+        found = F.when(t == other, name).otherwise(found)
+    return found
+
+
+def kilo_to_mega(c: Column) -> Column:
+    return F.round(c / 1024, 3)
+
+
+def board_error_code(c: Column, fallback: str) -> Column:
+    t = F.upper(F.btrim(c))
+    return F.when(t != "", t).otherwise(fallback.upper())
+
+
+def message_tokens(messages: Column, chars_per_token: float, overhead: int) -> Column:
+    """Estimated from the length of the messages' compact JSON."""
+    return (F.ceil(F.length(F.to_json(messages)) / chars_per_token) + overhead).cast("long")
