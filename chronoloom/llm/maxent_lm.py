@@ -12,7 +12,7 @@ training did not hold, so each factor sums to 1.
 
 Training: word counts come from the whole training part. Then every task makes gradient updates over all its
 texts, in batches, scaled by how often a weight row was met; the tasks' rows are averaged by those counts in a
-shuffle. ROUNDS passes are made. The number of weight rows grows with the number of training tokens, up to MORE_BITS bits. Scoring reads
+shuffle. ROUNDS passes are made. The number of weight rows grows with the number of training tokens (``row_bits``). Scoring reads
 whole texts in numpy batches. Counts of the FREQUENT most frequent words (a
 fixed number, 16 bytes each) are broadcast; the counts of other words are joined.
 
@@ -44,8 +44,8 @@ WIDTH, LEVELS, OWN_CLASSES = 32, 3, 24_576
 N_CLASSES = WIDTH**LEVELS
 FEATURES = 3
 #: Weight rows of each feature at each level, as powers of two, for up to 2**FULL_BITS training tokens; a bit more for each
-#: factor of 4 beyond, MORE_BITS at most.
-ROW_BITS, FULL_BITS, MORE_BITS = (14, 15, 15), 23, 2
+#: factor of 4 beyond, and from FAST_BITS more on for each factor of 64: rows always grow with the corpus, slower than its tokens.
+ROW_BITS, FULL_BITS, FAST_BITS = (14, 15, 15), 23, 2
 #: Training tokens of a task, at least, where there are many: what tasks hand on stays below the size of the texts.
 TASK_TOKENS = 8_000_000
 #: Weights stay within this range.
@@ -123,7 +123,8 @@ def classes(h: np.ndarray, own: WordTable) -> np.ndarray:
 
 
 def row_bits(n_tokens: int) -> tuple[int, ...]:
-    more = min(MORE_BITS, max(0, (int(n_tokens).bit_length() - FULL_BITS) // 2))
+    beyond = max(0, int(n_tokens).bit_length() - FULL_BITS)
+    more = min(FAST_BITS, beyond // 2) + max(0, beyond - 2 * FAST_BITS) // 6
     return tuple(b + more for b in ROW_BITS)
 
 
@@ -313,7 +314,7 @@ def train(texts: DataFrame, counts: DataFrame, own: WordTable, n_tokens: int, ro
         held = context.broadcast(model)
         parts = texts.select("text").coalesce(tasks).mapInArrow(_trainer(held), "chunk long, seen binary, weights binary")
         averages = materialize(parts.repartition(max(1, chunks // 64), "chunk").mapInArrow(_average, "chunk long, weights binary"), "weights")
-        for r in averages.toLocalIterator():  # the rows of weights, whose number row_bits bounds, one part of them at a time
+        for r in averages.toLocalIterator():  # the rows of weights, one part of them at a time
             at, k = divmod(r["chunk"], LEVELS)
             model.weights[k][at * CHUNK : (at + 1) * CHUNK] = np.frombuffer(r["weights"], np.float16).reshape(CHUNK, -1)
         held.destroy()
