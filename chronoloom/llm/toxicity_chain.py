@@ -1,7 +1,8 @@
 """Toxicity: a classifier chain over hashed words and beginnings of words.
 
 The labels know one category, toxic. The chain's links, in order: threat, contempt, insult, toxic. The first three are weakly
-labelled: a toxic document holds a word of the category's list below (fixed values); the last link, whose probability is
+labelled, whatever the label says: a document holds a word of the category's list below (fixed values), or two terms that the category has
+learned, at most GROWN whose documents hold a word of the list far more often than others do (by the log odds). The last link, whose probability is
 the score, is that of the labels. Each is a ridge logistic model over a document's counts of selected terms and its
 length; later models also see the probabilities of earlier links. In training, these come from out-of-fold predictions, so
 a link learns from the probabilities that it will meet.
@@ -19,13 +20,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import discard, materialize, small_batches, tidy
 from chronoloom.llm.words import PLAIN, Words, hash_of, sum_by, word_blocks
 
 SAMPLE, TERMS, FOLDS = 12_000, 384, 5
+#: Terms that a category learns at most, and the least log odds over their standard error that they need.
+GROWN, LEAST_Z = 12, 6.0
 #: Beginnings of words, in bytes, that are terms too.
 BEGINNINGS = (4, 5, 6, 7, 8)
 # Words that tell a category of toxic documents.
@@ -48,21 +51,40 @@ def _terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(texts)
 
 
-def _documents(batches):
-    """(term, repeated, n1, n): how many toxic and how many sampled texts hold a term, and hold it more than once, by block."""
-    for batch, words in word_blocks(batches, PLAIN):
-        toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        h, text = _terms(words)
-        order = np.lexsort((h, text))
-        h, text = h[order], text[order]
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-        first = np.flatnonzero(first)
-        times = np.diff(np.append(first, len(h)))
-        for repeated, at in ((False, first), (True, first[times > 1])):
-            term, which = np.unique(h[at], return_inverse=True)
-            n, n1 = np.bincount(which, minlength=len(term)), np.bincount(which, weights=toxic[text[at]], minlength=len(term)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(np.full(len(term), repeated)), pa.array(n1), pa.array(n)], ["term", "repeated", "n1", "n"])
+def _holds(words: Words, lists: list[np.ndarray]) -> np.ndarray:
+    """For each text and list whether it holds a word of it."""
+    return np.stack([sum_by(np.isin(words.hash, some).astype(np.int64), words.at) > 0 for some in lists], axis=1).astype(np.int64)
+
+
+def _documents(lists: list[np.ndarray]):
+    """(term, repeated, n, n_0, ..): how many sampled texts hold a term, or hold it more than once, and how many of these are of each link, by block."""
+    def run(batches):
+        for batch, words in word_blocks(batches, PLAIN):
+            of = np.column_stack([_holds(words, lists), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)])
+            h, text = _terms(words)
+            order = np.lexsort((h, text))
+            h, text = h[order], text[order]
+            first = np.ones(len(h), bool)
+            first[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+            first = np.flatnonzero(first)
+            times = np.diff(np.append(first, len(h)))
+            for repeated, at in ((False, first), (True, first[times > 1])):
+                term, which = np.unique(h[at], return_inverse=True)
+                n = np.bincount(which, minlength=len(term))
+                each = [np.bincount(which, weights=of[text[at], k], minlength=len(term)).astype(np.int64) for k in range(of.shape[1])]
+                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(np.full(len(term), repeated)), pa.array(n), *map(pa.array, each)], ["term", "repeated", "n", *[f"n_{k}" for k in range(of.shape[1])]])
+
+    return run
+
+
+def _sizes(lists: list[np.ndarray]):
+    """How many sampled texts are of each link, by block."""
+    def run(batches):
+        for batch, words in word_blocks(batches, PLAIN):
+            of = np.column_stack([_holds(words, lists), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)]).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in of], [f"n_{k}" for k in range(len(of))])
+
+    return run
 
 
 def ridge_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 15) -> np.ndarray:
@@ -140,22 +162,37 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 1, fol
     total, toxic = texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < total:
         return None
-    df = texts.mapInArrow(_documents, "term long, repeated boolean, n1 long, n long").groupBy("term", "repeated").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
-    n1, n0 = F.col("n1") + 0.5, F.col("n") - F.col("n1") + 0.5
-    odds = F.log(n1 / (F.lit(toxic + 1.0) - n1)) - F.log(n0 / (F.lit(total - toxic + 1.0) - n0))
-    picked = df.select("term", (odds / F.sqrt(1 / n1 + 1 / n0)).alias("z")).groupBy("term").agg(F.max("z").alias("z")).orderBy(F.desc("z"), "term").limit(TERMS).collect()
+    lists = [np.sort(hash_of([w.encode() for w in words])) for words in CATEGORIES.values()]
+    kinds = [f"n_{k}" for k in range(len(LINKS))]
+    df = texts.mapInArrow(_documents(lists), "term long, repeated boolean, n long, " + ", ".join(f"{c} long" for c in kinds))
+    df = materialize(df.groupBy("term", "repeated").agg(*[F.sum(c).alias(c) for c in ("n", *kinds)]), "terms")
+    sizes = texts.mapInArrow(_sizes(lists), ", ".join(f"{c} long" for c in kinds)).agg(*[F.sum(c) for c in kinds]).first()
+
+    def told(k: int) -> Column:
+        """How far the log odds of a term among the texts of a link stand from those among the others, over its standard error."""
+        n1, n0 = F.col(f"n_{k}") + 0.5, F.col("n") - F.col(f"n_{k}") + 0.5
+        odds = F.log(n1 / (F.lit(sizes[k] + 1.0) - n1)) - F.log(n0 / (F.lit(total - sizes[k] + 1.0) - n0))
+        return odds / F.sqrt(1 / n1 + 1 / n0)
+
+    picked = df.select("term", told(len(LINKS) - 1).alias("z")).groupBy("term").agg(F.max("z").alias("z")).orderBy(F.desc("z"), "term").limit(TERMS).collect()
     if not picked:
         return None
     terms = _Selected(np.array([r["term"] for r in picked], np.int64).view(np.uint64))
-
-    lists = [np.sort(hash_of([w.encode() for w in words])) for words in CATEGORIES.values()]
+    grown = []
+    for k, own in enumerate(lists):
+        best = df.where(~F.col("repeated")).select("term", told(k).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(GROWN + len(own)).collect()
+        learned = np.array([r["term"] for r in best], np.int64).view(np.uint64)
+        grown.append(_Selected(learned[~np.isin(learned, own)][:GROWN]))
+    discard(df)
 
     def count(batches):
         for batch, words in word_blocks(batches, PLAIN):
             seen = terms.counts(words).astype(np.int64)
             at = np.arange(len(seen) + 1, dtype=np.int32) * seen.shape[1]
-            toxic = batch.column(1).to_numpy()
-            weak = np.stack([(sum_by(np.isin(words.hash, some).astype(np.int64), words.at) > 0) & (toxic == 1) for some in lists], axis=1).astype(np.int64)
+            weak = _holds(words, lists)
+            for k, some in enumerate(grown):
+                if len(some.sorted):
+                    weak[:, k] |= (some.counts(words) > 0).sum(axis=1) >= 2
             weak_at = np.arange(len(weak) + 1, dtype=np.int32) * len(lists)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array(np.diff(words.at)), pa.ListArray.from_arrays(pa.array(at), pa.array(seen.ravel())), pa.ListArray.from_arrays(pa.array(weak_at), pa.array(weak.ravel()))],

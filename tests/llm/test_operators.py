@@ -163,10 +163,11 @@ def test_op3_frequent_words_have_own_classes():
 
 
 def test_op3_rows_grow_with_the_corpus():
-    from chronoloom.llm.maxent_lm import MORE_BITS, ROW_BITS, row_bits
+    from chronoloom.llm.maxent_lm import ROW_BITS, row_bits
 
-    assert row_bits(10**6) == ROW_BITS and row_bits(2**24) == tuple(b + 1 for b in ROW_BITS)
-    assert row_bits(10**13) == tuple(b + MORE_BITS for b in ROW_BITS)
+    assert row_bits(10**6) == ROW_BITS and row_bits(2**24) == tuple(b + 1 for b in ROW_BITS) and row_bits(2**26) == tuple(b + 2 for b in ROW_BITS)
+    more = [row_bits(2**k)[0] for k in range(10, 60)]
+    assert more == sorted(more) and len(set(more[20:])) > 4  # no size at which the growth stops
 
 
 @pytest.mark.parametrize("name, label, least", [("op4_quality_classifier", "quality", 0.8), ("op9_toxicity", "toxic", 0.8)])

@@ -284,3 +284,100 @@ def test_op13_empty_and_lone(spark):
     assert rows(mm.manifest(spark.createDataFrame([], kind))) == []
     one = rows(mm.manifest(spark.createDataFrame([(8, None, None, None, None)], kind)))[0]
     assert one["leaf"] == one["subroot"] == one["root"] == sha("1:8----") and one["proof_sha256"] == sha("") and one["verified"]
+
+
+# ---- earlier operators against plain versions
+
+def test_op4_scores_by_brute_force(spark):
+    """Means, shrunk covariances and densities computed anew with numpy's general routines from the statistics of single texts."""
+    from chronoloom.llm import quality_qda as qq
+
+    docs = rows(spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text"))
+    labels = {r["doc_id"]: r["quality"] for r in rows(spark.read.parquet(f"{DIR}/labels.parquet"))}
+    x = {}
+    for d in docs:
+        raw = np.frombuffer((d["text"] or "").encode(), np.uint8)
+        x[d["doc_id"]] = np.nan_to_num(qq.document_statistics(raw, np.array([0, len(raw)])))[0]
+    train = [i for i in x if i in labels and labels[i] is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    part = {c: np.array([x[i] for i in train if labels[i] == c]) for c in (0, 1)}
+    cov = {c: np.cov(p.T, bias=True) for c, p in part.items()}
+    pooled = sum(len(p) * cov[c] for c, p in part.items()) / len(train)
+    density = {}
+    for c, p in part.items():
+        s = (1 - qq.POOL) * cov[c] + qq.POOL * pooled
+        s = (1 - qq.DIAGONAL) * s + qq.DIAGONAL * np.diag(np.maximum(np.diag(pooled), 1e-6)) + 1e-9 * np.eye(len(s))
+        inverse, (_, log_det) = np.linalg.inv(s), np.linalg.slogdet(s)
+        density[c] = {i: np.log(len(p) / len(train)) - 0.5 * ((v - p.mean(axis=0)) @ inverse @ (v - p.mean(axis=0)) + log_det) for i, v in x.items()}
+    got = rows(Q["op4_quality_classifier"](spark, DIR))
+    assert len(got) == len(docs)
+    for r in got:
+        i = r["doc_id"]
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.5)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(np.clip(density[0][i] - density[1][i], -700, 700))), abs=1e-5)
+
+
+def test_op4_statistics_of_single_texts():
+    from chronoloom.llm import quality_qda as qq
+
+    text = "One two, two.\nOne two, two.\nTHREE 44 ééé!"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    got = dict(zip(qq.FEATURES, qq.document_statistics(raw, np.array([0, len(raw)]))[0]))
+    w = text.split()
+    size = [len(x.encode()) for x in w]
+    n = len(text.encode())
+    assert got["log_words"] == pytest.approx(np.log1p(len(w))) and got["word_length"] == pytest.approx(np.log1p(sum(size) / len(w)))
+    assert got["upper"] == pytest.approx(np.sqrt(sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text) / n)) and got["digit"] == pytest.approx(np.sqrt(2 / n)) and got["space"] == pytest.approx(sum(c.isspace() for c in text) / n)
+    assert got["distinct_words"] == pytest.approx((len({x.lower() for x in w}) / len(w)) ** 2) and got["repeated_lines"] == pytest.approx(np.sqrt(1 - 2 / 3)) and got["end_stops"] == pytest.approx(np.sqrt(sum(c in ".!?" for c in text) / n))
+
+
+def test_op10_added_spans_precision_and_recall(spark):
+    """Secrets and numbers planted among code words, hashes, versions and prose: what the classifier adds."""
+    from chronoloom.llm.pii_weak import find_personal_data
+
+    rng = random.Random(3)
+    alphabet = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    table, planted = [], {}
+    for i in range(400):
+        words = [rng.choice("some plain words about nothing at all".split()) for _ in range(30)]
+        secret = "".join(rng.choice(alphabet) for _ in range(32))
+        if i % 4 == 0:
+            words.insert(10, f"password: {secret}")
+            planted[i] = secret
+        elif i % 4 == 1:
+            words.insert(10, f"commit {''.join(rng.choice('0123456789abcdef') for _ in range(40))}")
+        elif i % 4 == 2:
+            words.insert(10, "word-with-many-parts-2024-and-more")
+        if i % 5 == 0:
+            words.insert(3, "mail joe@site.org or call +1 234 567 8901")
+        table.append((i, " ".join(words)))
+    got = {r["doc_id"]: r for r in rows(find_personal_data(spark.createDataFrame(table, "doc_id long, text string")))}
+    found = {i: [r["text"][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "secret"] for i, r in got.items()}
+    hit = sum(planted[i] in found[i] for i in planted)
+    wrong = sum(len(x) for i, x in found.items() if i not in planted) + sum(len([s for s in found[i] if s != planted[i]]) for i in planted)
+    assert hit / len(planted) >= 0.75 and hit / (hit + wrong) >= 0.9  # secrets of fewer than three digits look like words to the labeler of shapes
+    assert all(({"email", "phone"} <= {s["kind"] for s in r["spans"]}) == (i % 5 == 0) for i, r in got.items())
+
+
+def test_op9_links_do_not_restate_the_label(spark):
+    """A document that holds words of a category is of that link whatever its label; terms that go with them are learned."""
+    from chronoloom.llm import toxicity_chain as tc
+
+    rng = random.Random(4)
+    plain = [f"word{i}" for i in range(60)]
+    texts, labels = [], []
+    for i in range(1200):
+        w = [rng.choice(plain) for _ in range(25)]
+        kind = i % 6
+        if kind == 0:  # threats, half of them labelled
+            w[3:6] = ["kill", "blade", "tonight"]
+        elif kind == 1:  # what threats say besides their words
+            w[3:5] = ["blade", "tonight"]
+        elif kind == 2:
+            w[3] = "idiot"
+        texts.append((i, " ".join(w)))
+        labels.append((i, int(kind in (0, 2) and i % 4 < 3)))
+    got = {r["doc_id"]: r for r in rows(tc.score_toxicity(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")))}
+    apart = [r for r in got.values() if r["held_out"]]
+    threat = [r["threat"] > 0.5 for r in apart if r["doc_id"] % 6 in (0, 1)]
+    assert sum(threat) / len(threat) > 0.95
+    assert sum(r["threat"] > 0.5 for r in apart if r["doc_id"] % 6 > 1) == 0 and all((r["insult"] > 0.5) == (r["doc_id"] % 6 == 2) for r in apart)
