@@ -7,13 +7,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.operators.intervals import islands, overlap_join, overlap_of
+from chronoloom.operators.tables import written
 
 
-def by_labels(rows: DataFrame, reference: DataFrame, keys: list[str], bucket: int) -> DataFrame:
+def label_overlaps(rows: DataFrame, reference: DataFrame, keys: list[str], bucket: int) -> DataFrame:
+    """(keys, id, label, ref_label, ms): the time that each known interval shares with the reference's labels, written once for all that reads it."""
+    pairs = overlap_join(rows.where("label <> 'unknown'"), reference, keys, bucket)
+    shared = pairs.groupBy(*keys, F.col("a_id").alias("id"), F.col("a_label").alias("label"), F.col("b_label").alias("ref_label")).agg(F.sum(overlap_of(pairs)).alias("ms"))
+    return written(shared, "label_overlaps")
+
+
+def by_labels(rows: DataFrame, reference: DataFrame, keys: list[str], bucket: int, overlaps: DataFrame | None = None) -> DataFrame:
     """(keys, label, ref_label, ms): shared time of each pair of labels, zeros filled in; unknown labels are left out."""
     known = rows.where("label <> 'unknown'")
-    pairs = overlap_join(known, reference, keys, bucket)
-    shared = pairs.groupBy(*keys, F.col("a_label").alias("label"), F.col("b_label").alias("ref_label")).agg(F.sum(overlap_of(pairs)).alias("ms"))
+    if overlaps is None:
+        overlaps = label_overlaps(rows, reference, keys, bucket)
+    shared = overlaps.groupBy(*keys, "label", "ref_label").agg(F.sum("ms").alias("ms"))
     # labels of one key only, a few each
     grid = known.select(*keys, "label").distinct().join(reference.select(*keys, F.col("label").alias("ref_label")).distinct(), keys)
     return grid.join(shared, [*keys, "label", "ref_label"], "left").withColumn("ms", F.coalesce("ms", F.lit(0).cast("long")))
@@ -80,13 +89,14 @@ def label_mapping(matrix: DataFrame, keys: list[str]) -> DataFrame:
     return matrix.groupBy(*keys).applyInPandas(choose, f"{kinds}, label string, ref_label string, ms long")
 
 
-def segment_quality(rows: DataFrame, reference: DataFrame, mapping: DataFrame, keys: list[str], bucket: int) -> DataFrame:
+def segment_quality(rows: DataFrame, reference: DataFrame, mapping: DataFrame, keys: list[str], bucket: int, overlaps: DataFrame | None = None) -> DataFrame:
     """(keys, id, label, mapped, duration_ms, correct_ms, other_ms, silence_ms, purity, leak) of known intervals."""
-    known = rows.where("label <> 'unknown'").join(mapping.select(*keys, "label", F.col("ref_label").alias("mapped")), [*keys, "label"], "left")
-    pairs = overlap_join(known, reference, keys, bucket)
-    own = F.coalesce(F.col("b_label") == F.col("a_mapped"), F.lit(False))
-    ms = overlap_of(pairs)
-    shared = pairs.groupBy(*keys, F.col("a_id").alias("id")).agg(F.sum(F.when(own, ms).otherwise(0)).alias("correct_ms"), F.sum(F.when(own, 0).otherwise(ms)).alias("other_ms"))
+    mapped = mapping.select(*keys, "label", F.col("ref_label").alias("mapped"))
+    known = rows.where("label <> 'unknown'").join(mapped, [*keys, "label"], "left")
+    if overlaps is None:
+        overlaps = label_overlaps(rows, reference, keys, bucket)
+    own = F.coalesce(F.col("ref_label") == F.col("mapped"), F.lit(False))
+    shared = overlaps.join(mapped, [*keys, "label"], "left").groupBy(*keys, "id").agg(F.sum(F.when(own, F.col("ms")).otherwise(0)).alias("correct_ms"), F.sum(F.when(own, 0).otherwise(F.col("ms"))).alias("other_ms"))
     out = known.join(shared, [*keys, "id"], "left").na.fill(0, ["correct_ms", "other_ms"])
     heard, length = F.col("correct_ms") + F.col("other_ms"), F.col("end_ms") - F.col("start_ms")
     return out.select(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.scalars import clean_candidate, is_transcript_line, strip_control
 from chronoloom.operators.scan import running
+from chronoloom.sources.formats import numbered_lines
 
 # What opens a block, what closes it, and what names a result on one line or the next, in order.
 OPENING = (r"^text\s+res\s*[:：]\s*(.*)$", r"^Final\s+Commit\s+Result\s*[:：]\s*(.*)$")
@@ -20,12 +21,8 @@ NAMING = (r"Final\s+Result\s*[:：]\s*(.*)", r"ASR\s+Result\s*[:：]\s*(.*)", r"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source, line, value) of text files: lines are numbered from 1 as they stand in their file, which isn't read as one value.
-
-    A line's place is that of its split (Spark orders splits of a file by where they begin) and its number inside it.
-    """
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
-    return running(rows, ["source"], [F.col("block").asc(), F.col("row").asc()], count=True, name="lines").select("source", F.col("pos").alias("line"), "value")
+    """(source, line, value) of log files, the source being the file's path."""
+    return numbered_lines(spark, path).select(F.col("file").alias("source"), "line", "value")
 
 
 def log_lines(lines: DataFrame) -> DataFrame:

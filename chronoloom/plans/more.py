@@ -217,7 +217,9 @@ def label_mapping(spark, d):
 @query(f"""WITH RECURSIVE {QUALITY} SELECT key, id, label, mapped, duration_ms, correct_ms, other_ms, greatest(0, duration_ms - correct_ms - other_ms) AS silence_ms,
  CASE WHEN correct_ms + other_ms > 0 THEN round(correct_ms / (correct_ms + other_ms), 6) END AS purity, CASE WHEN correct_ms + other_ms > 0 THEN round(other_ms / (correct_ms + other_ms), 6) END AS leak FROM qu""")
 def segment_quality(spark, d):
-    return ev.segment_quality(*_sides(spark, d), _mapping(spark, d), KEY, HOUR)
+    rows, reference = _sides(spark, d)
+    overlaps = ev.label_overlaps(rows, reference, KEY, HOUR)
+    return ev.segment_quality(rows, reference, ev.label_mapping(ev.by_labels(rows, reference, KEY, HOUR, overlaps), KEY), KEY, HOUR, overlaps)
 
 
 @query(f"""WITH RECURSIVE {QUALITY}, t AS (SELECT key, CAST(sum(correct_ms) AS BIGINT) AS c, CAST(sum(other_ms) AS BIGINT) AS o, CAST(sum(greatest(0, duration_ms - correct_ms - other_ms)) AS BIGINT) AS s, CAST(sum(duration_ms) AS BIGINT) AS d FROM qu GROUP BY 1)

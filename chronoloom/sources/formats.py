@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoloom.operators.scan import running
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, source, line, value) of text files: lines are numbered from 1 as they stand in their file, which isn't read as one value.
+
+    A line's place is that of its split (splits of a file are ordered by where they begin) and its number inside it; source is the file's name.
+    """
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_block_start").alias("_block")]
+    rows = spark.read.text(path).select(*meta, F.monotonically_increasing_id().alias("_row"), "value")
+    return running(rows, ["file"], [F.col("_block").asc(), F.col("_row").asc()], count=True, name="lines").select("file", "source", F.col("pos").alias("line"), "value")
+
 
 def read_rttm(spark: SparkSession, path: str) -> DataFrame:
     """(start_ms, end_ms, speaker, source, source_ids) of SPEAKER lines with at least eight fields; source_ids names the line of the file."""
     f = F.split(F.trim("value"), r"\s+")
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    rows = text.select(f.alias("f"), "source", (F.col("line") + 1).alias("line")).where((F.size("f") >= 8) & (F.col("f")[0] == "SPEAKER"))
+    rows = numbered_lines(spark, path).select(f.alias("f"), "source", "line").where((F.size("f") >= 8) & (F.col("f")[0] == "SPEAKER"))
     ms = [F.rint(F.try_element_at("f", F.lit(i)).try_cast("double") * 1000).cast("long") for i in (4, 5)]
     where = F.array(F.concat(F.lit("rttm:"), F.col("line").cast("string"))).alias("source_ids")
     return rows.select(ms[0].alias("start_ms"), (ms[0] + ms[1]).alias("end_ms"), F.col("f")[7].alias("speaker"), "source", where).where("end_ms > start_ms")
@@ -20,7 +31,7 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
     """(segment_id, start_s, end_s, speaker, text, source, line) of lines ``[seg-000001][0m00s-0m05s][speaker_0] text``."""
     pattern = r"^\[(seg-\d+)\]\[(\d+)m(\d+)s-(\d+)m(\d+)s\]\[([^\]]+)\] (.*)$"
     g = [F.regexp_extract("value", pattern, i) for i in range(1, 8)]
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    text = numbered_lines(spark, path).withColumn("line", (F.col("line") - 1).cast("int"))
     rows = text.where(F.col("value").rlike(pattern))
     return rows.select("source", "line", g[0].alias("segment_id"), (g[1].cast("long") * 60 + g[2].cast("long")).alias("start_s"), (g[3].cast("long") * 60 + g[4].cast("long")).alias("end_s"), g[5].alias("speaker"), g[6].alias("text"))
 
