@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import scalars as sc
-from chronoloom.operators import carryover, documents, exports, frontier, ledger, logs, units
+from chronoloom.operators import carryover, documents, exports, frontier, ledger, logs, report, units
 from chronoloom.operators.tables import new_folder, written
 from chronoloom.plans.more import QUERIES, SQL, query  # noqa: F401
 from chronoloom.plans.oracle import SEG, _grams, _jaccard
@@ -352,3 +352,26 @@ def product_stream(spark, d):
     events = streams.read_stream(spark, f"{d}/events.parquet").select(F.col("user_id").alias("product"), "event_id", "event_type", "ts")
     out = products.run_updates(products.product_records(events, "60 days", 40 * 86_400), f"{base}/out", f"{base}/checkpoint")
     return out.select("product", "state", "n", "first_us", "last_us", "last_id")
+
+
+# ---- reports over artifacts
+
+@query("""WITH e AS (SELECT user_id AS run, event_id AS i, CAST(round(value * 100) AS BIGINT) AS v FROM events),
+ m AS (SELECT run, 'artifacts' AS section, 'documents' AS measure, count(*) AS value FROM e GROUP BY 1 UNION ALL SELECT run, 'artifacts', 'broken', count(*) FILTER (WHERE i % 11 = 7) FROM e GROUP BY 1
+ UNION ALL SELECT run, 'requests', 'requests', count(*) FILTER (WHERE i % 11 <> 7 AND i % 4 = 0) FROM e GROUP BY 1 UNION ALL SELECT run, 'requests', 'tokens', coalesce(sum(v) FILTER (WHERE i % 11 <> 7 AND i % 4 = 0), 0) FROM e GROUP BY 1
+ UNION ALL SELECT run, 'requests', 'prompt_tokens', coalesce(sum(v // 2) FILTER (WHERE i % 11 <> 7 AND i % 4 = 0 AND i % 12 = 0), 0) FROM e GROUP BY 1 UNION ALL SELECT run, 'stages', 'done', count(*) FILTER (WHERE i % 11 <> 7 AND i % 4 = 1) FROM e GROUP BY 1
+ UNION ALL SELECT run, 'stages', 'failed', count(*) FILTER (WHERE i % 11 <> 7 AND i % 4 = 1 AND i % 3 = 0) FROM e GROUP BY 1 UNION ALL SELECT run, 'stages', 'elapsed', coalesce(sum(v) FILTER (WHERE i % 11 <> 7 AND i % 4 = 1), 0) FROM e GROUP BY 1
+ UNION ALL SELECT run, 'memory', 'samples', 2 * count(*) FILTER (WHERE i % 11 <> 7 AND i % 4 = 2) FROM e GROUP BY 1 UNION ALL SELECT run, 'memory', 'peak', coalesce(max(v + 5) FILTER (WHERE i % 11 <> 7 AND i % 4 = 2), 0) FROM e GROUP BY 1
+ UNION ALL SELECT run, 'errors', 'errors', count(*) FILTER (WHERE i % 11 <> 7 AND i % 4 = 3) FROM e GROUP BY 1) SELECT run, section, measure, CAST(value AS DOUBLE) AS value FROM m""")
+def artifact_report(spark, d):
+    """Artifacts of four kinds, one an event, some broken, with keys that drift from version to version."""
+    i, v = F.col("i"), F.col("v")
+    rows = src.table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("i"), F.rint(F.col("value") * 100).cast("long").alias("v"))
+    usage = F.when(i % 12 == 0, F.to_json(F.struct(F.struct(v.alias("total_tokens"), F.floor(v / 2).alias("prompt_tokens")).alias("usage")))).when(i % 12 == 4, F.to_json(F.struct(F.struct(v.alias("total")).alias("usage")))).otherwise(F.to_json(F.struct(v.alias("tokens"), F.lit("x").alias("note"))))
+    failed = F.struct(F.when(i % 3 == 0, "failed").otherwise("skipped").alias("status"))
+    stages = F.to_json(F.struct(F.struct(F.struct(F.lit("done").alias("status"), v.alias("elapsed")).alias("asr"), failed.alias("llm")).alias("stages")))
+    rss = "rss"
+    memory = F.when(i % 8 == 2, F.to_json(F.struct(F.array(F.struct(v.alias(rss)), F.struct((v + 5).alias(rss))).alias("samples")))).otherwise(F.to_json(F.struct(F.array(F.struct((v + 5).alias("rss_kb")), F.struct(v.alias("rss_kb"))).alias("samples"))))
+    told = F.when(i % 4 == 0, usage).when(i % 4 == 1, stages).when(i % 4 == 2, memory).otherwise(F.to_json(F.struct(F.lit("failed").alias("code"))))
+    artifacts = rows.select("run", src.pick(("usage", "status", "memory", "error"), "i % 4").alias("artifact"), i.cast("string").alias("file"), F.when(i % 11 == 7, F.substring(told, F.lit(1), F.length(told) - 1)).otherwise(told).alias("json"))
+    return report.report(report.facts(artifacts))

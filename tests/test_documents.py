@@ -176,3 +176,15 @@ def test_stream_is_the_batch_fold_of_shuffled_repeated_and_late_events(spark):
 def test_a_stream_reads_a_single_table(spark):
     out = streams.read_stream(spark, "/root/testdata/sf0.001/events.parquet")
     assert out.isStreaming
+
+
+def test_reports_of_missing_and_broken_artifacts(spark):
+    from chronoloom.operators import report
+
+    table = [(1, "usage", "a", '{"usage": {"total": 7}}'), (1, "usage", "b", '{"tokens": 5, "usage": [1]}'), (1, "memory", "c", "{"), (2, "other", "d", '{"stages": {"x": {"status": "done"}, "y": {"status": "failed", "elapsed": 2.5}}}'), (3, "error", "e", "[]"), (3, "error", "f", '{"code": null}')]
+    got = {}
+    for r in rows(report.report(report.facts(spark.createDataFrame(table, "run long, artifact string, file string, json string")))):
+        got[r["run"], r["section"], r["measure"]] = r["value"]
+    assert len(got) == 3 * len(report.MEASURES)
+    told = {k: v for k, v in got.items() if v}
+    assert told == {(1, "artifacts", "documents"): 3, (1, "artifacts", "broken"): 1, (1, "requests", "requests"): 2, (1, "requests", "tokens"): 12, (2, "artifacts", "documents"): 1, (2, "stages", "done"): 1, (2, "stages", "failed"): 1, (2, "stages", "elapsed"): 2.5, (3, "artifacts", "documents"): 2, (3, "errors", "errors"): 1}
