@@ -3,7 +3,8 @@
 A log holds events of conversations: ``delta`` appends text to a message, ``edit`` replaces what the message says so
 far and ``regenerate`` starts it again (its text, if any, is the new beginning). Events are partitioned by conversation,
 sorted by sequence and folded: the text of a message is the concatenation of its events from the last ``edit`` or
-``regenerate`` on. Its role is the last one that any of its events names. A table of finished turns is a log of one ``delta`` a turn.
+``regenerate`` on. Its role is the last one that any of its events names. A table of finished turns is read as the log
+in which they were streamed: a draft, a regeneration and a delta each.
 
 Template: each turn is ``<turn:ROLE>TEXT</turn>`` and a line feed. Inside texts and roles a backslash is written ``\\s``,
 ``<`` is written ``\\l`` and, in roles, ``>`` is written ``\\g``; so no text can hold a control string, and the writing is
@@ -76,13 +77,28 @@ def render(turns: DataFrame) -> DataFrame:
     )
 
 
+def log_of(conversations: DataFrame) -> DataFrame:
+    """A table of turns (conv_id, turn, role, text) as the log of a server that streams them.
+
+    Every turn is a message of three events: a draft (one dot), a regeneration that takes it back and says the first half, and a delta with the rest.
+    """
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    events = F.array(
+        F.struct(F.lit(0).alias("seq"), F.lit("delta").alias("kind"), F.lit(".").alias("said")),
+        F.struct(F.lit(1).alias("seq"), F.lit("regenerate").alias("kind"), F.substring(text, F.lit(1), half).alias("said")),
+        F.struct(F.lit(2).alias("seq"), F.lit("delta").alias("kind"), F.substring(text, half + 1, F.length(text)).alias("said")),
+    )
+    numbered = conversations.select("conv_id", F.monotonically_increasing_id().alias("message"), "turn", "role", events.alias("events"))
+    return numbered.select("conv_id", "message", "turn", "role", F.explode("events").alias("e")).select("conv_id", "message", "turn", "e.seq", "e.kind", "role", F.col("e.said").alias("text"))
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss_spans) of a table of turns (conv_id, turn, role, text), each turn one event.
+    """(conv_id, formatted, loss_spans) of a table of turns (conv_id, turn, role, text), by way of their log.
 
     Conversations are partitioned once, by their id; folding, ordering and rendering then need no further shuffle.
     """
-    log = conversations.select("conv_id", F.monotonically_increasing_id().alias("message"), F.col("turn").alias("seq"), F.lit("delta").alias("kind"), "role", "text")
-    return render(fold_events(log.repartition("conv_id"), "seq").withColumnRenamed("seq", "turn"))
+    return render(fold_events(log_of(conversations).repartition("conv_id"), "turn"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
