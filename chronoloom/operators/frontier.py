@@ -44,6 +44,17 @@ def split_on_length(items: DataFrame, attempt: Attempt, most_depth: int = 3) ->
     return functools.reduce(DataFrame.unionByName, told), functools.reduce(DataFrame.unionByName, made)
 
 
+def reached(begins: DataFrame, jump: DataFrame) -> DataFrame:
+    """(meeting_id, pos): the places that are reached from ``begins`` by following ``jump`` (meeting_id, at, next), by doubling."""
+    begins = written(begins, "begins")
+    while not jump.isEmpty():
+        further = begins.join(jump.withColumnRenamed("at", "pos"), ["meeting_id", "pos"]).select("meeting_id", F.col("next").alias("pos"))
+        begins = written(begins.unionByName(further).distinct(), "begins")
+        twice = jump.select("meeting_id", "at", F.col("next").alias("middle")).join(jump.select("meeting_id", F.col("at").alias("middle"), "next"), ["meeting_id", "middle"])
+        jump = written(twice.select("meeting_id", "at", "next"), "jumps")
+    return begins
+
+
 def budgeted_groups(parts: DataFrame, budget: int) -> DataFrame:
     """Parts (meeting_id, node, cost) with pos (from 1), upto (costs up to and with each) and ``group``: consecutive parts up to a budget each, as greedy packing gives them.
 
@@ -59,15 +70,7 @@ def budgeted_groups(parts: DataFrame, budget: int) -> DataFrame:
     # a part beyond the budget by itself is a group of its own
     jump = met.where("side = 1").select("meeting_id", "at", F.greatest(F.coalesce("last", F.lit(0)), F.col("at")).alias("last"))
     jump = written(jump.select("meeting_id", "at", (F.col("last") + 1).alias("next")), "jumps")
-    begins = written(rows.where("pos = 1").select("meeting_id", "pos"), "begins")
-    while True:
-        further = begins.join(jump, (begins["meeting_id"] == jump["meeting_id"]) & (begins["pos"] == jump["at"])).select(begins["meeting_id"], F.col("next").alias("pos"))
-        more = written(begins.unionByName(further).distinct(), "begins")
-        twice = jump.alias("a").join(jump.alias("b"), (F.col("a.meeting_id") == F.col("b.meeting_id")) & (F.col("a.next") == F.col("b.at")), "left")
-        jump = written(twice.where("b.at is not null").select("a.meeting_id", "a.at", "b.next"), "jumps")
-        begins = more
-        if jump.isEmpty():
-            break
+    begins = reached(rows.where("pos = 1").select("meeting_id", "pos"), jump)
     mark = begins.withColumn("fresh", F.lit(1).cast("long"))
     marked = rows.join(mark, ["meeting_id", "pos"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(0).cast("long")))
     return running(marked, ["meeting_id"], [F.col("pos").asc()], {"group": "fresh"}, name="groups").select("meeting_id", "node", "cost", "pos", "upto", (F.col("group") - 1).alias("group"))

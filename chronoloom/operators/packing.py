@@ -1,7 +1,7 @@
 """Greedy planners: budgeted chunks with context, consecutive groups, best-fit packing, windows of units, truncation.
 
-Chunks and consecutive groups follow next beginnings by doubling, so a meeting of any length is split over tasks. For windows of units and best
-fit the choice of each step depends on more than that: a meeting is worked through by itself in a Pandas function; only ids
+Chunks, consecutive groups and windows follow next beginnings by doubling, so a meeting of any length is split over tasks. For best
+fit the choice of each step depends on all before: a meeting is worked through by itself in a Pandas function; only ids
 and lengths are shuffled to it. Prefixes and truncations are running sums. What can't fit a budget by itself is reported as
 such, in a column ``oversize``, and is in no chunk; ``fail_on_oversize`` makes it an error.
 """
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.operators.frontier import budgeted_groups
+from chronoloom.operators.frontier import budgeted_groups, reached
 from chronoloom.operators.scan import running
 from chronoloom.operators.tables import written
 
@@ -163,42 +163,66 @@ def choose_end(cost: list[int], speaker: list[str], start_ms: list[int], end_ms:
     return best[1] if best else end
 
 
+def _windows_from(turn: list[int], cost: list[int], speaker: list[str], begin: list[int], end_of: list[int], start: int, target: int, most_turns: int, overlap: int) -> tuple[int, int | None]:
+    """(where a window that begins at ``start`` ends, where the next one begins: None behind the last unit)."""
+    end, chars, turns = start, 0, set()
+    while end < len(turn):
+        more = chars + cost[end]
+        if end > start and (more > target or len(turns | {turn[end]}) > most_turns):
+            break
+        chars, end = more, end + 1
+        turns.add(turn[end - 1])
+    end = choose_end(cost, speaker, begin, end_of, start, end, target)
+    if end >= len(turn):
+        return end, None
+    again: list = []
+    for i in range(end - 1, start - 1, -1):
+        if len(again) == overlap:
+            break
+        if turn[i] not in again:
+            again.append(turn[i])
+    after = end
+    while overlap and after > start and turn[after - 1] in again:
+        after -= 1
+    return end, max(start + 1, after) if overlap else end
+
+
+#: Characters that a unit's line has at least, and units of a block that is worked through by one task.
+LEAST_LINE, BLOCK = 40, 4096
+
+
 def plan_windows(found: DataFrame, target: int, most_turns: int, overlap: int) -> DataFrame:
-    """(meeting_id, win, first_no, last_no, turn_ids, start_ms, end_ms, chars) over units, numbered from 0: bounded by characters and turns, the last turns again in the next one."""
+    """(meeting_id, win, first_no, last_no, turn_ids, start_ms, end_ms, chars) over units, numbered from 0: bounded by characters and turns, the last turns again in the next one.
+
+    Where a window ends and where the next one begins depends only on the units from its beginning on, as far as its target reaches. So this is found for every unit as if a
+    window began there, in blocks of BLOCK units and as many more as a window can hold; the windows that there are follow from the first unit by doubling.
+    """
+    reach = max(1, target // LEAST_LINE) + 2
+
     def plan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start_ms", "end_ms", "turn_id", "part"])
-        turn, cost, speaker, begin, end_of = (rows[c].tolist() for c in ("turn_id", "cost", "speaker", "start_ms", "end_ms"))
-        out, start = [], 0
-        while start < len(turn):
-            end, chars, turns = start, 0, set()
-            while end < len(turn):
-                more = chars + cost[end]
-                if end > start and (more > target or len(turns | {turn[end]}) > most_turns):
-                    break
-                chars, end = more, end + 1
-                turns.add(turn[end - 1])
-            end = choose_end(cost, speaker, begin, end_of, start, end, target)
+        rows = rows.sort_values("pos")
+        turn, cost, speaker, begin, end_of, pos = (rows[c].tolist() for c in ("turn_id", "cost", "speaker", "start_ms", "end_ms", "pos"))
+        out = []
+        for start in range(sum(rows["own"])):
+            end, after = _windows_from(turn, cost, speaker, begin, end_of, start, target, most_turns, overlap)
             own = sorted(set(turn[start:end]))
-            out.append((len(out) + 1, start, end - 1, ",".join(map(str, own)), begin[start], end_of[end - 1], sum(cost[start:end]) - 1))
-            if end >= len(turn):
-                break
-            again: list = []
-            for i in range(end - 1, start - 1, -1):
-                if len(again) == overlap:
-                    break
-                if turn[i] not in again:
-                    again.append(turn[i])
-            after = end
-            while overlap and after > start and turn[after - 1] in again:
-                after -= 1
-            start = max(start + 1, after) if overlap else end
-        plan = pd.DataFrame(out, columns=["win", "first_no", "last_no", "turn_ids", "start_ms", "end_ms", "chars"])
-        plan.insert(0, "meeting_id", rows["meeting_id"].iloc[0])
-        return plan
+            out.append((pos[start], pos[end - 1], None if after is None else pos[0] + after, ",".join(map(str, own)), begin[start], end_of[end - 1], sum(cost[start:end]) - 1))
+        told = pd.DataFrame(out, columns=["pos", "last", "next", "turn_ids", "start_ms", "end_ms", "chars"]).astype({"next": "Int64"})
+        told.insert(0, "meeting_id", rows["meeting_id"].iloc[0])
+        return told
 
     line = unit_line(*[F.col(c) for c in ("turn_id", "part", "parts", "start_ms", "end_ms", "speaker", "text")])
     costs = found.select("meeting_id", "turn_id", "part", "speaker", "start_ms", "end_ms", (F.length(line) + 1).cast("long").alias("cost"))
-    return costs.groupBy("meeting_id").applyInPandas(plan, "meeting_id long, win long, first_no long, last_no long, turn_ids string, start_ms long, end_ms long, chars long")
+    rows = running(costs, ["meeting_id"], [F.col(c).asc() for c in ("start_ms", "end_ms", "turn_id", "part")], count=True, name="units").withColumn("pos", F.col("pos") - 1)
+    block = F.floor(F.col("pos") / BLOCK)
+    # the first units of a block are also what the block before may still hold
+    both = F.when((F.col("pos") % BLOCK < reach) & (block > 0), F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block - 1).alias("block"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(block.alias("block"), F.lit(True).alias("own"))))
+    dealt = rows.withColumn("at", F.explode(both)).select("meeting_id", "turn_id", "speaker", "start_ms", "end_ms", "cost", "pos", "at.block", "at.own")
+    told = written(dealt.groupBy("meeting_id", "block").applyInPandas(plan, "meeting_id long, pos long, last long, next long, turn_ids string, start_ms long, end_ms long, chars long"), "windows")
+    begins = reached(told.where("pos = 0").select("meeting_id", "pos"), told.where("next is not null").select("meeting_id", F.col("pos").alias("at"), "next"))
+    taken = told.join(begins, ["meeting_id", "pos"]).withColumnRenamed("pos", "first_no")
+    out = running(taken, ["meeting_id"], [F.col("first_no").asc()], count=True, name="windows")
+    return out.select("meeting_id", F.col("pos").alias("win"), "first_no", F.col("last").alias("last_no"), "turn_ids", "start_ms", "end_ms", "chars")
 
 
 def split_windows(windows: DataFrame, most_chars: int) -> DataFrame:

@@ -345,3 +345,43 @@ def test_windows_of_a_long_meeting_end(spark):
     assert {r["speaker"]: r["count"] for r in got} == {"speaker_1": n}
     assert topics.boundaries(df.where(f"idx < {n // 4}")).count() == n // 4
     assert time.time() - began < 120 and math.isfinite(began)
+
+
+# ---- windows of units
+
+def plain_windows(units_, target, most_turns, overlap):
+    """One window after another over a meeting's units."""
+    from chronoloom.operators import packing
+
+    turn, cost, speaker, begin, end_of = (list(x) for x in zip(*units_))
+    out, start = [], 0
+    while start is not None and start < len(turn):
+        end, after = packing._windows_from(turn, cost, speaker, begin, end_of, start, target, most_turns, overlap)
+        out.append((start, end - 1))
+        start = after
+    return out
+
+
+@pytest.mark.parametrize("overlap", [0, 1, 2])
+def test_windows_of_a_hot_meeting(spark, monkeypatch, overlap):
+    from chronoloom.operators import packing
+
+    monkeypatch.setattr(packing, "BLOCK", 50)
+    rng = random.Random(11)
+    table, at = [], 0
+    for m, n in ((1, 700), (2, 3), (3, 51), (4, 50)):
+        for t in range(n):
+            parts = rng.choice([1, 1, 1, 2, 3])
+            for p in range(1, parts + 1):
+                at += rng.choice([0, 100, 3000])
+                table.append((m, t + 1, p, parts, at, at + 50, f"speaker_{rng.randrange(2)}", "w" * rng.randrange(1, 200)))
+                at += 50
+    df = spark.createDataFrame(table, "meeting_id long, turn_id long, part long, parts long, start_ms long, end_ms long, speaker string, text string")
+    line = packing.unit_line(*[F.col(c) for c in ("turn_id", "part", "parts", "start_ms", "end_ms", "speaker", "text")])
+    costs = {(r["meeting_id"], r["turn_id"], r["part"]): r["c"] for r in rows(df.select("meeting_id", "turn_id", "part", (F.length(line) + 1).alias("c")))}
+    got = rows(packing.plan_windows(df, 900, 4, overlap))
+    for m in (1, 2, 3, 4):
+        own = sorted((r for r in table if r[0] == m), key=lambda r: (r[4], r[5], r[1], r[2]))
+        want = plain_windows([(r[1], costs[r[0], r[1], r[2]], r[6], r[4], r[5]) for r in own], 900, 4, overlap)
+        mine = sorted((r["win"], r["first_no"], r["last_no"]) for r in got if r["meeting_id"] == m)
+        assert mine == [(i + 1, a, b) for i, (a, b) in enumerate(want)]
