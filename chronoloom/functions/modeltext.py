@@ -109,13 +109,16 @@ def reports_truncation(c: Column) -> Column:
     return found
 
 
+# How a turn and a chapter of a version may be written.
+TURN_LABEL = r"(?i)^(?:(\d+)|\[?\s*turn\s*[:#_-]?\s*0*(\d+)\s*\]?)$"
+CHAPTER_ID = r"(?i)^v0*(\d+)-chapter-?0*(\d+)$"
+
+
 def turn_numbers(labels: Column) -> Column:
     """Numbers of turns given as digits or as ``[turn 0012]``, each once, in order; other labels stay as they are, as text."""
-    pattern = r"(?i)^(?:(\d+)|\[?\s*turn\s*[:#_-]?\s*0*(\d+)\s*\]?)$"
-
     def one(x: Column) -> Column:
         t = F.btrim(x)
-        number = F.concat(F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2))
+        number = F.concat(F.regexp_extract(t, TURN_LABEL, 1), F.regexp_extract(t, TURN_LABEL, 2))
         return F.when(number != "", number.cast("long").cast("string")).otherwise(x)
 
     return F.array_distinct(F.transform(labels, one))
@@ -123,7 +126,7 @@ def turn_numbers(labels: Column) -> Column:
 
 def source_ids(ids: Column) -> Column:
     """``v01-chapter03`` becomes ``v1-chapter-3``; each once, in order."""
-    return F.array_distinct(F.transform(ids, lambda x: F.regexp_replace(F.btrim(x), r"(?i)^v0*(\d+)-chapter-?0*(\d+)$", "v$1-chapter-$2")))
+    return F.array_distinct(F.transform(ids, lambda x: F.regexp_replace(F.btrim(x), CHAPTER_ID, "v$1-chapter-$2")))
 
 
 def refs_in(text: Column) -> Column:

@@ -23,6 +23,9 @@ CODE_CATEGORIES = {
 }
 RETRY_CATEGORIES = ("environment", "resource", "segmentation", "asr", "llm", "export", "unknown")
 RETRY_CAUSES = ("finish_reason_length", "context_truncated", "invalid_json", "missing_speaker_summaries")
+# How a log tells its level, and what may stand before a result.
+LOG_LEVEL = r"^[\[(]?[IEWDF]\s"
+RESULT_NAME = r"(?i)^(?:result|asr result|recognition result|final result|final commit result)\s*[:：]\s*"
 # Words of a log line that is no transcript.
 LOG_WORDS = (
     "rknn", "rknnapi", "model", "init", "load", "elapsed", "rtf", "time", "ms", "fps", "input", "output", "version", "usage", "warning", "error", "encoder", "token", "tokenizer", "vocab", "special_",
@@ -140,7 +143,7 @@ def is_transcript_line(c: Column) -> Column:
     """Whether a line of a log is what somebody said: Chinese text, or enough letters without words of a log."""
     s = F.btrim(c)
     chinese, log = s.rlike("[一-鿿]"), F.lower(s).rlike("|".join(LOG_WORDS))
-    level = s.rlike(r"^[\[(]?[IEWDF]\s")
+    level = s.rlike(LOG_LEVEL)
     enough = (F.length(F.regexp_replace(s, "[^A-Za-z]", "")) >= 8) & (F.length(s) >= 12)
     return F.when((s == "") | (log & ~chinese) | level, False).otherwise(chinese | enough)
 
@@ -148,7 +151,7 @@ def is_transcript_line(c: Column) -> Column:
 def clean_candidate(c: Column) -> Column:
     """A line without control sequences, the name of a result before it and quotes around it."""
     s = F.btrim(strip_control(c), F.lit(" \t\n\r"))
-    s = F.regexp_replace(s, r"(?i)^(?:result|asr result|recognition result|final result|final commit result)\s*[:：]\s*", "")
+    s = F.regexp_replace(s, RESULT_NAME, "")
     return F.btrim(s, F.lit(" \t\n\r\"'"))
 
 

@@ -81,6 +81,15 @@ def violations(docs: DataFrame, schema) -> DataFrame:
     return text.union(wrong).union(extra).union(missing)
 
 
+def long_lists(docs: DataFrame, most: dict[str, int]) -> DataFrame:
+    """(doc, path, n): lists of documents (doc, json) that hold more items than their pattern may (``$.risks``: 8)."""
+    depth = max(len(p.replace("[]", ".[]").split(".")) for p in most)
+    found, _ = nodes(docs, depth)
+    rules = F.broadcast(found.sparkSession.createDataFrame(list(most.items()), "parent_pattern string, most int"))  # as long as the table of patterns
+    lists = found.where("parent is not null").join(rules, "parent_pattern").groupBy("doc", F.col("parent").alias("path"), "most").agg(F.count("*").alias("n"))
+    return lists.where(F.col("n") > F.col("most")).select("doc", "path", "n")
+
+
 def bounded(docs: DataFrame, depth: int = DEPTH, keys: int = KEYS, items: int = ITEMS, text: int = TEXT, key: int = KEY) -> tuple[DataFrame, DataFrame]:
     """(kept, cuts) of documents (doc, json) within bounds.
 

@@ -296,6 +296,11 @@ def document_cuts(spark, d):
     return documents.bounded(_large(spark, d))[1]
 
 
+@query("SELECT doc_id AS doc, '$.list' AS path, doc_id % 30 AS n FROM documents WHERE doc_id % 30 > 8")
+def document_lists(spark, d):
+    return documents.long_lists(_large(spark, d), {"$.list": 8})
+
+
 # ---- exports
 
 def _bundle(spark, d) -> DataFrame:
