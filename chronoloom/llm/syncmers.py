@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import discard, materialize, small_batches, tidy
-from chronoloom.llm.words import _P, _P_INV, _power, mix, text_blocks, text_buffers
+from chronoloom.llm.words import _P, _P_INV, _power, mix, text_blocks
 
 K, S = 32, 8
 #: Bytes of text in a block, at least; more where there would be more than MOST_BLOCKS.
