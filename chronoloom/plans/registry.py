@@ -12,7 +12,7 @@ from chronoloom.operators import intervals as iv
 from chronoloom.operators import library as lib
 from chronoloom.operators import lineage, mapreduce, metrics, packing, sequence, topics
 from chronoloom.operators.tables import new_folder
-from chronoloom.plans import deep, files, wide  # noqa: F401
+from chronoloom.plans import deep, files, products, wide  # noqa: F401
 from chronoloom.plans.oracle import SQL
 from chronoloom.sources import adapters as src
 from chronoloom.streaming import events as streams
