@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators import answers, drafts
-from chronoloom.plans.more import query
+from chronoloom.functions import scalars as sc
+from chronoloom.operators import answers, diagnostics, drafts
+from chronoloom.plans.more import _case, query
 from chronoloom.plans.oracle import LIB, SEG
 from chronoloom.sources import adapters as src
 
@@ -171,3 +172,41 @@ def export_items(spark, d):
     name = F.element_at(F.split("path", "/"), -1)
     files = src.stored_files(spark, d).select("meeting_id", name.alias("name"), "size").union(rows.where("meeting_id % 3 = 0").select("meeting_id", F.lit("formal_minutes.txt"), F.col("size") + 1))
     return drafts.export_items(rows, files, rows.where("meeting_id % 2 = 0").select("meeting_id", F.col("updated_at").alias("finalized_at")))
+
+
+# ---- failures and artifacts
+
+FAILED = """fe AS (SELECT event_id AS e, event_type AS t, event_id % 3 = 0 AS c, event_id % 7 <> 0 AS k, event_id % 4 AS r, event_id % 5 = 0 AS p FROM events),
+fm AS (SELECT *, CASE WHEN r = 0 THEN 'finish_reason is length' WHEN k THEN t || ' input was truncated' ELSE 'processing failed' END AS message, CASE WHEN k THEN 'asr' WHEN c THEN 'export' ELSE 'llm' END AS stage FROM fe)"""
+
+
+def _failures(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What records, tasks and results tell of each event as a failed run: some lack, some aren't JSON, some wrap what they tell."""
+    i, n = F.col("event_id"), F.col("event_id").cast("string")
+    rows = src.table(spark, d, "events").withColumn("meeting_id", i)
+    error = F.concat(F.lit('"error":{"code":"E_TASK","error":{},"message":'), _json(F.concat("event_type", F.lit(" input was truncated"))), F.lit(',"stage":"asr","return_code":7,"worker_log":"/var/log/w-'), n, F.lit('.log"},'))
+    report = F.concat(F.lit('"harness_diagnostics":{"stage":"export","error":{"code":"E_OWN","finish_reason":"length","cause":"oom","context_truncated":false},"identity":{"run_id":"run-'), n, F.lit('"}},'))
+    task = F.concat(F.lit("{"), F.when(i % 7 != 0, error).otherwise(""), F.when(i % 3 == 0, report).otherwise('"harness_diagnostics":{},'), F.lit('"return_code":0,"stage":"llm"}'))
+    wrapped = F.concat(F.lit('{"result":{"run_id":"r-'), n, F.lit('","errors":[3,{"message":"finish_reason is length"}],"runtime":{"total_elapsed_seconds":12.5}}}'))
+    result = F.when(i % 4 == 0, wrapped).when(i % 4 == 1, '{"errors":{"code":"E_SRC"},"stage":"prepare"}').otherwise("no result")
+    previous = F.when(i % 5 == 0, '{"return_code":3,"worker_log_ref":"a\\\\b.log","run_id":"old"}')
+    return rows.select("meeting_id", previous.alias("previous")), rows.select("meeting_id", task.alias("task")), rows.where("event_id % 4 <> 3").select("meeting_id", result.alias("result"))
+
+
+@query(f"""WITH {FAILED} SELECT e AS meeting_id, stage, {_case('stage', sc.PHASES, "'transcribing'")} AS phase, CASE WHEN c THEN 'E_OWN' WHEN r = 1 THEN 'E_SRC' WHEN k THEN 'E_TASK' ELSE 'HARNESS_FAILED' END AS code, message, CASE WHEN k THEN 7 WHEN p THEN 3 END AS return_code,
+ CASE WHEN r = 0 THEN 12.5 END AS elapsed_seconds, CASE WHEN r = 0 THEN 'r-' || e WHEN c THEN 'run-' || e WHEN p THEN 'old' END AS run_id, CASE WHEN c THEN 'harness_error_report' ELSE 'legacy_task_snapshot' END AS diagnostic_source,
+ CASE WHEN c THEN 'oom' WHEN r = 0 THEN 'finish_reason_length' WHEN k THEN 'context_truncated' END AS cause, CASE WHEN c THEN 'length' END AS finish_reason, CASE WHEN c THEN false END AS context_truncated, CAST(NULL AS VARCHAR) AS request_id,
+ CASE WHEN k THEN 'w-' || e || '.log' WHEN p THEN 'b.log' END AS worker_log FROM fm""")
+def failed_diagnostics(spark, d):
+    return diagnostics.failed_diagnostics(*_failures(spark, d))
+
+
+@query("""WITH n AS (SELECT event_id AS doc, unnest(['a', 'b', 'c', 'e', 'f', 'g']) AS name FROM events) SELECT doc, name, CASE name WHEN 'a' THEN CASE WHEN doc % 2 = 0 THEN 'out/x-' || doc || '.json' ELSE 'side.json' END WHEN 'b' THEN 'sub/y.json' WHEN 'c' THEN 'z.txt' WHEN 'e' THEN 'q.txt' WHEN 'f' THEN 'f.txt' ELSE 'far.json' END AS ref,
+ CASE WHEN name = 'b' THEN doc END AS size_bytes, CASE WHEN name = 'b' THEN 'ab' END AS sha256 FROM n WHERE name IN ('a', 'f') OR doc % 2 = 0""")
+def artifact_refs(spark, d):
+    """What the result tells (of every second run) counts before what lies beside it."""
+    i, n = F.col("event_id"), F.col("event_id").cast("string")
+    rows = src.table(spark, d, "events").select(i.alias("doc"), F.concat(F.lit("/data/run-"), n).alias("root"), "event_id")
+    told = F.concat(F.lit('{"artifacts":{"a":"out/x-'), n, F.lit('.json","b":{"path":"/data/run-'), n, F.lit('/sub/y.json","size_bytes":'), n, F.lit(',"sha256":"ab"},"c":"../z.txt","d":5,"e":"C:\\\\w\\\\q.txt","g":"/else/far.json","h":{"path":7}}}'))
+    beside = diagnostics.artifact_refs(rows.select("doc", "root", F.lit('{"artifacts":{"a":"side.json","f":"f.txt"}}').alias("json")))
+    return diagnostics.merged_refs(beside, diagnostics.artifact_refs(rows.select("doc", "root", F.when(i % 2 == 0, told).otherwise('{"artifacts":3}').alias("json"))))
