@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions import scalars as sc
-from chronoloom.operators import answers, diagnostics, drafts
+from chronoloom.operators import answers, diagnostics, drafts, reviews
 from chronoloom.plans.more import _case, query
 from chronoloom.plans.oracle import LIB, SEG
 from chronoloom.sources import adapters as src
@@ -210,3 +210,99 @@ def artifact_refs(spark, d):
     told = F.concat(F.lit('{"artifacts":{"a":"out/x-'), n, F.lit('.json","b":{"path":"/data/run-'), n, F.lit('/sub/y.json","size_bytes":'), n, F.lit(',"sha256":"ab"},"c":"../z.txt","d":5,"e":"C:\\\\w\\\\q.txt","g":"/else/far.json","h":{"path":7}}}'))
     beside = diagnostics.artifact_refs(rows.select("doc", "root", F.lit('{"artifacts":{"a":"side.json","f":"f.txt"}}').alias("json")))
     return diagnostics.merged_refs(beside, diagnostics.artifact_refs(rows.select("doc", "root", F.when(i % 2 == 0, told).otherwise('{"artifacts":3}').alias("json"))))
+
+
+# ---- around a review
+
+CANDIDATES = f"{SEG}, ca AS (SELECT meeting_id, -idx AS no, idx, unnest([idx, idx - 3, idx + 2]) AS i, unnest([0, 1, 2]) AS place FROM s WHERE idx % 2 = 1)"
+
+
+def _candidates(spark, d) -> DataFrame:
+    """Candidates told backwards; each cites three segments, some of which aren't there."""
+    i = F.col("idx")
+    return src.segments(spark, d).where("idx % 2 = 1").select("meeting_id", (-i).alias("no"), i.alias("evidence_id"), F.array(*map(src.segment_name, (i, i - 3, i + 2))).alias("refs"))
+
+
+@query(f"WITH {CANDIDATES}, cm AS (SELECT s.meeting_id, segment_id, speaker, text, min(no * 10 + place) AS o FROM ca JOIN s ON s.meeting_id = ca.meeting_id AND s.idx = ca.i GROUP BY ALL) SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY o) - 1 AS pos, segment_id, speaker, text FROM cm")
+def cited_segments(spark, d):
+    return reviews.cited_segments(_candidates(spark, d), src.segments(spark, d))
+
+
+@query(f"WITH {CANDIDATES}, cj AS (SELECT s.meeting_id, ca.idx AS evidence_id, segment_id, start_ms FROM ca JOIN s ON s.meeting_id = ca.meeting_id AND s.idx = ca.i) SELECT meeting_id, evidence_id, arg_min(segment_id, start_ms) AS segment_id, min(start_ms) AS start_ms FROM (SELECT * FROM cj ORDER BY segment_id) GROUP BY 1, 2")
+def evidence_targets(spark, d):
+    return reviews.evidence_links(_candidates(spark, d), src.segments(spark, d))[0]
+
+
+@query(f"WITH {CANDIDATES} SELECT s.meeting_id, s.segment_id, min(ca.idx) AS evidence_id, count(DISTINCT ca.idx) AS n FROM s LEFT JOIN ca ON s.meeting_id = ca.meeting_id AND s.idx = ca.i GROUP BY 1, 2")
+def segment_evidence(spark, d):
+    return reviews.evidence_links(_candidates(spark, d), src.segments(spark, d))[1]
+
+
+CHUNKS = f"{SEG}, ck AS (SELECT meeting_id, idx // 4 AS chunk, idx AS i FROM s UNION ALL SELECT DISTINCT meeting_id, idx // 4, 999999 FROM s WHERE (meeting_id + idx // 4) % 3 = 1)"
+
+
+def _chunks(spark, d) -> DataFrame:
+    """Chunks of four segments; a third of them also name one that isn't there."""
+    rows = src.segments(spark, d).groupBy("meeting_id", F.expr("idx div 4").alias("chunk")).agg(F.array_sort(F.collect_list("segment_id")).alias("ids"))
+    lost = (F.col("meeting_id") + F.col("chunk")) % 3 == 1
+    return rows.select("meeting_id", "chunk", F.when(lost, F.concat("ids", F.array(F.lit("seg-999999")))).otherwise(F.col("ids")).alias("segment_ids"))
+
+
+@query(f"WITH {CHUNKS} SELECT meeting_id, idx // 4 AS chunk, row_number() OVER (PARTITION BY meeting_id, idx // 4 ORDER BY idx) - 1 AS pos, segment_id, text FROM s WHERE (meeting_id + idx // 4) % 3 <> 1")
+def chunk_members(spark, d):
+    return reviews.chunk_members(_chunks(spark, d), src.segments(spark, d))[0]
+
+
+@query(f"WITH {CHUNKS} SELECT meeting_id, chunk, 'seg-' || i AS missing FROM ck WHERE i = 999999")
+def chunk_faults(spark, d):
+    return reviews.chunk_members(_chunks(spark, d), src.segments(spark, d))[1]
+
+
+RECORDED = f"""{SEG}, rd AS (SELECT meeting_id AS key, max(end_ms) / 1000.0::DOUBLE AS duration FROM s GROUP BY 1 HAVING max(end_ms) > 0),
+rw AS (SELECT key, duration, unnest(generate_series(0, CAST(ceil(duration / 10) AS BIGINT) - 1)) AS w FROM rd),
+rx AS (SELECT key, w AS "window", round(w * 10.0::DOUBLE, 3) AS start, round(least(10.0::DOUBLE, duration - w * 10.0::DOUBLE), 3) AS duration, CASE WHEN (key + w) % 11 = 3 THEN 'missing' WHEN (key + w) % 5 = 2 THEN 'convert_failed' ELSE 'ok' END AS status FROM rw),
+ry AS (SELECT *, CASE WHEN status = 'ok' THEN repeat('w', CAST("window" % 3 AS BIGINT)) END AS text FROM rx)"""
+
+
+def _recorded(spark, d) -> DataFrame:
+    """Recordings of meetings in windows of ten seconds, some of which failed or have no result."""
+    rows = src.segments(spark, d).groupBy(F.col("meeting_id").alias("key")).agg((F.max("end_ms") / 1000.0).alias("duration"))
+    windows = rows.where("duration > 0").select("key", F.explode(F.sequence(F.lit(0), F.ceil(F.col("duration") / 10) - 1)).alias("window"))
+    i = F.col("key") + F.col("window")
+    results = windows.where((i % 11) != 3).select("key", "window", F.when(i % 5 == 2, "convert_failed").otherwise("ok").alias("status"), F.repeat(F.lit("w"), (F.col("window") % 3).cast("int")).alias("text"))
+    return reviews.recording_windows(rows, results, 10)
+
+
+@query(f"WITH {RECORDED} SELECT * FROM ry")
+def recording_windows(spark, d):
+    return _recorded(spark, d)
+
+
+@query(f"WITH {RECORDED} SELECT key, count(*) AS windows, count(*) FILTER (WHERE status = 'convert_failed') AS failed, count(*) FILTER (WHERE status = 'missing') AS missing, CAST(coalesce(sum(length(text)), 0) + greatest(count(*) FILTER (WHERE text <> '') - 1, 0) AS BIGINT) AS chars FROM ry GROUP BY 1")
+def recording_totals(spark, d):
+    return reviews.recording_totals(_recorded(spark, d))
+
+
+@query("""WITH f AS (SELECT doc_id AS doc, unnest(['participants', 'topics', 'decisions', 'risks']) AS field, doc_id % 50 AS n FROM documents)
+ SELECT doc, field, 0 AS pos, CASE WHEN n = 7 THEN '7,odd' ELSE n || ',7,odd' END AS turn_ids, 'v2-chapter-' || n || ',other' AS source_ids FROM f WHERE field IN ('participants', 'topics')
+ UNION ALL SELECT doc, field, 1, NULL, NULL FROM f WHERE field = 'decisions'""")
+def fact_refs(spark, d):
+    """Facts of each document: labels of turns and sources in several forms, items that aren't objects, a field that is no list."""
+    n = (F.col("doc_id") % 50).cast("string")
+    item = F.concat(F.lit('[{"turn_ids":["[Turn 00'), n, F.lit(']",7,"turn:7","odd"],"source_ids":["V02-chapter-0'), n, F.lit('","other","other"]}]'))
+    whole = F.concat(F.lit('{"participants":'), item, F.lit(',"topics":'), item, F.lit(',"decisions":["no object",{"turn_ids":3}],"risks":"none"}'))
+    rows = reviews.fact_refs(src.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), whole.alias("json")))
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("turn_ids", "source_ids")})
+
+
+def _summaries(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Two summaries of each conversation: of what users said and of what assistants said, with equal keywords."""
+    rows = src.segments(spark, d).groupBy(F.col("meeting_id").alias("key"), "speaker").agg(F.array_sort(F.collect_list("segment_id")).alias("ids"), F.min("text").alias("text"))
+    rows = rows.select("key", "speaker", F.to_json(F.struct(F.col("text").alias("overview"), F.col("ids").alias("key_points"), F.lit("same").alias("keywords"))).alias("json"))
+    return tuple(rows.where(F.col("speaker") == s).select("key", "json") for s in ("speaker_0", "speaker_1"))
+
+
+@query()
+def summary_likeness(spark, d):
+    """No SQL: longest matching blocks; tests compare it with a plain loop."""
+    return reviews.summary_likeness(*_summaries(spark, d), ("overview", "key_points", "keywords", "risks"))

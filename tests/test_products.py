@@ -1,8 +1,11 @@
 """Edge cases of model answers, drafts and diagnostics: nulls, empty tables, ties, other shapes, small cases by hand."""
 
+import difflib
 import json
 
-from chronoloom.operators import answers, diagnostics, drafts
+from pyspark.sql import functions as F
+
+from chronoloom.operators import answers, diagnostics, drafts, reviews
 
 SEGMENTS = "meeting_id long, block long, idx long, segment_id string, short string, text string"
 ANSWERS = "meeting_id long, block long, finish_reason string, truncated boolean, content string"
@@ -73,3 +76,38 @@ def test_diagnostics_of_nothing(spark):
     got = {r["meeting_id"]: r for r in diagnostics.failed_diagnostics(records, tasks, results).collect()}
     assert (got[1]["stage"], got[1]["code"], got[1]["message"], got[1]["diagnostic_source"]) == ("harness", "HARNESS_FAILED", "processing failed", "legacy_task_snapshot")
     assert (got[2]["stage"], got[2]["code"], len(got[2]["message"]), got[2]["return_code"]) == ("asr", "HARNESS_FAILED", 600, None)
+
+
+def test_likeness_equals_a_plain_loop(spark):
+    left = {1: {"a": "abcabba", "b": [1, 2], "c": {"y": 1, "x": None}}, 2: {"a": "q"}, 3: {"a": "x"}}
+    right = {1: {"a": "cbabac", "b": [1, 2], "c": {"x": None, "y": 2}}, 2: {"a": ""}, 4: {}}
+    got = rows(reviews.summary_likeness(*[spark.createDataFrame([(k, json.dumps(v)) for k, v in d.items()] + [(9, None)], "key long, json string") for d in (left, right)], ("a", "b", "c")))
+
+    def text(d, f):
+        return json.dumps(d[f], separators=(",", ":"), sort_keys=True) if f in d else None
+
+    want = [(9, f, None, None) for f in "abc"]
+    for k in (1, 2):
+        for f in "abc":
+            a, b = text(left[k], f), text(right[k], f)
+            # a text at the top of a field stands without quotes
+            a, b = (x.strip('"') if x is not None else None for x in (a, b))
+            want.append((k, f, None, None) if a is None or b is None else (k, f, a == b, round(difflib.SequenceMatcher(None, a, b).ratio(), 6)))
+    assert got == sorted(want, key=repr)
+
+
+def test_windows_chunks_and_links_by_hand(spark):
+    recordings = spark.createDataFrame([("a", 25.0), ("b", 20.0), ("c", 0.0), ("d", None)], "key string, duration double")
+    results = spark.createDataFrame([("a", 0, "ok", None), ("a", 2, "failed", "lost"), ("a", 9, "ok", "beyond")], "key string, window long, status string, text string")
+    windows = reviews.recording_windows(recordings, results, 10)
+    assert rows(windows) == [("a", 0, 0.0, 10.0, "ok", None), ("a", 1, 10.0, 10.0, "missing", None), ("a", 2, 20.0, 5.0, "failed", None), ("b", 0, 0.0, 10.0, "missing", None), ("b", 1, 10.0, 10.0, "missing", None)]
+    assert rows(reviews.recording_totals(windows)) == [("a", 3, 1, 1, 0), ("b", 2, 0, 2, 0)]
+    of = spark.createDataFrame([(1, "s0", "A", "x", 5), (1, "s1", "B", None, 3)], "meeting_id long, segment_id string, speaker string, text string, start_ms long")
+    chunks = spark.createDataFrame([(1, 0, ["s1", "s0", "s1"]), (1, 1, ["s0", "q", "p"]), (1, 2, []), (2, 0, None), (3, 0, ["s0"])], "meeting_id long, chunk long, segment_ids array<string>")
+    members, faults = reviews.chunk_members(chunks, of)
+    assert rows(members) == [(1, 0, 0, "s1", None), (1, 0, 1, "s0", "x"), (1, 0, 2, "s1", None)] and rows(faults) == [(1, 1, "q"), (3, 0, "s0")]
+    evidence = spark.createDataFrame([(1, "e", ["s0", "s1", "s0"]), (1, "d", ["q"]), (1, "f", None), (1, "c", ["s1"])], "meeting_id long, evidence_id string, refs array<string>")
+    there, back = reviews.evidence_links(evidence, of)
+    assert rows(there) == [(1, "c", "s1", 3), (1, "d", None, None), (1, "e", "s1", 3), (1, "f", None, None)] and rows(back) == [(1, "s0", "e", 1), (1, "s1", "c", 2)]
+    cited = reviews.cited_segments(evidence.select("meeting_id", F.col("evidence_id").alias("no"), "refs"), of)
+    assert rows(cited) == [(1, 0, "s1", "B", None), (1, 1, "s0", "A", "x")]
