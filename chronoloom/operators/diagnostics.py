@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions import scalars as sc
-from chronoloom.operators.documents import kind_of
+from chronoloom.operators.documents import kind_of, whole_json
 
 # Bounds of a code, a message, a run's name, a reference and its key; the code of failures that tell none; where a failure was read.
 CODE, MESSAGE, RUN, REF, KEY = 96, 600, 160, 240, 80
@@ -54,7 +54,7 @@ def failed_diagnostics(records: DataFrame, tasks: DataFrame, results: DataFrame,
     error's fields the most telling source counts: the report's own error, then the result's first error, the nested error of the task, the task's error. ``message`` stands for failures that tell none.
     """
     rows = records.join(tasks, "meeting_id", "left").join(results, "meeting_id", "left")
-    rows = rows.select("meeting_id", *[_object(F.try_parse_json(c)).alias(c) for c in ("previous", "task", "result")])
+    rows = rows.select("meeting_id", *[_object(whole_json(F.col(c))).alias(c) for c in ("previous", "task", "result")])
     result, task, previous = F.col("result"), F.col("task"), F.col("previous")
     rows = rows.withColumn("source", F.coalesce(_object(_at(result, "$.result")), result)).withColumn("task_error", _object(_at(task, "$.error")))
     source, task_error = F.col("source"), F.col("task_error")
@@ -88,7 +88,7 @@ def artifact_refs(docs: DataFrame) -> DataFrame:
 
     Paths below ``root`` become relative to it; other absolute paths, those with a drive and those that climb (``..``) keep their last part. Entries of another shape are left out; references and names are bounded.
     """
-    entries = F.explode(F.map_entries(F.try_variant_get(F.try_parse_json("json"), "$.artifacts", "map<string, variant>"))).alias("x")
+    entries = F.explode(F.map_entries(F.try_variant_get(whole_json(F.col("json")), "$.artifacts", "map<string, variant>"))).alias("x")
     rows = docs.select("doc", F.regexp_replace("root", "/+$", "").alias("root"), entries).select("doc", "root", F.col("x.key").alias("name"), F.col("x.value").alias("v"))
     v = F.col("v")
     inner = _at(v, "$.path")

@@ -19,6 +19,8 @@ from chronoloom.operators.tables import exists, written
 
 #: Bounds of a projection: levels, keys of an object, items of a list, characters of a text and of a key.
 DEPTH, KEYS, ITEMS, TEXT, KEY = 2, 24, 16, 600, 80
+#: What is put behind a text to see that it ended.
+END = "end of the text"
 
 
 def kind_of(value: Column) -> Column:
@@ -27,13 +29,19 @@ def kind_of(value: Column) -> Column:
     return F.when(told == "OBJECT", "object").when(told == "ARRAY", "array").when(told == "STRING", "string").when(told == "BOOLEAN", "boolean").when(told.isin("VOID", ""), "null").otherwise("number")
 
 
+def whole_json(text: Column) -> Column:
+    """A JSON text as VARIANT; null where it isn't JSON, or is JSON with something behind it (which parsing alone would ignore)."""
+    both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END}"]'))), "$", "array<variant>")
+    return F.when((F.size(both) == 2) & (F.try_variant_get(F.get(both, F.lit(1)), "$", "string") == END), F.get(both, F.lit(0)))
+
+
 def nodes(docs: DataFrame, most_depth: int) -> tuple[DataFrame, DataFrame]:
     """(nodes (doc, depth, path, pattern, parent, parent_pattern, kind, pos, value), broken) of documents (doc, json); broken: ids of texts that aren't JSON.
 
     The root is at depth 0. Keys of an object are numbered by name, items of a list as they stand.
     """
     spark = docs.sparkSession
-    parsed = written(docs.select("doc", F.try_parse_json("json").alias("value")), "parsed")
+    parsed = written(docs.select("doc", whole_json(F.col("json")).alias("value")), "parsed")
     none = F.lit(None).cast("string")
     level = parsed.where("value is not null").select("doc", F.lit(0).alias("depth"), F.lit("$").alias("path"), F.lit("$").alias("pattern"), none.alias("parent"), none.alias("parent_pattern"), kind_of(F.col("value")).alias("kind"), F.lit(0).alias("pos"), "value")
     found = [level]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators.documents import kind_of
+from chronoloom.operators.documents import kind_of, whole_json
 
 # States of a review, the kinds of items that carry marks in the order in which they are marked, formats and files of exports, and what a draft must hold.
 REVIEW = ("pending", "reviewed", "edited")
@@ -80,7 +80,7 @@ def load_drafts(meetings: DataFrame, saved: DataFrame, results: DataFrame, fresh
 
 def draft_faults(drafts: DataFrame) -> DataFrame:
     """(meeting_id, fault): of contents (meeting_id, json), ``content`` if it is no object, else the keys that lack or are of a wrong kind; ``minutes`` may lack or be null, and other keys may be there."""
-    rows = drafts.select("meeting_id", F.try_parse_json("json").alias("value"))
+    rows = drafts.select("meeting_id", whole_json(F.col("json")).alias("value"))
 
     def kind(key: str) -> Column:
         return kind_of(F.try_variant_get("value", f"$.{key}", "variant"))

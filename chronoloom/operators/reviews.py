@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from chronoloom.functions.modeltext import source_ids, turn_numbers
-from chronoloom.operators.documents import kind_of
+from chronoloom.operators.documents import kind_of, whole_json
 from chronoloom.operators.scan import running
 
 # The lists of facts whose items name turns and sources.
@@ -75,7 +75,7 @@ def fact_refs(docs: DataFrame, fields: tuple[str, ...] = FACTS) -> DataFrame:
 
     Items that aren't objects and fields that aren't lists have no row.
     """
-    value = F.try_parse_json("json")
+    value = whole_json(F.col("json"))
     lists = F.array(*[F.struct(F.lit(f).alias("field"), F.try_variant_get("value", f"$.{f}", "array<variant>").alias("items")) for f in fields])
     rows = docs.select("doc", value.alias("value")).select("doc", F.explode(lists).alias("x")).select("doc", "x.field", F.posexplode("x.items").alias("pos", "item"))
     rows = rows.where(F.col("item").isNotNull() & (kind_of(F.col("item")) == "object"))
@@ -97,7 +97,7 @@ def summary_likeness(left: DataFrame, right: DataFrame, fields: tuple[str, ...])
     likeness: twice the matched characters over all, as longest matching blocks find them; a field that one lacks is null there, and both are null then.
     """
     def told(docs: DataFrame, name: str) -> DataFrame:
-        value = docs.select("key", F.try_parse_json("json").alias("v"))
+        value = docs.select("key", whole_json(F.col("json")).alias("v"))
         pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.try_variant_get("v", f"$.{f}", "variant").cast("string").alias(name)) for f in fields])
         return value.select("key", F.explode(pairs).alias("x")).select("key", "x.*")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions import scalars as sc
-from chronoloom.operators import answers, diagnostics, drafts, reviews
+from chronoloom.operators import answers, diagnostics, drafts, records, reviews
 from chronoloom.plans.more import _case, query
 from chronoloom.plans.oracle import LIB, SEG
 from chronoloom.sources import adapters as src
@@ -306,3 +306,52 @@ def _summaries(spark, d) -> tuple[DataFrame, DataFrame]:
 def summary_likeness(spark, d):
     """No SQL: longest matching blocks; tests compare it with a plain loop."""
     return reviews.summary_likeness(*_summaries(spark, d), ("overview", "key_points", "keywords", "risks"))
+
+
+# ---- records
+
+ASKED = """aq AS (SELECT doc_id // 2 AS meeting_id, doc_id AS place, 'title ' || doc_id AS title, ['local_upload', 'pc_record', 'tape', 'board_record'][doc_id % 4 + 1] AS source_type, ['', 'en', NULL][doc_id % 3 + 1] AS language,
+ ['a.WAV', 'b.mp3', NULL, 'none', '.wav'][doc_id % 5 + 1] AS file_name FROM documents),
+ao AS (SELECT *, CASE WHEN source_type = 'tape' THEN 'unsupported_source' WHEN meeting_id % 5 = 0 OR place <> min(place) FILTER (WHERE source_type <> 'tape') OVER (PARTITION BY meeting_id) THEN 'exists' ELSE 'created' END AS outcome FROM aq)"""
+
+
+def _created(spark, d) -> DataFrame:
+    """Two rows ask for each id; a fifth of the ids are there already."""
+    i = F.col("doc_id")
+    rows = src.table(spark, d, "documents").select(
+        F.expr("doc_id div 2").alias("meeting_id"), i.alias("place"), F.concat(F.lit("title "), i.cast("string")).alias("title"), src.pick(("local_upload", "pc_record", "tape", "board_record"), "doc_id % 4").alias("source_type"), src.pick(("", "en", None), "doc_id % 3").alias("language"),
+        src.pick(("a.WAV", "b.mp3", None, "none", ".wav"), "doc_id % 5").alias("file_name"), F.lit("audio").alias("mime_type"), F.col("n_chars").cast("long").alias("size_bytes"), F.lit("2024-01-01T00:00:00Z").alias("now"),
+    )
+    return records.create_records(rows, rows.where("meeting_id % 5 = 0").select("meeting_id"))
+
+
+@query(f"""WITH {ASKED} SELECT meeting_id, place, outcome, CASE WHEN outcome = 'created' THEN title END AS title, CASE WHEN outcome = 'created' THEN {_case('source_type', records.SOURCES, "''")} END AS label, CASE WHEN outcome = 'created' THEN coalesce(nullif(language, ''), 'zh-CN') END AS language,
+ CASE WHEN outcome = 'created' THEN coalesce(file_name = 'b.mp3', false) END AS converts, CASE WHEN outcome = 'created' THEN 'meetings/' || meeting_id END AS directory FROM ao""")
+def created_records(spark, d):
+    rows, get = _created(spark, d), lambda path: F.get_json_object("json", path)
+    return rows.select("meeting_id", "place", "outcome", get("$.detail.title").alias("title"), get("$.detail.source_label").alias("label"), get("$.detail.language").alias("language"), get("$.detail.source.requires_conversion").cast("boolean").alias("converts"), get("$.directory").alias("directory"))
+
+
+@query(f"""WITH {ASKED} SELECT meeting_id, CASE meeting_id % 6 WHEN 1 THEN 'not_json' WHEN 2 THEN 'wrong_shape' WHEN 3 THEN 'wrong_shape' END AS fault, CASE WHEN meeting_id % 6 NOT IN (1, 2, 3) THEN title END AS title,
+ CASE WHEN meeting_id % 6 NOT IN (1, 2, 3) THEN 'created' END AS state, CASE WHEN meeting_id % 6 NOT IN (1, 2, 3) THEN '2024-01-01T00:00:00Z' END AS updated_at FROM ao WHERE outcome = 'created'""")
+def decoded_records(spark, d):
+    """Stored records, half of them spoilt."""
+    i, c = F.col("meeting_id") % 6, F.col("json")
+    spoilt = F.when(i == 1, F.expr("substring(json, 2)")).when(i == 2, "[]").when(i == 3, '{"detail":"text"}').otherwise(c)
+    return records.decode_records(_created(spark, d).where("outcome = 'created'").select("meeting_id", spoilt.alias("json")))
+
+
+@query("""WITH f AS (SELECT event_id AS doc, event_type, unnest(['$.status', '$.error.code', '$.errors[0].code', '$.errors[1].code', '$.return_code']) AS path FROM events)
+ SELECT doc, path, CASE path WHEN '$.return_code' THEN 'number' ELSE 'string' END AS kind, CASE path WHEN '$.status' THEN left(event_type, 3) WHEN '$.error.code' THEN 'E' || doc % 10 WHEN '$.errors[0].code' THEN 'a' WHEN '$.errors[1].code' THEN 'b' ELSE CAST(doc % 7 AS VARCHAR) END AS value FROM f""")
+def allowed_fields(spark, d):
+    """What may be told of each event's details; prompts, logs and other texts are left out."""
+    i = F.col("event_id")
+    whole = F.concat(F.lit('{"status":'), _json(F.col("event_type")), F.lit(',"return_code":'), (i % 7).cast("string"), F.lit(',"prompt":"secret","error":{"code":"E'), (i % 10).cast("string"), F.lit('","raw":"secret"},"errors":[{"code":"a"},{"code":"b","raw":1},"x"]}'))
+    docs = src.table(spark, d, "events").select(i.alias("doc"), whole.alias("json"))
+    return records.allowed_fields(docs, ("$.status", "$.return_code", "$.error.code", "$.errors[].code", "$.error"), 3)
+
+
+@query("SELECT DISTINCT 'llm/r' || event_id // 3 AS folder FROM events GROUP BY event_id // 3 HAVING bool_or(event_id % 3 = 0) AND bool_or(event_id % 3 = 1 AND event_id % 4 <> 0)")
+def complete_requests(spark, d):
+    files = src.table(spark, d, "events").select(F.concat(F.lit("llm/r"), F.expr("event_id div 3").cast("string"), F.lit("/"), F.expr("CASE event_id % 3 WHEN 0 THEN 'status.json' WHEN 1 THEN IF(event_id % 4 <> 0, 'final_json.txt', 'raw.txt') ELSE 'x/status.json' END")).alias("path"))
+    return records.complete_requests(files)

@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from chronoloom.operators import answers, diagnostics, drafts, reviews
+from chronoloom.operators import answers, diagnostics, documents, drafts, records, reviews
 
 SEGMENTS = "meeting_id long, block long, idx long, segment_id string, short string, text string"
 ANSWERS = "meeting_id long, block long, finish_reason string, truncated boolean, content string"
@@ -111,3 +111,23 @@ def test_windows_chunks_and_links_by_hand(spark):
     assert rows(there) == [(1, "c", "s1", 3), (1, "d", None, None), (1, "e", "s1", 3), (1, "f", None, None)] and rows(back) == [(1, "s0", "e", 1), (1, "s1", "c", 2)]
     cited = reviews.cited_segments(evidence.select("meeting_id", F.col("evidence_id").alias("no"), "refs"), of)
     assert rows(cited) == [(1, 0, "s1", "B", None), (1, 1, "s0", "A", "x")]
+
+
+def test_texts_with_something_behind_their_json(spark):
+    texts = ['{"a": 1}', ' [1] \n', "null", '{"a": 1} x', '"a": 1', "1, 2", "", None, "{", '1], [2', "{}{}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", documents.whole_json(F.col("t")).cast("string").alias("v"), documents.whole_json(F.col("t")).isNotNull().alias("is"))
+    assert [r["i"] for r in df.where("is").orderBy("i").collect()] == [0, 1, 2]
+    assert df.where("i = 1").first()["v"] == "[1]"
+
+
+def test_records_by_hand(spark):
+    asked = spark.createDataFrame([(1, 0, "tape"), (1, 1, "pc_record"), (1, 2, "local_upload"), (2, 0, "pc_record"), (3, 0, None)], "meeting_id long, place long, source_type string")
+    asked = asked.selectExpr("*", "'t' AS title", "CAST(null AS string) AS language", "'dir.x/.wav' AS file_name", "CAST(null AS string) AS mime_type", "CAST(null AS long) AS size_bytes", "'now' AS now")
+    got = records.create_records(asked, spark.createDataFrame([(2,), (2,)], "meeting_id long"))
+    assert rows(got.select("meeting_id", "place", "outcome")) == [(1, 0, "unsupported_source"), (1, 1, "created"), (1, 2, "exists"), (2, 0, "exists"), (3, 0, "unsupported_source")]
+    made = json.loads(got.where("json is not null").first()["json"])
+    assert made["directory"] == "meetings/1" and made["detail"]["source"]["original_extension"] is None and not made["detail"]["source"]["requires_conversion"] and made["board_task"] is None
+    stored = spark.createDataFrame([(1, json.dumps(made)), (2, json.dumps(made) + "x"), (3, "3"), (4, None)], "meeting_id long, json string")
+    assert rows(records.decode_records(stored)) == [(1, None, "t", "created", "now"), (2, "not_json", None, None, None), (3, "wrong_shape", None, None, None), (4, "not_json", None, None, None)]
+    files = spark.createDataFrame([("a/status.json",), ("a/final_json.txt",), ("b/status.json",), ("status.json",), ("final_json.txt",), (None,)], "path string")
+    assert rows(records.complete_requests(files)) == [("",), ("a",)]
