@@ -6,23 +6,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators.intervals import islands, overlap_join, overlap_of
+from chronoloom.operators.intervals import islands, meets, overlap_join, overlap_of, shared_time
 from chronoloom.operators.tables import written
 
 
-def label_overlaps(rows: DataFrame, reference: DataFrame, keys: list[str], bucket: int) -> DataFrame:
+def label_overlaps(rows: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id, label, ref_label, ms): the time that each known interval shares with the reference's labels, written once for all that reads it."""
-    pairs = overlap_join(rows.where("label <> 'unknown'"), reference, keys, bucket)
-    shared = pairs.groupBy(*keys, F.col("a_id").alias("id"), F.col("a_label").alias("label"), F.col("b_label").alias("ref_label")).agg(F.sum(overlap_of(pairs)).alias("ms"))
-    return written(shared, "label_overlaps")
+    return written(shared_time(rows.where("label <> 'unknown'"), reference, keys, ["id", "label"]), "label_overlaps")
 
 
-def by_labels(rows: DataFrame, reference: DataFrame, keys: list[str], bucket: int, overlaps: DataFrame | None = None) -> DataFrame:
+def by_labels(rows: DataFrame, reference: DataFrame, keys: list[str], overlaps: DataFrame | None = None) -> DataFrame:
     """(keys, label, ref_label, ms): shared time of each pair of labels, zeros filled in; unknown labels are left out."""
     known = rows.where("label <> 'unknown'")
-    if overlaps is None:
-        overlaps = label_overlaps(rows, reference, keys, bucket)
-    shared = overlaps.groupBy(*keys, "label", "ref_label").agg(F.sum("ms").alias("ms"))
+    shared = shared_time(known, reference, keys, ["label"]) if overlaps is None else overlaps.groupBy(*keys, "label", "ref_label").agg(F.sum("ms").alias("ms"))
     # labels of one key only, a few each
     grid = known.select(*keys, "label").distinct().join(reference.select(*keys, F.col("label").alias("ref_label")).distinct(), keys)
     return grid.join(shared, [*keys, "label", "ref_label"], "left").withColumn("ms", F.coalesce("ms", F.lit(0).cast("long")))
@@ -89,12 +85,12 @@ def label_mapping(matrix: DataFrame, keys: list[str]) -> DataFrame:
     return matrix.groupBy(*keys).applyInPandas(choose, f"{kinds}, label string, ref_label string, ms long")
 
 
-def segment_quality(rows: DataFrame, reference: DataFrame, mapping: DataFrame, keys: list[str], bucket: int, overlaps: DataFrame | None = None) -> DataFrame:
+def segment_quality(rows: DataFrame, reference: DataFrame, mapping: DataFrame, keys: list[str], overlaps: DataFrame | None = None) -> DataFrame:
     """(keys, id, label, mapped, duration_ms, correct_ms, other_ms, silence_ms, purity, leak) of known intervals."""
     mapped = mapping.select(*keys, "label", F.col("ref_label").alias("mapped"))
     known = rows.where("label <> 'unknown'").join(mapped, [*keys, "label"], "left")
     if overlaps is None:
-        overlaps = label_overlaps(rows, reference, keys, bucket)
+        overlaps = label_overlaps(rows, reference, keys)
     own = F.coalesce(F.col("ref_label") == F.col("mapped"), F.lit(False))
     shared = overlaps.join(mapped, [*keys, "label"], "left").groupBy(*keys, "id").agg(F.sum(F.when(own, F.col("ms")).otherwise(0)).alias("correct_ms"), F.sum(F.when(own, 0).otherwise(F.col("ms"))).alias("other_ms"))
     out = known.join(shared, [*keys, "id"], "left").na.fill(0, ["correct_ms", "other_ms"])
@@ -113,14 +109,13 @@ def quality_totals(quality: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def coverage_rows(rows: DataFrame, reference: DataFrame, mapping: DataFrame, keys: list[str], bucket: int) -> DataFrame:
+def coverage_rows(rows: DataFrame, reference: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:
     """Reference intervals with the time that known and unknown intervals cover, and the label that covers most (of several, the one that begins first)."""
-    pairs = overlap_join(reference, rows, keys, bucket)
-    ms, unknown = overlap_of(pairs), F.col("b_label") == "unknown"
-    sums = pairs.groupBy(*keys, F.col("a_id").alias("id")).agg(F.sum(F.when(unknown, 0).otherwise(ms)).alias("known"), F.sum(F.when(unknown, ms).otherwise(0)).alias("unknown"))
-    labels = pairs.where(~unknown).groupBy(*keys, F.col("a_id").alias("id"), F.col("b_label").alias("label")).agg(F.sum(ms).alias("ms"), F.min(F.struct("b_start_ms", "b_end_ms", "b_id")).alias("at"))
-    best = labels.groupBy(*keys, "id").agg(F.max_by(F.struct("label", "ms"), F.struct("ms", (-F.col("at.b_start_ms")).alias("s"), (-F.col("at.b_end_ms")).alias("e"), (-F.col("at.b_id")).alias("i"))).alias("best"))
-    out = reference.join(sums, [*keys, "id"], "left").join(best, [*keys, "id"], "left").na.fill(0, ["known", "unknown"])
+    labels, unknown = shared_time(reference, rows, keys, ["id"], first=True), F.col("ref_label") == "unknown"
+    place = F.struct("ms", (-F.col("at.start_ms")).alias("s"), (-F.col("at.end_ms")).alias("e"), (-F.col("at.id")).alias("i"))
+    best = F.max_by(F.struct(F.col("ref_label").alias("label"), "ms"), F.when(~unknown, place))
+    sums = labels.groupBy(*keys, "id").agg(F.sum(F.when(unknown, 0).otherwise(F.col("ms"))).alias("known"), F.sum(F.when(unknown, F.col("ms")).otherwise(0)).alias("unknown"), best.alias("best"))
+    out = reference.join(sums, [*keys, "id"], "left").na.fill(0, ["known", "unknown"])
     length = F.col("end_ms") - F.col("start_ms")
     both = F.least(length, F.col("known") + F.col("unknown"))
     out = out.select(
@@ -145,17 +140,14 @@ def _points(start: Column, end: Column, step: int) -> Column:
     return F.ceil(end / step) - F.ceil(start / step)
 
 
-def sample_metrics(rows: DataFrame, reference: DataFrame, mapping: DataFrame, keys: list[str], bucket: int, step: int) -> DataFrame:
+def sample_metrics(rows: DataFrame, reference: DataFrame, mapping: DataFrame, keys: list[str], step: int) -> DataFrame:
     """Recall, precision and accuracy over a grid of times, counted per stretch of time instead of per point."""
     known, ref, everything = (islands(x, keys).select(*keys, F.col("island").alias("id"), "start_ms", "end_ms") for x in (rows.where("label <> 'unknown'"), reference, rows))
     mapped = rows.join(mapping.select(*keys, "label", F.col("ref_label").alias("mapped")), [*keys, "label"])
-    hits = overlap_join(mapped, reference, keys, bucket).where("a_mapped = b_label")
-    hits = islands(hits.select(*keys, F.greatest("a_start_ms", "b_start_ms").alias("start_ms"), F.least("a_end_ms", "b_end_ms").alias("end_ms")), keys)
-
-    def both(a: DataFrame, b: DataFrame) -> DataFrame:
-        return overlap_join(a, b, keys, bucket).select(*keys, F.greatest("a_start_ms", "b_start_ms").alias("start_ms"), F.least("a_end_ms", "b_end_ms").alias("end_ms"))
-
-    parts = {"ref": ref, "known": known, "everything": everything, "known_ref": both(known, ref), "all_ref": both(everything, ref), "hit": hits}
+    # where a label's union meets that of the label that it is mapped to; labels may overlap one another
+    own, other = (islands(x.where("end_ms > start_ms").select(*keys, F.col(c).alias("mapped"), "start_ms", "end_ms"), [*keys, "mapped"]) for x, c in ((mapped.where("mapped is not null"), "mapped"), (reference.where("label is not null"), "label")))
+    hits = islands(meets(own, other, [*keys, "mapped"]), keys)
+    parts = {"ref": ref, "known": known, "everything": everything, "known_ref": meets(known, ref, keys), "all_ref": meets(everything, ref, keys), "hit": hits}
     counted = None
     for name, frame in parts.items():
         part = frame.select(*keys, F.lit(name).alias("what"), _points(F.col("start_ms"), F.col("end_ms"), step).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.operators.intervals import overlap_join, overlap_of
+from chronoloom.operators.intervals import shared_time
 
 # Upper ends of the classes of durations, in seconds.
 DURATION_BINS = (1, 2, 5, 10, 20, 30)
@@ -13,10 +13,9 @@ DURATION_BINS = (1, 2, 5, 10, 20, 30)
 SHORT_BLOCK, SHORT_OVERVIEW, RETRY_RATE, TOKEN_DRIFT = 120, 300, 0.15, 0.2
 
 
-def overlap_matrix(rows: DataFrame, reference: DataFrame, keys: list[str], bucket: int) -> DataFrame:
+def overlap_matrix(rows: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
     """(label, ref_label, overlap_ms): shared time of each pair of labels, over all keys."""
-    pairs = overlap_join(rows, reference, keys, bucket)
-    return pairs.groupBy(F.col("a_label").alias("label"), F.col("b_label").alias("ref_label")).agg(F.sum(overlap_of(pairs)).alias("overlap_ms"))
+    return shared_time(rows, reference, keys, ["label"]).groupBy("label", "ref_label").agg(F.sum("ms").alias("overlap_ms"))
 
 
 def duration_stats(rows: DataFrame, seconds: Column, label: str) -> DataFrame:

@@ -206,7 +206,7 @@ def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def _mapping(spark, d) -> DataFrame:
-    return ev.label_mapping(ev.by_labels(*_sides(spark, d), KEY, HOUR), KEY)
+    return ev.label_mapping(ev.by_labels(*_sides(spark, d), KEY), KEY)
 
 
 @query(f"WITH RECURSIVE {MAPPED} SELECT key, label, ref_label, ms FROM ma")
@@ -218,8 +218,8 @@ def label_mapping(spark, d):
  CASE WHEN correct_ms + other_ms > 0 THEN round(correct_ms / (correct_ms + other_ms), 6) END AS purity, CASE WHEN correct_ms + other_ms > 0 THEN round(other_ms / (correct_ms + other_ms), 6) END AS leak FROM qu""")
 def segment_quality(spark, d):
     rows, reference = _sides(spark, d)
-    overlaps = ev.label_overlaps(rows, reference, KEY, HOUR)
-    return ev.segment_quality(rows, reference, ev.label_mapping(ev.by_labels(rows, reference, KEY, HOUR, overlaps), KEY), KEY, HOUR, overlaps)
+    overlaps = ev.label_overlaps(rows, reference, KEY)
+    return ev.segment_quality(rows, reference, ev.label_mapping(ev.by_labels(rows, reference, KEY, overlaps), KEY), KEY, overlaps)
 
 
 @query(f"""WITH RECURSIVE {QUALITY}, t AS (SELECT key, CAST(sum(correct_ms) AS BIGINT) AS c, CAST(sum(other_ms) AS BIGINT) AS o, CAST(sum(greatest(0, duration_ms - correct_ms - other_ms)) AS BIGINT) AS s, CAST(sum(duration_ms) AS BIGINT) AS d FROM qu GROUP BY 1)
@@ -235,7 +235,7 @@ cv AS (SELECT r.key, r.id, r.label AS ref_label, r.end_ms - r.start_ms AS durati
 
 
 def _coverage(spark, d) -> DataFrame:
-    return ev.coverage_rows(*_sides(spark, d), _mapping(spark, d), KEY, HOUR)
+    return ev.coverage_rows(*_sides(spark, d), _mapping(spark, d), KEY)
 
 
 @query(f"""WITH RECURSIVE {COVERED} SELECT cv.key, cv.id, cv.ref_label, duration_ms, known_ms, 0 AS unknown_ms, known_ms AS all_ms, CASE WHEN duration_ms > 0 THEN round(known_ms / duration_ms, 6) END AS known_coverage, CASE WHEN duration_ms > 0 THEN round(known_ms / duration_ms, 6) END AS all_coverage, best_label, best_ms, ma.ref_label AS mapped
@@ -264,7 +264,7 @@ def _meet(a: str, b: str, more: str = "") -> str:
  SELECT key, n_ref, n_known, n_known AS n_everything, n_both AS n_known_ref, n_both AS n_all_ref, n_hit, CASE WHEN n_ref > 0 THEN round(n_both / n_ref, 6) END AS known_recall, CASE WHEN n_ref > 0 THEN round(n_both / n_ref, 6) END AS all_recall,
  CASE WHEN n_known > 0 THEN round(n_both / n_known, 6) END AS known_precision, CASE WHEN n_known > 0 THEN round(n_both / n_known, 6) END AS all_precision, CASE WHEN n_both > 0 THEN round(n_hit / n_both, 6) END AS accuracy FROM t""")
 def sample_metrics(spark, d):
-    return ev.sample_metrics(*_sides(spark, d), _mapping(spark, d), KEY, HOUR, 60_000)
+    return ev.sample_metrics(*_sides(spark, d), _mapping(spark, d), KEY, 60_000)
 
 
 TEXTS = f"""{SEG}, rf AS (SELECT meeting_id, idx AS id, start_ms + 1500 AS start_ms, end_ms + 1500 AS end_ms, text FROM s),

@@ -41,11 +41,11 @@ def pad_and_split(spark, d):
 
 
 def overlap_matrix(spark, d):
-    return metrics.overlap_matrix(src.intervals(spark, d, LONG), src.reference_intervals(spark, d, LONG), KEY, HOUR)
+    return metrics.overlap_matrix(src.intervals(spark, d, LONG), src.reference_intervals(spark, d, LONG), KEY)
 
 
 def interval_coverage(spark, d):
-    return iv.coverage(src.intervals(spark, d, LONG), src.reference_intervals(spark, d, LONG), KEY, HOUR)
+    return iv.coverage(src.intervals(spark, d, LONG), src.reference_intervals(spark, d, LONG), KEY)
 
 
 def duration_stats(spark, d):
