@@ -1,7 +1,7 @@
 """Topic segmentation: cohesion of neighbouring windows, valley depth, boundary signals, blocks of a least and a largest size.
 
-Texts are cleaned once a segment; the bigrams of both windows of a position are counted by an aggregation, so neither the
-length of a text nor the number of windows makes an expression grow.
+Texts are cleaned once a segment; the bigrams of both windows of a position are counted by a small function of the two texts, so a task
+holds the bigrams of one position at a time.
 """
 
 from __future__ import annotations
@@ -9,9 +9,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Segments of a window and of the neighbourhood of a valley; the least characters of a window.
 WINDOW, SPAN, LEAST_CHARS = 3, 4, 12
@@ -29,10 +31,23 @@ def spoken(segments: DataFrame) -> DataFrame:
     return segments.where(F.btrim("text", F.lit(" \t\n\r\x0b\x0c")) != "")
 
 
-def _bigrams(text: Column) -> Column:
-    """Character bigrams of a text without white space; a single character is one."""
-    c = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    return F.when(F.size(c) > 1, F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(1))), lambda a, b: F.concat(a, b))).otherwise(c)
+def _codes(text: str) -> np.ndarray:
+    """A number for each character bigram of a text without white space; a single character is one."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return c[:-1] << 21 | c[1:] if len(c) > 1 else -1 - c
+
+
+def bigram_cosine(before: str, after: str) -> float:
+    """Cosine of the bigram counts of two texts; 0 if either has none."""
+    (x, n), (y, m) = (np.unique(_codes(t), return_counts=True) for t in (before, after))
+    norm = math.sqrt(float((n * n).sum())) * math.sqrt(float((m * m).sum()))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return float((n[i] * m[j]).sum()) / norm if norm > 0 else 0.0
+
+
+@F.pandas_udf(DoubleType())
+def _cosine(before: pd.Series, after: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else bigram_cosine(a, b) for a, b in zip(before, after)], dtype="float64")
 
 
 def cohesion(segments: DataFrame, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -46,14 +61,9 @@ def cohesion(segments: DataFrame, window: int = WINDOW, least_chars: int = LEAST
         "_before": F.array_join(F.collect_list("_clean").over(back), ""), "_after": F.array_join(F.collect_list("_clean").over(here), ""),
         "_told": (F.sum(F.length("text")).over(back) >= least_chars) & (F.sum(F.length("text")).over(here) >= least_chars),
     })
-    # both sides in one pass: a gram counts for the side on which it stands
-    sides = F.array(F.struct(F.lit(True).alias("left"), F.col("_before").alias("t")), F.struct(F.lit(False).alias("left"), F.col("_after").alias("t")))
-    told = rows.where("_told").select("meeting_id", "idx", F.explode(sides).alias("s")).select("meeting_id", "idx", "s.left", _bigrams(F.col("s.t")).alias("grams"))
-    n = told.select("meeting_id", "idx", "left", F.explode("grams").alias("gram")).groupBy("meeting_id", "idx", "gram").agg(F.count_if(F.col("left")).alias("x"), F.count_if(~F.col("left")).alias("y"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).cast("double")) * F.sqrt(F.sum(F.col("y") * F.col("y")).cast("double"))
-    cosine = n.groupBy("meeting_id", "idx").agg(F.when(norm > 0, F.sum(F.col("x") * F.col("y")) / norm).otherwise(F.lit(0.0)).alias("_cosine"))
-    out = rows.join(cosine, ["meeting_id", "idx"], "left")
-    return out.withColumn("cohesion", F.when(F.col("_told"), F.coalesce("_cosine", F.lit(0.0)))).drop("_clean", "_before", "_after", "_told", "_cosine")
+    # texts of windows that are told go to the function, others don't
+    texts = [F.when(F.col("_told"), F.col(c)) for c in ("_before", "_after")]
+    return rows.withColumn("cohesion", _cosine(*texts)).drop("_clean", "_before", "_after", "_told")
 
 
 def boundaries(segments: DataFrame) -> DataFrame:

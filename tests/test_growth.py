@@ -51,3 +51,22 @@ def test_very_long_intervals_are_not_cut(spark):
     got = evaluation.sample_metrics(a, b, mapping, ["key"], 1000).collect()[0]
     assert (got["n_ref"], got["n_known"], got["n_hit"]) == (most // 1000, most // 1000, most // 1000 - 1)
     assert evaluation.coverage_rows(a, b, mapping, ["key"]).where("id = 2").collect()[0]["known_ms"] == most - 5
+
+
+def test_cosine_of_bigrams_beside_counters():
+    from chronoloom.operators.topics import _alike, _counts, bigram_cosine
+
+    rnd = random.Random(5)
+    texts = ["", "a", "\0", "\0\0", "aa", "会议😀会议", *["".join(rnd.choice("ab会😀") for _ in range(rnd.randrange(60))) for _ in range(40)]]
+    for a in texts:
+        for b in texts:
+            assert bigram_cosine(a, b) == _alike(_counts([a]), _counts([b]))
+
+
+def test_cohesion_holds_no_table_of_grams(spark):
+    from chronoloom.operators import topics
+
+    rows = [(1, i, f"seg-{i:06d}", "ein Satz über Zahlen " * (i + 1), "speaker_0", i * 10, i * 10 + 9) for i in range(5)]
+    made = topics.cohesion(spark.createDataFrame(rows, "meeting_id long, idx long, segment_id string, text string, speaker string, start_ms long, end_ms long"))
+    assert "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["cohesion"] is None for r in made.orderBy("idx").collect()] == [True, False, False, False, False]
