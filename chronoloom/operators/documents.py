@@ -126,23 +126,33 @@ def bounded(docs: DataFrame, depth: int = DEPTH, keys: int = KEYS, items: int =
     return kept.select("doc", "path", "kind", value.alias("value")), functools.reduce(DataFrame.unionByName, cuts)
 
 
-def write_documents(docs: DataFrame, folder: str) -> DataFrame:
+def _staged(spark: SparkSession, stage: str, packed: bool) -> DataFrame:
+    """(key, name, json, file) of a folder of documents."""
+    rows = spark.read.schema("key string, name string, json string").json(stage) if packed else spark.read.text(stage).withColumnRenamed("value", "json")
+    return rows.select(F.col("key").cast("string").alias("key"), "name", "json", F.col("_metadata.file_path").alias("file"))
+
+
+def write_documents(docs: DataFrame, folder: str, packed: bool = False) -> DataFrame:
     """Documents (key, name, json) as files, one a key and name, and the manifest (key, name, file, bytes, sha256) that commits them.
 
+    ``packed`` writes many documents a file, a line each, for so many of them that a file each would cost more than its content.
+
     Files are written to a new staging folder and checked by reading them again; then the manifest names that folder and replaces the one before in a single rename. A
     reader follows the manifest, so it sees all documents of a run or none. Keys must be unique with names.
     """
     spark = docs.sparkSession
     stage = f"{folder}/run-{uuid.uuid4().hex}"
     rows = docs.select(F.col("key").cast("string").alias("key"), "name", F.regexp_replace("json", "[\\r\\n]+", " ").alias("json"))
-    rows.repartition("key", "name").write.partitionBy("key", "name").text(stage)
-    made = spark.read.text(stage).select("key", "name", F.col("_metadata.file_path").alias("file"), F.octet_length("value").cast("long").alias("bytes"), F.sha2(F.col("value").cast("binary"), 256).alias("sha256"))
-    made = made.select(F.col("key").cast("string").alias("key"), "name", "file", "bytes", "sha256")
+    if packed:
+        rows.withColumn("json", F.coalesce("json", F.lit(""))).write.json(stage)
+    else:
+        rows.repartition("key", "name").write.partitionBy("key", "name").text(stage)
+    made = _staged(spark, stage, packed).select("key", "name", "file", F.octet_length("json").cast("long").alias("bytes"), F.sha2(F.col("json").cast("binary"), 256).alias("sha256"))
     twice = made.groupBy("key", "name").agg(F.count("*").alias("n")).where("n > 1")
     if not twice.isEmpty():
         raise ValueError("several documents have the same key and name")
     made.write.parquet(f"{stage}-manifest")
-    _replace(spark, f"{folder}/CURRENT", json.dumps({"run": stage, "manifest": f"{stage}-manifest"}))
+    _replace(spark, f"{folder}/CURRENT", json.dumps({"run": stage, "manifest": f"{stage}-manifest", "packed": packed}))
     return spark.read.parquet(f"{stage}-manifest")
 
 
@@ -164,6 +174,6 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     if not exists(spark, f"{folder}/CURRENT"):
         return spark.createDataFrame([], "key string, name string, json string")
     current = json.loads("".join(r["value"] for r in spark.read.text(f"{folder}/CURRENT").collect()))  # one line
-    rows = spark.read.text(current["run"]).select(F.col("key").cast("string").alias("key"), "name", F.col("value").alias("json"), F.sha2(F.col("value").cast("binary"), 256).alias("_own"))
+    rows = _staged(spark, current["run"], current.get("packed", False)).select("key", "name", "json", F.sha2(F.col("json").cast("binary"), 256).alias("_own"))
     told = spark.read.parquet(current["manifest"]).select("key", "name", "sha256")
     return rows.join(told, ["key", "name"]).where("_own = sha256").select("key", "name", "json")

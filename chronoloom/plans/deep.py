@@ -339,7 +339,7 @@ def export_documents(spark, d):
 def export_files(spark, d):
     """The bundle written as files and read again; whether each is what was written, and its faults against its schema."""
     folder, bundle = new_folder(spark, "exports"), written(_bundle(spark, d), "bundle")
-    documents.write_documents(bundle.select(F.col("meeting_id").alias("key"), "name", "json"), folder)
+    documents.write_documents(bundle.select(F.col("meeting_id").alias("key"), "name", "json"), folder, packed=True)
     again = documents.read_documents(spark, folder)
     same = bundle.select(F.col("meeting_id").cast("string").alias("key"), "name", F.col("json").alias("own")).join(again, ["key", "name"], "left")
     found = [documents.violations(again.where(F.col("name") == name).select(F.col("key").alias("doc"), "json"), schema).withColumn("name", F.lit(name)) for name, schema in exports.BUNDLE.items()]

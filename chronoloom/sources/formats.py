@@ -103,11 +103,11 @@ def read_turns(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns(ms | {"speaker": F.trim("speaker"), "text": F.trim("text"), "speaker_kind": F.coalesce("speaker_kind", F.lit("main"))}).drop("start", "end")
 
 
-def read_transcript(spark: SparkSession, path: str) -> DataFrame:
-    """Recognised segments of a JSON array as canonical segments with their status."""
+def read_transcript(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Recognised segments of a JSON array a file, or with ``lines`` a line, as canonical segments with their status."""
     from chronoloom.functions.scalars import normalize_speaker, seconds_to_ms
 
-    rows = spark.read.schema(ROW).option("mode", "FAILFAST").json(path, multiLine=True)
+    rows = spark.read.schema(ROW).option("mode", "FAILFAST").json(path, multiLine=not lines)
     text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " "))
     return rows.select(
         F.format_string("seg-%06d", F.col("index")).alias("segment_id"), F.col("index").alias("idx"), seconds_to_ms(F.col("start")).alias("start_ms"), seconds_to_ms(F.col("end")).alias("end_ms"),
@@ -123,10 +123,10 @@ def read_plan(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rows.select(F.coalesce("speaker", F.lit("unknown")).alias("speaker"), *ms).where("end_ms > start_ms")
 
 
-def read_diarization(spark: SparkSession, path: str) -> DataFrame:
-    """(speaker, start_ms, end_ms) of JSON (a list or ``segments``), the speaker under any of three names; empty rows go."""
+def read_diarization(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(speaker, start_ms, end_ms) of JSON (a list or ``segments``) a file, or with ``lines`` a line, the speaker under any of three names; empty rows go."""
     one = "struct<start: double, end: double, speaker: string, label: string, raw_speaker: string>"
-    doc = spark.read.text(path, wholetext=True).select(F.coalesce(F.from_json("value", f"struct<segments: array<{one}>>")["segments"], F.from_json("value", f"array<{one}>")).alias("s"))
+    doc = spark.read.text(path, wholetext=not lines).select(F.coalesce(F.from_json("value", f"struct<segments: array<{one}>>")["segments"], F.from_json("value", f"array<{one}>")).alias("s"))
     rows = doc.select(F.explode("s").alias("s")).select(F.coalesce("s.speaker", "s.label", "s.raw_speaker").alias("speaker"), "s.start", "s.end")
     return rows.select("speaker", *[F.rint(F.col(c) * 1000).cast("long").alias(f"{c}_ms") for c in ("start", "end")]).where("end_ms > start_ms")
 
@@ -166,6 +166,15 @@ def write_lines(rows: DataFrame, line: Column, path: str, order: list[Column]) -
     rows.orderBy(*order).select(line.alias("value")).write.text(path)
 
 
+def write_files(rows: DataFrame, path: str, folders: int = 64) -> None:
+    """A text file for each ``value``, dealt over folders ``part=..`` by a whole number ``key``.
+
+    Tasks move their own files into place, so nothing goes file by file through the driver; the folder must be new and is read when the job is done.
+    """
+    placed = rows.select("value", F.pmod("key", F.lit(folders)).alias("part"))
+    placed.write.partitionBy("part").option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+
+
 def write_table(rows: DataFrame, path: str, columns: list[str]) -> None:
     """CSV with a header and these columns; columns that are missing are empty."""
     rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]).write.csv(path, header=True)

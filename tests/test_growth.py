@@ -70,3 +70,28 @@ def test_cohesion_holds_no_table_of_grams(spark):
     made = topics.cohesion(spark.createDataFrame(rows, "meeting_id long, idx long, segment_id string, text string, speaker string, start_ms long, end_ms long"))
     assert "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert [r["cohesion"] is None for r in made.orderBy("idx").collect()] == [True, False, False, False, False]
+
+
+def test_files_of_many_meetings(spark, tmp_path, monkeypatch):
+    """No folder a meeting: their number doesn't grow with the meetings; each file of a listing is still there."""
+    from chronoloom.operators import tables
+    from chronoloom.plans import files
+
+    monkeypatch.setattr(tables, "shared_dir", lambda _: f"file://{tmp_path}")
+    for name, most in (("textgrid_files", 3), ("diarization_files", 16), ("transcript_files", 16), ("file_listing", 10**6)):
+        before = set(tmp_path.rglob("*.txt"))
+        getattr(files, name)(spark, "/root/testdata/sf0.001").collect()
+        made = set(tmp_path.rglob("*.txt")) - before
+        assert 0 < len(made) <= most and len({f.parent for f in made}) <= 64, name
+
+
+def test_packed_documents_are_committed_like_files(spark, tmp_path):
+    from chronoloom.operators import documents
+
+    folder, kind = f"file://{tmp_path}/exports", "key long, name string, json string"
+    docs = [(k, n, '{"t": "é\\u0000 \\\\ %d"}' % k) for k in range(40) for n in ("a.json", "b.json")]
+    told = documents.write_documents(spark.createDataFrame(docs, kind).coalesce(2), folder, packed=True).collect()
+    assert len(told) == 80 and len({r["file"] for r in told}) == 2 and all(r["bytes"] == len(docs[2 * int(r["key"])][2].encode()) for r in told)
+    assert sorted(tuple(r) for r in documents.read_documents(spark, folder).collect()) == sorted((str(k), n, j) for k, n, j in docs)
+    documents.write_documents(spark.createDataFrame(docs[:3], kind), folder)
+    assert documents.read_documents(spark, folder).count() == 3
