@@ -7,10 +7,11 @@ scan splits it over range partitions and carries last values across.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from chronoloom.functions import text as tx
 from chronoloom.functions.scalars import speaker_kind, wanted_for_asr
 from chronoloom.operators.scan import running
 
@@ -62,10 +63,32 @@ def unit_rows(marked: DataFrame) -> DataFrame:
     return rows.select("meeting_id", "unit", "speaker", "kind", "start_ms", "end_ms", F.array_join(ids, ",").alias("source_ids"), F.array_join(bridged, ",").alias("bridged_ids"), F.size(ids).cast("long").alias("n"))
 
 
-def _told_before(have: Column, more: Column, least: float) -> Column:
-    """Whether the bigrams of two summaries are nearly the same set; a text below two characters has none."""
-    a, b = (F.filter(F.array_distinct(tx.grams(x)), lambda g: F.length(g) == 2) for x in (have, more))
-    return tx.jaccard(a, b) >= least
+def fold_texts(texts: list[str | None], clean: list[str | None], alike: float) -> str | None:
+    """Texts joined by a semicolon, without those whose bigrams are nearly the same set as those of all before; ``clean`` are the texts without white space.
+
+    A text below two characters has no bigrams; a null makes the whole null. Bigrams of what is joined are added, not made anew.
+    """
+    if any(t is None for t in texts):
+        return None
+    kept, last, have = [texts[0]], clean[0][-1:], _pairs(clean[0])
+    for text, own in zip(texts[1:], clean[1:]):
+        more = _pairs(own)
+        both = len(have & more)
+        if (both / (len(have) + len(more) - both) if have and more else 0.0) >= alike:
+            continue
+        kept.append(text)
+        have |= more | _pairs(f"{last}；{own[:1]}")
+        last = own[-1:] or "；"
+    return "；".join(kept)
+
+
+def _pairs(text: str) -> set[str]:
+    return {text[i : i + 2] for i in range(len(text) - 1)}
+
+
+@F.pandas_udf(StringType())
+def _folded(texts: pd.Series, clean: pd.Series, alike: pd.Series) -> pd.Series:
+    return pd.Series([fold_texts(list(t), list(c), x) for t, c, x in zip(texts, clean, alike)], dtype=object)
 
 
 def fold_chapters(blocks: DataFrame, segments: DataFrame, alike: float = 0.8) -> DataFrame:
@@ -87,7 +110,8 @@ def fold_chapters(blocks: DataFrame, segments: DataFrame, alike: float = 0.8) ->
         return F.array_distinct(F.flatten(F.transform("b", lambda x: F.coalesce(x[name], F.array().cast("array<string>")))))
 
     first = F.col("b")[0]
-    overview = F.aggregate(F.slice("b", 2, F.greatest(F.size("b") - 1, F.lit(1))), first["summary"], lambda acc, x: F.when(_told_before(acc, x["summary"], alike), acc).otherwise(F.concat(acc, F.lit("；"), x["summary"])))
+    summaries = F.transform("b", lambda x: x["summary"])
+    overview = _folded(summaries, F.transform(summaries, lambda t: F.regexp_replace(t, r"(?U)\s+", "")), F.lit(float(alike)))
     rows = rows.select(
         "meeting_id", "chapter", F.size("b").cast("long").alias("blocks"), first["title"].alias("title"), overview.alias("overview"), united("key_points").alias("key_points"), united("anchors").alias("anchors"),
         first["start_ref"].alias("start_ref"), F.element_at("b", -1)["end_ref"].alias("end_ref"), united("refs").alias("refs"),

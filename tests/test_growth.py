@@ -95,3 +95,36 @@ def test_packed_documents_are_committed_like_files(spark, tmp_path):
     assert sorted(tuple(r) for r in documents.read_documents(spark, folder).collect()) == sorted((str(k), n, j) for k, n, j in docs)
     documents.write_documents(spark.createDataFrame(docs[:3], kind), folder)
     assert documents.read_documents(spark, folder).count() == 3
+
+
+def test_long_summaries_are_folded_in_line_with_their_length():
+    from chronoloom.operators.units import fold_texts
+
+    def plain(texts: list[str], alike: float) -> str:
+        acc = texts[0]
+        for t in texts[1:]:
+            x, y = ({c[i : i + 2] for i in range(len(c) - 1)} for c in ("".join(acc.split()), "".join(t.split())))
+            if (len(x & y) / len(x | y) if x and y else 0.0) < alike:
+                acc += "；" + t
+        return acc
+
+    rnd = random.Random(6)
+    for _ in range(400):
+        texts = ["".join(rnd.choice("ab 会；") for _ in range(rnd.randrange(9))) for _ in range(rnd.randrange(1, 7))]
+        assert fold_texts(texts, ["".join(t.split()) for t in texts], 0.5) == plain(texts, 0.5)
+    assert fold_texts(["a", None, "b"], ["a", None, "b"], 0.8) is None and fold_texts(["x y"], ["xy"], 0.8) == "x y"
+
+
+def test_chapters_of_long_summaries(spark):
+    """A summary's bigrams were cut out of it one by one, each from its beginning."""
+    import time
+
+    from chronoloom.operators import units
+
+    long = "".join(chr(0x4E00 + i * 7919 % 20000) for i in range(100_000))
+    blocks = [(1, i, f"t{i}", s, ["p"], ["a"], "s0", "s0", ["s0"], i > 0) for i, s in enumerate((long, long, "kurz"))]
+    kind = "meeting_id long, block long, title string, summary string, key_points array<string>, anchors array<string>, start_ref string, end_ref string, refs array<string>, continues_previous boolean"
+    segments = spark.createDataFrame([(1, "s0", "v", 3, 9)], "meeting_id long, segment_id string, speaker string, start_ms long, end_ms long")
+    began = time.time()
+    got = units.fold_chapters(spark.createDataFrame(blocks, kind), segments).collect()
+    assert [r["overview"] for r in got] == [long + "；kurz"] and time.time() - began < 60
