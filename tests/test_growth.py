@@ -128,3 +128,13 @@ def test_chapters_of_long_summaries(spark):
     began = time.time()
     got = units.fold_chapters(spark.createDataFrame(blocks, kind), segments).collect()
     assert [r["overview"] for r in got] == [long + "；kurz"] and time.time() - began < 60
+
+
+def test_small_meetings_are_packed_in_batches(spark):
+    from chronoloom.operators import packing
+
+    items = [(1, "a", 0, 9), (1, "b", 1, 20), (1, "c", 2, 6), (1, "d", 3, 4), (1, "e", 4, 1), (2, "z", 0, 10), (None, "n", 5, 3)]
+    made = packing.best_fit(spark.createDataFrame(items, "meeting_id long, item string, first long, cost long"), 10)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["meeting_id"], r["item"]): (r["bin"], r["oversize"]) for r in made.collect()}
+    assert got == {(1, "a"): (0, False), (1, "b"): (None, True), (1, "c"): (1, False), (1, "d"): (1, False), (1, "e"): (0, False), (2, "z"): (0, False), (None, "n"): (0, False)}
