@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions.scalars import clean_text
@@ -30,39 +30,24 @@ def lay_out(segments: DataFrame, overhead: int) -> DataFrame:
 
 
 def fit(laid: DataFrame, starts: DataFrame, budget: int, room: int) -> DataFrame:
-    """Segments of the window of each meeting that begins at ``start`` (meeting_id, start, last): as far as they fit into the budget less ``room``.
+    """Segments of the window of each meeting that begins at ``start`` (meeting_id, start, base, last; base: the characters before it): as far as they fit into the budget less ``room``.
 
     Adds window_pos, window_n and final (the meeting's last segment is in it). A first segment that doesn't fit makes no window.
     """
-    begin = laid.select("meeting_id", F.col("pos").alias("start"), (F.col("upto") - F.col("cost")).alias("base"))
-    front = starts.join(begin, ["meeting_id", "start"])
-    rows = laid.join(front, "meeting_id").where((F.col("pos") >= F.col("start")) & (F.col("upto") - F.col("base") <= budget - room))
-    sizes = rows.groupBy("meeting_id").agg(F.count("*").alias("window_n"), F.max("pos").alias("end"))
-    return rows.join(sizes, "meeting_id").select(*laid.columns, (F.col("pos") - F.col("start")).alias("window_pos"), "window_n", (F.col("end") == F.col("last")).alias("final"))
+    rows = laid.join(starts, "meeting_id").where((F.col("pos") >= F.col("start")) & (F.col("upto") - F.col("base") <= budget - room))
+    whole = Window.partitionBy("meeting_id")  # of rows that fit: one window a meeting
+    rows = rows.withColumns({"window_n": F.count("*").over(whole), "end": F.max("pos").over(whole)})
+    return rows.select(*laid.columns, (F.col("pos") - F.col("start")).alias("window_pos"), "window_n", (F.col("end") == F.col("last")).alias("final"))
 
 
-def check_window(window: DataFrame, chapters: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(ranges, verdicts, repairs) of one window a meeting.
-
-    chapters: (meeting_id, no, title, summary, start_ref, end_ref). answers: (meeting_id, finish_reason, carryover_ref). ranges: (meeting_id, no, title,
-    summary, start_idx, end_idx, full_start, full_end) by places in the window, without gaps up to what is carried over. verdicts: (meeting_id, error, carryover, next_pos); a
-    meeting with an error has no ranges. repairs: (meeting_id, no, repair).
-    """
+def _judged(window: DataFrame, chapters: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(told: chapters with their places and what is wrong with them, clipped ranges, verdicts with ``merged``) of one window a meeting."""
     places = window.select("meeting_id", F.col("segment_id").alias("ref"), F.col("window_pos").alias("place"))
     begin, end = places.select("meeting_id", F.col("ref").alias("start_ref"), F.col("place").alias("start_idx")), places.select("meeting_id", F.col("ref").alias("end_ref"), F.col("place").alias("end_idx"))
     told = chapters.withColumns({"title": clean_text(F.col("title")), "summary": clean_text(F.col("summary"))}).join(begin, ["meeting_id", "start_ref"], "left").join(end, ["meeting_id", "end_ref"], "left")
     fault = F.when(F.col("title").isNull() | F.col("summary").isNull(), "drop_empty_chapter").when(F.col("start_idx").isNull() | F.col("end_idx").isNull(), "drop_invalid_chapter_range").when(F.col("end_idx") < F.col("start_idx"), "drop_reversed_chapter_range")
     told = told.withColumn("repair", fault)
-    good = told.where("repair is null")
-    clipped = clip_ranges(good.select("meeting_id", "no", "start_idx", "end_idx"))
-    # of chapters that begin together, titles and summaries are joined where they differ
-    same = F.array_sort(F.collect_list(F.struct("end_idx", "no", "title", "summary")))
-    words = good.groupBy("meeting_id", "start_idx").agg(same.alias("same"))
-
-    def joined(name: str):
-        return F.aggregate(F.slice("same", 2, F.greatest(F.size("same") - 1, F.lit(1))), F.col("same")[0][name], lambda acc, x: F.when(x[name] == acc, acc).otherwise(F.concat(acc, F.lit("；"), x[name])))
-
-    words = words.select("meeting_id", "start_idx", joined("title").alias("title"), joined("summary").alias("summary"), F.transform(F.slice("same", 2, F.greatest(F.size("same") - 1, F.lit(1))), lambda x: x["no"]).alias("merged_no"))
+    clipped = clip_ranges(told.where("repair is null").select("meeting_id", "no", "start_idx", "end_idx"))
     sizes = window.groupBy("meeting_id").agg(F.max("window_n").alias("n"), F.max("final").alias("final"))
     carried = answers.join(sizes, "meeting_id").withColumn("asked", F.when(~F.lower(F.btrim("carryover_ref")).isin(*NO_CARRYOVER), F.col("carryover_ref")))
     carried = carried.join(places.select("meeting_id", F.col("ref").alias("asked"), "place"), ["meeting_id", "asked"], "left")
@@ -73,7 +58,25 @@ def check_window(window: DataFrame, chapters: DataFrame, answers: DataFrame) ->
         F.when(~F.col("finish_reason").eqNullSafe(F.lit("stop")), "finish_reason").when(F.col("asked").isNotNull() & F.col("place").isNull(), "carryover_outside_window")
         .when(kept <= F.coalesce("done", F.lit(-1)), "carryover_overlaps_chapter").when(kept <= 0, "carryover_without_progress")
     )
-    verdicts = carried.select("meeting_id", error.alias("error"), kept.alias("carryover"), F.coalesce(kept, "n").alias("next_pos"), (F.col("final") & F.col("place").isNotNull()).alias("merged"))
+    return told, clipped, carried.select("meeting_id", error.alias("error"), kept.alias("carryover"), F.coalesce(kept, "n").alias("next_pos"), (F.col("final") & F.col("place").isNotNull()).alias("merged"))
+
+
+def check_window(window: DataFrame, chapters: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ranges, verdicts, repairs) of one window a meeting.
+
+    chapters: (meeting_id, no, title, summary, start_ref, end_ref). answers: (meeting_id, finish_reason, carryover_ref). ranges: (meeting_id, no, title,
+    summary, start_idx, end_idx, full_start, full_end) by places in the window, without gaps up to what is carried over. verdicts: (meeting_id, error, carryover, next_pos); a
+    meeting with an error has no ranges. repairs: (meeting_id, no, repair).
+    """
+    told, clipped, verdicts = _judged(window, chapters, answers)
+    # of chapters that begin together, titles and summaries are joined where they differ
+    same = F.array_sort(F.collect_list(F.struct("end_idx", "no", "title", "summary")))
+    words = told.where("repair is null").groupBy("meeting_id", "start_idx").agg(same.alias("same"))
+
+    def joined(name: str):
+        return F.aggregate(F.slice("same", 2, F.greatest(F.size("same") - 1, F.lit(1))), F.col("same")[0][name], lambda acc, x: F.when(x[name] == acc, acc).otherwise(F.concat(acc, F.lit("；"), x[name])))
+
+    words = words.select("meeting_id", "start_idx", joined("title").alias("title"), joined("summary").alias("summary"), F.transform(F.slice("same", 2, F.greatest(F.size("same") - 1, F.lit(1))), lambda x: x["no"]).alias("merged_no"))
     fine = verdicts.where("error is null")
     ranges = expand_ranges(clipped.join(fine.select("meeting_id"), "meeting_id", "left_semi"), fine.select("meeting_id", (F.col("next_pos") - 1).alias("last_idx")))
     ranges = ranges.join(words, ["meeting_id", "start_idx"]).select("meeting_id", "no", "title", "summary", "start_idx", "end_idx", "full_start", "full_end", "expanded")
@@ -90,39 +93,61 @@ def wavefront(segments: DataFrame, model: Model, budget: int, overhead: int = 0,
     """Tables ``windows`` (meeting_id, round, start, n, carryover, error), ``chapters`` (.., start_pos, end_pos, full_start, full_end) and ``repairs``.
 
     ``model`` turns a round's windows into (chapters, answers) for ``check_window``. With a ``folder`` that an earlier call has used, whole rounds are taken from there.
+    A round writes its windows, the model's answers and the verdicts; chapters and repairs of all rounds are made from these at once when they are read. Segments that lie behind are left out of what rounds read
+    whenever less than half is ahead.
     """
     spark = segments.sparkSession
     folder = folder or new_folder(spark, "wavefront")
 
     def table(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        made = make()
         if not exists(spark, f"{folder}/{name}/_SUCCESS"):
-            make().write.mode("overwrite").parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
+            made.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(made.schema).parquet(f"{folder}/{name}")
 
-    laid = table("laid", lambda: lay_out(segments, overhead))
-    starts = table("starts_0", lambda: laid.groupBy("meeting_id").agg(F.lit(0).cast("long").alias("start"), F.max("pos").alias("last")))
-    tables: dict[str, list[DataFrame]] = {"windows": [], "chapters": [], "repairs": []}
+    laid = ahead = table("laid", lambda: lay_out(segments, overhead))
+    zero = F.lit(0).cast("long")
+    starts = table("starts_0", lambda: laid.groupBy("meeting_id").agg(zero.alias("start"), zero.alias("base"), F.max("pos").alias("last")))
+    held = None
     for number in range(most_rounds):
-        if starts.isEmpty():
-            return {name: functools.reduce(DataFrame.unionByName, parts) for name, parts in tables.items()} if number else _nothing(spark)
-        window = table(f"window_{number}", lambda: fit(laid, starts, budget, room))
-        chapters, answers = model(window)
-        chapters, answers = table(f"told_{number}", lambda: chapters), table(f"answers_{number}", lambda: answers)
-        ranges, verdicts, repairs = check_window(window, chapters, answers)
-        verdicts = table(f"verdicts_{number}", lambda: verdicts)
-        sizes = window.groupBy("meeting_id").agg(F.count("*").alias("n"))
-        told = starts.join(sizes, "meeting_id", "left").join(verdicts, "meeting_id", "left")
+        left = starts.agg(F.sum(F.col("last") - F.col("start") + 1)).first()[0]
+        if not left:
+            return _gathered(spark, folder, kinds) if number else _nothing(spark)
+        if held is None:
+            held = left
+        elif 2 * left < held:
+            ahead, held = table(f"ahead_{number}", lambda: ahead.join(starts.select("meeting_id", "start"), "meeting_id").where("pos >= start").select(*laid.columns)), left
+        at = F.lit(number).alias("round")
+        window = table(f"window_{number}", lambda: fit(ahead, starts, budget, room).select("*", at))
+        chapters, answers = model(window.drop("round"))
+        chapters, answers = table(f"told_{number}", lambda: chapters.select("*", at)), table(f"answers_{number}", lambda: answers.select("*", at))
+        verdicts = _judged(window, chapters.drop("round"), answers.drop("round"))[2]
+        sizes = window.where("window_pos = 0").select("meeting_id", F.col("window_n").alias("n"))
+        upto = window.select("meeting_id", (F.col("window_pos") + 1).alias("next_pos"), F.col("upto").alias("next_base"))
+        told = starts.join(sizes, "meeting_id", "left").join(verdicts.join(upto, ["meeting_id", "next_pos"], "left"), "meeting_id", "left")
         lost = F.when(F.col("n").isNull(), "segment_exceeds_budget").when(F.col("next_pos").isNull(), "no_answer")
-        told = table(f"windows_{number}", lambda: told.select("meeting_id", F.lit(number).alias("round"), "start", "last", F.coalesce("n", F.lit(0)).alias("n"), "carryover", F.coalesce("error", lost).alias("error"), "next_pos"))
-        ranges = table(f"ranges_{number}", lambda: ranges.join(starts.select("meeting_id", "start"), "meeting_id"))
-        at = [(F.col(c) + F.col("start")).alias(new) for c, new in (("start_idx", "start_pos"), ("end_idx", "end_pos"), ("full_start", "full_start"), ("full_end", "full_end"))]
-        tables["windows"].append(told.select("meeting_id", "round", "start", "n", "carryover", "error"))
-        tables["chapters"].append(ranges.select("meeting_id", F.lit(number).alias("round"), "no", "title", "summary", *at))
-        tables["repairs"].append(table(f"repairs_{number}", lambda: repairs).select("meeting_id", F.lit(number).alias("round"), "no", "repair"))
-        starts = table(f"starts_{number + 1}", lambda: told.where("error is null").select("meeting_id", (F.col("start") + F.col("next_pos")).alias("start"), "last").where("start <= last"))
+        told = table(f"windows_{number}", lambda: told.select("meeting_id", at, "start", "last", F.coalesce("n", F.lit(0)).alias("n"), "carryover", F.coalesce("error", lost).alias("error"), "next_pos", "next_base"))
+        kinds = {"window": (number, window.schema), "told": (number, chapters.schema), "answers": (number, answers.schema), "windows": (number, told.schema)}
+        starts = told.where("error is null").select("meeting_id", (F.col("start") + F.col("next_pos")).alias("start"), F.col("next_base").alias("base"), "last").where("start <= last")
     raise ValueError(f"more than {most_rounds} rounds of windows")
 
 
+def _gathered(spark, folder: str, kinds: dict) -> dict[str, DataFrame]:
+    """The tables of all rounds; a meeting's window of a round is checked under the key (meeting_id, round)."""
+    key, parts = F.struct("meeting_id", "round"), {}
+    for name, (last, schema) in kinds.items():
+        parts[name] = spark.read.schema(schema).parquet(*[f"{folder}/{name}_{n}" for n in range(last + 1)])
+    ranges, _, repairs = check_window(*[parts[name].withColumn("meeting_id", key).drop("round") for name in ("window", "told", "answers")])
+    front = parts["windows"].select("meeting_id", "round", "start")
+    own = [F.col("meeting_id.meeting_id").alias("meeting_id"), F.col("meeting_id.round").alias("round")]
+    at = [(F.col(c) + F.col("start")).alias(new) for c, new in (("start_idx", "start_pos"), ("end_idx", "end_pos"), ("full_start", "full_start"), ("full_end", "full_end"))]
+    return {
+        "windows": parts["windows"].select("meeting_id", "round", "start", "n", "carryover", "error"),
+        "chapters": ranges.select(*own, *[c for c in ranges.columns if c != "meeting_id"]).join(front, ["meeting_id", "round"]).select("meeting_id", "round", "no", "title", "summary", *at),
+        "repairs": repairs.select(*own, "no", "repair"),
+    }
+
+
 def _nothing(spark) -> dict[str, DataFrame]:
     kinds = {
         "windows": "meeting_id long, round int, start long, n long, carryover long, error string", "repairs": "meeting_id long, round int, no long, repair string",

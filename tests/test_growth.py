@@ -138,3 +138,20 @@ def test_small_meetings_are_packed_in_batches(spark):
     assert "FlatMapGroups" not in made._jdf.queryExecution().optimizedPlan().toString()
     got = {(r["meeting_id"], r["item"]): (r["bin"], r["oversize"]) for r in made.collect()}
     assert got == {(1, "a"): (0, False), (1, "b"): (None, True), (1, "c"): (1, False), (1, "d"): (1, False), (1, "e"): (0, False), (2, "z"): (0, False), (None, "n"): (0, False)}
+
+
+def test_rounds_read_what_is_ahead(spark, tmp_path):
+    """Each round read all segments again and wrote eight tables; segments of meetings that have ended are now left out."""
+    from chronoloom.operators import carryover
+    from chronoloom.plans import deep
+
+    long = {40: 12, **{m: 2 for m in range(10, 20)}}
+    rows = [(m, i, f"seg-{i:06d}", "w" * 300, "speaker_0", i, i) for m, n in long.items() for i in range(n)]
+    segments = spark.createDataFrame(rows, "meeting_id long, idx long, segment_id string, text string, speaker string, start_ms long, end_ms long")
+    got = carryover.wavefront(segments, deep.model, 700, 20, folder=f"file://{tmp_path}")
+    assert sorted((r["meeting_id"], r["round"], r["start"], r["n"]) for r in got["windows"].collect()) == sorted((m, r, 2 * r, 2) for m, n in long.items() for r in range(n // 2))
+    assert sorted((r["meeting_id"], r["round"], r["start_pos"], r["full_end"]) for r in got["chapters"].collect()) == sorted((m, r, 2 * r, 2 * r + 1) for m, n in long.items() for r in range(n // 2))
+    made = {p.name for p in tmp_path.iterdir()}
+    assert sum(not n.startswith(("laid", "starts", "ahead")) for n in made) <= 4 * 6
+    kept = [spark.read.parquet(f"file://{tmp_path}/{n}").count() for n in sorted(n for n in made if n.startswith("ahead"))]
+    assert kept and kept[0] == 10 and all(2 * b < a for a, b in zip(kept, kept[1:]))
