@@ -208,8 +208,8 @@ def artifact_refs(spark, d):
     i, n = F.col("event_id"), F.col("event_id").cast("string")
     rows = src.table(spark, d, "events").select(i.alias("doc"), F.concat(F.lit("/data/run-"), n).alias("root"), "event_id")
     told = F.concat(F.lit('{"artifacts":{"a":"out/x-'), n, F.lit('.json","b":{"path":"/data/run-'), n, F.lit('/sub/y.json","size_bytes":'), n, F.lit(',"sha256":"ab"},"c":"../z.txt","d":5,"e":"C:\\\\w\\\\q.txt","g":"/else/far.json","h":{"path":7}}}'))
-    beside = diagnostics.artifact_refs(rows.select("doc", "root", F.lit('{"artifacts":{"a":"side.json","f":"f.txt"}}').alias("json")))
-    return diagnostics.merged_refs(beside, diagnostics.artifact_refs(rows.select("doc", "root", F.when(i % 2 == 0, told).otherwise('{"artifacts":3}').alias("json"))))
+    beside = F.lit('{"artifacts":{"a":"side.json","f":"f.txt"}}')
+    return diagnostics.artifact_refs(rows.select("doc", "root", beside.alias("beside"), F.when(i % 2 == 0, told).otherwise('{"artifacts":3}').alias("result")), ("beside", "result"))
 
 
 # ---- around a review

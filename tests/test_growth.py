@@ -155,3 +155,24 @@ def test_rounds_read_what_is_ahead(spark, tmp_path):
     assert sum(not n.startswith(("laid", "starts", "ahead")) for n in made) <= 4 * 6
     kept = [spark.read.parquet(f"file://{tmp_path}/{n}").count() for n in sorted(n for n in made if n.startswith("ahead"))]
     assert kept and kept[0] == 10 and all(2 * b < a for a, b in zip(kept, kept[1:]))
+
+
+def test_references_of_two_sources_are_merged_without_a_shuffle(spark):
+    import json
+
+    from chronoloom.operators import diagnostics
+
+    beside = {"a": "side", "f": "f.txt", "k": "stays", "n" * 81: "long"}
+    result = {"a": {"path": "/r/x", "size_bytes": 2, "sha256": "s"}, "k": 5, "n" * 82: "z", "n" * 83: "y", "g": "../q"}
+    docs = [(1, "/r", json.dumps({"artifacts": beside}), json.dumps({"artifacts": result})), (2, "/r", json.dumps({"artifacts": beside}), '{"artifacts": 3}'), (3, "/r", "no json", None), (4, None, None, json.dumps({"artifacts": result}))]
+    rows = spark.createDataFrame(docs, "doc long, root string, beside string, result string")
+    made = diagnostics.artifact_refs(rows, ("beside", "result"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    own = {"a": ("x", 2, "s"), "n" * 80: ("z", None, None), "g": ("q", None, None)}
+    first = {"a": ("side", None, None), "f": ("f.txt", None, None), "k": ("stays", None, None), "n" * 80: ("long", None, None)}
+    got = [(r["doc"], r["name"], r["ref"], r["size_bytes"], r["sha256"]) for r in made.collect()]
+    want = [(d, n, *v) for d, told in ((1, first | own), (2, first), (4, own | {"a": ("x", 2, "s")})) for n, v in told.items()]
+    assert sorted(got) == sorted(want)
+    tables = [diagnostics.artifact_refs(rows.where("doc < 4").select("doc", "root", rows[c].alias("json"))) for c in ("beside", "result")]
+    again = [(r["doc"], r["name"], r["ref"]) for r in diagnostics.merged_refs(*tables).collect() if len(r["name"]) < 80]
+    assert sorted(again) == sorted((d, n, ref) for d, n, ref, *_ in got if d < 4 and len(n) < 80)
