@@ -2,7 +2,7 @@
 
 Documents are parsed once into VARIANT values. One level after another is taken apart by a lateral explode, as deep as asked for; a node is
 (doc, path, pattern, parent, kind, pos, value). Patterns name the place without numbers of items (``$.chapters[].title``), so a schema is
-a small table of patterns and its violations are joins.
+a small table of patterns, which is joined to the nodes.
 """
 
 from __future__ import annotations
@@ -66,27 +66,42 @@ def patterns(schema, pattern: str = "$", parent: str | None = None, required: bo
     return out
 
 
+def _fault(path: Column, fault: str, told: Column) -> Column:
+    return F.struct(path.alias("path"), F.lit(fault).alias("fault"), told.alias("told"))
+
+
+def violations_by_name(docs: DataFrame, schemas: dict) -> DataFrame:
+    """(doc, name, path, fault, told): where documents (doc, name, json) differ from the schema of their name; documents of other names aren't looked at.
+
+    A node is held against its rule and against the keys of its own value, so nodes are neither kept nor joined with one another: many documents cost no shuffle.
+    """
+    wanted = [(name, *p) for name, schema in schemas.items() for p in patterns(schema)]
+    inner: dict = {}  # keys of objects: those known, those that must be there, and their kinds
+    for name, pattern, parent, kinds, required in wanted:
+        if parent is not None and pattern.startswith(f"{parent}."):
+            inner.setdefault((name, parent), []).append((pattern[len(parent) + 1 :], kinds, required))
+    rules = [(n, p, kinds, [k for k, *_ in own], [k for k, _, required in own if required], {k: v for k, v, _ in own}) for n, p, _, kinds, _ in wanted for own in [inner.get((n, p), [])]]
+    depth = max(len(p.replace("[]", ".[]").split(".")) for _, p, *_ in wanted) - 1
+    found, broken = nodes(docs.where(F.col("name").isin(*schemas)).select(F.struct("doc", "name").alias("doc"), "json"), depth)
+    rules = F.broadcast(found.sparkSession.createDataFrame(rules, "name string, pattern string, kinds string, known array<string>, due array<string>, key_kinds map<string, string>"))  # as long as the schemas
+    path, kind = F.col("path"), F.col("kind")
+    # only keys of objects that should be objects: what lies below an unknown key or a wrong kind isn't told again
+    held = F.when((F.col("kinds") == "object") & (kind == "object"), F.try_variant_get("value", "$", "map<string, variant>"))
+    wrong = F.when(~F.array_contains(F.split("kinds", r"\|"), kind), F.array(_fault(path, "wrong_type", kind)))
+    extra = F.transform(F.map_entries(F.map_filter(held, lambda k, _: ~F.array_contains("known", k))), lambda x: _fault(F.concat(path, F.lit("."), x["key"]), "extra", kind_of(x["value"])))
+    missing = F.transform(F.array_except("due", F.map_keys(held)), lambda k: _fault(F.concat(path, F.lit("."), k), "missing", F.col("key_kinds")[k]))
+    faults = [F.coalesce(x, F.array().cast("array<struct<path: string, fault: string, told: string>>")) for x in (wrong, extra, missing)]
+    known = found.select(F.col("doc.doc").alias("doc"), F.col("doc.name").alias("name"), "path", "pattern", "kind", "value").join(rules, ["name", "pattern"])
+    text = broken.select("doc.doc", "doc.name", F.lit("$").alias("path"), F.lit("not_json").alias("fault"), F.lit(None).cast("string").alias("told"))
+    return text.union(known.select("doc", "name", F.explode(F.concat(*faults)).alias("_f")).select("doc", "name", "_f.*"))
+
+
 def violations(docs: DataFrame, schema) -> DataFrame:
     """(doc, path, fault, told): where documents (doc, json) differ from a schema; one row a fault.
 
     fault: not_json, wrong_type (told: the kind found), missing (a required key) or extra (a key that the schema doesn't know; what lies below isn't told again).
     """
-    wanted = patterns(schema)
-    depth = max(len(p.replace("[]", ".[]").split(".")) for p, *_ in wanted)
-    found, broken = nodes(docs, depth)
-    found = written(found.select("doc", "path", "pattern", "parent", "parent_pattern", "kind"), "nodes")
-    rules = F.broadcast(found.sparkSession.createDataFrame(wanted, "pattern string, parent_pattern string, kinds string, required boolean"))  # as long as the schema
-    known = found.join(rules.select("pattern", "kinds"), "pattern", "left")
-    wrong = known.where(~F.array_contains(F.split("kinds", r"\|"), F.col("kind"))).select("doc", "path", F.lit("wrong_type").alias("fault"), F.col("kind").alias("told"))
-    # only keys of objects that should be objects: what lies below an unknown key or a wrong kind isn't told again
-    holders = known.where("kinds = 'object' and kind = 'object'").select("doc", F.col("path").alias("parent"), F.col("pattern").alias("parent_pattern"))
-    keys = known.join(holders, ["doc", "parent", "parent_pattern"])
-    extra = keys.where("kinds is null").select("doc", "path", F.lit("extra").alias("fault"), F.col("kind").alias("told"))
-    due = holders.join(rules.where("required").select("parent_pattern", F.col("pattern").alias("due"), "kinds"), "parent_pattern")
-    due = due.withColumn("path", F.concat("parent", F.expr("substring(due, length(parent_pattern) + 1)")))
-    missing = due.join(found.select("doc", "path"), ["doc", "path"], "left_anti").select("doc", "path", F.lit("missing").alias("fault"), F.col("kinds").alias("told"))
-    text = broken.select("doc", F.lit("$").alias("path"), F.lit("not_json").alias("fault"), F.lit(None).cast("string").alias("told"))
-    return text.union(wrong).union(extra).union(missing)
+    return violations_by_name(docs.withColumn("name", F.lit("")), {"": schema}).drop("name")
 
 
 def long_lists(docs: DataFrame, most: dict[str, int]) -> DataFrame:
@@ -175,5 +190,5 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
         return spark.createDataFrame([], "key string, name string, json string")
     current = json.loads("".join(r["value"] for r in spark.read.text(f"{folder}/CURRENT").collect()))  # one line
     rows = _staged(spark, current["run"], current.get("packed", False)).select("key", "name", "json", F.sha2(F.col("json").cast("binary"), 256).alias("_own"))
-    told = spark.read.parquet(current["manifest"]).select("key", "name", "sha256")
+    told = spark.read.parquet(current["manifest"]).select("key", "name", "sha256").hint("merge")  # a row a document: it is never sent whole to the driver
     return rows.join(told, ["key", "name"]).where("_own = sha256").select("key", "name", "json")

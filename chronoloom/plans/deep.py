@@ -340,10 +340,11 @@ def export_files(spark, d):
     """The bundle written as files and read again; whether each is what was written, and its faults against its schema."""
     folder, bundle = new_folder(spark, "exports"), written(_bundle(spark, d), "bundle")
     documents.write_documents(bundle.select(F.col("meeting_id").alias("key"), "name", "json"), folder, packed=True)
-    again = documents.read_documents(spark, folder)
-    same = bundle.select(F.col("meeting_id").cast("string").alias("key"), "name", F.col("json").alias("own")).join(again, ["key", "name"], "left")
-    found = [documents.violations(again.where(F.col("name") == name).select(F.col("key").alias("doc"), "json"), schema).withColumn("name", F.lit(name)) for name, schema in exports.BUNDLE.items()]
-    faults = functools.reduce(DataFrame.unionByName, found).select(F.col("doc").alias("key"), "name").unionByName(exports.bundle_faults(bundle).select(F.col("meeting_id").cast("string").alias("key"), F.lit("transcription.json").alias("name")))
+    again = written(documents.read_documents(spark, folder), "again")
+    # Parquet packs texts and paths so well that Spark would take them for small: none of them is broadcast
+    same = bundle.select(F.col("meeting_id").cast("string").alias("key"), "name", F.col("json").alias("own")).join(again.hint("merge"), ["key", "name"], "left")
+    found = documents.violations_by_name(again.withColumnRenamed("key", "doc"), exports.BUNDLE)
+    faults = found.select(F.col("doc").alias("key"), "name").unionByName(exports.bundle_faults(bundle).select(F.col("meeting_id").cast("string").alias("key"), F.lit("transcription.json").alias("name")))
     faults = faults.groupBy("key", "name").agg(F.count("*").cast("int").alias("faults"))
     return same.join(faults, ["key", "name"], "left").select("key", "name", F.col("own").eqNullSafe(F.col("json")).alias("same"), F.coalesce("faults", F.lit(0)).alias("faults"))
 

@@ -176,3 +176,37 @@ def test_references_of_two_sources_are_merged_without_a_shuffle(spark):
     tables = [diagnostics.artifact_refs(rows.where("doc < 4").select("doc", "root", rows[c].alias("json"))) for c in ("beside", "result")]
     again = [(r["doc"], r["name"], r["ref"]) for r in diagnostics.merged_refs(*tables).collect() if len(r["name"]) < 80]
     assert sorted(again) == sorted((d, n, ref) for d, n, ref, *_ in got if d < 4 and len(n) < 80)
+
+
+def test_faults_need_no_join_of_nodes(spark):
+    """Missing keys were sought by a join with all nodes, which Parquet packs so well that Spark sent them whole through the driver."""
+    from chronoloom.operators import documents
+
+    schemas = {"a.json": {"id": "number", "m": {"x": "string|null", "y?": "number"}}, "b.json": [{"id": "string"}], "c.json": {"any": "object"}}
+    docs = [
+        (1, "a.json", '{"id": 1, "m": {"x": null}}'), (1, "b.json", '[{"id": "s"}, {"ID": null, "n": {"id": 1}}, 3]'), (2, "a.json", '{"id": "1", "m": {"y": []}, "z": {"id": 1}}'), (2, "b.json", '{"id": "s"}'),
+        (3, "a.json", "{"), (3, "b.json", None), (3, "other.json", "{"), (4, "c.json", '{"any": {"k": null}}'), (5, "a.json", '{"id": null, "m": []}'), (5, "a.json", '{"m": {"x": "é"}}'), (6, None, "{"),
+    ]
+    table = spark.createDataFrame(docs, "doc long, name string, json string")
+    one, made = documents.violations(table.where("name = 'a.json'").select("doc", "json"), schemas["a.json"]), documents.violations_by_name(table, schemas)
+    for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (one, made)):
+        assert "Exchange hashpartitioning" not in plan and plan.count("BroadcastExchange") == 1
+    got = [tuple(r) for r in made.collect()]
+    assert sorted(repr((r["doc"], "a.json", r["path"], r["fault"], r["told"])) for r in one.collect()) == sorted(repr(r) for r in got if r[1] == "a.json")
+    assert sorted(map(repr, got)) == sorted(map(repr, [
+        (1, "b.json", "$[1].ID", "extra", "null"), (1, "b.json", "$[1].n", "extra", "object"), (1, "b.json", "$[1].id", "missing", "string"), (1, "b.json", "$[2]", "wrong_type", "number"),
+        (2, "a.json", "$.id", "wrong_type", "string"), (2, "a.json", "$.m.x", "missing", "string|null"), (2, "a.json", "$.m.y", "wrong_type", "array"), (2, "a.json", "$.z", "extra", "object"), (2, "b.json", "$", "wrong_type", "object"),
+        (3, "a.json", "$", "not_json", None), (3, "b.json", "$", "not_json", None), (4, "c.json", "$.any.k", "extra", "null"),
+        (5, "a.json", "$.id", "wrong_type", "null"), (5, "a.json", "$.m", "wrong_type", "array"), (5, "a.json", "$.id", "missing", "number"),
+    ]))
+
+
+def test_no_table_of_files_is_broadcast(spark):
+    """Neither texts, nor digests, nor nodes of exported files are sent whole through the driver, however small their Parquet is."""
+    import re
+
+    from chronoloom.plans import deep
+
+    plan = deep.export_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    sent = re.findall(r"BroadcastExchange[^\n]*\n(?:[^\n]*(?:Filter|Project)[^\n]*\n)*[^\n]*?(Scan ExistingRDD|FileScan|\w+)[ \[(]", plan)
+    assert sent and set(sent) == {"Scan ExistingRDD"}, sent
